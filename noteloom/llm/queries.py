@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ogg, perplexity, quality, simhash
+from . import edits, mixing, ogg, perplexity, quality, reshard, secrets, simhash, wfst
 from .common import documents
 
+#: A repository is a source's part in one language; its owner is the source.
+REPOSITORY, OWNER = F.concat_ws("/", "source", "lang"), F.col("source")
+
 
 def op1_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -22,11 +26,35 @@ def op3_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.judge(documents(spark, sf_dir))
 
 
+def op4_sentencepiece_wfst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wfst.encode_documents(documents(spark, sf_dir), keep_ids=False)
+
+
+def op5_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_spans(documents(spark, sf_dir), REPOSITORY, OWNER)
+
+
+def op6_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edits.count_edited(documents(spark, sf_dir), edits.revision())
+
+
 def op7_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op9_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir))
+
+
+def op10_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reshard.reshard_documents(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_discriminant, op2_ogg_media, op3_perplexity_rules, op7_simhash_neardup)
-}
-ORACLE_SQL: dict[str, str] = {}
+    f.__name__: f
+    for f in (
+        op1_quality_discriminant, op2_ogg_media, op3_perplexity_rules, op4_sentencepiece_wfst, op5_secret_ownership,
+        op6_edit_token_counts, op7_simhash_neardup, op9_temperature_mixing, op10_flow_reshard,
+    )
+}
+ORACLE_SQL: dict[str, str] = {"op5_secret_ownership": secrets.oracle("source || '/' || lang", "source")}
