@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import edits, mixing, ogg, perplexity, quality, reshard, secrets, simhash, wfst
+from . import edits, mixing, ogg, perplexity, quality, reshard, secrets, simhash, suffix, wfst
 from .common import documents
 
 #: A repository is a source's part in one language; its owner is the source.
@@ -42,6 +42,10 @@ def op7_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeat_digest(documents(spark, sf_dir))
+
+
 def op9_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
@@ -54,7 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_discriminant, op2_ogg_media, op3_perplexity_rules, op4_sentencepiece_wfst, op5_secret_ownership,
-        op6_edit_token_counts, op7_simhash_neardup, op9_temperature_mixing, op10_flow_reshard,
+        op6_edit_token_counts, op7_simhash_neardup, op8_suffix_dedup, op9_temperature_mixing, op10_flow_reshard,
     )
 }
 ORACLE_SQL: dict[str, str] = {"op5_secret_ownership": secrets.oracle("source || '/' || lang", "source")}

@@ -48,15 +48,15 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp: the 64 bits as a signed number."""
+    """row (a key of id and text), doc_id, fp: the 64 bits as a signed number."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fps = np.array([fingerprint(t) for t in b["text"]], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fps})
+            yield pd.DataFrame({"row": b["row"], "doc_id": b["doc_id"], "fp": fps})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, fp long")
+    return docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text").mapInPandas(run, f"row long, doc_id {kind}, fp long")
 
 
 def cell(fp: Column, segments: int) -> Column:
@@ -110,7 +110,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def cluster(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, root, component_id: one row for each row of ``docs``."""
+    """row, doc_id, fp, root, component_id: one row for each row of ``docs``."""
     prints = stage(fingerprints(docs), "fingerprints")
     lowest = prints.groupBy("fp").agg(F.min("doc_id").alias("lowest"))
     distinct = cut(lowest)
@@ -122,7 +122,7 @@ def cluster(docs: DataFrame) -> DataFrame:
     grouped = named.join(members, "root", "left").withColumn("linked", F.col("linked") | F.coalesce("hub", F.lit(False)))
     ids = grouped.where("linked").groupBy("root").agg(F.min("lowest").alias("id"))
     final = grouped.join(ids, "root", "left").select("fp", "root", F.coalesce("id", "lowest").alias("component_id"))
-    return prints.join(final, "fp").select("doc_id", "fp", "root", "component_id")
+    return prints.join(final, "fp").select("row", "doc_id", "fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -130,7 +130,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: one document of each component, the one with the smallest id."""
-    kept = cluster(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    stay = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
-    return stay.dropDuplicates(["doc_id"])
+    """The rows of ``docs`` that stay: one document of each component, the one with the smallest id (null ids last)."""
+    rows = stage(cluster(docs).select("row", "doc_id", "root"), "components")
+    groups = rows.groupBy("root").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("keep")).where("n > 1")
+    gone = stage(rows.join(groups.select("root", F.col("keep.row").alias("keep")), "root").where("row != keep").select(F.col("row").alias("gone")).distinct(), "duplicates")
+    key = F.xxhash64("doc_id", "text")
+    stay = docs.join(gone, key == gone["gone"], "left_anti")
+    if rows.groupBy("row").count().where("count > 1").isEmpty():
+        return stay
+    return stay.withColumn("row_key__", F.xxhash64("doc_id", "text")).dropDuplicates(["row_key__"]).drop("row_key__")
