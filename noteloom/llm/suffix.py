@@ -11,7 +11,7 @@ range of distances, and the context that covers its windows.
    orders and common-prefix lengths follow the classes of equal windows at every distance.
 3. Groups with more contexts than a task should sort (a passage that a third of all documents hold) are decided by
    digests instead, summed before the shuffle: first of the part common to 16 neighbouring windows, then of the windows
-   whose part recurs.  This is exact for any group size.
+   whose part isn't found once.  This is exact for any group size.
 
 Null text counts as empty; texts under 400 bytes keep all; repeated rows are copies of each other; hashes have 128 bits.
 """
@@ -304,39 +304,57 @@ def sorted_groups(contexts: DataFrame) -> DataFrame:
 
 
 def _digest_rows(contexts: DataFrame, windows: bool) -> DataFrame:
-    """row, p, at (block of distances, or distance), alone, k1, k2: digests of parts common to a block, or of windows."""
+    """row, p, at (block of distances, or distance), k1, k2: digests of parts common to a block, or of windows outside ``lone`` blocks."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for at in range(0, len(b), 512):
+            for at in range(0, len(b), 256):
                 out = []
-                for x in b.iloc[at : at + 512].itertuples():
+                for x in b.iloc[at : at + 256].itertuples():
                     d = Digests(np.frombuffer(bytes(x.context), np.uint8))
                     near, far = x.p - x.hi, x.p - x.lo
                     if windows:
-                        o = np.concatenate([np.arange(max(near, k * BLOCK), min(far, k * BLOCK + BLOCK - 1) + 1) for k in x.blocks])
+                        o = np.arange(near, far + 1)
+                        o = o if x.lone is None else o[~np.isin(o // BLOCK, x.lone)]
                         start, stop = far - o, far - o + WINDOW
                     else:
                         o = np.arange(near // BLOCK, far // BLOCK + 1)
                         start, stop = np.maximum(far - o * BLOCK, 0), np.minimum(far - (o * BLOCK + BLOCK - 1) + WINDOW, d.n)
                     tag = (np.uint64(x.h & 0xFFFFFFFFFFFFFFFF) + o.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
                     k = [mixed(d.of(start, stop, w) ^ tag).view(np.int64) for w in (0, 1)]
-                    out.append(pd.DataFrame({"row": x.row, "p": x.p, "at": o, "alone": x.alone, "k1": k[0], "k2": k[1]}))
-                if out:
-                    yield pd.concat(out)
+                    out.append(pd.DataFrame({"row": x.row, "p": x.p, "at": o, "k1": k[0], "k2": k[1]}))
+                yield pd.concat(out)
+
+    return contexts.mapInPandas(run, "row long, p long, at long, k1 long, k2 long")
 
-    return contexts.mapInPandas(run, "row long, p long, at long, alone boolean, k1 long, k2 long")
+
+def _found_once(digests: DataFrame, name: str) -> DataFrame:
+    """row, p, and the places whose digest nothing else has: sums that combine before the shuffle, and no join back to all rows."""
+    once = digests.groupBy("k1", "k2").agg(F.count("*").alias("times"), F.min(F.struct("row", "p", "at")).alias("one")).where("times = 1").select("one.*")
+    return once.groupBy(F.col("row").alias("r"), F.col("p").alias("q")).agg(F.collect_set("at").alias(name))
 
 
 def counted_groups(contexts: DataFrame) -> DataFrame:
-    """As sorted_groups, for groups of any size."""
-    parts = stage(_digest_rows(contexts, False), "parts")
-    shared = parts.groupBy("k1", "k2").agg(F.count("*").alias("times")).where("times > 1")
-    blocks = parts.join(shared, ["k1", "k2"]).groupBy("row", "p").agg(F.collect_set("at").alias("blocks"))
-    windows = stage(_digest_rows(contexts.join(blocks, ["row", "p"]), True), "windows")
-    again = windows.groupBy("k1", "k2").agg(F.count("*").alias("times")).where("times > 1")
-    start = F.col("p") - F.col("at")
-    return windows.where("alone").join(again, ["k1", "k2"]).select("row", start.alias("lo"), start.alias("hi"))
+    """As sorted_groups, for groups of any size: a window is repeated unless its block's part or itself is found once."""
+    same = (F.col("row") == F.col("r")) & (F.col("p") == F.col("q"))
+    parts = _found_once(_digest_rows(contexts, False), "lone")
+    known = stage(contexts.join(parts, same, "left").drop("r", "q"), "blocks")
+    windows = _found_once(_digest_rows(known, True), "single")
+    asked = known.where("alone").select("row", "p", "lo", "hi", "lone").join(windows, same, "left").drop("r", "q")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for x in b.itertuples():
+                o = np.arange(x.p - x.hi, x.p - x.lo + 1)
+                again = np.ones(len(o), bool)
+                for places, own in ((x.lone, o // BLOCK), (x.single, o)):
+                    if places is not None:
+                        again &= ~np.isin(own, places)
+                out += [(x.row, x.p - int(o[j]), x.p - int(o[i])) for i, j in runs(again)]
+            yield pd.DataFrame(out, columns=["row", "lo", "hi"], dtype="int64")
+
+    return asked.select("row", "p", "lo", "hi", "lone", "single").mapInPandas(run, "row long, lo long, hi long")
 
 
 def repeated_windows(keyed: DataFrame) -> DataFrame:
