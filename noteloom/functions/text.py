@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from .. import config as C
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def blank_free(x: Column) -> Column:
     return F.btrim(F.regexp_replace(x, C.BLANKS, " "))
 
@@ -56,16 +61,17 @@ def core_phrase(x: Column) -> Column:
 def knowledge_tail(x: Column) -> Column:
     """Clauses after the first colon up to one with an exam instruction, joined by 、."""
     tail = F.regexp_extract(F.btrim(x), "^[^:：]*[:：]((?s:.*))$", 1)
-    clauses = trimmed_parts(tail, "[，,；;。]+")
-    stop = F.array_position(F.transform(clauses, lambda c: c.rlike("|".join(C.EXAM_MARKERS))), True)
-    kept = F.when(stop == 0, clauses).otherwise(F.slice(clauses, 1, F.greatest(stop - 1, F.lit(0)).cast("int")))
-    return F.array_join(kept, "、")
+
+    def kept(clauses: Column) -> Column:
+        stop = F.array_position(F.transform(clauses, lambda c: c.rlike("|".join(C.EXAM_MARKERS))), True)
+        return let(stop, lambda n: F.when(n == 0, clauses).otherwise(F.slice(clauses, 1, F.greatest(n - 1, F.lit(0)).cast("int"))))
+
+    return F.array_join(let(trimmed_parts(tail, "[，,；;。]+"), kept), "、")
 
 
 def matching_query(x: Column) -> Column:
-    core, tail = core_phrase(x), knowledge_tail(x)
-    joined = F.btrim(F.when(tail != "", F.concat(core, F.lit("："), tail)).otherwise(core), F.lit(" ，,；;。：:"))
-    return F.when(joined != "", joined).otherwise(F.btrim(x))
+    joined = let(knowledge_tail(x), lambda tail: F.btrim(F.when(tail != "", F.concat(core_phrase(x), F.lit("："), tail)).otherwise(core_phrase(x)), F.lit(" ，,；;。：:")))
+    return let(joined, lambda j: F.when(j != "", j).otherwise(F.btrim(x)))
 
 
 def prepared_core(x: Column) -> Column:
@@ -98,16 +104,20 @@ def unique_queries(values: Column) -> Column:
 
 def restore_suffix(parts: Column) -> Column:
     """ "a性、b性c" to "a性c", "b性c" where all parts but the last are short and end with one boundary character."""
-    last = F.element_at(parts, -1)
-    short = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
-    boundary = F.right(F.element_at(parts, 1), F.lit(1))
-    at = F.position(boundary, last)
-    suffix = F.substr(last, at + 1, F.length(last))
-    fits = (
-        (F.size(parts) >= 2) & (F.length(last) >= 4) & F.lit(C.SHARED_SUFFIXES).contains(boundary) & (boundary != "")
-        & F.forall(short, lambda p: (F.length(p) <= 6) & p.endswith(boundary)) & (at >= 2) & (F.length(query_key(suffix)) >= 2)
-    )
-    return F.when(fits, F.concat(F.transform(short, lambda p: F.concat(p, suffix)), F.array(last))).otherwise(parts)
+
+    def restored(p: Column) -> Column:
+        last = F.element_at(p, -1)
+        short = F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0)))
+        boundary = F.right(F.element_at(p, 1), F.lit(1))
+        at = F.position(boundary, last)
+        suffix = F.substr(last, at + 1, F.length(last))
+        fits = (
+            (F.length(last) >= 4) & F.lit(C.SHARED_SUFFIXES).contains(boundary) & (boundary != "")
+            & F.forall(short, lambda s: (F.length(s) <= 6) & s.endswith(boundary)) & (at >= 2) & (F.length(query_key(suffix)) >= 2)
+        )
+        return F.when(fits, F.concat(F.transform(short, lambda s: F.concat(s, suffix)), F.array(last))).otherwise(p)
+
+    return let(parts, lambda p: F.when(F.size(p) >= 2, restored(p)).otherwise(p))
 
 
 def split_subqueries(x: Column) -> Column:
@@ -115,7 +125,7 @@ def split_subqueries(x: Column) -> Column:
     body = F.btrim(F.regexp_replace(x, C.COMPARISON, ""))
     cleaned = F.transform(F.split(body, C.CONNECTORS, -1), lambda p: F.btrim(F.regexp_replace(F.btrim(p, marks), C.INSTRUCTION, ""), marks))
     parts = restore_suffix(F.filter(cleaned, lambda p: F.length(query_key(p)) >= 2))
-    return F.when(F.size(parts) >= 2, unique_queries(parts)).otherwise(F.array().cast("array<string>"))
+    return let(parts, lambda p: F.when(F.size(p) >= 2, unique_queries(p)).otherwise(F.array().cast("array<string>")))
 
 
 def clean_line(x: Column) -> Column:
@@ -165,9 +175,8 @@ def grams(key: Column) -> Column:
 
 
 def gram_overlap(key: Column, text_key: Column) -> Column:
-    g = grams(key)
-    hits = F.size(F.filter(g, lambda x: text_key.contains(x)))
-    return F.when(F.size(g) > 0, hits / F.size(g)).otherwise(0.0)
+    share = lambda g, t: F.when(F.size(g) > 0, F.size(F.filter(g, lambda x: t.contains(x))) / F.size(g)).otherwise(0.0)
+    return let(text_key, lambda t: let(grams(key), lambda g: share(g, t)))
 
 
 def terms(x: Column) -> Column:
@@ -211,7 +220,7 @@ def excerpt(text: Column, query: Column, before: int = 28, after: int = 42) -> C
 
 def split_content(kind: Column, text: Column) -> Column:
     parts = F.when(kind == "keywords", trimmed_parts(text, C.KEYWORD_SPLIT)).otherwise(trimmed_parts(text, C.PARAGRAPHS))
-    return F.when(F.size(parts) > 0, parts).otherwise(F.array(text))
+    return let(parts, lambda p: F.when(F.size(p) > 0, p).otherwise(F.array(text)))
 
 
 def normal_newlines(x: Column) -> Column:
