@@ -84,8 +84,12 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page log: events of a user as attempts at the pages of one document."""
+    return as_page_events(table(spark, sf_dir, "events"))
+
+
+def as_page_events(events: DataFrame) -> DataFrame:
     status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "signup", "processing").otherwise("completed")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("user_id").alias("doc_id"), (F.col("event_id") % 40 + 1).alias("page_number"), (F.col("event_id") % 3).alias("attempt_id"), status.alias("status"), F.when(F.col("event_type") == "view", "ocr").otherwise("text").alias("method"), F.col("props").alias("text"), "ts", "event_id",
     )
 
