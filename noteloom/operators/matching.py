@@ -27,9 +27,8 @@ _LINK = re.compile(C.LINK_NOISE)
 _SHORT = re.compile(C.SHORT_NUMBERING)
 
 
-def grams_of(key: str) -> frozenset[str]:
-    size = 2 if len(key) >= 4 else 1
-    return frozenset(key[i : i + size] for i in range(len(key) - size + 1))
+def grams_of(text: str, size: int) -> frozenset[str]:
+    return frozenset(text) if size == 1 else frozenset(map("".join, zip(text, text[1:], strict=False)))
 
 
 @lru_cache(maxsize=1 << 16)
@@ -50,15 +49,13 @@ class PreparedQuery:
     def __init__(self, query: str, core: str, keywords: list[str], matching: str) -> None:
         self.query, self.key, self.core = query, key_of(matching), key_of(core)
         self.keywords = [key_of(k) for k in dict.fromkeys(keywords)]
-        self.grams, self.letters = grams_of(self.key), Counter(self.key)
+        self.size = 2 if len(self.key) >= 4 else 1
+        self.grams, self.letters = grams_of(self.key, self.size), Counter(self.key)
         self.strict = len(self.key) <= 4
 
     def recalled(self, searchable: str) -> bool:
         return bool(self.core and self.core in searchable) or sum(k in searchable for k in self.keywords) >= 2
 
-    def overlap(self, text: str) -> float:
-        return sum(g in text for g in self.grams) / len(self.grams) if self.grams else 0.0
-
 
 class PreparedChunk:
     def __init__(self, chapter: str | None, section: str | None, content: str) -> None:
@@ -68,10 +65,18 @@ class PreparedChunk:
         join = lambda *xs: "".join(key_of(x) if x is not content else self.body for x in xs if x)
         self.searchable, self.without_chapter = join(chapter, section, content), join(section, content)
         self.noisy = bool(_LINK.search(content))
+        self._grams: dict[tuple[str, int], frozenset[str]] = {}
         titles = join(chapter, section)
         short = len(self.body) < 50
         self.structural = short and ((bool(titles) and (self.body in titles or titles in self.body)) or "目录" in self.body or len(_SHORT.sub("", self.body)) <= 16)
 
+    def overlap(self, q: PreparedQuery, part: str) -> float:
+        """Share of the query's grams in ``body`` or ``searchable``."""
+        known = self._grams.get((part, q.size))
+        if known is None:
+            known = self._grams[part, q.size] = grams_of(getattr(self, part), q.size)
+        return len(q.grams & known) / len(q.grams) if q.grams else 0.0
+
     def score(self, q: PreparedQuery, chapter: str | None) -> float:
         if not q.key:
             return 0.0
@@ -82,7 +87,7 @@ class PreparedChunk:
         elif q.key in self.body:
             base = 0.8
         else:
-            base = q.overlap(self.body) * 0.68
+            base = self.overlap(q, "body") * 0.68
             for other in [*self.titles, self.body[: max(len(q.key) * 6, 160)]]:
                 if ratio_bound(q.letters, len(q.key), other) * 0.72 > base:
                     base = max(base, ratio(q.key, other) * 0.72)
@@ -124,7 +129,7 @@ def match_queries(queries: DataFrame, chunks: DataFrame, config: Config = CONFIG
                     for idx, chapter, q_no, q in prepared[project]:
                         if q.strict and not q.recalled(chunk.without_chapter):
                             continue
-                        grams = q.overlap(chunk.searchable)
+                        grams = chunk.overlap(q, "searchable")
                         contained = any(q.key in t or t in q.key for t in chunk.titles if t) or q.key in chunk.body
                         recalled = q.recalled(chunk.searchable)
                         if not q.key or not (grams >= 0.6 or contained or recalled):
