@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import edits, mixing, ogg, perplexity, quality, reshard, secrets, simhash, suffix, wfst
 from .common import documents
 
-#: A repository is a source's part in one language; its owner is the source.
-REPOSITORY, OWNER = F.concat_ws("/", "source", "lang"), F.col("source")
+
+def holders() -> tuple[Column, Column]:
+    """Repository and owner: a source's part in one language, and the source."""
+    return F.concat_ws("/", "source", "lang"), F.col("source")
 
 
 def op1_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +33,7 @@ def op4_sentencepiece_wfst(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.secret_spans(documents(spark, sf_dir), REPOSITORY, OWNER)
+    return secrets.secret_spans(documents(spark, sf_dir), *holders())
 
 
 def op6_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,9 @@ from pyspark.sql import DataFrame
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 WORD = "▁"
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 20
+#: Rows passed on at a time.
+ROWS = 512
 # Numbers of fields and kinds in the public model format.
 PIECES, TRAINER, NORMALIZER = 1, 2, 3
 UNIGRAM, MERGES = 1, 2
@@ -88,7 +90,8 @@ class PieceTransducer:
             for c in reversed(t):
                 node = node.setdefault(c, {})
             node[""] = i
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
+        self.piece_bytes = [bytes([self.byte_of[i]]) if i in self.byte_of else t.encode() if self.kind[i] in (NORMAL, USER) else b"" for i, t in enumerate(self.text)]
 
     # -- pair acceptor ---------------------------------------------------------------------------------------------
 
@@ -149,36 +152,44 @@ class PieceTransducer:
         return tuple(self.bytes[b] for b in char.encode()) if self.bytes else (self.unknown,)
 
     def shortest_path(self, stretch: str) -> tuple[int, ...]:
-        """Piece ids of the least weight; weight, last piece and last step are kept for every end, as earlier steps don't bear on later ones."""
+        """Piece ids of the least weight.
+
+        Steps before an end don't bear on those after it, so every end keeps its least weight, last piece (-1: none or
+        fallback) and where that began.  Where neighbours are restricted only one path to each end has finite weight.
+        """
         n = len(stretch)
-        best: list[tuple[float, int, int] | None] = [(0.0, -1, -1)] + [None] * n  # weight, last piece (-1: none or fallback), where it began
+        weight, last, begin = [0.0] + [inf] * n, [-1] * (n + 1), [0] * (n + 1)
+        root, known, allowed, merges = self.root, self.allowed, self.pair, self.merges
         for end in range(1, n + 1):
-            node, at, found = self.root, end, None
+            node, at = root, end
             while at:
                 node = node.get(stretch[at - 1])
                 if node is None:
                     break
                 at -= 1
                 piece = node.get("")
-                if piece is None or (before := best[at]) is None:
+                if piece is None:
                     continue
-                if not self.merges:
-                    w = before[0] + self.weight[piece]
-                    if found is None or w < found[0]:
-                        found = (w, piece, at)
-                elif before[1] < 0 or self.pair(before[1], piece):
-                    found = (before[0], piece, at)
-                    break
-            if found is None and stretch[end - 1] not in self.id and best[end - 1] is not None:
-                found = (best[end - 1][0] + self.penalty, -1, end - 1)
-            best[end] = found
+                if merges:
+                    before = last[at]
+                    if before < 0:
+                        free = weight[at] < inf
+                    elif (free := known.get(before << 20 | piece)) is None:
+                        free = allowed(before, piece)
+                    if free:
+                        weight[end], last[end], begin[end] = weight[at], piece, at
+                        break
+                elif (w := weight[at] + self.weight[piece]) < weight[end]:
+                    weight[end], last[end], begin[end] = w, piece, at
+            if weight[end] == inf and weight[end - 1] < inf and stretch[end - 1] not in self.id:
+                weight[end], begin[end] = weight[end - 1] + self.penalty, end - 1
+        if weight[n] == inf:
+            return self._merge(stretch)
         out: list[tuple[int, ...]] = []
         end = n
         while end:
-            if best[end] is None:
-                return self._merge(stretch)
-            _, piece, at = best[end]
-            out.append((piece,) if piece >= 0 else self._fallback(stretch[at]))
+            at = begin[end]
+            out.append((last[end],) if last[end] >= 0 else self._fallback(stretch[at]))
             end = at
         return tuple(i for part in reversed(out) for i in part)
 
@@ -193,28 +204,26 @@ class PieceTransducer:
             symbols[k : k + 2] = [symbols[k] + symbols[k + 1]]
         return tuple(j for s in symbols for j in ((self.id[s],) if s in self.id else self._fallback(s)))
 
-    def encode(self, text: str | None) -> list[int]:
-        out: list[int] = []
+    def encode_bytes(self, text: str | None) -> bytes:
+        """Piece ids as little-endian numbers of four bytes."""
+        out: list[bytes] = []
         known = self.known
         for stretch in re.findall(f"{WORD}*[^{WORD}]+|{WORD}+", self.normalise(text or "")):
             ids = known.get(stretch)
             if ids is None:
-                ids = self.shortest_path(stretch)
+                ids = np.array(self.shortest_path(stretch), "<i4").tobytes()
                 if len(stretch) <= 64:
                     if len(known) >= REMEMBERED:
                         known.clear()
                     known[stretch] = ids
-            out += ids
-        return out
+            out.append(ids)
+        return b"".join(out)
+
+    def encode(self, text: str | None) -> list[int]:
+        return np.frombuffer(self.encode_bytes(text), "<i4").tolist()
 
     def decode(self, ids: list[int]) -> str:
-        data = bytearray()
-        for i in ids:
-            if i in self.byte_of:
-                data.append(self.byte_of[i])
-            elif self.kind[i] in (NORMAL, USER):
-                data += self.text[i].encode()
-        text = data.decode(errors="replace").replace(WORD, " ")
+        text = b"".join(map(self.piece_bytes.__getitem__, ids)).decode(errors="replace").replace(WORD, " ")
         return text[1:] if self.dummy_prefix and text[:1] == " " else text
 
 
@@ -242,14 +251,15 @@ def encode_documents(docs: DataFrame, model_path: str = MODEL, keep_ids: bool =
         t = transducer(model.value)
         low, high = min(t.byte_of, default=0), max(t.byte_of, default=-1)
         for b in batches:
-            rows = []
-            for text in b["text"]:
-                ids = t.encode(text)
-                a = np.array(ids, "<i4")
-                rows.append((ids if keep_ids else None, len(ids), int(((a >= low) & (a <= high)).sum()), zlib.crc32(a.tobytes()), t.decode(ids) == (text or "")))
-            out = pd.DataFrame(rows, columns=["ids", "n_pieces", "n_fallback", "ids_crc32", "restored"])
-            out.insert(0, "doc_id", b["doc_id"].to_numpy())
-            yield out if keep_ids else out.drop(columns="ids")
+            for at in range(0, len(b), ROWS):
+                part, rows = b.iloc[at : at + ROWS], []
+                for text in part["text"]:
+                    data = t.encode_bytes(text)
+                    ids = np.frombuffer(data, "<i4")
+                    rows.append((ids if keep_ids else None, len(ids), int(((ids >= low) & (ids <= high)).sum()), zlib.crc32(data), t.decode(ids.tolist()) == (text or "")))
+                out = pd.DataFrame(rows, columns=["ids", "n_pieces", "n_fallback", "ids_crc32", "restored"])
+                out.insert(0, "doc_id", part["doc_id"].to_numpy())
+                yield out if keep_ids else out.drop(columns="ids")
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     ids = ", ids array<int>" if keep_ids else ""
