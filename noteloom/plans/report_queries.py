@@ -10,10 +10,14 @@ from ..sources import tables as t
 from .registry import query
 
 U, I, L = t.with_views("uploads"), t.with_views("items"), t.with_views("page_events")
-NOW, NOW_SQL = F.to_timestamp(F.lit("1999-06-01")), "TIMESTAMP '1999-06-01'"
+NOW_SQL = "TIMESTAMP '1999-06-01'"
 JOBS_SQL = "jobs AS (SELECT doc_id AS job_id, project_id, status, accepted_at AS started_at FROM uploads)"
 
 
+def now():
+    return F.to_timestamp(F.lit("1999-06-01"))
+
+
 def jobs(spark, d):
     return t.uploads(spark, d).select(F.col("doc_id").alias("job_id"), "project_id", "status", F.col("accepted_at").alias("started_at"))
 
@@ -30,7 +34,7 @@ def d02_active_documents(spark, d):
 
 @query(f"{U} SELECT workspace_id, coalesce(sum(quota_pages) FILTER (role = 'public' AND accepted_at >= {NOW_SQL} - INTERVAL 24 HOUR AND quota_released_at IS NULL), 0)::BIGINT AS pages FROM uploads GROUP BY ROLLUP (workspace_id)")
 def d03_rolling_pages(spark, d):
-    return R.rolling_pages(t.uploads(spark, d), NOW - F.expr("INTERVAL 24 HOURS"))
+    return R.rolling_pages(t.uploads(spark, d), now() - F.expr("INTERVAL 24 HOURS"))
 
 
 @query(f"{I} SELECT job_id, count(*) AS total, count(*) FILTER (status IN ('succeeded', 'failed')) AS processed, count(*) FILTER (status = 'succeeded') AS succeeded, count(*) FILTER (status = 'failed') AS failed, least(95, 20 + floor(75 * count(*) FILTER (status IN ('succeeded', 'failed')) / greatest(count(*), 1)))::BIGINT AS progress FROM items GROUP BY job_id")
@@ -79,7 +83,7 @@ def d17_latest_activity(spark, d):
 
 @query(f"{ACTIVITY} SELECT job_id, coalesce(epoch({NOW_SQL}) - epoch(active_at) >= 1200, false) AS stale FROM a")
 def b18_stale_jobs(spark, d):
-    return R.stale_jobs(R.latest_activity(jobs(spark, d), t.items(spark, d)), NOW)
+    return R.stale_jobs(R.latest_activity(jobs(spark, d), t.items(spark, d)), now())
 
 
 @query(f"{U} SELECT doc_id, row_number() OVER (ORDER BY queue_priority, accepted_at, doc_id) AS position FROM uploads WHERE status = 'queued'")
@@ -145,7 +149,7 @@ def b20_project_status(spark, d):
 @query(f"{U}, b AS (SELECT workspace_id, count(*) AS active FROM uploads WHERE status IN ('queued', 'processing') AND workspace_id % 2 = 0 GROUP BY 1), p AS (SELECT workspace_id, coalesce(sum(quota_pages) FILTER (role = 'public' AND accepted_at >= {NOW_SQL} - INTERVAL 24 HOUR AND quota_released_at IS NULL), 0) AS pages FROM uploads WHERE workspace_id % 2 = 0 OR status NOT IN ('queued', 'processing') GROUP BY 1) SELECT doc_id, CASE WHEN object_key IS NULL THEN 'no_object' WHEN coalesce(active, 0) > 0 THEN 'busy' WHEN NOT (role = 'owner' OR quota_released_at IS NULL OR coalesce(pages, 0) + quota_pages <= 1200) THEN 'quota' ELSE 'ok' END AS reason FROM uploads u LEFT JOIN b USING (workspace_id) LEFT JOIN p USING (workspace_id) WHERE status IN ('failed', 'interrupted')")
 def b22_resumable(spark, d):
     u = t.uploads(spark, d).where((F.col("workspace_id") % 2 == 0) | ~F.col("status").isin(*R.ACTIVE))
-    return R.resumable(u, NOW)
+    return R.resumable(u, now())
 
 
 @query(f"{t.with_views('uploads', 'items')} SELECT job_id, position FROM items WHERE project_id IN (SELECT project_id FROM uploads WHERE workspace_id = 3)")
