@@ -11,7 +11,7 @@ range of distances, and the context that covers its windows.
    orders and common-prefix lengths follow the classes of equal windows at every distance.
 3. Groups with more contexts than a task should sort (a passage that a third of all documents hold) are decided by
    digests instead, summed before the shuffle: first of the part common to 16 neighbouring windows, then of the windows
-   whose part isn't found once.  This is exact for any group size.
+   whose part isn't found once, in blocks that no other equals.  This is exact for any group size.
 
 Null text counts as empty; texts under 400 bytes keep all; repeated rows are copies of each other; hashes have 128 bits.
 """
@@ -303,43 +303,61 @@ def sorted_groups(contexts: DataFrame) -> DataFrame:
     return contexts.repartition("h").sortWithinPartitions("h").mapInPandas(run, "row long, lo long, hi long")
 
 
-def _digest_rows(contexts: DataFrame, windows: bool) -> DataFrame:
-    """row, p, at (block of distances, or distance), k1, k2: digests of parts common to a block, or of windows outside ``lone`` blocks."""
+def _tagged(d: Digests, start: np.ndarray, stop: np.ndarray, tag: np.ndarray) -> list[np.ndarray]:
+    return [mixed(d.of(start, stop, w) ^ mixed(tag * np.uint64(0x9E3779B97F4A7C15))).view(np.int64) for w in (0, 1)]
+
+
+def _per_context(contexts: DataFrame, digests, schema: str) -> DataFrame:
+    """Rows of ``digests(x, its substring hashes, nearest and farthest distance)``, a data frame, for every context x."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for at in range(0, len(b), 256):
-                out = []
-                for x in b.iloc[at : at + 256].itertuples():
-                    d = Digests(np.frombuffer(bytes(x.context), np.uint8))
-                    near, far = x.p - x.hi, x.p - x.lo
-                    if windows:
-                        o = np.arange(near, far + 1)
-                        o = o if x.lone is None else o[~np.isin(o // BLOCK, x.lone)]
-                        start, stop = far - o, far - o + WINDOW
-                    else:
-                        o = np.arange(near // BLOCK, far // BLOCK + 1)
-                        start, stop = np.maximum(far - o * BLOCK, 0), np.minimum(far - (o * BLOCK + BLOCK - 1) + WINDOW, d.n)
-                    tag = (np.uint64(x.h & 0xFFFFFFFFFFFFFFFF) + o.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-                    k = [mixed(d.of(start, stop, w) ^ tag).view(np.int64) for w in (0, 1)]
-                    out.append(pd.DataFrame({"row": x.row, "p": x.p, "at": o, "k1": k[0], "k2": k[1]}))
-                yield pd.concat(out)
+                yield pd.concat([digests(x, Digests(np.frombuffer(bytes(x.context), np.uint8)), x.p - x.hi, x.p - x.lo) for x in b.iloc[at : at + 256].itertuples()])
+
+    return contexts.mapInPandas(run, schema)
 
-    return contexts.mapInPandas(run, "row long, p long, at long, k1 long, k2 long")
 
+def _block_digests(x, d: Digests, near: int, far: int) -> pd.DataFrame:
+    """at, k1, k2, f1, f2: of each block of distances the part common to its windows, and all that its windows cover."""
+    o = np.arange(near // BLOCK, far // BLOCK + 1)
+    h = np.uint64(x.h & 0xFFFFFFFFFFFFFFFF)
+    low, high = np.maximum(o * BLOCK, near), np.minimum(o * BLOCK + BLOCK - 1, far)
+    part = _tagged(d, np.maximum(far - o * BLOCK, 0), np.minimum(far - (o * BLOCK + BLOCK - 1) + WINDOW, d.n), h + o.astype(np.uint64))
+    full = _tagged(d, far - high, far - low + WINDOW, h + (low << 10 | high).astype(np.uint64))
+    return pd.DataFrame({"row": x.row, "p": x.p, "at": o, "k1": part[0], "k2": part[1], "f1": full[0], "f2": full[1]})
 
-def _found_once(digests: DataFrame, name: str) -> DataFrame:
+
+def _window_digests(x, d: Digests, near: int, far: int) -> pd.DataFrame:
+    """at, k1, k2, weight: of the windows in blocks that aren't settled; those of a block that stands for equal ones count twice."""
+    lone, settled, stands = (np.array([] if v is None else v, np.int64) for v in (x.lone, x.settled, x.stands))
+    o = np.arange(near, far + 1)
+    block = o // BLOCK
+    o = o[~np.isin(block, lone) & (~np.isin(block, settled) | np.isin(block, stands))]
+    k = _tagged(d, far - o, far - o + WINDOW, np.uint64(x.h & 0xFFFFFFFFFFFFFFFF) + o.astype(np.uint64))
+    return pd.DataFrame({"row": x.row, "p": x.p, "at": o, "k1": k[0], "k2": k[1], "weight": np.where(np.isin(o // BLOCK, stands), 2, 1)})
+
+
+def _found_once(digests: DataFrame, name: str, times) -> DataFrame:
     """row, p, and the places whose digest nothing else has: sums that combine before the shuffle, and no join back to all rows."""
-    once = digests.groupBy("k1", "k2").agg(F.count("*").alias("times"), F.min(F.struct("row", "p", "at")).alias("one")).where("times = 1").select("one.*")
+    once = digests.groupBy("k1", "k2").agg(times.alias("times"), F.min(F.struct("row", "p", "at")).alias("one")).where("times = 1").select("one.*")
     return once.groupBy(F.col("row").alias("r"), F.col("p").alias("q")).agg(F.collect_set("at").alias(name))
 
 
 def counted_groups(contexts: DataFrame) -> DataFrame:
-    """As sorted_groups, for groups of any size: a window is repeated unless its block's part or itself is found once."""
+    """As sorted_groups, for groups of any size: a window is repeated unless its block's part or itself is found once.
+
+    Blocks that equal another one in all their windows are settled; one of them stands for all.
+    """
     same = (F.col("row") == F.col("r")) & (F.col("p") == F.col("q"))
-    parts = _found_once(_digest_rows(contexts, False), "lone")
-    known = stage(contexts.join(parts, same, "left").drop("r", "q"), "blocks")
-    windows = _found_once(_digest_rows(known, True), "single")
+    parts = stage(_per_context(contexts, _block_digests, "row long, p long, at long, k1 long, k2 long, f1 long, f2 long"), "parts")
+    full = parts.groupBy("f1", "f2").agg(F.count("*").alias("times"), F.min(F.struct("row", "p", "at")).alias("one"))
+    stands = full.where("times > 1").select("one.*").groupBy(F.col("row").alias("r"), F.col("p").alias("q")).agg(F.collect_set("at").alias("stands"))
+    alone = full.where("times = 1").select("one.*").groupBy(F.col("row").alias("r"), F.col("p").alias("q")).agg(F.collect_set("at").alias("open"))
+    known = contexts.join(_found_once(parts, "lone", F.count("*")), same, "left").drop("r", "q").join(stands, same, "left").drop("r", "q").join(alone, same, "left").drop("r", "q")
+    blocks = F.sequence(F.floor((F.col("p") - F.col("hi")) / BLOCK), F.floor((F.col("p") - F.col("lo")) / BLOCK))
+    known = stage(known.withColumn("settled", F.array_except(blocks, F.coalesce("open", F.array().cast("array<bigint>")))).drop("open"), "blocks")
+    windows = _found_once(_per_context(known, _window_digests, "row long, p long, at long, k1 long, k2 long, weight long"), "single", F.sum("weight"))
     asked = known.where("alone").select("row", "p", "lo", "hi", "lone").join(windows, same, "left").drop("r", "q")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
