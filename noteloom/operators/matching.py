@@ -1,8 +1,8 @@
 """The similarity join of retrieval queries with chunks, and what follows from it.
 
-Every query of a project meets every chunk of it, but never as a pair of rows: the queries of a project are one row (an
-outline has hundreds), the chunks stream past it in Arrow batches, and only accepted pairs leave the task, at most
-``candidates`` of each query and task.  Within a task a pair is tested by containment and shared grams first; the
+Every query of a project meets every chunk of it, but never as a pair of rows: the queries of a project (an outline has
+hundreds) are at hand in the task, the chunks stream past them in Arrow batches, and only accepted pairs leave the task,
+at most ``candidates`` of each query, stage and batch.  Within a task a pair is tested by containment and shared grams first; the
 sequence ratio is computed only for pairs that pass a gate and where its upper bound can raise the score.
 """
 
@@ -110,39 +110,88 @@ def retrieval_queries(plans: DataFrame) -> DataFrame:
 CANDIDATE = "project string, idx long, q_no int, query string, chunk_id string, score double, stage int, page_start long, page_end long"
 
 
+QUERY = ["idx", "chapter", "q_no", "query", "core", "matching", "words"]
+#: Chunks that one row holds where queries travel with them.
+PACKED = 200
+
+
+def _accepted(project: str, ready: list[tuple], rows: Iterator[tuple], config: Config) -> list[tuple]:
+    """Accepted pairs of one project's prepared queries with chunk rows."""
+    out = []
+    for chunk_id, chapter_title, section_title, content, page_start, page_end in rows:
+        chunk = PreparedChunk(chapter_title, section_title, content)
+        for idx, chapter, q_no, q in ready:
+            if not q.key or (q.strict and not q.recalled(chunk.without_chapter)):
+                continue
+            grams = chunk.overlap(q, "searchable")
+            recalled = q.recalled(chunk.searchable)
+            if not (grams >= 0.6 or recalled or q.key in chunk.body or any(q.key in t or t in q.key for t in chunk.titles if t)):
+                continue
+            s = chunk.score(q, chapter)
+            if s >= config.threshold and (s >= 0.8 or grams >= 0.6):
+                out.append((project, idx, q_no, q.query, chunk_id, round(s, 4), 1, page_start, page_end))
+            elif s >= config.fallback and recalled:
+                out.append((project, idx, q_no, q.query, chunk_id, round(s, 4), 2, page_start, page_end))
+    return out
+
+
+def _best(rows: list[tuple], most: int) -> pd.DataFrame:
+    """Of one task's rows the ``most`` best of every query and stage; no other can be among the best of all."""
+    out = pd.DataFrame(rows, columns=[x.split()[0] for x in CANDIDATE.split(", ")])
+    out = out.sort_values(["score", "page_start", "chunk_id"], ascending=[False, True, True])
+    return out[out.groupby(["project", "idx", "q_no", "stage"]).cumcount() < most]
+
+
+def _prepare(queries) -> list[tuple]:
+    return [(x["idx"], x["chapter"], x["q_no"], PreparedQuery(x["query"], x["core"], list(x["words"]), x["matching"])) for x in queries]
+
+
+CHUNK = ["chunk_id", "chapter_title", "section_title", "content", "page_start", "page_end"]
+
+
 def match_queries(queries: DataFrame, chunks: DataFrame, config: Config = CONFIG) -> DataFrame:
-    """The best ``candidates`` chunks of every query: primary by score and grams, then those with recall evidence."""
-    packed = queries.groupBy("project").agg(F.collect_list(F.struct("idx", "chapter", "q_no", "query", "core", "matching", "words")).alias("queries"))
-    joined = chunks.join(packed, "project").select("project", "chunk_id", "chapter_title", "section_title", "content", "page_start", "page_end", "queries")
-    threshold, fallback, most = config.threshold, config.fallback, config.candidates
+    """The best ``candidates`` chunks of every query: primary by score and grams, then those with recall evidence.
+
+    Queries whose text is measured to fit ``broadcast_bytes`` go to all tasks and chunks aren't shuffled at all.  Beyond
+    that chunks are packed, a few hundred to a row and a large project's to many rows, and each row meets its project's
+    queries once.
+    """
+    size = F.coalesce(F.sum(F.length("query") + F.length("core") + F.length("matching") + 64), F.lit(0))
+    small = queries.agg(size.alias("n")).first()["n"] <= config.broadcast_bytes
+    return top_candidates((_match_broadcast if small else _match_packed)(queries, chunks, config), config.candidates)
+
+
+def _match_broadcast(queries: DataFrame, chunks: DataFrame, config: Config) -> DataFrame:
+    by_project: dict[str, list] = {}
+    for r in queries.select("project", *QUERY).toLocalIterator():
+        by_project.setdefault(r["project"], []).append(r.asDict())
+    shared = queries.sparkSession.sparkContext.broadcast(by_project)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        prepared: dict[str, list] = {}
+        ready: dict[str, list] = {}
         for b in batches:
-            rows = []
+            rows: list[tuple] = []
             for project, part in b.groupby("project"):
-                if project not in prepared:
-                    prepared.clear()
-                    prepared[project] = [(x["idx"], x["chapter"], x["q_no"], PreparedQuery(x["query"], x["core"], list(x["words"]), x["matching"])) for x in part["queries"].iloc[0]]
-                for c in part.itertuples():
-                    chunk = PreparedChunk(c.chapter_title, c.section_title, c.content)
-                    for idx, chapter, q_no, q in prepared[project]:
-                        if q.strict and not q.recalled(chunk.without_chapter):
-                            continue
-                        grams = chunk.overlap(q, "searchable")
-                        contained = any(q.key in t or t in q.key for t in chunk.titles if t) or q.key in chunk.body
-                        recalled = q.recalled(chunk.searchable)
-                        if not q.key or not (grams >= 0.6 or contained or recalled):
-                            continue
-                        s = chunk.score(q, chapter)
-                        if s >= threshold and (s >= 0.8 or grams >= 0.6):
-                            rows.append((project, idx, q_no, q.query, c.chunk_id, round(s, 4), 1, c.page_start, c.page_end))
-                        elif s >= fallback and recalled:
-                            rows.append((project, idx, q_no, q.query, c.chunk_id, round(s, 4), 2, c.page_start, c.page_end))
-            out = pd.DataFrame(rows, columns=[x.split()[0] for x in CANDIDATE.split(", ")])
-            yield out.sort_values(["project", "idx", "q_no", "stage", "score"], ascending=[True, True, True, True, False], kind="stable")
-
-    return top_candidates(joined.mapInPandas(run, CANDIDATE), most)
+                if project not in ready:
+                    ready[project] = _prepare(shared.value.get(project, ()))
+                rows += _accepted(project, ready[project], part[CHUNK].itertuples(index=False, name=None), config)
+            yield _best(rows, config.candidates)
+
+    return chunks.select("project", *CHUNK).mapInPandas(run, CANDIDATE)
+
+
+def _match_packed(queries: DataFrame, chunks: DataFrame, config: Config) -> DataFrame:
+    packed = queries.groupBy("project").agg(F.collect_list(F.struct(*QUERY)).alias("queries"))
+    parts = max(1, -(-chunks.count() // PACKED))
+    blocks = chunks.groupBy("project", F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).alias("part")).agg(F.collect_list(F.struct(*CHUNK)).alias("chunks"))
+    joined = blocks.join(packed, "project").select("project", "chunks", "queries")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for project, own, asked in zip(b["project"], b["chunks"], b["queries"], strict=True):
+                yield _best(_accepted(project, _prepare(asked), (tuple(c[k] for k in CHUNK) for c in own), config), config.candidates)
+
+    return joined.mapInPandas(run, CANDIDATE)
 
 
 def top_candidates(scored: DataFrame, most: int = CONFIG.candidates) -> DataFrame:

@@ -72,7 +72,7 @@ def brute(plans, chunks):
                 found.append((round(score, 4), 2, c["chunk_id"]))
         first = [x for x in found if x[1] == 1]
         pool = found if len(first) < CONFIG.candidates else first
-        out[p[0]] = sorted(((-s, i) for s, _, i in pool))[: CONFIG.candidates]
+        out[p[0]] = sorted((-s, i) for s, _, i in pool)[: CONFIG.candidates]
     return out
 
 
@@ -83,11 +83,13 @@ def test_match_equals_brute_force(spark):
     chunks = [{"project": "p", "chunk_id": f"{i:03}", "chapter_title": say(2) if i % 3 else None, "section_title": say(1) if i % 2 else None, "content": say(random.randint(3, 60)), "page_start": 1, "page_end": 1} for i in range(80)]
     queries = [(i, q := say(random.randint(1, 6)), q, [], q) for i in range(40)]
     ready = spark.createDataFrame([("p", i, None, 0, q, c, w, m) for i, q, c, w, m in queries], "project string, idx long, chapter string, q_no int, query string, core string, words array<string>, matching string")
-    got: dict = {}
     table = spark.createDataFrame(chunks, "project string, chunk_id string, chapter_title string, section_title string, content string, page_start long, page_end long")
-    for r in M.match_queries(ready, table).collect():
-        got.setdefault(r.idx, []).append((-r.score, r.chunk_id))
-    assert {i: sorted(x) for i, x in got.items()} == {i: x for i, x in brute(queries, chunks).items() if x}
+    expected = {i: x for i, x in brute(queries, chunks).items() if x}
+    for config in (CONFIG, Config(broadcast_bytes=0)):
+        got: dict = {}
+        for r in M.match_queries(ready, table, config).collect():
+            got.setdefault(r.idx, []).append((-r.score, r.chunk_id))
+        assert {i: sorted(x) for i, x in got.items()} == expected
 
 
 def test_cover_and_evidence():
