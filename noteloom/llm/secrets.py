@@ -132,9 +132,11 @@ def redact(docs: DataFrame, repository: Column, owner: Column) -> DataFrame:
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     rest = F.aggregate("live_spans", start, step, lambda s: F.concat(s["out"], F.substr(F.col("text"), s["at"] + 1, F.length("text"))))
-    text = F.when(F.col("live_spans").isNotNull(), rest).otherwise(F.col("text"))
-    changed = {"text": text} | ({"n_chars": F.when(F.col("live_spans").isNotNull(), F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return joined.select(*[changed.get(c, F.col(c)).alias(c) for c in docs.columns])
+    masked = F.when(F.col("live_spans").isNotNull(), rest).otherwise(F.col("text"))
+    out = joined.select(*[(masked if c == "text" else F.col(c)).alias(c) for c in docs.columns], F.col("live_spans").isNotNull().alias("changed__"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("changed__"), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
 
 
 def oracle(repository: str, owner: str) -> str:
