@@ -22,6 +22,8 @@ SEED = 20
 BLOCK_TOKENS = 200_000
 ENTROPY_SHARE = 0.97
 REPETITION_LIMIT = 2.0
+#: Sources up to which the plan, five numbers each, is broadcast.
+SOURCES = 100_000
 #: Exponents tried at a time, and times.
 GRID, ROUNDS = 32, 5
 
@@ -73,6 +75,8 @@ def copies(docs: DataFrame, entropy_share: float = ENTROPY_SHARE, limit: float =
         "source", weight.alias("weight"), F.floor(epochs).cast("int").alias("whole"), F.round((epochs - F.floor(epochs)) * F.col("total")).cast("long").alias("partial"),
         F.greatest(F.lit(1), F.ceil(F.col("total") / BLOCK_TOKENS)).cast("long").alias("blocks"),
     )
+    if all_tokens["n"] <= SOURCES:
+        plan = F.broadcast(plan)
     blocked = rows.join(plan, "source").withColumn("block", F.pmod(F.xxhash64(F.lit(SEED), "row"), F.col("blocks")))
     sizes = blocked.groupBy("source", "block").agg(F.sum("tokens").alias("size"), F.first("partial").alias("budget"), F.first("whole").alias("epoch"))
     order = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(SEED), "epoch", "block"), "block")
