@@ -36,13 +36,18 @@ def ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
 
 
-def ratio_bound(letters: Counter, length: int, other: str) -> float:
+@lru_cache(maxsize=1 << 17)
+def common_letters(a: str, b: str) -> int:
+    return sum((Counter(a) & Counter(b)).values())
+
+
+def ratio_bound(a: str, b: str) -> float:
     """At least the sequence ratio: by length, then by common letters."""
-    total = length + len(other)
+    total = len(a) + len(b)
     if not total:
         return 1.0
-    by_length = 2 * min(length, len(other)) / total
-    return by_length if by_length < 0.3 else 2 * sum((letters & Counter(other)).values()) / total
+    by_length = 2 * min(len(a), len(b)) / total
+    return by_length if by_length < 0.3 else 2 * common_letters(a, b) / total
 
 
 class PreparedQuery:
@@ -50,7 +55,7 @@ class PreparedQuery:
         self.query, self.key, self.core = query, key_of(matching), key_of(core)
         self.keywords = [key_of(k) for k in dict.fromkeys(keywords)]
         self.size = 2 if len(self.key) >= 4 else 1
-        self.grams, self.letters = grams_of(self.key, self.size), Counter(self.key)
+        self.grams = grams_of(self.key, self.size)
         self.strict = len(self.key) <= 4
 
     def recalled(self, searchable: str) -> bool:
@@ -89,7 +94,7 @@ class PreparedChunk:
         else:
             base = self.overlap(q, "body") * 0.68
             for other in [*self.titles, self.body[: max(len(q.key) * 6, 160)]]:
-                if ratio_bound(q.letters, len(q.key), other) * 0.72 > base:
+                if ratio_bound(q.key, other) * 0.72 > base:
                     base = max(base, ratio(q.key, other) * 0.72)
         if chapter and self.chapter:
             base += min(0.08, ratio(key_of(chapter), key_of(self.chapter)) * 0.08)
