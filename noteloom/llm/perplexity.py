@@ -5,7 +5,9 @@ at a time (null language: ``und``).  Spark counts the highest order over all doc
 continuation counts and every order its own three discounts.  Probabilities and back-off weights are stored in sorted
 arrays of 64-bit hashes.  The arrays are cut by the two characters before the predicted one into slices of a fixed
 largest size; each slice is broadcast in turn and adds its share of every text's log probability, so that no model
-is too large.  Documents whose log perplexity leaves the band of their language are rejected.
+is too large.  Each text has two values: ``log_ppl`` under the counts of all rows, and ``score`` under counts in which
+every distinct text of a language counts once.  Documents whose score leaves the band of their language are rejected;
+the band's quartiles also take each distinct text once, so copies move neither and share their text's verdict.
 Null text counts as empty and has no perplexity; it fails the base rule.  U+FDD0 in a text isn't scored.
 """
 
@@ -16,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, stage
@@ -41,6 +43,15 @@ FLOOR = -20.0
 SYMBOLS = "#*$%&|<>"
 
 
+def language() -> Column:
+    return F.coalesce(F.col("lang"), F.lit("und"))
+
+
+def apart(lang: Column) -> Column:
+    """Name of the model that gives a text's score."""
+    return F.concat(lang, F.lit(BOUNDARY))
+
+
 def codes(texts: list[str]) -> np.ndarray:
     """Code points of the texts, each behind ORDER - 1 marks."""
     lead = BOUNDARY * (ORDER - 1)
@@ -108,8 +119,13 @@ def _chunks(texts: list[str]) -> Iterator[list[int]]:
         yield part
 
 
-def count_grams(docs: DataFrame) -> DataFrame:
-    """lang, gram, n over all texts, summed within each task before the shuffle."""
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """lang, text, copies: each text of a language once, with its number of rows."""
+    return docs.groupBy(language().alias("lang"), "text").agg(F.count("*").alias("copies"))
+
+
+def gather_grams(texts: DataFrame) -> DataFrame:
+    """lang, gram, n (each text once), n_rows (as often as it has copies), summed within each task before the shuffle."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -118,16 +134,16 @@ def count_grams(docs: DataFrame) -> DataFrame:
         def out() -> Iterator[pd.DataFrame]:
             for lang, parts in held.items():
                 grams, n = merged(parts)
-                yield pd.DataFrame({"lang": lang, "gram": as_strings(grams), "n": n})
+                yield pd.DataFrame({"lang": lang, "gram": as_strings(grams), "n": n[:, 0], "n_rows": n[:, 1]})
             held.clear()
 
         for b in batches:
-            for lang, texts in b.groupby(b["lang"].fillna("und"))["text"]:
+            for (lang, copies), texts in b.groupby(["lang", "copies"])["text"]:
                 clean = [t for t in map(normal, texts) if t]
                 for part in _chunks(clean):
-                    found = packed_grams(codes([clean[i] for i in part]))
-                    held.setdefault(lang, []).append(found)
-                    size += len(found[1])
+                    grams, n = packed_grams(codes([clean[i] for i in part]))
+                    held.setdefault(lang, []).append((grams, np.column_stack([n, n * copies])))
+                    size += len(n)
                     if size > 2 * HELD:
                         held = {k: [merged(v)] for k, v in held.items()}
                         size = sum(len(v[0][1]) for v in held.values())
@@ -136,8 +152,19 @@ def count_grams(docs: DataFrame) -> DataFrame:
                             size = 0
         yield from out()
 
-    counted = docs.select("lang", "text").mapInPandas(run, "lang string, gram string, n long")
-    return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = texts.select("lang", "text", "copies").mapInPandas(run, "lang string, gram string, n long, n_rows long")
+    return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("n_rows").alias("n_rows"))
+
+
+def count_grams(docs: DataFrame) -> DataFrame:
+    """lang, gram, n over all rows."""
+    return gather_grams(docs.select(language().alias("lang"), "text", F.lit(1).cast("long").alias("copies"))).drop("n_rows")
+
+
+def models(grams: DataFrame) -> DataFrame:
+    """lang, gram, n for ``estimate``: the counts of all rows by language and, named by ``apart``, of distinct texts."""
+    rows = grams.select("lang", "gram", F.col("n_rows").alias("n"))
+    return rows.unionByName(grams.select(apart(F.col("lang")).alias("lang"), "gram", "n"))
 
 
 def discounts(grams: DataFrame) -> DataFrame:
@@ -235,12 +262,14 @@ class SortedArrays:
 def model_slices(model: DataFrame, counted_texts: bool = False) -> list[DataFrame]:
     """Tables of (hashes, values) as bytes, each at most SLICE_BYTES but for the two lowest orders, which all have.
 
-    Texts over which the model was counted hold no n-gram of highest order that it lacks, so these need no lower ones.
+    Texts over which the model was counted hold no n-gram of highest order that it lacks, so these need no lower ones;
+    models named by ``apart`` keep theirs.
     """
     if counted_texts:
-        model = model.where(F.col("size") == ORDER)
-    n = model.count()
-    slices = max(1, -(-(1 if counted_texts else 2) * n * ENTRY_BYTES // SLICE_BYTES))
+        model = model.where((F.col("size") == ORDER) | F.contains("lang", F.lit(BOUNDARY)))
+    whole = F.contains("lang", F.lit(BOUNDARY)) | F.lit(not counted_texts)
+    n = model.agg(F.sum(F.when(whole, 2).otherwise(1))).first()[0] or 0
+    slices = max(1, -(-n * ENTRY_BYTES // SLICE_BYTES))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -250,7 +279,7 @@ def model_slices(model: DataFrame, counted_texts: bool = False) -> list[DataFram
                 columns = [grams[:, k] for k in range(size)]
                 hashes, values = [gram_hash(lang, size, columns)], [part["logp"].to_numpy(np.float32)]
                 where = [route(columns[-3], columns[-2], slices) if size > 2 else np.full(len(part), -1)]
-                if size > 1 and not counted_texts:
+                if size > 1 and (BOUNDARY in lang or not counted_texts):
                     _, once = np.unique(gram_hash(lang, 64 + size, columns[:-1]), return_index=True)
                     context = [c[once] for c in columns[:-1]]
                     hashes.append(gram_hash(lang, 64 + size, context))
@@ -319,14 +348,14 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def score_slice(docs: DataFrame, arrays: SortedArrays, which: int, slices: int) -> DataFrame:
-    """doc_id, lang, logp (this slice's share), n_chars_scored; the first slice also gives the base counts."""
+    """row, doc_id, lang, logp and held (this slice's shares under the models ``lang`` and ``model``), characters scored; the first slice also gives the base counts."""
     shared = docs.sparkSession.sparkContext.broadcast(arrays)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             b = b.reset_index(drop=True)
-            total, scored = np.zeros(len(b)), np.zeros(len(b), np.int64)
-            for lang, rows in b.groupby(b["lang"].fillna("und")).groups.items():
+            total, held, scored = np.zeros(len(b)), np.zeros(len(b)), np.zeros(len(b), np.int64)
+            for (lang, model), rows in b.groupby(["lang", "model"]).groups.items():
                 rows = rows.to_numpy()
                 texts = [normal(t) for t in b["text"].iloc[rows]]
                 for part in _chunks(texts):
@@ -339,19 +368,30 @@ def score_slice(docs: DataFrame, arrays: SortedArrays, which: int, slices: int)
                     if len(at):
                         logp = log_probabilities(shared.value, lang, c, at)
                         total[rows[part]] += np.bincount(owner, logp, len(part))
+                        if model != lang:
+                            logp = log_probabilities(shared.value, model, c, at)
+                        held[rows[part]] += np.bincount(owner, logp, len(part))
                         scored[rows[part]] += np.bincount(owner, minlength=len(part))
-            out = pd.DataFrame({"row": b["row"], "doc_id": b["doc_id"], "lang": b["lang"].fillna("und"), "logp": total, "scored": scored})
+            out = pd.DataFrame({"row": b["row"], "doc_id": b["doc_id"], "lang": b["lang"], "logp": total, "held": held, "scored": scored})
             counts = [base_counts(t) if which == 0 else (0,) * 5 for t in b["text"]]
             yield pd.concat([out, pd.DataFrame(counts, columns=list(COUNTS), dtype="int64")], axis=1)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    keyed = docs.select(F.xxhash64("text", "lang").alias("row"), "doc_id", "lang", "text")
-    return keyed.mapInPandas(run, f"row long, doc_id {kind}, lang string, logp double, scored long, " + ", ".join(f"{x} long" for x in COUNTS))
+    return docs.select("row", "doc_id", "lang", "model", "text").mapInPandas(run, f"row long, doc_id {kind}, lang string, logp double, held double, scored long, " + ", ".join(f"{x} long" for x in COUNTS))
+
+
+def row_key() -> Column:
+    return F.xxhash64("text", language())
 
 
 def perplexities(docs: DataFrame, model: DataFrame, counted_texts: bool = False) -> DataFrame:
-    """row (a key of text and language), doc_id, lang, log perplexity (null without characters) and base counts, one row for each row of ``docs``."""
+    """row (a key of text and language), doc_id, lang, log perplexity and score (null without characters) and base counts, one row for each row of ``docs``.
+
+    Scores come from the models named by ``apart``, which ``counted_texts`` says are there; else they are the log perplexity.
+    """
     parts = model_slices(model, counted_texts)
+    name = apart(language()) if counted_texts else language()
+    docs = docs.select(row_key().alias("row"), "doc_id", language().alias("lang"), name.alias("model"), "text")
     scores = [score_slice(docs, load_slice(p), i, len(parts)) for i, p in enumerate(parts)]
     out = scores[0]
     if len(scores) > 1:
@@ -359,14 +399,16 @@ def perplexities(docs: DataFrame, model: DataFrame, counted_texts: bool = False)
         rest = scores[1]
         for s in scores[2:]:
             rest = rest.unionByName(s)
-        rest = rest.groupBy("row").agg((F.sum("logp") / F.count("*")).alias("more"), (F.sum("scored") / F.count("*")).alias("also"))
-        out = out.join(rest, "row").withColumn("logp", F.col("logp") + F.col("more") * (len(scores) - 1)).withColumn("scored", (F.col("scored") + F.col("also") * (len(scores) - 1)).cast("long"))
-    return out.select("row", "doc_id", "lang", F.when(F.col("scored") > 0, -F.col("logp") / F.col("scored")).alias("log_ppl"), *COUNTS)
+        rest = rest.groupBy("row").agg((F.sum("logp") / F.count("*")).alias("more"), (F.sum("held") / F.count("*")).alias("apart"), (F.sum("scored") / F.count("*")).alias("also"))
+        out = out.join(rest, "row").withColumn("logp", F.col("logp") + F.col("more") * (len(scores) - 1)).withColumn("held", F.col("held") + F.col("apart") * (len(scores) - 1)).withColumn("scored", (F.col("scored") + F.col("also") * (len(scores) - 1)).cast("long"))
+    mean = lambda c: F.when(F.col("scored") > 0, -F.col(c) / F.col("scored"))
+    return out.select("row", "doc_id", "lang", mean("logp").alias("log_ppl"), mean("held").alias("score"), *COUNTS)
 
 
 def bands(scored: DataFrame) -> DataFrame:
-    """b_lang, low, high: exact quartiles of the binned log perplexity of each language's documents."""
-    bins = scored.where("log_ppl is not null").groupBy("lang", F.floor(F.col("log_ppl") / BIN).alias("bin")).agg(F.count("*").alias("n"))
+    """b_lang, low, high: exact quartiles of the binned score of each language's distinct texts."""
+    once = scored.where("score is not null").groupBy("lang", "row").agg(F.floor(F.min("score") / BIN).alias("bin"))
+    bins = once.groupBy("lang", "bin").agg(F.count("*").alias("n"))
     upto = Window.partitionBy("lang").orderBy("bin")
     ranked = bins.select("lang", "bin", F.sum("n").over(upto).alias("upto"), F.sum("n").over(Window.partitionBy("lang")).alias("all"))
     at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("bin"))) * BIN
@@ -376,14 +418,14 @@ def bands(scored: DataFrame) -> DataFrame:
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
-    """One for each row: row key, doc_id, base counts, base_failed, log_ppl, the band, kept."""
-    model = stage(estimate(stage(count_grams(docs), "grams")), "kneser-ney")
+    """One for each row: row key, doc_id, base counts, base_failed, kept, log_ppl, the score and its band."""
+    model = stage(estimate(models(stage(gather_grams(distinct_texts(docs)), "grams"))), "kneser-ney")
     scored = stage(perplexities(docs, model, counted_texts=True), "perplexity")
     band = bands(scored)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    inside = F.col("log_ppl").between(F.col("low"), F.col("high"))
+    inside = F.col("score").between(F.col("low"), F.col("high"))
     out = scored.join(band, scored["lang"] == band["b_lang"], "left")
-    return out.select("row", "doc_id", *COUNTS, failed.alias("base_failed"), (~failed & F.coalesce(inside, F.lit(False))).alias("kept"), "log_ppl", "low", "high")
+    return out.select("row", "doc_id", *COUNTS, failed.alias("base_failed"), (~failed & F.coalesce(inside, F.lit(False))).alias("kept"), "log_ppl", "score", "low", "high")
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -393,4 +435,4 @@ def judge(docs: DataFrame) -> DataFrame:
 def keep_passing(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose verdict, which depends on text and language alone, is kept."""
     gone = stage(verdicts(docs).where("not kept").select(F.col("row").alias("gone")).distinct(), "rejected")
-    return docs.join(gone, F.xxhash64("text", "lang") == gone["gone"], "left_anti")
+    return docs.join(gone, row_key() == gone["gone"], "left_anti")

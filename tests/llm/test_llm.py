@@ -213,6 +213,19 @@ def test_perplexity_backs_off(spark, docs):
     assert 0 < r.log_ppl < 20
 
 
+@pytest.mark.parametrize("share", [0.3, 0.6, 0.9])
+def test_copies_move_no_band(spark, share):
+    rnd = random.Random(11)
+    say = lambda k: " ".join("".join(rnd.choice(("an", "the", "ion", "re", "ou")) for _ in range(rnd.randint(1, 4))) for _ in range(k))
+    rows = [(i, say(rnd.randint(60, 120)), "en", "s", 0) for i in range(40)] + [(40, " ".join("".join(rnd.choice("bcdfgjkqwxz") for _ in range(6)) for _ in range(80)), "en", "s", 0)]
+    verdicts = lambda r: {v.doc_id: (v.kept, round(v.score, 6), v.low, v.high) for v in perplexity.judge(spark.createDataFrame(r, DOCS)).collect()}
+    alone = verdicts(rows)
+    for of in (3, 40):
+        n = round(share / (1 - share) * len(rows))
+        got = verdicts(rows + [(1000 + i, *rows[of][1:]) for i in range(n)])
+        assert {i: got[i] for i in alone} == alone and {got[1000 + i] for i in range(n)} == {alone[of]}
+
+
 # 4 ------------------------------------------------------------------------------------------------------------------
 
 
