@@ -5,8 +5,9 @@ at a time (null language: ``und``).  Spark counts the highest order over all doc
 continuation counts and every order its own three discounts.  Probabilities and back-off weights are stored in sorted
 arrays of 64-bit hashes.  The arrays are cut by the two characters before the predicted one into slices of a fixed
 largest size; each slice is broadcast in turn and adds its share of every text's log probability, so that no model
-is too large.  Each text has two values: ``log_ppl`` under the counts of all rows, and ``score`` under counts in which
-every distinct text of a language counts once.  Documents whose score leaves the band of their language are rejected;
+is too large.  Each text has two values: ``log_ppl`` under the counts of all rows, and ``score`` under counts without it:
+the distinct texts of a language are dealt by hash to two halves, and each half is scored by the counts of the other, in
+which every text counts once, so that no text makes itself likely.  Documents whose score leaves the band of their language are rejected;
 the band's quartiles also take each distinct text once, so copies move neither and share their text's verdict.
 Null text counts as empty and has no perplexity; it fails the base rule.  U+FDD0 in a text isn't scored.
 """
@@ -36,9 +37,8 @@ HELD = 1 << 19
 #: Text characters counted or scored at a time.
 CHUNK = 1 << 19
 BIN = 0.002
-#: Band: this many quartile distances below and above the median log perplexity of the language.  Good documents that quote
-#: a passage in another language lie up to 9 below and 13 above, so the band starts beyond these.
-WIDTH_BELOW, WIDTH_ABOVE = 12.0, 18.0
+#: Band: this many quartile distances below and above the median score of the language; three are about four deviations of a normal law.
+WIDTH_BELOW, WIDTH_ABOVE = 3.0, 3.0
 FLOOR = -20.0
 SYMBOLS = "#*$%&|<>"
 
@@ -47,9 +47,13 @@ def language() -> Column:
     return F.coalesce(F.col("lang"), F.lit("und"))
 
 
-def apart(lang: Column) -> Column:
-    """Name of the model that gives a text's score."""
-    return F.concat(lang, F.lit(BOUNDARY))
+def apart(lang: Column, half: Column) -> Column:
+    """Name of the model that gives the score of one half's texts."""
+    return F.concat(lang, F.lit(BOUNDARY), half.cast("string"))
+
+
+def half_of_text() -> Column:
+    return F.pmod(row_key(), F.lit(2)).cast("int")
 
 
 def codes(texts: list[str]) -> np.ndarray:
@@ -119,13 +123,18 @@ def _chunks(texts: list[str]) -> Iterator[list[int]]:
         yield part
 
 
-def distinct_texts(docs: DataFrame) -> DataFrame:
-    """lang, text, copies: each text of a language once, with its number of rows."""
-    return docs.groupBy(language().alias("lang"), "text").agg(F.count("*").alias("copies"))
+def with_copies(docs: DataFrame) -> DataFrame:
+    """lang, half, text, copies: each row with its text's half and number of rows in its language; texts that occur once aren't moved."""
+    rows = docs.select(language().alias("lang"), "text", row_key().alias("row"), half_of_text().alias("half"))
+    often = stage(rows.groupBy("row").agg(F.count("*").alias("copies")).where("copies > 1"), "copies")
+    return rows.join(often, "row", "left").select("lang", "half", "text", F.coalesce("copies", F.lit(1)).alias("copies"))
 
 
 def gather_grams(texts: DataFrame) -> DataFrame:
-    """lang, gram, n (each text once), n_rows (as often as it has copies), summed within each task before the shuffle."""
+    """lang, gram, n_0 and n_1 (each text of a half once), n (every row), summed within each task before the shuffle.
+
+    A row gives its text's share, one by its copies, and the sums are rounded to the whole numbers they stand for.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -134,15 +143,15 @@ def gather_grams(texts: DataFrame) -> DataFrame:
         def out() -> Iterator[pd.DataFrame]:
             for lang, parts in held.items():
                 grams, n = merged(parts)
-                yield pd.DataFrame({"lang": lang, "gram": as_strings(grams), "n": n[:, 0], "n_rows": n[:, 1]})
+                yield pd.DataFrame({"lang": lang, "gram": as_strings(grams), "n_0": n[:, 0], "n_1": n[:, 1], "n": n[:, 2].astype(np.int64)})
             held.clear()
 
         for b in batches:
-            for (lang, copies), texts in b.groupby(["lang", "copies"])["text"]:
+            for (lang, half, copies), texts in b.groupby(["lang", "half", "copies"])["text"]:
                 clean = [t for t in map(normal, texts) if t]
                 for part in _chunks(clean):
                     grams, n = packed_grams(codes([clean[i] for i in part]))
-                    held.setdefault(lang, []).append((grams, np.column_stack([n, n * copies])))
+                    held.setdefault(lang, []).append((grams, np.column_stack([n / copies * (half == 0), n / copies * (half == 1), n])))
                     size += len(n)
                     if size > 2 * HELD:
                         held = {k: [merged(v)] for k, v in held.items()}
@@ -152,19 +161,22 @@ def gather_grams(texts: DataFrame) -> DataFrame:
                             size = 0
         yield from out()
 
-    counted = texts.select("lang", "text", "copies").mapInPandas(run, "lang string, gram string, n long, n_rows long")
-    return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("n_rows").alias("n_rows"))
+    counted = texts.select("lang", "half", "text", "copies").mapInPandas(run, "lang string, gram string, n_0 double, n_1 double, n long")
+    once = [F.round(F.sum(c)).cast("long").alias(c) for c in ("n_0", "n_1")]
+    return counted.groupBy("lang", "gram").agg(*once, F.sum("n").alias("n"))
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
     """lang, gram, n over all rows."""
-    return gather_grams(docs.select(language().alias("lang"), "text", F.lit(1).cast("long").alias("copies"))).drop("n_rows")
+    return gather_grams(docs.select(language().alias("lang"), F.lit(0).alias("half"), "text", F.lit(1).alias("copies"))).select("lang", "gram", "n")
 
 
 def models(grams: DataFrame) -> DataFrame:
-    """lang, gram, n for ``estimate``: the counts of all rows by language and, named by ``apart``, of distinct texts."""
-    rows = grams.select("lang", "gram", F.col("n_rows").alias("n"))
-    return rows.unionByName(grams.select(apart(F.col("lang")).alias("lang"), "gram", "n"))
+    """lang, gram, n for ``estimate``: the counts of all rows by language and, named by ``apart``, of the other half's distinct texts."""
+    out = grams.select("lang", "gram", "n")
+    for half, other in ((0, "n_1"), (1, "n_0")):
+        out = out.unionByName(grams.where(F.col(other) > 0).select(apart(F.col("lang"), F.lit(half)).alias("lang"), "gram", F.col(other).alias("n")))
+    return out
 
 
 def discounts(grams: DataFrame) -> DataFrame:
@@ -390,7 +402,7 @@ def perplexities(docs: DataFrame, model: DataFrame, counted_texts: bool = False)
     Scores come from the models named by ``apart``, which ``counted_texts`` says are there; else they are the log perplexity.
     """
     parts = model_slices(model, counted_texts)
-    name = apart(language()) if counted_texts else language()
+    name = apart(language(), half_of_text()) if counted_texts else language()
     docs = docs.select(row_key().alias("row"), "doc_id", language().alias("lang"), name.alias("model"), "text")
     scores = [score_slice(docs, load_slice(p), i, len(parts)) for i, p in enumerate(parts)]
     out = scores[0]
@@ -406,7 +418,7 @@ def perplexities(docs: DataFrame, model: DataFrame, counted_texts: bool = False)
 
 
 def bands(scored: DataFrame) -> DataFrame:
-    """b_lang, low, high: exact quartiles of the binned score of each language's distinct texts."""
+    """b_lang, score_low, score_high: exact quartiles of the binned score of each language's distinct texts."""
     once = scored.where("score is not null").groupBy("lang", "row").agg(F.floor(F.min("score") / BIN).alias("bin"))
     bins = once.groupBy("lang", "bin").agg(F.count("*").alias("n"))
     upto = Window.partitionBy("lang").orderBy("bin")
@@ -414,18 +426,22 @@ def bands(scored: DataFrame) -> DataFrame:
     at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("bin"))) * BIN
     q = ranked.groupBy("lang").agg(at(0.25).alias("q1"), at(0.5).alias("q2"), at(0.75).alias("q3"))
     spread = F.greatest(F.col("q3") - F.col("q1"), F.lit(5 * BIN))
-    return q.select(F.col("lang").alias("b_lang"), (F.col("q2") - WIDTH_BELOW * spread).alias("low"), (F.col("q2") + WIDTH_ABOVE * spread).alias("high"))
+    return q.select(F.col("lang").alias("b_lang"), (F.col("q2") - WIDTH_BELOW * spread).alias("score_low"), (F.col("q2") + WIDTH_ABOVE * spread).alias("score_high"))
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
-    """One for each row: row key, doc_id, base counts, base_failed, kept, log_ppl, the score and its band."""
-    model = stage(estimate(models(stage(gather_grams(distinct_texts(docs)), "grams"))), "kneser-ney")
+    """One for each row: row key, doc_id, base counts, base_failed, kept, log_ppl, low, high, the score and its band.
+
+    ``low`` and ``high`` are the band for this row's ``log_ppl``: the language's less what the other counts add to the score.
+    """
+    model = stage(estimate(models(stage(gather_grams(with_copies(docs)), "grams"))), "kneser-ney")
     scored = stage(perplexities(docs, model, counted_texts=True), "perplexity")
     band = bands(scored)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    inside = F.col("score").between(F.col("low"), F.col("high"))
-    out = scored.join(band, scored["lang"] == band["b_lang"], "left")
-    return out.select("row", "doc_id", *COUNTS, failed.alias("base_failed"), (~failed & F.coalesce(inside, F.lit(False))).alias("kept"), "log_ppl", "score", "low", "high")
+    more = F.col("score") - F.col("log_ppl")
+    out = scored.join(band, scored["lang"] == band["b_lang"], "left").withColumn("low", F.col("score_low") - more).withColumn("high", F.col("score_high") - more)
+    inside = F.col("log_ppl").between(F.col("low"), F.col("high"))
+    return out.select("row", "doc_id", *COUNTS, failed.alias("base_failed"), (~failed & F.coalesce(inside, F.lit(False))).alias("kept"), "log_ppl", "low", "high", "score", "score_low", "score_high")
 
 
 def judge(docs: DataFrame) -> DataFrame:

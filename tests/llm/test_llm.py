@@ -218,7 +218,7 @@ def test_copies_move_no_band(spark, share):
     rnd = random.Random(11)
     say = lambda k: " ".join("".join(rnd.choice(("an", "the", "ion", "re", "ou")) for _ in range(rnd.randint(1, 4))) for _ in range(k))
     rows = [(i, say(rnd.randint(60, 120)), "en", "s", 0) for i in range(40)] + [(40, " ".join("".join(rnd.choice("bcdfgjkqwxz") for _ in range(6)) for _ in range(80)), "en", "s", 0)]
-    verdicts = lambda r: {v.doc_id: (v.kept, round(v.score, 6), v.low, v.high) for v in perplexity.judge(spark.createDataFrame(r, DOCS)).collect()}
+    verdicts = lambda r: {v.doc_id: (v.kept, round(v.score, 6), v.score_low, v.score_high) for v in perplexity.judge(spark.createDataFrame(r, DOCS)).collect()}
     alone = verdicts(rows)
     for of in (3, 40):
         n = round(share / (1 - share) * len(rows))
@@ -226,6 +226,16 @@ def test_copies_move_no_band(spark, share):
         assert {i: got[i] for i in alone} == alone and {got[1000 + i] for i in range(n)} == {alone[of]}
 
 
+def test_rare_junk_is_not_remembered(spark):
+    rnd = random.Random(12)
+    say = lambda k: " ".join("".join(rnd.choice(("an", "the", "ion", "re", "ou")) for _ in range(rnd.randint(1, 4))) for _ in range(k))
+    junk = " ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(300))
+    rows = [(i, say(rnd.randint(60, 120)), "en", "s", 0) for i in range(40)] + [(40, junk, "en", "s", 0), (41, junk, "en", "s", 0)]
+    got = {r.doc_id: r for r in perplexity.judge(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got[40].score > got[40].log_ppl + 1 and got[40].score > got[40].score_high and not got[40].kept and not got[41].kept
+    assert sum(got[i].kept for i in range(40)) >= 38
+
+
 # 4 ------------------------------------------------------------------------------------------------------------------
 
 
