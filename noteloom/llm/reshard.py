@@ -11,12 +11,13 @@ Null text has no bytes, a null id is one of its own kind, repeated rows get a sl
 from __future__ import annotations
 
 import heapq
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import shared_dir, stage
 
 OLD_SHARDS, NEW_SHARDS = 32, 40
 OVERHEAD = 16
@@ -114,14 +115,20 @@ def plan_transfers(blocks: list[tuple[int, int, int, int]], new_shards: int) ->
     return out
 
 
+def row_key(docs: DataFrame) -> Column:
+    """128 bits of all columns, nulls apart from other values: rows of equal keys are equal."""
+    own = [x for c in docs.columns for x in (docs[c].isNull(), docs[c])]
+    return F.struct(F.xxhash64(*own), F.xxhash64(F.lit("row"), *own))
+
+
 def sized(docs: DataFrame, old_shard: Column) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     size = (F.octet_length(text) + OVERHEAD).cast("long")
-    return docs.select("doc_id", size.alias("size"), F.crc32(text).alias("text_crc32"), old_shard.cast("int").alias("old"), F.floor(F.log2(size)).cast("int").alias("class"))
+    return docs.select("doc_id", row_key(docs).alias("row_key"), size.alias("size"), F.crc32(text).alias("text_crc32"), old_shard.cast("int").alias("old"), F.floor(F.log2(size)).cast("int").alias("class"))
 
 
 def reshard(docs: DataFrame, old_shard: Column, new_shards: int = NEW_SHARDS) -> DataFrame:
-    """doc_id, size, text_crc32, old, shard, slot."""
+    """doc_id, row_key, size, text_crc32, old, shard, slot: a place for each row."""
     spark = docs.sparkSession
     rows = stage(sized(docs, old_shard), "sizes")
     totals = rows.groupBy("old", "class").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).collect()
@@ -140,7 +147,7 @@ def reshard(docs: DataFrame, old_shard: Column, new_shards: int = NEW_SHARDS) ->
     here = (F.col("old") == F.col("t_old")) & (F.col("class") == F.col("t_class")) & (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to"))
     # at most one transfer for each block and two for each shard: a few thousand rows whatever the input
     placed = ranked.join(F.broadcast(transfers), here)
-    return placed.select("doc_id", "size", "text_crc32", "old", "shard", (F.col("first_slot") + F.col("rank") - F.col("rank_from")).alias("slot"))
+    return placed.select("doc_id", "row_key", "size", "text_crc32", "old", "shard", (F.col("first_slot") + F.col("rank") - F.col("rank_from")).alias("slot"))
 
 
 def hashed_layout(shards: int = OLD_SHARDS) -> Column:
@@ -148,14 +155,20 @@ def hashed_layout(shards: int = OLD_SHARDS) -> Column:
 
 
 def reshard_documents(docs: DataFrame) -> DataFrame:
-    placed = reshard(docs, hashed_layout())
+    """The placement of every row.  The new shards are written to a folder of their own in the shared folder, as the old layout has no files that could stay."""
+    placed = stage(reshard(docs, hashed_layout()), "placement")
+    rewrite_shards(docs, placed, f"{shared_dir(docs.sparkSession)}/noteloom/shards-{uuid.uuid4().hex}", every=True)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("old").alias("old_shard"))
 
 
-def rewrite_shards(docs: DataFrame, placed: DataFrame, path: str) -> list[int]:
-    """Writes the shards that gained or lost rows to ``path`` as shard=N folders, one overwrite each; the others' files stay.  Returns their numbers."""
-    changed = placed.where("old != shard")
+def rewrite_shards(docs: DataFrame, placed: DataFrame, path: str, every: bool = False) -> list[int]:
+    """Writes the shards that gained or lost rows, or every one, to ``path`` as shard=N folders, one overwrite each; the others' files stay.  Returns their numbers.
+
+    Places find their rows by all columns: equal rows are read once and written as often as they have places.
+    """
+    changed = placed if every else placed.where("old != shard")
     touched = sorted({r[0] for r in changed.select(F.explode(F.array("old", "shard"))).distinct().collect()})
-    rows = docs.join(placed.select(F.col("doc_id").alias("placed_id"), "shard", "slot").where(F.col("shard").isin(touched)), F.col("doc_id") == F.col("placed_id")).drop("placed_id")
+    once = docs.groupBy(row_key(docs).alias("row_key")).agg(F.first(F.struct(*docs.columns)).alias("whole"))
+    rows = placed.where(F.col("shard").isin(touched)).select("row_key", "shard", "slot").join(once, "row_key").select("whole.*", "shard", "slot")
     rows.repartition("shard", F.floor(F.col("slot") / RANKED)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
     return touched

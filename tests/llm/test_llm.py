@@ -481,6 +481,18 @@ def test_rewrite_touches_changed_shards_only(spark, docs, tmp_path):
     assert got == {r.doc_id: r.shard for r in placed.collect()}
 
 
+def test_rewrite_keeps_null_and_repeated_ids(spark, docs, rows, tmp_path):
+    odd = [(None, None, "en", "a", 1), (None, "a b c", "fr", None, 5), (None, "a b c", None, "fr", 5), (3, "a b c", "en", "s", 0), (3, None, "en", "s", 0)] * 3
+    table = docs.unionByName(spark.createDataFrame(odd, DOCS))
+    placed = reshard.reshard(table, reshard.hashed_layout(4), 5).persist()
+    path = f"file://{tmp_path}/shards"
+    assert reshard.rewrite_shards(table, placed, path, every=True) == [0, 1, 2, 3, 4]
+    reshard.rewrite_shards(table, placed, path)
+    got = spark.read.parquet(path)
+    assert many(map(tuple, got.select(*table.columns).collect())) == many([*rows, *odd])
+    assert many((r.shard, r.slot) for r in got.collect()) == many((r.shard, r.slot) for r in placed.collect())
+
+
 # all ----------------------------------------------------------------------------------------------------------------
 
 
