@@ -42,3 +42,10 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def row_key(*columns: Column) -> Column:
+    """128 bits of the columns' values and of which of them are null: rows of equal keys are equal."""
+    own = [x for c in columns for x in (c.isNull(), c)]
+    part = lambda *lead: F.lpad(F.hex(F.xxhash64(*lead, *own)), 16, "0")
+    return F.unhex(F.concat(part(), part(F.lit("row"))))

@@ -13,7 +13,12 @@ range of distances, and the context that covers its windows.
    digests instead, summed before the shuffle: first of the part common to 16 neighbouring windows, then of the windows
    whose part isn't found once, in blocks that no other equals.  This is exact for any group size.
 
-Null text counts as empty; texts under 400 bytes keep all; repeated rows are copies of each other; hashes have 128 bits.
+``n_passage_words`` beside these counts the words in passages of over 50 words that another document holds too, however
+blanks separate them: the same occurrences over hashes of words, with windows of 51 words.
+
+Null text counts as empty; texts under 400 bytes keep all; repeated rows are copies of each other, rows of equal id and
+text are one and the same and get equal results; an empty table gives no rows; other columns of the table, whatever
+their names, play no part.  Hashes have 128 bits.
 """
 
 from __future__ import annotations
@@ -22,14 +27,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import row_key, stage
 
 WINDOW = 400
 ANCHOR = 64
-SLIDE = WINDOW - ANCHOR + 1
+#: Passages: windows of so many words, anchors of so many.
+PASSAGE, PASSAGE_ANCHOR = 51, 8
+BYTES, WORDS = 0, 1
 SHALLOW = 8
 #: Contexts that are sorted together at most.
 GROUP = 512
@@ -62,14 +70,14 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 class Digests:
-    """Hashes of any substring of ``data`` from two prefix sums."""
+    """Hashes of any part of a sequence from two prefix sums of its symbols' codes."""
 
-    def __init__(self, data: np.ndarray) -> None:
-        self.n = len(data)
+    def __init__(self, codes: list[np.ndarray]) -> None:
+        self.n = len(codes[0])
         self.sums = []
-        for table, inverse in zip(_TABLES, _INVERSES, strict=True):
+        for own, inverse in zip(codes, _INVERSES, strict=True):
             s = np.zeros(self.n + 1, np.uint64)
-            np.cumsum(table[data] * powers(inverse, self.n), out=s[1:])
+            np.cumsum(own * powers(inverse, self.n), out=s[1:])
             self.sums.append(s)
 
     def of(self, start: np.ndarray, stop: np.ndarray, which: int) -> np.ndarray:
@@ -77,6 +85,19 @@ class Digests:
         return mixed((s[stop] - s[start]) * powers(_BASES[which], self.n + 1)[start])
 
 
+def byte_codes(data: np.ndarray) -> list[np.ndarray]:
+    return [table[data] for table in _TABLES]
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(w) for w in (text or "").encode().split()], np.uint64)
+
+
+def word_codes(hashes: np.ndarray) -> list[np.ndarray]:
+    return [mixed(hashes + np.uint64(i)) for i in (1, 2)]
+
+
 def sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
     """Minimum of every ``width`` neighbours, from minima upwards and downwards within blocks."""
     n = len(keys) - width + 1
@@ -91,64 +112,67 @@ def sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
 COLUMNS = ("p", "lo", "hi", "h", "c1", "c2", "n")
 
 
-def occurrences(raw: bytes) -> tuple[np.ndarray, ...]:
-    """Of one text: anchor place p, first and last window start, anchor hash, two context hashes, times found here (0: decided here)."""
-    data = np.frombuffer(raw, np.uint8)
-    parts = [_occurrences(data[at : at + SEGMENT + WINDOW - 1], at) for at in range(0, max(0, len(data) - WINDOW + 1), SEGMENT)]
+def occurrences(data: np.ndarray, codes, window: int, anchor: int) -> tuple[np.ndarray, ...]:
+    """Of one sequence: anchor place p, first and last window start, anchor hash, two context hashes, times found here (0: found before)."""
+    parts = [_occurrences(Digests(codes(data[at : at + SEGMENT + window - 1])), at, window, anchor) for at in range(0, max(0, len(data) - window + 1), SEGMENT)]
     if not parts:
         return tuple(np.empty(0, np.int64) for _ in COLUMNS)
     p, lo, hi, h, c1, c2 = map(np.concatenate, zip(*parts, strict=True))
     key = np.empty(len(h), [("", np.uint64)] * 3)
     key["f0"], key["f1"], key["f2"] = h, c1, c2
-    _, first, which, counts = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+    _, first, counts = np.unique(key, return_index=True, return_counts=True)
     n = np.zeros(len(h), np.int64)
     n[first] = counts
-    if len(first) < len(h):
-        # a context found again in the same text is decided; its windows are joined to runs
-        again = np.flatnonzero(n == 0)
-        breaks = np.concatenate([[True], lo[again][1:] != hi[again][:-1] + 1])
-        begin = np.flatnonzero(breaks)
-        end = np.concatenate([begin[1:], [len(again)]]) - 1
-        own = np.flatnonzero(n)
-        zeros = np.zeros(len(begin), np.uint64)
-        p, h, c1, c2 = (np.concatenate([x[own], zeros.astype(x.dtype)]) for x in (p, h, c1, c2))
-        lo, hi = np.concatenate([lo[own], lo[again][begin]]), np.concatenate([hi[own], hi[again][end]])
-        n = np.concatenate([n[own], np.zeros(len(begin), np.int64)])
     return p, lo, hi, h.view(np.int64), c1.view(np.int64), c2.view(np.int64), n
 
 
-def _occurrences(data: np.ndarray, offset: int) -> tuple[np.ndarray, ...]:
-    d = Digests(data)
-    at = np.arange(d.n - ANCHOR + 1)
-    hashes = d.of(at, at + ANCHOR, 0)
+def joined_repeats(p, lo, hi, h, c1, c2, n) -> tuple[np.ndarray, ...]:
+    """Occurrences whose context was found before in the same text are decided; their windows become runs without hashes."""
+    again = np.flatnonzero(n == 0)
+    if not len(again):
+        return p, lo, hi, h, c1, c2, n
+    begin = np.flatnonzero(np.concatenate([[True], lo[again][1:] != hi[again][:-1] + 1]))
+    end = np.concatenate([begin[1:], [len(again)]]) - 1
+    own, zeros = np.flatnonzero(n), np.zeros(len(begin), np.int64)
+    p, h, c1, c2, n = (np.concatenate([x[own], zeros]) for x in (p, h, c1, c2, n))
+    return p, np.concatenate([lo[own], lo[again][begin]]), np.concatenate([hi[own], hi[again][end]]), h, c1, c2, n
+
+
+def _occurrences(d: Digests, offset: int, window: int, anchor: int) -> tuple[np.ndarray, ...]:
+    at = np.arange(d.n - anchor + 1)
+    hashes = d.of(at, at + anchor, 0)
     low = np.uint64((1 << PLACES) - 1)
-    least = sliding_least((hashes & ~low) | at.astype(np.uint64), SLIDE)
+    least = sliding_least((hashes & ~low) | at.astype(np.uint64), window - anchor + 1)
     p = (least & low).astype(np.int64)
     lo = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
     hi = np.concatenate([lo[1:] - 1, [len(p) - 1]])
     p = p[lo]
     shape = ((p - lo) << 10 | (p - hi)).astype(np.uint64)
-    c1 = mixed(d.of(lo, hi + WINDOW, 0) + shape)
-    c2 = mixed(d.of(lo, hi + WINDOW, 1) + shape)
+    c1 = mixed(d.of(lo, hi + window, 0) + shape)
+    c2 = mixed(d.of(lo, hi + window, 1) + shape)
     return p + offset, lo + offset, hi + offset, hashes[p], c1, c2
 
 
 def anchors(keyed: DataFrame) -> DataFrame:
+    """unit, row and COLUMNS: the occurrences over bytes and, each once for a text, over words."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out, size = [], 0
             for row, text in zip(b["row"], b["text"], strict=True):
-                found = occurrences((text or "").encode())
-                if len(found[0]):
-                    out.append(pd.DataFrame({"row": row} | dict(zip(COLUMNS, found, strict=True))))
-                    size += len(found[0])
+                raw = np.frombuffer((text or "").encode(), np.uint8)
+                words = occurrences(word_hashes(text), word_codes, PASSAGE, PASSAGE_ANCHOR)
+                for unit, found in ((BYTES, joined_repeats(*occurrences(raw, byte_codes, WINDOW, ANCHOR))), (WORDS, tuple(x[words[-1] > 0] for x in words))):
+                    if len(found[0]):
+                        out.append(pd.DataFrame({"unit": unit, "row": [bytes(row)] * len(found[0])} | dict(zip(COLUMNS, found, strict=True))))
+                        size += len(found[0])
                 if size > 200_000:
                     yield pd.concat(out)
                     out, size = [], 0
             if out:
                 yield pd.concat(out)
 
-    return keyed.select("row", "text").mapInPandas(run, "row long, p long, lo long, hi long, h long, c1 long, c2 long, n long")
+    return keyed.select("row", "text").mapInPandas(run, "unit int, row binary, p long, lo long, hi long, h long, c1 long, c2 long, n long")
 
 
 # -- deep-shallow sorting ------------------------------------------------------------------------------------------
@@ -276,6 +300,10 @@ def runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), (edge[1::2] - 1).tolist(), strict=True))
 
 
+def span_frame(rows: list[tuple[bytes, int, int]]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["row", "lo", "hi"]).astype({"lo": "int64", "hi": "int64"})
+
+
 def sorted_groups(contexts: DataFrame) -> DataFrame:
     """row, lo, hi: window starts that repeat, of the contexts marked alone.  A group's rows meet in one task, in order."""
 
@@ -296,24 +324,24 @@ def sorted_groups(contexts: DataFrame) -> DataFrame:
             edges = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, int)
             out = [x for s, e in zip(edges[:-1], edges[1:], strict=True) for x in decide(b.iloc[s:e])]
             held = b.iloc[edges[-1] :] if len(edges) else None
-            yield pd.DataFrame(out, columns=["row", "lo", "hi"], dtype="int64")
+            yield span_frame(out)
         if held is not None and len(held):
-            yield pd.DataFrame(list(decide(held)), columns=["row", "lo", "hi"], dtype="int64")
+            yield span_frame(list(decide(held)))
 
-    return contexts.repartition("h").sortWithinPartitions("h").mapInPandas(run, "row long, lo long, hi long")
+    return contexts.repartition("h").sortWithinPartitions("h").mapInPandas(run, "row binary, lo long, hi long")
 
 
 def _tagged(d: Digests, start: np.ndarray, stop: np.ndarray, tag: np.ndarray) -> list[np.ndarray]:
     return [mixed(d.of(start, stop, w) ^ mixed(tag * np.uint64(0x9E3779B97F4A7C15))).view(np.int64) for w in (0, 1)]
 
 
-def _per_context(contexts: DataFrame, digests, schema: str) -> DataFrame:
+def _per_context(contexts: DataFrame, digests, schema: str, codes=byte_codes, kind=np.uint8) -> DataFrame:
     """Rows of ``digests(x, its substring hashes, nearest and farthest distance)``, a data frame, for every context x."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for at in range(0, len(b), 256):
-                yield pd.concat([digests(x, Digests(np.frombuffer(bytes(x.context), np.uint8)), x.p - x.hi, x.p - x.lo) for x in b.iloc[at : at + 256].itertuples()])
+                yield pd.concat([digests(x, Digests(codes(np.frombuffer(bytes(x.context), kind))), x.p - x.hi, x.p - x.lo) for x in b.iloc[at : at + 256].itertuples()])
 
     return contexts.mapInPandas(run, schema)
 
@@ -350,14 +378,14 @@ def counted_groups(contexts: DataFrame) -> DataFrame:
     Blocks that equal another one in all their windows are settled; one of them stands for all.
     """
     same = (F.col("row") == F.col("r")) & (F.col("p") == F.col("q"))
-    parts = stage(_per_context(contexts, _block_digests, "row long, p long, at long, k1 long, k2 long, f1 long, f2 long"), "parts")
+    parts = stage(_per_context(contexts, _block_digests, "row binary, p long, at long, k1 long, k2 long, f1 long, f2 long"), "parts")
     full = parts.groupBy("f1", "f2").agg(F.count("*").alias("times"), F.min(F.struct("row", "p", "at")).alias("one"))
     stands = full.where("times > 1").select("one.*").groupBy(F.col("row").alias("r"), F.col("p").alias("q")).agg(F.collect_set("at").alias("stands"))
     alone = full.where("times = 1").select("one.*").groupBy(F.col("row").alias("r"), F.col("p").alias("q")).agg(F.collect_set("at").alias("open"))
     known = contexts.join(_found_once(parts, "lone", F.count("*")), same, "left").drop("r", "q").join(stands, same, "left").drop("r", "q").join(alone, same, "left").drop("r", "q")
     blocks = F.sequence(F.floor((F.col("p") - F.col("hi")) / BLOCK), F.floor((F.col("p") - F.col("lo")) / BLOCK))
     known = stage(known.withColumn("settled", F.array_except(blocks, F.coalesce("open", F.array().cast("array<bigint>")))).drop("open"), "blocks")
-    windows = _found_once(_per_context(known, _window_digests, "row long, p long, at long, k1 long, k2 long, weight long"), "single", F.sum("weight"))
+    windows = _found_once(_per_context(known, _window_digests, "row binary, p long, at long, k1 long, k2 long, weight long"), "single", F.sum("weight"))
     asked = known.where("alone").select("row", "p", "lo", "hi", "lone").join(windows, same, "left").drop("r", "q")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -370,62 +398,121 @@ def counted_groups(contexts: DataFrame) -> DataFrame:
                     if places is not None:
                         again &= ~np.isin(own, places)
                 out += [(x.row, x.p - int(o[j]), x.p - int(o[i])) for i, j in runs(again)]
-            yield pd.DataFrame(out, columns=["row", "lo", "hi"], dtype="int64")
+            yield span_frame(out)
+
+    return asked.select("row", "p", "lo", "hi", "lone", "single").mapInPandas(run, "row binary, lo long, hi long")
 
-    return asked.select("row", "p", "lo", "hi", "lone", "single").mapInPandas(run, "row long, lo long, hi long")
+
+def kinds_of(found: DataFrame, name: str, times) -> tuple[DataFrame, DataFrame]:
+    """Occurrences whose anchor recurs, and of these one for each context with ``times``, how often (or in how many texts) it is found."""
+    recurring = stage(found.groupBy("h").agg(times.alias("times")).where("times > 1").select("h"), f"{name}-anchors")
+    rest = stage(found.join(recurring, "h"), f"{name}-recurring")
+    kinds = rest.groupBy("h", "c1", "c2").agg(times.alias("times"), F.min(F.struct("row", "p", "lo", "hi")).alias("one"))
+    return rest, stage(kinds.select("h", "c1", "c2", "times", "one.*"), f"{name}-contexts")
+
+
+def open_kinds(kinds: DataFrame, unit: int, name: str) -> DataFrame:
+    """row, x: the contexts of anchors that have several of them, not all of which are known to repeat."""
+    groups = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.count_if(F.col("times") == 1).alias("alone")).where("kinds > 1 and alone > 0")
+    groups = stage(groups.select("h", (F.col("kinds") > GROUP).alias("large")), f"{name}-open")
+    return kinds.join(groups, "h").select("row", F.struct(F.lit(unit).alias("unit"), "h", "p", "lo", "hi", (F.col("times") == 1).alias("alone"), "large").alias("x"))
+
+
+def cut_contexts(keyed: DataFrame, asked: DataFrame) -> DataFrame:
+    """row, unit, h, p, lo, hi, alone, large, context: the bytes, or hashes of words, that the windows of an occurrence cover."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out, size = [], 0
+            for row, text, xs in zip(b["row"], b["text"], b["xs"], strict=True):
+                raw = (text or "").encode()
+                words = word_hashes(text) if any(x["unit"] == WORDS for x in xs) else None
+                for x in xs:
+                    lo, hi = x["lo"], x["hi"]
+                    part = raw[lo : hi + WINDOW] if x["unit"] == BYTES else words[lo : hi + PASSAGE].tobytes()
+                    out.append((bytes(row), x["unit"], x["h"], x["p"], lo, hi, x["alone"], x["large"], part))
+                    size += len(part)
+                if size > 1 << 24:
+                    yield pd.DataFrame(out, columns=names)
+                    out, size = [], 0
+            yield pd.DataFrame(out, columns=names)
+
+    fields = "row binary, unit int, h long, p long, lo long, hi long, alone boolean, large boolean, context binary"
+    names = [x.split()[0] for x in fields.split(", ")]
+    xs = asked.groupBy(F.col("row").alias("of")).agg(F.collect_list("x").alias("xs"))
+    return keyed.join(xs, F.col("row") == F.col("of")).select("row", "text", "xs").mapInPandas(run, fields)
+
+
+def _passage_windows(x, d: Digests, near: int, far: int) -> pd.DataFrame:
+    o = np.arange(near, far + 1)
+    k = _tagged(d, far - o, far - o + PASSAGE, np.uint64(x.h & 0xFFFFFFFFFFFFFFFF) + o.astype(np.uint64))
+    return pd.DataFrame({"row": x.row, "lo": x.p - o, "k1": k[0], "k2": k[1], "alone": x.alone})
+
+
+def shared_passages(rest: DataFrame, kinds: DataFrame, contexts: DataFrame) -> DataFrame:
+    """row, lo, hi: runs of starts of word windows that another document holds: those of a shared context, and single ones of the others."""
+    own = ["h", "c1", "c2"]
+    shared = stage(kinds.where("times > 1").select(*own), "shared")
+    windows = stage(_per_context(contexts, _passage_windows, "row binary, lo long, k1 long, k2 long, alone boolean", word_codes, np.uint64), "passages")
+    held = windows.groupBy("k1", "k2").agg(F.min("row").alias("a"), F.max("row").alias("b"), F.bool_and("alone").alias("alone")).where("a != b or not alone")
+    found = windows.where("alone").join(stage(held.select("k1", "k2"), "held"), ["k1", "k2"], "left_semi")
+    return rest.join(shared, own, "left_semi").select("row", "lo", "hi").unionByName(found.select("row", "lo", F.col("lo").alias("hi")))
 
 
 def repeated_windows(keyed: DataFrame) -> DataFrame:
-    """row, lo, hi: runs of window starts whose string starts anywhere else too."""
+    """unit, row, lo, hi: runs of starts of the byte windows that start anywhere else too, and of word windows that other documents hold."""
     found = stage(anchors(keyed), "anchors")
-    decided = found.where("n = 0").select("row", "lo", "hi")
-    recurring = found.where("n > 0").groupBy("h").agg(F.sum("n").alias("times")).where("times > 1").select("h")
-    rest = stage(found.where("n > 0").join(recurring, "h"), "recurring")
-    one = F.min(F.struct("row", "p", "lo", "hi")).alias("one")
-    kinds = rest.groupBy("h", "c1", "c2").agg(F.sum("n").alias("times"), one)
-    kinds = stage(kinds.select("h", "times", "one.*"), "contexts")
-    groups = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.count_if(F.col("times") == 1).alias("alone")).where("kinds > 1 and alone > 0")
-    open_kinds = kinds.join(groups.select("h", "kinds"), "h").select("row", F.struct("h", "p", "lo", "hi", (F.col("times") == 1).alias("alone"), (F.col("kinds") > GROUP).alias("large")).alias("x"))
-    asked = open_kinds.groupBy(F.col("row").alias("of")).agg(F.collect_list("x").alias("xs"))
-    texts = keyed.select("row", F.encode("text", "UTF-8").alias("bytes"))
-    cuts = texts.join(asked, F.col("row") == F.col("of")).select("row", "bytes", F.explode("xs").alias("x"))
-    context = F.substring("bytes", F.col("x.lo").cast("int") + 1, (F.col("x.hi") - F.col("x.lo")).cast("int") + WINDOW)
-    contexts = stage(cuts.select("row", "x.*", context.alias("context")), "cuts")
-    by_sort = sorted_groups(contexts.where("not large").drop("large"))
-    large = contexts.where("large").drop("large")
+    of_bytes, of_words = found.where(f"unit = {BYTES} and n > 0"), found.where(f"unit = {WORDS}")
+    decided = found.where(f"unit = {BYTES} and n = 0").select("row", "lo", "hi")
+    rest, kinds = kinds_of(of_bytes, "bytes", F.sum("n"))
+    word_rest, word_kinds = kinds_of(of_words, "words", F.count("*"))
+    asked = open_kinds(kinds, BYTES, "bytes").unionByName(open_kinds(word_kinds, WORDS, "words"))
+    contexts = stage(cut_contexts(keyed, asked), "cuts")
+    of_bytes = contexts.where(f"unit = {BYTES}")
+    large = of_bytes.where("large")
     alone = kinds.where("times = 1").select(F.col("row").alias("r"), F.col("p").alias("q"))
     whole = rest.join(alone, (F.col("row") == F.col("r")) & (F.col("p") == F.col("q")), "left_anti").select("row", "lo", "hi")
-    out = whole.unionByName(by_sort).unionByName(decided)
-    return out if large.isEmpty() else out.unionByName(counted_groups(large))
+    out = whole.unionByName(sorted_groups(of_bytes.where("not large"))).unionByName(decided)
+    if not large.isEmpty():
+        out = out.unionByName(counted_groups(large))
+    passages = shared_passages(word_rest, word_kinds, contexts.where(f"unit = {WORDS}"))
+    return out.withColumn("unit", F.lit(BYTES)).unionByName(passages.withColumn("unit", F.lit(WORDS)))
+
+
+def covered(lo: np.ndarray, hi: np.ndarray, window: int, n: int) -> np.ndarray:
+    change = np.zeros(n + 1, np.int64)
+    np.add.at(change, lo, 1)
+    np.add.at(change, hi + window, -1)
+    return np.cumsum(change[:-1]) > 0
 
 
 def strip_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, kept (remaining bytes), n_bytes, n_removed, n_spans for each row of ``docs``."""
+    """doc_id, kept (remaining bytes), n_bytes, n_removed, n_spans, n_passage_words for each row of ``docs``."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.select(F.xxhash64("doc_id", text).alias("row"), "doc_id", text.alias("text"))
-    spans = repeated_windows(keyed).groupBy(F.col("row").alias("of")).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    joined = keyed.join(spans, F.col("row") == F.col("of"), "left").select("doc_id", "text", F.col("spans.lo").alias("lo"), F.col("spans.hi").alias("hi"))
+    keyed = docs.select(row_key(F.col("doc_id"), text).alias("row"), "doc_id", text.alias("text"))
+    spans = repeated_windows(keyed).groupBy(F.col("row").alias("of")).agg(F.collect_list(F.struct("unit", "lo", "hi")).alias("spans"))
+    joined = keyed.join(spans, F.col("row") == F.col("of"), "left").select("doc_id", "text", *[F.col(f"spans.{c}").alias(c) for c in ("unit", "lo", "hi")])
 
-    def one(text: str, lo: np.ndarray | None, hi: np.ndarray | None) -> tuple[bytes, int, int, int]:
+    def one(text: str, unit: np.ndarray | None, lo: np.ndarray | None, hi: np.ndarray | None) -> tuple[bytes, int, int, int, int]:
         raw = text.encode()
-        if lo is None:
-            return raw, len(raw), 0, 0
-        change = np.zeros(len(raw) + 1, np.int64)
-        np.add.at(change, np.asarray(lo), 1)
-        np.add.at(change, np.asarray(hi) + WINDOW, -1)
-        gone = np.cumsum(change[:-1]) > 0
-        return np.frombuffer(raw, np.uint8)[~gone].tobytes(), len(raw), int(gone.sum()), len(runs(gone))
+        if unit is None:
+            return raw, len(raw), 0, 0, 0
+        unit, lo, hi = np.asarray(unit), np.asarray(lo), np.asarray(hi)
+        b, w = unit == BYTES, unit == WORDS
+        gone = covered(lo[b], hi[b], WINDOW, len(raw))
+        words = int(covered(lo[w], hi[w], PASSAGE, int(hi[w].max()) + PASSAGE).sum()) if w.any() else 0
+        return np.frombuffer(raw, np.uint8)[~gone].tobytes(), len(raw), int(gone.sum()), len(runs(gone)), words
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [one(*x) for x in zip(b["text"], b["lo"], b["hi"], strict=True)]
-            out = pd.DataFrame(rows, columns=["kept", "n_bytes", "n_removed", "n_spans"])
+            rows = [one(*x) for x in zip(b["text"], b["unit"], b["lo"], b["hi"], strict=True)]
+            out = pd.DataFrame(rows, columns=["kept", "n_bytes", "n_removed", "n_spans", "n_passage_words"])
             out.insert(0, "doc_id", b["doc_id"].to_numpy())
             yield out
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return joined.mapInPandas(run, f"doc_id {kind}, kept binary, n_bytes long, n_removed long, n_spans long")
+    return joined.mapInPandas(run, f"doc_id {kind}, kept binary, n_bytes long, n_removed long, n_spans long, n_passage_words long")
 
 
 def repeat_digest(docs: DataFrame) -> DataFrame:
-    return strip_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return strip_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passage_words")

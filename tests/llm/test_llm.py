@@ -390,6 +390,20 @@ def brute_repeats(texts):
         yield len(r), int(gone.sum()), len(suffix.runs(gone)), hashlib.sha256(np.frombuffer(r, np.uint8)[~gone].tobytes()).hexdigest()
 
 
+def brute_passages(texts):
+    words, n = [WORD.findall(t or "") for t in texts], suffix.PASSAGE
+    seen = defaultdict(set)
+    for i, w in enumerate(words):
+        for k in range(len(w) - n + 1):
+            seen[tuple(w[k : k + n])].add(i)
+    for w in words:
+        held = np.zeros(len(w), bool)
+        for k in range(len(w) - n + 1):
+            if len(seen[tuple(w[k : k + n])]) > 1:
+                held[k : k + n] = True
+        yield int(held.sum())
+
+
 @pytest.mark.parametrize("group", [512, 2])
 def test_repeats(spark, rows, group, monkeypatch):
     monkeypatch.setattr(suffix, "GROUP", group)
@@ -399,9 +413,16 @@ def test_repeats(spark, rows, group, monkeypatch):
     texts = [r[1] for r in rows if len(r[1] or "") < 20_000] + ["x" * 399, "x" * 400, "x" * 1000, "ab" * 600, (say(37) + "\n") * 30]
     for _ in range(40):
         texts.append("".join(say(rnd.randint(0, 200)) + (p := rnd.choice(passages))[rnd.choice((0, 9)) :][: rnd.choice((200, 401, 2000))] for _ in range(rnd.randint(1, 4))) + say(40))
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("row", F.lit("clash")).repartition(3)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.repeat_digest(df).collect()}
-    assert got == dict(enumerate(brute_repeats(texts)))
+    tell = lambda n: [rnd.choice(("an", "the", "ion", "re", "é")) + str(rnd.randint(0, 99)) for _ in range(n)]
+    shared = [tell(n) for n in (49, 50, 51, 60, 130)]
+    for _ in range(40):
+        texts.append(rnd.choice(" \n\t").join(w for _ in range(rnd.randint(1, 3)) for w in tell(rnd.randint(0, 20)) + rnd.choice(shared)[rnd.choice((0, 0, 3)) :]) + " " + " ".join(tell(3)))
+    twice = tell(60)
+    texts.append(" ".join(twice + tell(5) + twice))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("row", F.lit("clash")).withColumn("unit", F.lit(7)).repartition(3)
+    rows_ = suffix.repeat_digest(df).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows_} == dict(enumerate(brute_repeats(texts)))
+    assert {r.doc_id: r.n_passage_words for r in rows_} == dict(enumerate(brute_passages(texts)))
 
 
 def test_deep_shallow_order():
