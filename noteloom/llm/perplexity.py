@@ -1,34 +1,39 @@
 """Quality rules: n-gram perplexity with a modified Kneser-Ney model.
 
 n-grams are over characters of the words joined by one space, with a boundary mark before each text, of one language
-at a time (null language: ``und``).  Spark counts the highest order over all documents; the lower orders use
-continuation counts and every order its own three discounts.  Probabilities and back-off weights are stored in sorted
-arrays of 64-bit hashes.  The arrays are cut by the two characters before the predicted one into slices of a fixed
-largest size; each slice is broadcast in turn and adds its share of every text's log probability, so that no model
-is too large.  Each text has two values: ``log_ppl`` under the counts of all rows, and ``score`` under counts without it:
-the distinct texts of a language are dealt by hash to two halves, and each half is scored by the counts of the other, in
-which every text counts once, so that no text makes itself likely.  Documents whose score leaves the band of their language are rejected;
-the band's quartiles also take each distinct text once, so copies move neither and share their text's verdict.
-Null text counts as empty and has no perplexity; it fails the base rule.  U+FDD0 in a text isn't scored.
+at a time (null language: ``und``).  The distinct texts of a language are dealt by hash to two halves; Spark counts the
+highest order of each half, in which every text counts once, and each text is scored by the model of the other half, so
+that neither a text nor its copies make it likely.  The lower orders use continuation counts and every order its own
+three discounts.  Probabilities and back-off weights are stored in sorted arrays of 64-bit hashes.  Small models share
+slices of about SLICE_BYTES; a larger one is cut by the two characters before the predicted one into slices of its own.
+One slice at a time is broadcast, scores the texts of its models and is dropped, so that the driver holds one slice
+whatever the size of the model, and a text is read once for each slice of its own model.
+
+Documents whose log perplexity leaves the band of their language are rejected; the band's quartiles take each distinct
+text once, so copies move neither and share their text's verdict.  Null text counts as empty and has no perplexity; it
+fails the base rule.  U+FDD0 in a text isn't scored.  A language of one distinct text has no other half: its text's
+characters all weigh alike.  Repeated rows get equal results, ties in the quartiles go to the lower bin, an empty table
+gives no rows, and other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, stage
+from .common import cut, row_key, stage
 
 ORDER = 5
 BOUNDARY = "﷐"
 MARK = ord(BOUNDARY)
-#: Largest slice of the model in bytes; twelve bytes an entry.
-SLICE_BYTES = 96 << 20
+#: Size of a slice of the models in bytes; twelve bytes an entry.
+SLICE_BYTES = 48 << 20
 ENTRY_BYTES = 12
 #: Languages up to which their discounts, three numbers each, are broadcast.
 LANGUAGES = 10_000
@@ -47,13 +52,17 @@ def language() -> Column:
     return F.coalesce(F.col("lang"), F.lit("und"))
 
 
-def apart(lang: Column, half: Column) -> Column:
-    """Name of the model that gives the score of one half's texts."""
-    return F.concat(lang, F.lit(BOUNDARY), half.cast("string"))
+def model_of(half: Column) -> Column:
+    """Name of the model that one half's texts make."""
+    return F.concat(language(), F.lit(BOUNDARY), half.cast("string"))
+
+
+def text_key() -> Column:
+    return row_key(F.col("text"), language())
 
 
 def half_of_text() -> Column:
-    return F.pmod(row_key(), F.lit(2)).cast("int")
+    return F.pmod(F.xxhash64("text", language()), F.lit(2)).cast("int")
 
 
 def codes(texts: list[str]) -> np.ndarray:
@@ -124,14 +133,14 @@ def _chunks(texts: list[str]) -> Iterator[list[int]]:
 
 
 def with_copies(docs: DataFrame) -> DataFrame:
-    """lang, half, text, copies: each row with its text's half and number of rows in its language; texts that occur once aren't moved."""
-    rows = docs.select(language().alias("lang"), "text", row_key().alias("row"), half_of_text().alias("half"))
+    """model, text, copies: each row with its text's number of rows in its language; texts that occur once aren't moved."""
+    rows = docs.select(model_of(half_of_text()).alias("model"), "text", text_key().alias("row"))
     often = stage(rows.groupBy("row").agg(F.count("*").alias("copies")).where("copies > 1"), "copies")
-    return rows.join(often, "row", "left").select("lang", "half", "text", F.coalesce("copies", F.lit(1)).alias("copies"))
+    return rows.join(often, "row", "left").select("model", "text", F.coalesce("copies", F.lit(1)).alias("copies"))
 
 
-def gather_grams(texts: DataFrame) -> DataFrame:
-    """lang, gram, n_0 and n_1 (each text of a half once), n (every row), summed within each task before the shuffle.
+def count_grams(docs: DataFrame) -> DataFrame:
+    """lang (the model's name), gram, n: each distinct text once, summed within each task before the shuffle.
 
     A row gives its text's share, one by its copies, and the sums are rounded to the whole numbers they stand for.
     """
@@ -141,17 +150,17 @@ def gather_grams(texts: DataFrame) -> DataFrame:
         size = 0
 
         def out() -> Iterator[pd.DataFrame]:
-            for lang, parts in held.items():
+            for model, parts in held.items():
                 grams, n = merged(parts)
-                yield pd.DataFrame({"lang": lang, "gram": as_strings(grams), "n_0": n[:, 0], "n_1": n[:, 1], "n": n[:, 2].astype(np.int64)})
+                yield pd.DataFrame({"lang": model, "gram": as_strings(grams), "n": n})
             held.clear()
 
         for b in batches:
-            for (lang, half, copies), texts in b.groupby(["lang", "half", "copies"])["text"]:
+            for (model, copies), texts in b.groupby(["model", "copies"])["text"]:
                 clean = [t for t in map(normal, texts) if t]
                 for part in _chunks(clean):
                     grams, n = packed_grams(codes([clean[i] for i in part]))
-                    held.setdefault(lang, []).append((grams, np.column_stack([n / copies * (half == 0), n / copies * (half == 1), n])))
+                    held.setdefault(model, []).append((grams, n / copies))
                     size += len(n)
                     if size > 2 * HELD:
                         held = {k: [merged(v)] for k, v in held.items()}
@@ -161,22 +170,8 @@ def gather_grams(texts: DataFrame) -> DataFrame:
                             size = 0
         yield from out()
 
-    counted = texts.select("lang", "half", "text", "copies").mapInPandas(run, "lang string, gram string, n_0 double, n_1 double, n long")
-    once = [F.round(F.sum(c)).cast("long").alias(c) for c in ("n_0", "n_1")]
-    return counted.groupBy("lang", "gram").agg(*once, F.sum("n").alias("n"))
-
-
-def count_grams(docs: DataFrame) -> DataFrame:
-    """lang, gram, n over all rows."""
-    return gather_grams(docs.select(language().alias("lang"), F.lit(0).alias("half"), "text", F.lit(1).alias("copies"))).select("lang", "gram", "n")
-
-
-def models(grams: DataFrame) -> DataFrame:
-    """lang, gram, n for ``estimate``: the counts of all rows by language and, named by ``apart``, of the other half's distinct texts."""
-    out = grams.select("lang", "gram", "n")
-    for half, other in ((0, "n_1"), (1, "n_0")):
-        out = out.unionByName(grams.where(F.col(other) > 0).select(apart(F.col("lang"), F.lit(half)).alias("lang"), "gram", F.col(other).alias("n")))
-    return out
+    counted = with_copies(docs).mapInPandas(run, "lang string, gram string, n double")
+    return counted.groupBy("lang", "gram").agg(F.round(F.sum("n")).cast("long").alias("n"))
 
 
 def discounts(grams: DataFrame) -> DataFrame:
@@ -232,7 +227,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 def gram_hash(lang: str, kind: int, columns: list[np.ndarray]) -> np.ndarray:
     """Hash of the language, what is stored (order, or back-off of an order) and the characters."""
-    h = np.full(len(columns[0]) if columns else 1, (zlib.crc32(lang.encode()) << 8 | kind) + 1, np.uint64)
+    h = mixed(np.full(len(columns[0]) if columns else 1, (zlib.crc32(lang.encode()) << 8 | kind) + 1, np.uint64))
     for c in columns:
         h = (h + c.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
         h ^= h >> np.uint64(32)
@@ -271,43 +266,63 @@ class SortedArrays:
         return out
 
 
-def model_slices(model: DataFrame, counted_texts: bool = False) -> list[DataFrame]:
-    """Tables of (hashes, values) as bytes, each at most SLICE_BYTES but for the two lowest orders, which all have.
+class Slices:
+    """Where the entries of each model lie: models larger than a slice have their own, the others are dealt by name."""
 
-    Texts over which the model was counted hold no n-gram of highest order that it lacks, so these need no lower ones;
-    models named by ``apart`` keep theirs.
-    """
-    if counted_texts:
-        model = model.where((F.col("size") == ORDER) | F.contains("lang", F.lit(BOUNDARY)))
-    whole = F.contains("lang", F.lit(BOUNDARY)) | F.lit(not counted_texts)
-    n = model.agg(F.sum(F.when(whole, 2).otherwise(1))).first()[0] or 0
-    slices = max(1, -(-n * ENTRY_BYTES // SLICE_BYTES))
+    def __init__(self, model: DataFrame) -> None:
+        sizes = cut(model.groupBy("lang").agg((F.count("*") * 2 * ENTRY_BYTES).alias("bytes")))
+        # larger models are at most as many as slices
+        large = sizes.where(F.col("bytes") > SLICE_BYTES).orderBy("lang").collect()
+        rest = sizes.where(F.col("bytes") <= SLICE_BYTES).agg(F.sum("bytes")).first()[0] or 0
+        self.shared = max(1, -(-rest // SLICE_BYTES))
+        self.own: dict[str, tuple[int, int]] = {}
+        self.count = self.shared
+        for r in large:
+            k = -(-r["bytes"] // SLICE_BYTES)
+            self.own[r["lang"]] = (self.count, k)
+            self.count += k
+
+    def of(self, model: str) -> tuple[int, int]:
+        """First slice and number of slices."""
+        return self.own.get(model) or (zlib.crc32(model.encode()) % self.shared, 1)
+
+    def texts_of(self, which: int, model: Column) -> Column:
+        """Condition for the texts that slice ``which`` scores."""
+        for name, (first, k) in self.own.items():
+            if first <= which < first + k:
+                return model == name
+        small = F.pmod(F.crc32(model), F.lit(self.shared)) == which
+        return small & ~model.isin(list(self.own)) if self.own else small
+
+
+def model_arrays(model: DataFrame, slices: Slices) -> DataFrame:
+    """slice, hashes, values: the entries of each slice as bytes; -1 - s: those of the two lowest orders, for all slices of the model that begins at s."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for (lang, size), part in b.groupby(["lang", "size"]):
-                size = int(size)
+                size, (first, k) = int(size), slices.of(lang)
                 grams = np.array(part["gram"].tolist(), dtype=f"U{size}").view(np.uint32).reshape(-1, size)
-                columns = [grams[:, k] for k in range(size)]
-                hashes, values = [gram_hash(lang, size, columns)], [part["logp"].to_numpy(np.float32)]
-                where = [route(columns[-3], columns[-2], slices) if size > 2 else np.full(len(part), -1)]
-                if size > 1 and (BOUNDARY in lang or not counted_texts):
+                columns = [grams[:, j] for j in range(size)]
+                place = lambda cs: first + route(cs[-2], cs[-1], k) if k > 1 and len(cs) > 1 else np.full(len(cs[0]) if cs else 1, -1 - first if k > 1 else first)
+                hashes, values, where = [gram_hash(lang, size, columns)], [part["logp"].to_numpy(np.float32)], [place(columns[:-1]) if size > 2 else place(columns[:1])]
+                if size > 1:
                     _, once = np.unique(gram_hash(lang, 64 + size, columns[:-1]), return_index=True)
                     context = [c[once] for c in columns[:-1]]
                     hashes.append(gram_hash(lang, 64 + size, context))
                     values.append(part["back"].to_numpy(np.float32)[once])
-                    where.append(route(context[-2], context[-1], slices) if size > 2 else np.full(len(once), -1))
+                    where.append(place(context) if size > 2 else place(context[:1]))
                 hashes, values, where = map(np.concatenate, (hashes, values, where))
                 for s in np.unique(where):
                     own = where == s
                     yield pd.DataFrame({"slice": [s], "hashes": [hashes[own].tobytes()], "values": [values[own].tobytes()]})
 
-    parts = stage(model.mapInPandas(run, "slice long, hashes binary, values binary"), "arrays")
-    return [parts.where(F.col("slice").isin(-1, s)) for s in range(slices)]
+    return stage(model.mapInPandas(run, "slice long, hashes binary, values binary"), "arrays")
 
 
-def load_slice(part: DataFrame) -> SortedArrays:
-    rows = part.select("hashes", "values").toArrow()
+def load_slice(arrays: DataFrame, which: int, slices: Slices) -> SortedArrays:
+    lowest = next((first for first, k in slices.own.values() if first <= which < first + k), which)
+    rows = arrays.where(F.col("slice").isin(which, -1 - lowest)).select("hashes", "values").toArrow()
     join = lambda name, kind: np.concatenate([np.frombuffer(x.as_py(), kind) for x in rows[name]] or [np.empty(0, kind)])
     return SortedArrays(join("hashes", np.uint64), join("values", np.float32))
 
@@ -359,89 +374,80 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def score_slice(docs: DataFrame, arrays: SortedArrays, which: int, slices: int) -> DataFrame:
-    """row, doc_id, lang, logp and held (this slice's shares under the models ``lang`` and ``model``), characters scored; the first slice also gives the base counts."""
+def score_slice(docs: DataFrame, arrays: SortedArrays, which: int, slices: Slices) -> DataFrame:
+    """row, doc_id, lang, logp (this slice's share), characters scored; the first slice of a model also gives the base counts.  Written before the arrays are dropped."""
     shared = docs.sparkSession.sparkContext.broadcast(arrays)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             b = b.reset_index(drop=True)
-            total, held, scored = np.zeros(len(b)), np.zeros(len(b)), np.zeros(len(b), np.int64)
-            for (lang, model), rows in b.groupby(["lang", "model"]).groups.items():
+            total, scored, lead = np.zeros(len(b)), np.zeros(len(b), np.int64), np.zeros(len(b), bool)
+            for model, rows in b.groupby("model").groups.items():
                 rows = rows.to_numpy()
+                first, k = slices.of(model)
+                lead[rows] = first == which
                 texts = [normal(t) for t in b["text"].iloc[rows]]
                 for part in _chunks(texts):
                     c = codes([texts[i] for i in part])
                     at = np.flatnonzero(c != MARK)
                     owner = np.repeat(np.arange(len(part)), [len(texts[i]) + ORDER - 1 for i in part])[at]
-                    if slices > 1:
-                        own = route(c[at - 2], c[at - 1], slices) == which
+                    if k > 1:
+                        own = route(c[at - 2], c[at - 1], k) == which - first
                         at, owner = at[own], owner[own]
                     if len(at):
-                        logp = log_probabilities(shared.value, lang, c, at)
-                        total[rows[part]] += np.bincount(owner, logp, len(part))
-                        if model != lang:
-                            logp = log_probabilities(shared.value, model, c, at)
-                        held[rows[part]] += np.bincount(owner, logp, len(part))
+                        total[rows[part]] += np.bincount(owner, log_probabilities(shared.value, model, c, at), len(part))
                         scored[rows[part]] += np.bincount(owner, minlength=len(part))
-            out = pd.DataFrame({"row": b["row"], "doc_id": b["doc_id"], "lang": b["lang"], "logp": total, "held": held, "scored": scored})
-            counts = [base_counts(t) if which == 0 else (0,) * 5 for t in b["text"]]
+            out = pd.DataFrame({"row": b["row"], "doc_id": b["doc_id"], "lang": b["lang"], "logp": total, "scored": scored})
+            counts = [base_counts(t) if x else (0,) * 5 for t, x in zip(b["text"], lead, strict=True)]
             yield pd.concat([out, pd.DataFrame(counts, columns=list(COUNTS), dtype="int64")], axis=1)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("row", "doc_id", "lang", "model", "text").mapInPandas(run, f"row long, doc_id {kind}, lang string, logp double, held double, scored long, " + ", ".join(f"{x} long" for x in COUNTS))
-
-
-def row_key() -> Column:
-    return F.xxhash64("text", language())
+    schema = f"row binary, doc_id {kind}, lang string, logp double, scored long, " + ", ".join(f"{x} long" for x in COUNTS)
+    out = stage(docs.where(slices.texts_of(which, F.col("model"))).mapInPandas(run, schema), f"scores-{which}")
+    shared.destroy()
+    return out
 
 
-def perplexities(docs: DataFrame, model: DataFrame, counted_texts: bool = False) -> DataFrame:
-    """row (a key of text and language), doc_id, lang, log perplexity and score (null without characters) and base counts, one row for each row of ``docs``.
+def perplexities(docs: DataFrame, model: DataFrame, half: Column | None = None) -> DataFrame:
+    """row (a key of text and language), doc_id, lang, log_ppl (null without characters) and base counts, one row for each row of ``docs``.
 
-    Scores come from the models named by ``apart``, which ``counted_texts`` says are there; else they are the log perplexity.
+    ``half``: of the model that scores a text; by default the one that hasn't seen it.
     """
-    parts = model_slices(model, counted_texts)
-    name = apart(language(), half_of_text()) if counted_texts else language()
-    docs = docs.select(row_key().alias("row"), "doc_id", language().alias("lang"), name.alias("model"), "text")
-    scores = [score_slice(docs, load_slice(p), i, len(parts)) for i, p in enumerate(parts)]
-    out = scores[0]
-    if len(scores) > 1:
-        # equal rows get equal sums from every slice, so the share of one of them is each one's
-        rest = scores[1]
-        for s in scores[2:]:
-            rest = rest.unionByName(s)
-        rest = rest.groupBy("row").agg((F.sum("logp") / F.count("*")).alias("more"), (F.sum("held") / F.count("*")).alias("apart"), (F.sum("scored") / F.count("*")).alias("also"))
-        out = out.join(rest, "row").withColumn("logp", F.col("logp") + F.col("more") * (len(scores) - 1)).withColumn("held", F.col("held") + F.col("apart") * (len(scores) - 1)).withColumn("scored", (F.col("scored") + F.col("also") * (len(scores) - 1)).cast("long"))
-    mean = lambda c: F.when(F.col("scored") > 0, -F.col(c) / F.col("scored"))
-    return out.select("row", "doc_id", "lang", mean("logp").alias("log_ppl"), mean("held").alias("score"), *COUNTS)
+    slices = Slices(model)
+    arrays = model_arrays(model, slices)
+    docs = docs.select(text_key().alias("row"), "doc_id", language().alias("lang"), model_of(1 - half_of_text() if half is None else half).alias("model"), "text")
+    parts = [score_slice(docs, load_slice(arrays, i, slices), i, slices) for i in range(slices.count)]
+    firsts = {*range(slices.shared), *(first for first, _ in slices.own.values())}
+    union = lambda ps: reduce(DataFrame.unionByName, ps)
+    out = union([p for i, p in enumerate(parts) if i in firsts])
+    if len(firsts) < len(parts):
+        # equal rows get equal sums from every slice, so one of them stands for all
+        rest = union([p.dropDuplicates(["row"]) for i, p in enumerate(parts) if i not in firsts]).groupBy("row").agg(F.sum("logp").alias("more"), F.sum("scored").alias("also"))
+        out = out.join(rest, "row", "left").withColumn("logp", F.col("logp") + F.coalesce("more", F.lit(0.0))).withColumn("scored", F.col("scored") + F.coalesce("also", F.lit(0)))
+    return out.select("row", "doc_id", "lang", F.when(F.col("scored") > 0, -F.col("logp") / F.col("scored")).alias("log_ppl"), *COUNTS)
 
 
 def bands(scored: DataFrame) -> DataFrame:
-    """b_lang, score_low, score_high: exact quartiles of the binned score of each language's distinct texts."""
-    once = scored.where("score is not null").groupBy("lang", "row").agg(F.floor(F.min("score") / BIN).alias("bin"))
+    """b_lang, low, high: exact quartiles of the binned log perplexity of each language's distinct texts."""
+    once = scored.where("log_ppl is not null").groupBy("lang", "row").agg(F.floor(F.min("log_ppl") / BIN).alias("bin"))
     bins = once.groupBy("lang", "bin").agg(F.count("*").alias("n"))
     upto = Window.partitionBy("lang").orderBy("bin")
     ranked = bins.select("lang", "bin", F.sum("n").over(upto).alias("upto"), F.sum("n").over(Window.partitionBy("lang")).alias("all"))
     at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("bin"))) * BIN
     q = ranked.groupBy("lang").agg(at(0.25).alias("q1"), at(0.5).alias("q2"), at(0.75).alias("q3"))
     spread = F.greatest(F.col("q3") - F.col("q1"), F.lit(5 * BIN))
-    return q.select(F.col("lang").alias("b_lang"), (F.col("q2") - WIDTH_BELOW * spread).alias("score_low"), (F.col("q2") + WIDTH_ABOVE * spread).alias("score_high"))
+    return q.select(F.col("lang").alias("b_lang"), (F.col("q2") - WIDTH_BELOW * spread).alias("low"), (F.col("q2") + WIDTH_ABOVE * spread).alias("high"))
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
-    """One for each row: row key, doc_id, base counts, base_failed, kept, log_ppl, low, high, the score and its band.
-
-    ``low`` and ``high`` are the band for this row's ``log_ppl``: the language's less what the other counts add to the score.
-    """
-    model = stage(estimate(models(stage(gather_grams(with_copies(docs)), "grams"))), "kneser-ney")
-    scored = stage(perplexities(docs, model, counted_texts=True), "perplexity")
+    """One for each row: row key, doc_id, base counts, base_failed, kept, log_ppl and the band of its language."""
+    model = stage(estimate(stage(count_grams(docs), "grams")), "kneser-ney")
+    scored = stage(perplexities(docs, model), "perplexity")
     band = bands(scored)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    more = F.col("score") - F.col("log_ppl")
-    out = scored.join(band, scored["lang"] == band["b_lang"], "left").withColumn("low", F.col("score_low") - more).withColumn("high", F.col("score_high") - more)
     inside = F.col("log_ppl").between(F.col("low"), F.col("high"))
-    return out.select("row", "doc_id", *COUNTS, failed.alias("base_failed"), (~failed & F.coalesce(inside, F.lit(False))).alias("kept"), "log_ppl", "low", "high", "score", "score_low", "score_high")
+    out = scored.join(band, scored["lang"] == band["b_lang"], "left")
+    return out.select("row", "doc_id", *COUNTS, failed.alias("base_failed"), (~failed & F.coalesce(inside, F.lit(False))).alias("kept"), "log_ppl", "low", "high")
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -451,4 +457,4 @@ def judge(docs: DataFrame) -> DataFrame:
 def keep_passing(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose verdict, which depends on text and language alone, is kept."""
     gone = stage(verdicts(docs).where("not kept").select(F.col("row").alias("gone")).distinct(), "rejected")
-    return docs.join(gone, row_key() == gone["gone"], "left_anti")
+    return docs.join(gone, text_key() == gone["gone"], "left_anti")
