@@ -27,7 +27,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +35,7 @@ from .common import row_key, stage
 WINDOW = 400
 ANCHOR = 64
 #: Passages: windows of so many words, anchors of so many.
-PASSAGE, PASSAGE_ANCHOR = 51, 8
+PASSAGE, PASSAGE_ANCHOR = 51, 16
 BYTES, WORDS = 0, 1
 SHALLOW = 8
 #: Contexts that are sorted together at most.
@@ -44,6 +43,8 @@ GROUP = 512
 BLOCK = 16
 PLACES = 24
 SEGMENT = 1 << 23
+#: Symbols of short sequences that are hashed together.
+TOGETHER = 1 << 16
 
 _random = np.random.default_rng(400)
 _TABLES = [_random.integers(0, 1 << 64, 256, dtype=np.uint64) for _ in range(2)]
@@ -84,14 +85,53 @@ class Digests:
         s = self.sums[which]
         return mixed((s[stop] - s[start]) * powers(_BASES[which], self.n + 1)[start])
 
+    def each(self, width: int) -> np.ndarray:
+        """Of every part of ``width`` symbols, as ``of`` gives with the first prefix sum."""
+        s = self.sums[0]
+        return mixed((s[width:] - s[:-width]) * powers(_BASES[0], self.n + 1)[: self.n - width + 1])
+
 
 def byte_codes(data: np.ndarray) -> list[np.ndarray]:
     return [table[data] for table in _TABLES]
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    digest = xxhash.xxh64_intdigest
-    return np.array([digest(w) for w in (text or "").encode().split()], np.uint64)
+_BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
+
+
+def word_hashes(raws: list[bytes]) -> list[np.ndarray]:
+    """Hashes of the words of each text."""
+    out: list[list[np.ndarray]] = [[] for _ in raws]
+    chunk: list[tuple[int, bytes]] = []
+
+    def flush() -> None:
+        data = np.frombuffer(b" ".join([*(raw for _, raw in chunk), b""]), np.uint8)
+        word = np.concatenate([[False], ~_BLANK[data], [False]])
+        edge = np.flatnonzero(word[1:] != word[:-1])
+        hashes = Digests(byte_codes(data)).of(edge[::2], edge[1::2], 0)
+        ends = np.cumsum([len(raw) + 1 for _, raw in chunk])
+        for (i, _), own in zip(chunk, np.split(hashes, np.searchsorted(edge[::2], ends[:-1])), strict=True):
+            out[i].append(own)
+        chunk.clear()
+
+    size = 0
+    for i, raw in enumerate(raws):
+        parts = [raw]
+        if len(raw) > SEGMENT:
+            words, parts, at, own = raw.split(), [], 0, 0
+            for j, w in enumerate(words):
+                own += len(w) + 1
+                if own > TOGETHER or j + 1 == len(words):
+                    parts.append(b" ".join(words[at : j + 1]))
+                    at, own = j + 1, 0
+        for part in parts:
+            chunk.append((i, part))
+            size += len(part)
+            if size > TOGETHER:
+                flush()
+                size = 0
+    if chunk:
+        flush()
+    return [np.concatenate(x) if x else np.empty(0, np.uint64) for x in out]
 
 
 def word_codes(hashes: np.ndarray) -> list[np.ndarray]:
@@ -112,65 +152,93 @@ def sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
 COLUMNS = ("p", "lo", "hi", "h", "c1", "c2", "n")
 
 
-def occurrences(data: np.ndarray, codes, window: int, anchor: int) -> tuple[np.ndarray, ...]:
-    """Of one sequence: anchor place p, first and last window start, anchor hash, two context hashes, times found here (0: found before)."""
-    parts = [_occurrences(Digests(codes(data[at : at + SEGMENT + window - 1])), at, window, anchor) for at in range(0, max(0, len(data) - window + 1), SEGMENT)]
-    if not parts:
-        return tuple(np.empty(0, np.int64) for _ in COLUMNS)
-    p, lo, hi, h, c1, c2 = map(np.concatenate, zip(*parts, strict=True))
-    key = np.empty(len(h), [("", np.uint64)] * 3)
-    key["f0"], key["f1"], key["f2"] = h, c1, c2
-    _, first, counts = np.unique(key, return_index=True, return_counts=True)
-    n = np.zeros(len(h), np.int64)
-    n[first] = counts
-    return p, lo, hi, h.view(np.int64), c1.view(np.int64), c2.view(np.int64), n
-
-
-def joined_repeats(p, lo, hi, h, c1, c2, n) -> tuple[np.ndarray, ...]:
+def occurrences(sequences: list[np.ndarray], codes, window: int, anchor: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of whole sequences at a time: which one, and COLUMNS: anchor place, first and last window start, anchor hash, two context hashes, times found there (below 0: found so often before)."""
+    pieces: list[tuple[int, int, np.ndarray]] = []
+    size = 0
+    for i, x in enumerate(sequences):
+        cuts = range(0, max(0, len(x) - window + 1), SEGMENT)
+        pieces += [(i, at, x[at : at + SEGMENT + window - 1]) for at in cuts]
+        size += len(x)
+        if size > TOGETHER and pieces:
+            yield _told(pieces, codes, window, anchor)
+            pieces, size = [], 0
+    if pieces:
+        yield _told(pieces, codes, window, anchor)
+
+
+def _told(pieces: list[tuple[int, int, np.ndarray]], codes, window: int, anchor: int) -> tuple[np.ndarray, ...]:
+    """Occurrences of the pieces (sequence, offset, symbols), those of long ones by themselves."""
+    groups: list[list[tuple[int, int, np.ndarray]]] = [[]]
+    size = 0
+    for piece in pieces:
+        size += len(piece[2])
+        if size > SEGMENT + (1 << 22):
+            groups.append([])
+            size = len(piece[2])
+        groups[-1].append(piece)
+    i, p, lo, hi, h, c1, c2 = map(np.concatenate, zip(*(_occurrences(g, codes, window, anchor) for g in groups if g), strict=True))
+    order = np.lexsort((c2, c1, h, i))
+    differs = np.ones(len(i), bool)
+    differs[1:] = np.any([x[order][1:] != x[order][:-1] for x in (i, h, c1, c2)], axis=0)
+    first = np.flatnonzero(differs)
+    counts = np.diff(np.append(first, len(i)))
+    n = np.empty(len(i), np.int64)
+    n[order] = np.repeat(first, counts) - np.arange(len(i))
+    n[order[first]] = counts
+    return i, p, lo, hi, h.view(np.int64), c1.view(np.int64), c2.view(np.int64), n
+
+
+def joined_repeats(i, p, lo, hi, h, c1, c2, n) -> tuple[np.ndarray, ...]:
     """Occurrences whose context was found before in the same text are decided; their windows become runs without hashes."""
-    again = np.flatnonzero(n == 0)
+    again = np.flatnonzero(n < 0)
     if not len(again):
-        return p, lo, hi, h, c1, c2, n
-    begin = np.flatnonzero(np.concatenate([[True], lo[again][1:] != hi[again][:-1] + 1]))
+        return i, p, lo, hi, h, c1, c2, n
+    begin = np.flatnonzero(np.concatenate([[True], (lo[again][1:] != hi[again][:-1] + 1) | (i[again][1:] != i[again][:-1])]))
     end = np.concatenate([begin[1:], [len(again)]]) - 1
-    own, zeros = np.flatnonzero(n), np.zeros(len(begin), np.int64)
+    own, zeros = np.flatnonzero(n > 0), np.zeros(len(begin), np.int64)
     p, h, c1, c2, n = (np.concatenate([x[own], zeros]) for x in (p, h, c1, c2, n))
-    return p, np.concatenate([lo[own], lo[again][begin]]), np.concatenate([hi[own], hi[again][end]]), h, c1, c2, n
+    return np.concatenate([i[own], i[again][begin]]), p, np.concatenate([lo[own], lo[again][begin]]), np.concatenate([hi[own], hi[again][end]]), h, c1, c2, n
 
 
-def _occurrences(d: Digests, offset: int, window: int, anchor: int) -> tuple[np.ndarray, ...]:
+def _occurrences(pieces: list[tuple[int, int, np.ndarray]], codes, window: int, anchor: int) -> tuple[np.ndarray, ...]:
+    lengths = np.array([len(x) for _, _, x in pieces])
+    starts = np.cumsum(lengths) - lengths
+    d = Digests(codes(np.concatenate([x for _, _, x in pieces])))
     at = np.arange(d.n - anchor + 1)
-    hashes = d.of(at, at + anchor, 0)
+    hashes = d.each(anchor)
     low = np.uint64((1 << PLACES) - 1)
     least = sliding_least((hashes & ~low) | at.astype(np.uint64), window - anchor + 1)
-    p = (least & low).astype(np.int64)
-    lo = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
-    hi = np.concatenate([lo[1:] - 1, [len(p) - 1]])
-    p = p[lo]
+    begin = np.flatnonzero(at[: d.n - window + 1] + window <= np.repeat(starts + lengths, lengths)[: d.n - window + 1])
+    p = (least[begin] & low).astype(np.int64)
+    new = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (begin[1:] != begin[:-1] + 1)]))
+    lo, hi, p = begin[new], begin[np.append(new[1:], len(begin)) - 1], p[new]
     shape = ((p - lo) << 10 | (p - hi)).astype(np.uint64)
     c1 = mixed(d.of(lo, hi + window, 0) + shape)
     c2 = mixed(d.of(lo, hi + window, 1) + shape)
-    return p + offset, lo + offset, hi + offset, hashes[p], c1, c2
+    piece = np.searchsorted(starts, lo, "right") - 1
+    which, shift = np.array([x[0] for x in pieces])[piece], np.array([x[1] for x in pieces])[piece] - starts[piece]
+    return which, p + shift, lo + shift, hi + shift, hashes[p], c1, c2
 
 
 def anchors(keyed: DataFrame) -> DataFrame:
-    """unit, row and COLUMNS: the occurrences over bytes and, each once for a text, over words."""
+    """unit, row and COLUMNS: the occurrences over bytes and over words."""
+
+    def frame(unit: int, rows: np.ndarray, i: np.ndarray, *found: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"unit": np.full(len(i), unit, np.int32), "row": rows[i]} | dict(zip(COLUMNS, found, strict=True)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out, size = [], 0
-            for row, text in zip(b["row"], b["text"], strict=True):
-                raw = np.frombuffer((text or "").encode(), np.uint8)
-                words = occurrences(word_hashes(text), word_codes, PASSAGE, PASSAGE_ANCHOR)
-                for unit, found in ((BYTES, joined_repeats(*occurrences(raw, byte_codes, WINDOW, ANCHOR))), (WORDS, tuple(x[words[-1] > 0] for x in words))):
-                    if len(found[0]):
-                        out.append(pd.DataFrame({"unit": unit, "row": [bytes(row)] * len(found[0])} | dict(zip(COLUMNS, found, strict=True))))
-                        size += len(found[0])
-                if size > 200_000:
-                    yield pd.concat(out)
-                    out, size = [], 0
-            if out:
-                yield pd.concat(out)
+            for at in range(0, len(b), 1024):
+                part = b.iloc[at : at + 1024]
+                rows = np.array([bytes(r) for r in part["row"]], object)
+                raws = [(t or "").encode() for t in part["text"]]
+                for found in occurrences([np.frombuffer(r, np.uint8) for r in raws], byte_codes, WINDOW, ANCHOR):
+                    yield frame(BYTES, rows, *joined_repeats(*found))
+                for found in occurrences(word_hashes(raws), word_codes, PASSAGE, PASSAGE_ANCHOR):
+                    # the second of equal contexts in a text is one of its own, so that each context stands in a text once
+                    *found, c2, n = found
+                    yield frame(WORDS, rows, *found, c2 + np.minimum(n, 0), np.ones(len(n), np.int64))
 
     return keyed.select("row", "text").mapInPandas(run, "unit int, row binary, p long, lo long, hi long, h long, c1 long, c2 long, n long")
 
@@ -335,13 +403,13 @@ def _tagged(d: Digests, start: np.ndarray, stop: np.ndarray, tag: np.ndarray) ->
     return [mixed(d.of(start, stop, w) ^ mixed(tag * np.uint64(0x9E3779B97F4A7C15))).view(np.int64) for w in (0, 1)]
 
 
-def _per_context(contexts: DataFrame, digests, schema: str, codes=byte_codes, kind=np.uint8) -> DataFrame:
+def _per_context(contexts: DataFrame, digests, schema: str) -> DataFrame:
     """Rows of ``digests(x, its substring hashes, nearest and farthest distance)``, a data frame, for every context x."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for at in range(0, len(b), 256):
-                yield pd.concat([digests(x, Digests(codes(np.frombuffer(bytes(x.context), kind))), x.p - x.hi, x.p - x.lo) for x in b.iloc[at : at + 256].itertuples()])
+                yield pd.concat([digests(x, Digests(byte_codes(np.frombuffer(bytes(x.context), np.uint8))), x.p - x.hi, x.p - x.lo) for x in b.iloc[at : at + 256].itertuples()])
 
     return contexts.mapInPandas(run, schema)
 
@@ -426,7 +494,7 @@ def cut_contexts(keyed: DataFrame, asked: DataFrame) -> DataFrame:
             out, size = [], 0
             for row, text, xs in zip(b["row"], b["text"], b["xs"], strict=True):
                 raw = (text or "").encode()
-                words = word_hashes(text) if any(x["unit"] == WORDS for x in xs) else None
+                words = word_hashes([raw])[0] if any(x["unit"] == WORDS for x in xs) else None
                 for x in xs:
                     lo, hi = x["lo"], x["hi"]
                     part = raw[lo : hi + WINDOW] if x["unit"] == BYTES else words[lo : hi + PASSAGE].tobytes()
@@ -443,17 +511,33 @@ def cut_contexts(keyed: DataFrame, asked: DataFrame) -> DataFrame:
     return keyed.join(xs, F.col("row") == F.col("of")).select("row", "text", "xs").mapInPandas(run, fields)
 
 
-def _passage_windows(x, d: Digests, near: int, far: int) -> pd.DataFrame:
-    o = np.arange(near, far + 1)
-    k = _tagged(d, far - o, far - o + PASSAGE, np.uint64(x.h & 0xFFFFFFFFFFFFFFFF) + o.astype(np.uint64))
-    return pd.DataFrame({"row": x.row, "lo": x.p - o, "k1": k[0], "k2": k[1], "alone": x.alone})
+def passage_windows(contexts: DataFrame) -> DataFrame:
+    """row, lo, k1, k2, alone: the digests of every word window of the contexts."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), 2048):
+                x = b.iloc[at : at + 2048]
+                words = [np.frombuffer(bytes(c), np.uint64) for c in x["context"]]
+                lengths = np.array([len(w) for w in words])
+                d, starts = Digests(word_codes(np.concatenate(words))), np.cumsum(lengths) - lengths
+                p, lo = x["p"].to_numpy(), x["lo"].to_numpy()
+                n = x["hi"].to_numpy() - lo + 1
+                of = np.repeat(np.arange(len(x)), n)
+                step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                first = starts[of] + step
+                k = _tagged(d, first, first + PASSAGE, x["h"].to_numpy().view(np.uint64)[of] + (p[of] - lo[of] - step).astype(np.uint64))
+                rows = np.array([bytes(r) for r in x["row"]], object)
+                yield pd.DataFrame({"row": rows[of], "lo": lo[of] + step, "k1": k[0], "k2": k[1], "alone": x["alone"].to_numpy()[of]})
+
+    return contexts.mapInPandas(run, "row binary, lo long, k1 long, k2 long, alone boolean")
 
 
 def shared_passages(rest: DataFrame, kinds: DataFrame, contexts: DataFrame) -> DataFrame:
     """row, lo, hi: runs of starts of word windows that another document holds: those of a shared context, and single ones of the others."""
     own = ["h", "c1", "c2"]
     shared = stage(kinds.where("times > 1").select(*own), "shared")
-    windows = stage(_per_context(contexts, _passage_windows, "row binary, lo long, k1 long, k2 long, alone boolean", word_codes, np.uint64), "passages")
+    windows = stage(passage_windows(contexts), "passages")
     held = windows.groupBy("k1", "k2").agg(F.min("row").alias("a"), F.max("row").alias("b"), F.bool_and("alone").alias("alone")).where("a != b or not alone")
     found = windows.where("alone").join(stage(held.select("k1", "k2"), "held"), ["k1", "k2"], "left_semi")
     return rest.join(shared, own, "left_semi").select("row", "lo", "hi").unionByName(found.select("row", "lo", F.col("lo").alias("hi")))
