@@ -3,9 +3,18 @@
 Rows leave their old shards for new ones so that row counts are at most one apart (law ``rows``) and the fewest bytes
 move.  Spark counts the rows and bytes of blocks, one for each old shard and power-of-two size class.  The driver
 solves the flow from blocks to new shards over these counts only: a row costs nothing where old and new shard are the
-same and the mean size of its block elsewhere.  The solution is a table of transfers (block, ranks from and to, new
-shard, first slot), and each row finds its shard and slot by its rank in its block.
-Null text has no bytes, a null id is one of its own kind, repeated rows get a slot each, an empty table gives no rows.
+same and the mean size of its block elsewhere, so bytes are least over blocks; within a block the smallest rows go.
+The solution is a table of transfers (block, ranks from and to, new shard, first slot), and each row finds its shard
+and slot by its rank in its block.  Rows are shuffled once, whole, to the task that ranks their part of a block, and
+written from there to the files of their new shards.
+
+A layout is a folder with a manifest: which folder holds each shard.  ``rewrite_layout`` writes the shards that gained
+or lost rows to a new folder, with a manifest that names the old folder for the others and leaves emptied shards out;
+the old layout stays as it was, so a run that fails can be repeated.
+
+Null text has no bytes, a null id is one of its own kind, rows that are equal in all columns are each placed and
+written, ties in size are ranked by a hash of all columns, an empty table gives no rows, and the columns of the table
+lie in a struct of their own, so their names don't matter.
 """
 
 from __future__ import annotations
@@ -17,12 +26,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stage
+from .common import cut, row_key, shared_dir
 
 OLD_SHARDS, NEW_SHARDS = 32, 40
 OVERHEAD = 16
-#: Rows of a block that are ranked by one task.
-RANKED = 200_000
+#: Rows and bytes of a block that are ranked by one task, about.
+RANKED, RANKED_BYTES = 200_000, 256 << 20
+#: Steps by size inside a class; ranks rise with them.
+STEPS = 16
 
 
 @dataclass
@@ -115,60 +126,88 @@ def plan_transfers(blocks: list[tuple[int, int, int, int]], new_shards: int) ->
     return out
 
 
-def row_key(docs: DataFrame) -> Column:
-    """128 bits of all columns, nulls apart from other values: rows of equal keys are equal."""
-    own = [x for c in docs.columns for x in (docs[c].isNull(), docs[c])]
-    return F.struct(F.xxhash64(*own), F.xxhash64(F.lit("row"), *own))
-
-
 def sized(docs: DataFrame, old_shard: Column) -> DataFrame:
+    """document (all columns), size, text_crc32, old, class."""
     text = F.coalesce(F.col("text"), F.lit(""))
     size = (F.octet_length(text) + OVERHEAD).cast("long")
-    return docs.select("doc_id", row_key(docs).alias("row_key"), size.alias("size"), F.crc32(text).alias("text_crc32"), old_shard.cast("int").alias("old"), F.floor(F.log2(size)).cast("int").alias("class"))
+    return docs.select(F.struct(*docs.columns).alias("document"), size.alias("size"), old_shard.cast("int").alias("old"), F.floor(F.log2(size)).cast("int").alias("class"))
 
 
-def reshard(docs: DataFrame, old_shard: Column, new_shards: int = NEW_SHARDS) -> DataFrame:
-    """doc_id, row_key, size, text_crc32, old, shard, slot: a place for each row."""
+def place(docs: DataFrame, old_shard: Column, new_shards: int = NEW_SHARDS) -> tuple[DataFrame, list[int], list[int]]:
+    """document, size, old, shard, slot for each row; the numbers of the shards that gain or lose rows, and of those that have rows.
+
+    The driver gets one row for each old shard and size class.
+    """
     spark = docs.sparkSession
-    rows = stage(sized(docs, old_shard), "sizes")
-    totals = rows.groupBy("old", "class").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).collect()
-    blocks = [(r["old"], r["class"], r["n"], r["bytes"]) for r in totals]
-    parts = max([1, *(-(-b[2] // RANKED) for b in blocks)])
-    key = F.xxhash64(F.lit("rank"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text_crc32")
-    # ranks rise with size in steps of 1/16 of a class; rows of one step are dealt by hash, so no task ranks more than its part
-    step = F.floor(F.log2("size") * 16).cast("int") - 16 * F.col("class")
-    keyed = rows.withColumn("key", key).withColumn("part", step * parts + F.pmod(F.col("key"), F.lit(parts)).cast("int"))
-    counts = keyed.groupBy("old", "class", "part").agg(F.count("*").alias("n"))
+    rows = sized(docs, old_shard)
+    totals = cut(rows.groupBy("old", "class").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")))
+    blocks = [(r["old"], r["class"], r["n"], r["bytes"]) for r in totals.collect()]
+    parts = totals.select("old", "class", F.greatest(F.ceil(F.col("n") / RANKED), F.ceil(F.col("bytes") / RANKED_BYTES), F.lit(1)).alias("parts"))
+    # rows of one step are dealt to parts by hash, so no task ranks more than its part
+    step = F.floor(F.log2("size") * STEPS).cast("int") - STEPS * F.col("class")
+    keyed = rows.join(F.broadcast(parts), ["old", "class"]).withColumn("key", row_key(*[F.col("document")[c] for c in docs.columns]))
+    keyed = keyed.withColumn("part", step * F.col("parts") + F.pmod(F.xxhash64("key"), F.col("parts"))).drop("parts")
+    own = ["old", "class", "part"]
+    counts = keyed.groupBy(*own).agg(F.count("*").alias("n"))
     before = Window.partitionBy("old", "class").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("old", "class", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))
-    within = Window.partitionBy("old", "class", "part").orderBy("key", "doc_id", "size")
-    ranked = keyed.withColumn("rank", F.row_number().over(within) - 1).join(starts, ["old", "class", "part"]).withColumn("rank", F.col("rank") + F.col("begin"))
-    transfers = spark.createDataFrame(plan_transfers(blocks, new_shards), "t_old int, t_class int, rank_from long, rank_to long, shard int, first_slot long")
+    starts = cut(counts.select(*own, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin")))
+    ranked = keyed.withColumn("rank", F.row_number().over(Window.partitionBy(*own).orderBy("key")) - 1).join(starts, own).withColumn("rank", F.col("rank") + F.col("begin"))
+    plan = plan_transfers(blocks, new_shards)
+    transfers = spark.createDataFrame(plan, "t_old int, t_class int, rank_from long, rank_to long, shard int, first_slot long")
     here = (F.col("old") == F.col("t_old")) & (F.col("class") == F.col("t_class")) & (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to"))
     # at most one transfer for each block and two for each shard: a few thousand rows whatever the input
     placed = ranked.join(F.broadcast(transfers), here)
-    return placed.select("doc_id", "row_key", "size", "text_crc32", "old", "shard", (F.col("first_slot") + F.col("rank") - F.col("rank_from")).alias("slot"))
+    touched = sorted({x for old, *_, shard, _ in plan if old != shard for x in (old, shard)})
+    return placed.select("document", "size", "old", "shard", (F.col("first_slot") + F.col("rank") - F.col("rank_from")).alias("slot")), touched, sorted({t[4] for t in plan})
 
 
 def hashed_layout(shards: int = OLD_SHARDS) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(shards))
 
 
-def reshard_documents(docs: DataFrame) -> DataFrame:
-    """The placement of every row.  The new shards are written to a folder of their own in the shared folder, as the old layout has no files that could stay."""
-    placed = stage(reshard(docs, hashed_layout()), "placement")
-    rewrite_shards(docs, placed, f"{shared_dir(docs.sparkSession)}/noteloom/shards-{uuid.uuid4().hex}", every=True)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("old").alias("old_shard"))
+def _write(placed: DataFrame, folder: str, written: list[int], stay: list[tuple[int, str]]) -> None:
+    """Rows under shard=N, then the manifest: (shard, folder) of the shards written here and those that stay elsewhere."""
+    spark = placed.sparkSession
+    placed.write.option("compression", "zstd").partitionBy("shard").parquet(f"{folder}/rows")
+    spark.createDataFrame([], placed.schema).coalesce(1).write.parquet(f"{folder}/none")
+    spark.createDataFrame([(n, folder) for n in written] + stay, "shard int, folder string").coalesce(1).write.parquet(f"{folder}/manifest")
 
 
-def rewrite_shards(docs: DataFrame, placed: DataFrame, path: str, every: bool = False) -> list[int]:
-    """Writes the shards that gained or lost rows, or every one, to ``path`` as shard=N folders, one overwrite each; the others' files stay.  Returns their numbers.
+def write_layout(docs: DataFrame, folder: str, old_shard: Column, new_shards: int = NEW_SHARDS) -> None:
+    """A first layout of ``docs``: every shard is written; ``old_shard`` is where a row counts as coming from."""
+    placed, _, filled = place(docs, old_shard, new_shards)
+    _write(placed, folder, filled, [])
 
-    Places find their rows by all columns: equal rows are read once and written as often as they have places.
-    """
-    changed = placed if every else placed.where("old != shard")
-    touched = sorted({r[0] for r in changed.select(F.explode(F.array("old", "shard"))).distinct().collect()})
-    once = docs.groupBy(row_key(docs).alias("row_key")).agg(F.first(F.struct(*docs.columns)).alias("whole"))
-    rows = placed.where(F.col("shard").isin(touched)).select("row_key", "shard", "slot").join(once, "row_key").select("whole.*", "shard", "slot")
-    rows.repartition("shard", F.floor(F.col("slot") / RANKED)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+
+def rewrite_layout(spark, folder: str, new_folder: str, new_shards: int) -> list[int]:
+    """Reshards the layout in ``folder`` to ``new_folder``: only shards that gain or lose rows are written.  Returns their numbers."""
+    now = read_layout(spark, folder)
+    inner = now.select("document.*").columns
+    placed, touched, filled = place(now.select(*[F.col("document")[c].alias(c) for c in inner], F.col("shard").alias("shard__at")), F.col("shard__at"), new_shards)
+    placed = placed.withColumn("document", F.struct(*[F.col("document")[c].alias(c) for c in inner]))
+    stay = [(r["shard"], r["folder"]) for r in spark.read.parquet(f"{folder}/manifest").collect() if r["shard"] not in touched]
+    _write(placed.where(F.col("shard").isin(touched)), new_folder, [n for n in filled if n in touched], stay)
     return touched
+
+
+def read_layout(spark, folder: str) -> DataFrame:
+    """document, size, old, slot, shard of every row of a layout; its manifest has a row for each shard."""
+    out = spark.read.parquet(f"{folder}/none")
+    places = spark.read.parquet(f"{folder}/manifest").collect()
+    for at in sorted({r["folder"] for r in places}):
+        own = [r["shard"] for r in places if r["folder"] == at]
+        out = out.unionByName(spark.read.parquet(f"{at}/rows").where(F.col("shard").isin(own)))
+    return out
+
+
+def reshard_documents(docs: DataFrame) -> DataFrame:
+    """Moves all rows from 32 shards by hash of the id to 40 and returns their places, read back from the new shards' files.
+
+    The old layout has no files, so every shard is written, to a folder of its own in the shared folder.
+    """
+    folder = f"{shared_dir(docs.sparkSession)}/noteloom/shards-{uuid.uuid4().hex}"
+    write_layout(docs, folder, hashed_layout())
+    text = F.coalesce(F.col("document.text"), F.lit(""))
+    return read_layout(docs.sparkSession, folder).select(
+        "document.doc_id", "size", F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("old").alias("old_shard")
+    )
