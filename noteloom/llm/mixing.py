@@ -4,9 +4,11 @@ Source token shares are raised to an exponent and normalised.  The exponent is b
 target entropy, or as far as the repetition limit allows.  The budget is the smallest that uses every document once,
 so that the source which gains least has one epoch and no other more than the limit.  Weights are realised in blocks:
 each source's documents are hashed to blocks; whole epochs take all blocks in an order of their own, the last, partial
-epoch takes blocks in its order until the source's budget is met and cuts the block at the limit by documents.
+epoch takes blocks in its order until the source's budget is met and cuts the block at the limit by documents.  The
+blocks of a source are summed in ranges of their order first, so that no task orders all blocks of a large source.
 Null text and texts without words count as one token, a null source is one of its own, repeated rows are each drawn as
-their equals, an empty table gives no rows.
+their equals, ties in the order go by block or row key, an empty table gives no rows, and other columns, whatever their
+names, play no part.
 """
 
 from __future__ import annotations
@@ -16,45 +18,50 @@ from math import log
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, stage
+from .common import cut, row_key, stage
 
 SEED = 20
 BLOCK_TOKENS = 200_000
-ENTROPY_SHARE = 0.97
+ENTROPY_SHARE = 0.999
 REPETITION_LIMIT = 2.0
 #: Sources up to which the plan, five numbers each, is broadcast.
 SOURCES = 100_000
-#: Exponents tried at a time, and times.
-GRID, ROUNDS = 32, 5
+#: Halvings of the exponent's interval.
+STEPS = 24
+#: Leading bits of a block's place in the order; blocks are summed by these first.
+RANGE_BITS = 10
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
     tokens = F.greatest(F.lit(1), F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+")))
-    return docs.select("doc_id", F.coalesce(F.col("source"), F.lit("")).alias("source"), tokens.cast("long").alias("tokens"), F.xxhash64("doc_id", "source", "text").alias("row"))
+    return docs.select("doc_id", F.coalesce(F.col("source"), F.lit("")).alias("source"), tokens.cast("long").alias("tokens"), row_key(F.col("doc_id"), F.col("source"), F.col("text")).alias("row"))
 
 
-def mixture(totals: DataFrame, tau: list[float]) -> list[tuple[float, float]]:
-    """Entropy and largest number of epochs at each exponent; one pass over the sources' shares."""
-    aggregates = [F.min("share").alias("least"), F.max("share").alias("most")]
-    for i, t in enumerate(tau):
-        power = F.pow("share", F.lit(t))
-        aggregates += [F.sum(power).alias(f"z{i}"), F.sum(power * F.log("share")).alias(f"w{i}")]
-    r = totals.agg(*aggregates).first()
-    return [(log(r[f"z{i}"]) - t * r[f"w{i}"] / r[f"z{i}"], (r["least"] / r["most"]) ** (t - 1)) for i, t in enumerate(tau)]
+def mixture(totals: DataFrame, tau: float) -> tuple[float, float]:
+    """Entropy and largest number of epochs at an exponent; one pass over the sources' shares."""
+    power = F.pow("share", F.lit(tau))
+    r = totals.agg(F.min("share").alias("least"), F.max("share").alias("most"), F.sum(power).alias("z"), F.sum(power * F.log("share")).alias("w")).first()
+    return log(r["z"]) - tau * r["w"] / r["z"], (r["least"] / r["most"]) ** (tau - 1)
 
 
 def exponent(totals: DataFrame, sources: int, entropy_share: float, limit: float) -> float:
-    """The largest exponent in [0, 1] that reaches ``entropy_share`` of the greatest entropy, raised where the limit demands it."""
+    """The largest exponent in [0, 1] that reaches ``entropy_share`` of the greatest entropy, raised where the limit demands it.
+
+    Entropy and epochs both fall as the exponent rises, so an exponent is too small if its epochs pass the limit, else
+    too large if its entropy misses the target.
+    """
+
+    def fits(tau: float) -> bool:
+        entropy, epochs = mixture(totals, tau)
+        return epochs > limit or entropy >= entropy_share * log(max(2, sources))
+
     low, high = 0.0, 1.0
-    for _ in range(ROUNDS):
-        tau = [low + (high - low) * i / (GRID - 1) for i in range(GRID)]
-        known = mixture(totals, tau)
-        allowed = [t for t, (_, epochs) in zip(tau, known, strict=True) if epochs <= limit]
-        level = [t for t, (h, _) in zip(tau, known, strict=True) if h >= entropy_share * log(max(2, sources))]
-        goal = max(level[-1] if level else low, allowed[0] if allowed else high)
-        step = (high - low) / (GRID - 1)
-        low, high = max(0.0, goal - step), min(1.0, goal + step)
-    return goal
+    if fits(high):
+        return high
+    for _ in range(STEPS):
+        middle = (low + high) / 2
+        low, high = (middle, high) if fits(middle) else (low, middle)
+    return low if mixture(totals, low)[1] <= limit else high
 
 
 def copies(docs: DataFrame, entropy_share: float = ENTROPY_SHARE, limit: float = REPETITION_LIMIT) -> DataFrame:
@@ -79,8 +86,11 @@ def copies(docs: DataFrame, entropy_share: float = ENTROPY_SHARE, limit: float =
         plan = F.broadcast(plan)
     blocked = rows.join(plan, "source").withColumn("block", F.pmod(F.xxhash64(F.lit(SEED), "row"), F.col("blocks")))
     sizes = blocked.groupBy("source", "block").agg(F.sum("tokens").alias("size"), F.first("partial").alias("budget"), F.first("whole").alias("epoch"))
-    order = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(SEED), "epoch", "block"), "block")
-    filled = sizes.select("source", "block", (F.col("budget") - (F.sum("size").over(order) - F.col("size"))).alias("left"), "size")
+    sizes = stage(sizes.withColumn("order", F.xxhash64(F.lit(SEED), "epoch", "block")).withColumn("range", F.shiftrightunsigned("order", 64 - RANGE_BITS)), "blocks")
+    earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = sizes.groupBy("source", "range").agg(F.sum("size").alias("sum")).select("source", "range", F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("before"))
+    inside_range = Window.partitionBy("source", "range").orderBy("order", "block")
+    filled = sizes.join(cut(ranges), ["source", "range"]).select("source", "block", (F.col("budget") - F.col("before") - (F.sum("size").over(inside_range) - F.col("size"))).alias("left"), "size")
     left = blocked.join(filled, ["source", "block"])
     at_limit = (F.col("left") > 0) & (F.col("left") < F.col("size"))
     inside = Window.partitionBy("source", "block").orderBy(F.xxhash64(F.lit(SEED), "whole", "row"), "row")
@@ -101,7 +111,7 @@ def mix(docs: DataFrame, entropy_share: float = ENTROPY_SHARE, limit: float = RE
 
 def mix_documents(docs: DataFrame, entropy_share: float = ENTROPY_SHARE, limit: float = REPETITION_LIMIT) -> DataFrame:
     """The rows of ``docs``, each as often as the mixture draws it."""
-    counts = copies(docs, entropy_share, limit).groupBy(F.col("row").alias("of_row")).agg(F.min("copies").alias("copies__"))
-    keyed = docs.withColumn("row_key__", F.xxhash64("doc_id", "source", "text"))
-    drawn = keyed.join(counts, F.col("row_key__") == F.col("of_row"))
-    return drawn.withColumn("draw__", F.explode(F.sequence(F.lit(1), F.col("copies__")))).select(*docs.columns)
+    counts = stage(copies(docs, entropy_share, limit).groupBy("row").agg(F.min("copies").alias("copies")), "draws")
+    keyed = docs.select(F.struct(*docs.columns).alias("document"), row_key(docs["doc_id"], docs["source"], docs["text"]).alias("row"))
+    drawn = keyed.join(counts, "row")
+    return drawn.select("document", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("document.*")

@@ -3,8 +3,10 @@
 ``encode`` stores text as unsigned 8-bit samples in an Ogg physical stream with two logical streams: the samples
 and an index that carries length and CRC-32 of every sample packet.  ``demultiplex`` verifies page checksums,
 rebuilds packets from lacing values, separates logical streams by serial number and derives timestamps from
-granule positions.  Null text counts as empty, empty text becomes one block of 192 spaces; a null media value gives
-no stream; damaged pages are dropped and counted and a packet that loses a page is counted as lost.
+granule positions.  Null text counts as empty, empty text becomes one block of 192 spaces.  Damaged pages are dropped
+and counted and a packet that loses a page is counted as lost; where the samples can't be rebuilt whole the payload's
+columns are null, and so they are for null, empty and foreign media.  Repeated rows are coded each, equally; an empty
+table gives no rows; other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -116,6 +118,8 @@ def read_ogg(media: bytes) -> dict[int, LogicalStream]:
         if not whole or page_checksum(page[:22] + b"\0\0\0\0" + page[26:]) != crc:
             if serial in streams:
                 streams[serial].damaged += 1
+            elif streams:
+                next(iter(streams.values())).damaged += 1
             at = media.find(b"OggS", at + 4)
             continue
         s = streams.setdefault(serial, LogicalStream(serial))
@@ -171,52 +175,57 @@ def encode(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select("doc_id", F.col(text).alias("text")).mapInPandas(run, f"doc_id {kind}, media binary")
 
 
-def _payload(media: bytes) -> tuple[bytes, int, LogicalStream, LogicalStream, int]:
-    streams = read_ogg(media)
-    samples = next(s for s in streams.values() if s.packets and s.packets[0][:8] == PCM_ID)
-    index = next(s for s in streams.values() if s.packets and s.packets[0][:8] == INDEX_ID)
+def _payload(streams: dict[int, LogicalStream]) -> tuple[bytes, int, LogicalStream] | None:
+    """Samples, length without filling and the sample stream; None unless every packet agrees with the index."""
+    kind = lambda name: next((s for s in streams.values() if s.packets and s.packets[0][:8] == name), None)
+    samples, index = kind(PCM_ID), kind(INDEX_ID)
+    if samples is None or index is None or len(index.packets[0]) < 24:
+        return None
     length, size = struct.unpack_from("<QQ", index.packets[0], 8)
     payload = b"".join(samples.packets[1:])
-    expected = [struct.unpack("<II", p) for p in index.packets[1:]]
-    bad = sum((len(p), zlib.crc32(p)) != e for p, e in zip(samples.packets[1:], expected, strict=True))
-    if bad or len(payload) != size:
-        raise ValueError(f"damaged sample stream: {bad} packets, {len(payload)} of {size} bytes")
-    return payload, length, samples, index, len(streams)
+    if len(payload) != size or [struct.pack("<II", len(p), zlib.crc32(p)) for p in samples.packets[1:]] != index.packets[1:]:
+        return None
+    return payload, length, samples
 
 
 def decode(media: DataFrame) -> DataFrame:
-    """Reads ``media`` back: payload digests, stored form's digests and features of samples and container."""
-
-    def row(doc_id, stored: bytes) -> tuple:
-        payload, length, samples, index, n = _payload(stored)
+    """Reads ``media`` back: payload digests, stored form's digests and features of samples and container, one row for each row."""
+    digest = hashlib.sha256
+
+    def row(doc_id, stored: bytes | None) -> tuple:
+        if stored is None:
+            return (doc_id, *[None] * 8, 0, 0)
+        streams = read_ogg(stored)
+        faults = sum(s.damaged for s in streams.values()), sum(s.lost for s in streams.values())
+        found = _payload(streams)
+        if found is None:
+            return (doc_id, *[None] * 4, len(stored), digest(stored).hexdigest(), None, None, *faults)
+        payload, length, samples = found
         x = np.frombuffer(payload, np.uint8)
         times = timestamps(samples, RATE, 1)
         centred = x.astype(np.int64) - 128
         crossings = int(np.count_nonzero((centred[1:] >= 0) != (centred[:-1] >= 0)))
         rms = float(np.sqrt(np.mean(centred * centred)))
         feature = (
-            f"streams={n};pages={samples.pages + index.pages};packets={len(samples.packets) - 1};end={times[-1]:.6f};"
+            f"streams={len(streams)};pages={sum(s.pages for s in streams.values())};packets={len(samples.packets) - 1};end={times[-1]:.6f};"
             f"mean={x.mean():.4f};rms={rms:.4f};crossings={crossings};distinct={np.count_nonzero(np.bincount(x))}"
         )
-        digest = hashlib.sha256
-        return (
-            doc_id, length, len(payload), digest(payload).hexdigest(), zlib.crc32(payload[-16:]),
-            len(stored), digest(stored).hexdigest(), feature, times[-1], samples.damaged + index.damaged,
-        )
+        return (doc_id, length, len(payload), digest(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), digest(stored).hexdigest(), feature, times[-1], *faults)
 
     kind = media.schema["doc_id"].dataType.simpleString()
     fields = (
         f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
-        "media_sha256 string, feature string, end_s double, damaged_pages long"
+        "media_sha256 string, feature string, end_s double, damaged_pages long, lost_packets long"
     )
     names = [x.split()[0] for x in fields.split(", ")]
+    whole = {x.split()[0]: "Int64" for x in fields.split(", ")[1:] if x.endswith("long")}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [row(i, bytes(m)) for i, m in zip(b["doc_id"], b["media"], strict=True) if m is not None]
-            yield pd.DataFrame(rows, columns=names)
+            rows = [row(i, None if m is None else bytes(m)) for i, m in zip(b["doc_id"], b["media"], strict=True)]
+            yield pd.DataFrame(rows, columns=names).astype(whole | {"end_s": "float64"})
 
-    return media.mapInPandas(run, fields)
+    return media.select("doc_id", "media").mapInPandas(run, fields)
 
 
 def demultiplex(media: DataFrame) -> DataFrame:
@@ -236,7 +245,7 @@ def demultiplex(media: DataFrame) -> DataFrame:
             out = pd.DataFrame(rows, columns=["doc_id", "serial", "packet", "data", "granule", "pages", "damaged", "lost"])
             yield out.astype({"granule": "Int64"})
 
-    return media.mapInPandas(run, schema)
+    return media.select("doc_id", "media").mapInPandas(run, schema)
 
 
 def media_digest(docs: DataFrame) -> DataFrame:

@@ -4,7 +4,8 @@ Every text gives a vector of statistics (null and empty texts: those of no words
 sum and outer-product sums per class, added up by Spark.  Each class covariance is shrunk towards the pooled one with
 weight d / (n + d) and then towards its mean variance; the Cholesky factors are made once and reused for all
 documents.  The score is the logistic function of the difference in log density plus log prior, divided by the number
-of statistics, which keeps order and the 0.5 threshold.  Conflicting labels of one id count by their mean, null labels
+of statistics: this keeps order and the 0.5 threshold and holds scores apart that would all round to 0 or 1, but scores
+aren't posteriors.  Conflicting labels of one id count by their mean, null labels
 and ids don't train, and without both classes every score is 0.5.  Repeated rows and extra columns change nothing.
 """
 
@@ -71,11 +72,11 @@ def held_out_column():
 
 @dataclass(frozen=True)
 class Discriminant:
-    """Standardisation, and by class: mean, Cholesky factor, log determinant and log prior."""
+    """Standardisation, and by class: mean, Cholesky factor, its inverse (made once, as it whitens every document), log determinant and log prior."""
 
     centre: np.ndarray
     scale: np.ndarray
-    classes: tuple[tuple[np.ndarray, np.ndarray, float, float], ...]
+    classes: tuple[tuple[np.ndarray, np.ndarray, np.ndarray, float, float], ...]
 
     @staticmethod
     def fit(moments: dict[int, np.ndarray]) -> Discriminant | None:
@@ -98,14 +99,14 @@ class Discriminant:
             cov = (1 - lean) * scatter[k] / sizes[k] + lean * pooled
             cov = (1 - RIDGE) * cov + RIDGE * max(np.trace(cov) / d, 1e-3) * np.eye(d)
             factor = np.linalg.cholesky(cov)
-            classes.append((means[k], factor, 2 * float(np.log(np.diag(factor)).sum()), float(np.log(sizes[k] / total[0, 0]))))
+            classes.append((means[k], factor, np.linalg.inv(factor), 2 * float(np.log(np.diag(factor)).sum()), float(np.log(sizes[k] / total[0, 0]))))
         return Discriminant(centre, scale, tuple(classes))
 
     def log_ratio(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.centre) / self.scale, -CLIP, CLIP)
         out = []
-        for mean, factor, log_det, log_prior in self.classes:
-            distance = (np.linalg.solve(factor, (z - mean).T) ** 2).sum(axis=0)
+        for mean, _, whiten, log_det, log_prior in self.classes:
+            distance = ((z - mean) @ whiten.T) ** 2 @ np.ones(z.shape[1])
             out.append(log_prior - 0.5 * (distance + log_det))
         return (out[1] - out[0]) / z.shape[1]
 

@@ -2,10 +2,12 @@
 
 Every text gives spans of base kinds (assign, access, hex) and of added kinds (mixed: long tokens with digits and both
 letter cases; pem: private key headers).  Candidate values are hashed and counted over all documents by distinct
-repositories and owners: a value that many owners hold is a copied example, one of few owners that doesn't look
-repetitive is live.  Mixed tokens count as spans only if live; base spans and key headers always do.
+repositories and owners.  A value of one owner is live however many repositories of that owner hold it; one of several
+owners is a copied example if they are many, or if it spread over many repositories; values that look repetitive are
+never live.  Mixed tokens count as spans only if live; base spans and key headers always do.
 Null text counts as empty and gives no spans; a null repository or owner is one of its own; repeated rows each get the
-same verdict and count once; spans are code points, end exclusive.
+same verdict and count once; spans are code points, end exclusive, ordered by start, then kind; an empty table gives no
+rows; other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import row_key, stage
 
 # Kinds in the order in which they are listed, and their patterns.
 KINDS = ("assign", "access", "hex", "mixed", "pem")
@@ -27,8 +29,9 @@ HEX = "[0-9a-f]{16,}"
 MIXED = "[A-Za-z0-9+/_-]{20,}"
 PEM = "-----BEGIN [A-Z ]*PRIVATE KEY-----"
 ASSIGN_LEAST = 12
-#: Owners from which on a value is an example; different characters a live value has.
+#: Owners from which on a value is an example; repositories from which on one of several owners is; different characters a live value has.
 EXAMPLE_OWNERS = 3
+EXAMPLE_REPOSITORIES = 5
 LIVE_CHARACTERS = 8
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 MASK = "[SECRET]"
@@ -71,7 +74,7 @@ def scan(docs: DataFrame, repository: Column, owner: Column) -> DataFrame:
     """row, doc_id, repository, owner, spans: the candidates of each text."""
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(
-        F.xxhash64("doc_id", repository, owner, text).alias("row"), "doc_id",
+        row_key(F.col("doc_id"), repository, owner, text).alias("row"), "doc_id",
         F.coalesce(repository, F.lit("")).alias("repository"), F.coalesce(owner, F.lit("")).alias("owner"), candidates(text).alias("spans"),
     )
 
@@ -90,8 +93,9 @@ def verdicts(docs: DataFrame, repository: Column, owner: Column) -> DataFrame:
     """row, doc_id, all_spans: every candidate with owners, repositories and live; one row for each row of ``docs``."""
     scanned = stage(scan(docs, repository, owner), "secrets")
     single = scanned.where(F.size("spans") > 0).select("row", F.explode("spans").alias("s")).distinct()
-    known = single.select("row", "s", F.sha2(F.col("s.value"), 256).alias("value_hash")).join(ownership(scanned), "value_hash")
-    live = (F.col("owners") < EXAMPLE_OWNERS) & (F.size(F.array_distinct(F.split(F.col("s.value"), ""))) >= LIVE_CHARACTERS)
+    known = single.select("row", "s", F.sha2(F.col("s.value"), 256).alias("value_hash")).join(stage(ownership(scanned), "owners"), "value_hash")
+    example = (F.col("owners") >= EXAMPLE_OWNERS) | ((F.col("owners") > 1) & (F.col("repositories") >= EXAMPLE_REPOSITORIES))
+    live = ~example & (F.size(F.array_distinct(F.split(F.col("s.value"), ""))) >= LIVE_CHARACTERS)
     judged = known.select("row", F.struct("s.start", "s.kind", "s.end", "owners", "repositories", live.alias("live")).alias("span"))
     per_row = judged.groupBy(F.col("row").alias("of")).agg(F.array_sort(F.collect_list("span")).alias("spans"))
     none = F.array().cast(per_row.schema["spans"].dataType)
@@ -121,22 +125,23 @@ def secret_spans(docs: DataFrame, repository: Column, owner: Column) -> DataFram
 
 def redact(docs: DataFrame, repository: Column, owner: Column) -> DataFrame:
     """The rows of ``docs`` with every live span replaced by a mask; n_chars follows.  Examples that many owners copy stay."""
-    live = verdicts(docs, repository, owner).select("row", F.filter("all_spans", lambda s: s["live"]).alias("live_spans")).where(F.size("live_spans") > 0).dropDuplicates(["row"])
-    key = F.xxhash64("doc_id", repository, owner, F.coalesce(F.col("text"), F.lit("")))
-    joined = docs.withColumn("row_key__", key).join(live, F.col("row_key__") == live["row"], "left")
+    live = verdicts(docs, repository, owner).select("row", F.filter("all_spans", lambda s: s["live"]).alias("live")).where(F.size("live") > 0).dropDuplicates(["row"])
+    key = row_key(F.col("doc_id"), repository, owner, F.coalesce(F.col("text"), F.lit("")))
+    joined = docs.select(F.struct(*docs.columns).alias("document"), key.alias("row")).join(stage(live, "live"), "row", "left")
+    text = F.col("document.text")
 
     def step(state: Column, x: Column) -> Column:
         fresh = x["start"] >= state["at"]
-        part = F.substr(F.col("text"), state["at"] + 1, x["start"] - state["at"])
+        part = F.substr(text, state["at"] + 1, x["start"] - state["at"])
         return F.struct(F.greatest(state["at"], x["end"]).alias("at"), F.when(fresh, F.concat(state["out"], part, F.lit(MASK))).otherwise(state["out"]).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    rest = F.aggregate("live_spans", start, step, lambda s: F.concat(s["out"], F.substr(F.col("text"), s["at"] + 1, F.length("text"))))
-    masked = F.when(F.col("live_spans").isNotNull(), rest).otherwise(F.col("text"))
-    out = joined.select(*[(masked if c == "text" else F.col(c)).alias(c) for c in docs.columns], F.col("live_spans").isNotNull().alias("changed__"))
+    rest = F.aggregate("live", start, step, lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1, F.length(text))))
+    masked = joined.select("document", F.col("live").isNotNull().alias("changed"), F.when(F.col("live").isNotNull(), rest).otherwise(text).alias("masked"))
+    new = {"text": F.col("masked")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("changed__"), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("changed"), F.length("masked")).otherwise(F.col("document.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return masked.select(*[new.get(c, F.col("document")[c]).alias(c) for c in docs.columns])
 
 
 def oracle(repository: str, owner: str) -> str:
@@ -156,8 +161,8 @@ def oracle(repository: str, owner: str) -> str:
     line = f"{names} || ':' || start || ':' || (start + length(match))"
     return f"""WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, coalesce({repository}, '') AS repository, coalesce({owner}, '') AS owner FROM documents),
 c AS ({' UNION ALL '.join(parts)}),
-held AS (SELECT value, count(DISTINCT owner) AS owners FROM c GROUP BY value),
-s AS (SELECT c.*, owners, owners < {EXAMPLE_OWNERS} AND len(list_distinct(string_split(value, ''))) >= {LIVE_CHARACTERS} AS live FROM c JOIN held USING (value)),
+held AS (SELECT value, count(DISTINCT owner) AS owners, count(DISTINCT repository) AS repositories FROM c GROUP BY value),
+s AS (SELECT c.*, owners, owners < {EXAMPLE_OWNERS} AND NOT (owners > 1 AND repositories >= {EXAMPLE_REPOSITORIES}) AND len(list_distinct(string_split(value, ''))) >= {LIVE_CHARACTERS} AS live FROM c JOIN held USING (value)),
 k AS (SELECT * FROM s WHERE kind <> 3 OR live),
 g AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
  coalesce(string_agg({line}, ',' ORDER BY start, kind) FILTER (kind <= 2), '') AS base, string_agg({line}, ',' ORDER BY start, kind) AS spans,

@@ -6,6 +6,8 @@ radius-two ball (every unordered pair once), and survivors are verified by the e
 Only distinct fingerprints are joined, so copies cost nothing; components come from alternating star contraction.
 Null text counts as empty; texts without words have fingerprint zero and link like any other.  Rows with equal
 fingerprints share a component whatever their ids; a component whose ids are all null has a null component_id.
+Repeated rows get equal results, of a component the smallest id stays and of rows that share it one, an empty table gives
+no rows, and other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, stage
+from .common import cut, row_key, stage
 
 SEED = 42
 SHINGLE = 3
@@ -48,7 +50,7 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """row (a key of id and text), doc_id, fp: the 64 bits as a signed number."""
+    """row (a key of id and text, null apart from any text), doc_id, fp: the 64 bits as a signed number."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -56,7 +58,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame({"row": b["row"], "doc_id": b["doc_id"], "fp": fps})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text").mapInPandas(run, f"row long, doc_id {kind}, fp long")
+    return docs.select(row_key(F.col("doc_id"), F.col("text")).alias("row"), "doc_id", "text").mapInPandas(run, f"row binary, doc_id {kind}, fp long")
 
 
 def cell(fp: Column, segments: int) -> Column:
@@ -118,10 +120,11 @@ def cluster(docs: DataFrame) -> DataFrame:
     segments = next(m for m, most in SEGMENTS if n <= most)
     roots = components(cut(links(distinct.select("fp"), segments)))
     named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "lowest", F.coalesce("root", "fp").alias("root"), F.col("root").isNotNull().alias("linked"))
-    members = named.where("linked").select("root").distinct().withColumn("hub", F.lit(True))
+    members = cut(named.where("linked").select("root").distinct().withColumn("hub", F.lit(True)))
     grouped = named.join(members, "root", "left").withColumn("linked", F.col("linked") | F.coalesce("hub", F.lit(False)))
-    ids = grouped.where("linked").groupBy("root").agg(F.min("lowest").alias("id"))
-    final = grouped.join(ids, "root", "left").select("fp", "root", F.coalesce("id", "lowest").alias("component_id"))
+    grouped = stage(grouped.select("fp", "lowest", "root", "linked"), "named")
+    ids = cut(grouped.where("linked").groupBy("root").agg(F.min("lowest").alias("id")))
+    final = cut(grouped.join(ids, "root", "left").select("fp", "root", F.coalesce("id", "lowest").alias("component_id")))
     return prints.join(final, "fp").select("row", "doc_id", "fp", "root", "component_id")
 
 
@@ -133,9 +136,10 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: one document of each component, the one with the smallest id (null ids last)."""
     rows = stage(cluster(docs).select("row", "doc_id", "root"), "components")
     groups = rows.groupBy("root").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("keep")).where("n > 1")
-    gone = stage(rows.join(groups.select("root", F.col("keep.row").alias("keep")), "root").where("row != keep").select(F.col("row").alias("gone")).distinct(), "duplicates")
-    key = F.xxhash64("doc_id", "text")
-    stay = docs.join(gone, key == gone["gone"], "left_anti")
-    if rows.groupBy("row").count().where("count > 1").isEmpty():
-        return stay
-    return stay.withColumn("row_key__", F.xxhash64("doc_id", "text")).dropDuplicates(["row_key__"]).drop("row_key__")
+    groups = cut(groups.select("root", F.col("keep.row").alias("keep")))
+    gone = stage(rows.join(groups, "root").where("row != keep").select(F.col("row").alias("gone")).distinct(), "duplicates")
+    keyed = docs.select(F.struct(*docs.columns).alias("document"), row_key(docs["doc_id"], docs["text"]).alias("key"))
+    stay = keyed.join(gone, keyed["key"] == gone["gone"], "left_anti")
+    if not rows.groupBy("row").count().where("count > 1").isEmpty():
+        stay = stay.dropDuplicates(["key"])
+    return stay.select("document.*")

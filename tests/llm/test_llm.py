@@ -74,7 +74,7 @@ def test_quality_densities():
     model = quality.Discriminant.fit({k: v.T @ v for k, v in one.items()})
     z = (x[0][:5] - model.centre) / model.scale
     direct = []
-    for mean, factor, _, prior in model.classes:
+    for mean, factor, _, _, prior in model.classes:
         cov = factor @ factor.T
         direct.append(prior - 0.5 * (np.einsum("ij,jk,ik->i", z - mean, np.linalg.inv(cov), z - mean) + np.linalg.slogdet(cov)[1]))
     assert np.allclose(model.log_ratio(x[0][:5]), (direct[1] - direct[0]) / z.shape[1])
@@ -126,6 +126,21 @@ def test_media_pages():
     assert sum(s.damaged for s in ogg.read_ogg(bytes(hurt)).values()) == 1 and sum(s.lost for s in ogg.read_ogg(bytes(hurt)).values()) >= 1
 
 
+def test_media_with_faults(spark):
+    texts = ["", "a b", "word " * 9000]
+    whole = [ogg.write_ogg(*ogg.pad(t)) for t in texts]
+    hurt = bytearray(whole[2])
+    hurt[len(hurt) // 2] ^= 1
+    rows = [(0, whole[0]), (1, whole[2]), (1, bytes(hurt)), (2, b""), (3, b"OggS junk"), (4, None), (None, whole[1]), (5, whole[2][:-300])]
+    table = spark.createDataFrame(rows, "doc_id long, media binary").withColumn("n_bytes", F.lit("clash"))
+    got = {(r.doc_id, r.media_sha256): r for r in ogg.decode(table).collect()}
+    at = lambda i, m: got[i, None if m is None else hashlib.sha256(m).hexdigest()]
+    assert len(got) == len(rows)
+    assert [at(i, m).n_bytes for i, m in rows] == [0, 45_000, None, None, None, None, 3, None]
+    assert at(1, bytes(hurt)).damaged_pages == 1 and at(1, bytes(hurt)).lost_packets >= 1 and at(4, None).damaged_pages == 0 and at(1, whole[2]).damaged_pages == 0
+    assert {r.doc_id for r in ogg.demultiplex(table).collect()} == {0, 1, None, 5}
+
+
 # 3 ------------------------------------------------------------------------------------------------------------------
 
 
@@ -289,10 +304,20 @@ def test_examples_stay_and_live_secrets_go(spark):
     same, own = "examplePassw0rd99", "9f8e7d6c5b4a39281706"
     rows = [(i, f"password = {same} x", "en", f"s{i}", 0) for i in range(4)] + [(9, f"é token = {own}! token={own}", "en", "s9", 0), (10, None, None, None, None)]
     got = {r.doc_id: r for r in secrets.redact(spark.createDataFrame(rows, DOCS), *queries.holders()).collect()}
+    clash = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("x") for c in ("row", "live", "live_spans", "changed", "document", "masked")})
+    assert {r.doc_id: r.text for r in secrets.redact(clash, *queries.holders()).collect()} == {i: r.text for i, r in got.items()}
     assert got[1].text == rows[1][1] and got[10].text is None and len(got) == 6
     assert own not in got[9].text and got[9].text == "é [SECRET]! [SECRET]" and got[9].n_chars == len(got[9].text)
 
 
+def test_repositories_and_owners_tell_examples(spark):
+    values = ["9f8e7d6c5b4a3928170%d" % k for k in range(3)]
+    spread = {0: [("one", f"r{k}") for k in range(9)], 1: [("one", f"r{k}") for k in range(3)] + [("two", f"r{k}") for k in range(4, 7)], 2: [("one", "r0"), ("two", "r1")]}
+    rows = [(9 * k + i, f"token={values[k]}", repo, owner, 0) for k, where in spread.items() for i, (owner, repo) in enumerate(where)]
+    got = {r.doc_id: r for r in secrets.secret_spans(spark.createDataFrame(rows, DOCS), F.concat_ws("/", "source", "lang"), F.col("source")).collect()}
+    assert [got[9 * k].n_live > 0 for k in range(3)] == [True, False, True]
+
+
 # 6 ------------------------------------------------------------------------------------------------------------------
 
 
@@ -462,6 +487,31 @@ def test_mixture(spark):
     assert len({(r.doc_id, r.epoch) for r in got}) == len(got) and one
 
 
+@pytest.mark.parametrize("share,limit", [(0.999, 2.0), (0.97, 9.0), (0.9, 9.0), (1.0, 1.2)])
+def test_exponent_and_draws(spark, share, limit):
+    """Against a plain search of the exponent over the sources' totals; entropy of what is drawn, where documents are small beside their source."""
+    rnd = random.Random(10)
+    rows = [(i, "w " * rnd.randint(1, 9), "en", "s%d" % min(4, int(rnd.expovariate(0.9))), 0) for i in range(6000)]
+    docs = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("x") for c in ("row", "tokens", "copies", "block", "draw__", "copies__", "document")}).repartition(4)
+    total = Counter()
+    for _, t, _, s, _ in rows:
+        total[s] += len(t.split())
+    p = np.array([total[s] / sum(total.values()) for s in sorted(total)])
+    q = lambda t: p**t / (p**t).sum()
+    entropy = lambda x: -(x * np.log(x)).sum()
+    grid = np.linspace(0, 1, 100_001)
+    want = max([t for t in grid if entropy(q(t)) >= share * math.log(len(p)) - 1e-12] or [0.0])
+    want = max(want, min(t for t in grid if (p.min() / p.max()) ** (t - 1) <= limit))
+    got = mixing.mix(docs, share, limit).collect()
+    drawn = Counter()
+    for r in got:
+        drawn[r.source] += r.tokens
+    x = np.array([drawn[s] / sum(drawn.values()) for s in sorted(drawn)])
+    assert abs(entropy(x) - entropy(q(want))) < 2e-3 and np.abs(x - q(want)).max() < 5e-3
+    assert len(got) > len(rows) and {r.doc_id for r in got} == {r[0] for r in rows}
+    assert mixing.mix_documents(docs, share, limit).count() == len(got)
+
+
 def test_mixture_of_nothing(spark):
     assert mixing.mix(spark.createDataFrame([], DOCS)).count() == 0 and mixing.mix_documents(spark.createDataFrame([], DOCS)).count() == 0
 
@@ -495,28 +545,25 @@ def test_flow_moves_least():
         assert moved == best and sorted(Counter(j for *_, a, b, j, _ in plan for _ in range(b - a)).values()) == sorted(x for x in room if x)
 
 
-def test_rewrite_touches_changed_shards_only(spark, docs, tmp_path):
-    clean = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    placed = reshard.reshard(clean, reshard.hashed_layout(4), 5)
-    path = f"file://{tmp_path}/shards"
-    old = placed.withColumn("shard", F.col("old"))
-    clean.join(old.select("doc_id", "shard", "slot"), "doc_id").write.partitionBy("shard").parquet(path)
-    touched = reshard.rewrite_shards(clean, placed, path)
-    assert 4 in touched
-    got = {r.doc_id: r.shard for r in spark.read.parquet(path).select("doc_id", "shard").collect()}
-    assert got == {r.doc_id: r.shard for r in placed.collect()}
-
-
-def test_rewrite_keeps_null_and_repeated_ids(spark, docs, rows, tmp_path):
+def test_rewrite_of_layouts(spark, docs, rows, tmp_path):
     odd = [(None, None, "en", "a", 1), (None, "a b c", "fr", None, 5), (None, "a b c", None, "fr", 5), (3, "a b c", "en", "s", 0), (3, None, "en", "s", 0)] * 3
-    table = docs.unionByName(spark.createDataFrame(odd, DOCS))
-    placed = reshard.reshard(table, reshard.hashed_layout(4), 5).persist()
-    path = f"file://{tmp_path}/shards"
-    assert reshard.rewrite_shards(table, placed, path, every=True) == [0, 1, 2, 3, 4]
-    reshard.rewrite_shards(table, placed, path)
-    got = spark.read.parquet(path)
-    assert many(map(tuple, got.select(*table.columns).collect())) == many([*rows, *odd])
-    assert many((r.shard, r.slot) for r in got.collect()) == many((r.shard, r.slot) for r in placed.collect())
+    table = docs.unionByName(spark.createDataFrame(odd, DOCS)).withColumn("slot", F.lit("clash")).withColumn("shard", F.lit(1))
+    every = many([*rows, *odd])
+    old = f"file://{tmp_path}/0"
+    reshard.write_layout(table, old, reshard.hashed_layout(4), 8)
+    files = lambda folder: {(r.shard, r.folder) for r in spark.read.parquet(f"{folder}/manifest").collect()}
+    for k, shards in enumerate((5, 12, 1, 3), 1):
+        new = f"file://{tmp_path}/{k}"
+        touched = reshard.rewrite_layout(spark, old, new, shards)
+        got = reshard.read_layout(spark, new).collect()
+        assert many((r.document.doc_id, r.document.text, r.document.lang, r.document.source, r.document.n_chars) for r in got) == every
+        by = defaultdict(list)
+        for r in got:
+            by[r.shard].append(r.slot)
+        assert sorted(by) == list(range(shards)) and max(map(len, by.values())) - min(map(len, by.values())) <= 1
+        assert all(sorted(by[s]) == list(range(len(by[s]))) for s in by)
+        assert {x for x in files(new) if x[0] not in touched} == {x for x in files(old) if x[0] not in touched and x[0] < shards}
+        old = new
 
 
 # all ----------------------------------------------------------------------------------------------------------------
