@@ -52,6 +52,15 @@ ORDERED_LINE = "^\\s*(?:\\d+[.、)）]|[（(][一二三四五六七八九十\\d]
 UNORDERED_LINE = "^\\s*[-•·]\\s*(.+)$"
 KEYWORD_SPLIT, KEYWORD_ITEMS, PARAGRAPHS = "[\\n、，,；;]+", "[\\n、，,；;|/]+", "\\n\\s*\\n+"
 
+# Weights and bounds of the match score and of the choice of evidence.
+TITLE_SCORE, TITLE_PART_SCORE, BODY_SCORE, SEQUENCE_FACTOR, GRAM_FACTOR = 1.0, 0.92, 0.8, 0.72, 0.68
+CHAPTER_BONUS, STRUCTURAL_FACTOR, LINK_FACTOR, FACTORS_BELOW = 0.08, 0.55, 0.75, 0.9
+SCORE_GATE, GRAM_GATE, STRICT_LENGTH, HEAD_FACTOR, HEAD_LENGTH = 0.8, 0.6, 4, 6, 160
+STRUCTURAL_LENGTH, UNNUMBERED_LENGTH, CONTENTS_WORD = 50, 16, "目录"
+PASSAGE_LENGTH, LONG_BONUS, SHORT_MALUS, DETAIL_BONUS = 50, 0.05, -0.08, 0.06
+NEW_PAGES_BONUS, SHARED_PAGES_MALUS, COVER_BONUS = 0.08, -0.12, 0.14
+DUPLICATE, DUPLICATE_ON_SHARED_PAGES, MOST_PAGES = 0.9, 0.65, 0.8
+
 # Vocabularies.
 KEYWORDS = {
     "人口人力人才的关系": ("人口资源", "人力资源", "人才资源"),

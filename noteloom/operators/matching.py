@@ -1,9 +1,12 @@
 """The similarity join of retrieval queries with chunks, and what follows from it.
 
-Every query of a project meets every chunk of it, but never as a pair of rows: the queries of a project (an outline has
-hundreds) are at hand in the task, the chunks stream past them in Arrow batches, and only accepted pairs leave the task,
-at most ``candidates`` of each query, stage and batch.  Within a task a pair is tested by containment and shared grams first; the
-sequence ratio is computed only for pairs that pass a gate and where its upper bound can raise the score.
+Queries and chunks of a project meet as rectangles: packs of a few hundred chunks beside packs of queries, both of
+bounded size, one row for each pair of packs.  Inside a rectangle everything is a matrix of queries by chunks.  Which
+grams of a pack's queries each text holds is one sparse-to-dense table; a product of it with the queries' grams counts
+the shared ones of every pair, and tells which substrings can occur at all before any is looked for.  The score is the
+greatest of independent pieces of evidence; the sequence ratio, the only one that needs a pair of strings, is computed
+for pairs that pass a gate and where its bound by length and letters exceeds the other evidence.  Only accepted pairs
+leave the task, at most ``candidates`` of each query, stage and rectangle.
 """
 
 from __future__ import annotations
@@ -12,8 +15,10 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import or_
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,10 +32,6 @@ _LINK = re.compile(C.LINK_NOISE)
 _SHORT = re.compile(C.SHORT_NUMBERING)
 
 
-def grams_of(text: str, size: int) -> frozenset[str]:
-    return frozenset(text) if size == 1 else frozenset(map("".join, zip(text, text[1:], strict=False)))
-
-
 @lru_cache(maxsize=1 << 16)
 def ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
@@ -41,69 +42,163 @@ def common_letters(a: str, b: str) -> int:
     return sum((Counter(a) & Counter(b)).values())
 
 
-def ratio_bound(a: str, b: str) -> float:
-    """At least the sequence ratio: by length, then by common letters."""
-    total = len(a) + len(b)
-    if not total:
-        return 1.0
-    by_length = 2 * min(len(a), len(b)) / total
-    return by_length if by_length < 0.3 else 2 * common_letters(a, b) / total
-
-
-class PreparedQuery:
-    def __init__(self, query: str, core: str, keywords: list[str], matching: str) -> None:
-        self.query, self.key, self.core = query, key_of(matching), key_of(core)
-        self.keywords = [key_of(k) for k in dict.fromkeys(keywords)]
-        self.size = 2 if len(self.key) >= 4 else 1
-        self.grams = grams_of(self.key, self.size)
-        self.strict = len(self.key) <= 4
-
-    def recalled(self, searchable: str) -> bool:
-        return bool(self.core and self.core in searchable) or sum(k in searchable for k in self.keywords) >= 2
-
-
-class PreparedChunk:
-    def __init__(self, chapter: str | None, section: str | None, content: str) -> None:
-        self.chapter, self.content = chapter, content
-        self.titles = [k for k in (key_of(x) for x in (section, chapter) if x)]
-        self.body = key_of.__wrapped__(content)
-        join = lambda *xs: "".join(key_of(x) if x is not content else self.body for x in xs if x)
-        self.searchable, self.without_chapter = join(chapter, section, content), join(section, content)
-        self.noisy = bool(_LINK.search(content))
-        self._grams: dict[tuple[str, int], frozenset[str]] = {}
-        titles = join(chapter, section)
-        short = len(self.body) < 50
-        self.structural = short and ((bool(titles) and (self.body in titles or titles in self.body)) or "目录" in self.body or len(_SHORT.sub("", self.body)) <= 16)
-
-    def overlap(self, q: PreparedQuery, part: str) -> float:
-        """Share of the query's grams in ``body`` or ``searchable``."""
-        known = self._grams.get((part, q.size))
-        if known is None:
-            known = self._grams[part, q.size] = grams_of(getattr(self, part), q.size)
-        return len(q.grams & known) / len(q.grams) if q.grams else 0.0
-
-    def score(self, q: PreparedQuery, chapter: str | None) -> float:
-        if not q.key:
+class Needles:
+    """Strings to look for, by the grams that a text must hold for any of them to occur."""
+
+    def __init__(self, needles: list[str]) -> None:
+        self.needles = list(dict.fromkeys(needles))
+        self.at = {n: i for i, n in enumerate(self.needles)}
+        grams = [self.grams(n, 2 if len(n) > 1 else 1) for n in self.needles]
+        self.vocabulary: dict[str, int] = {}
+        for g in (x for own in grams for x in own):
+            self.vocabulary.setdefault(g, len(self.vocabulary))
+        self.wanted = self.table(grams)
+
+    @staticmethod
+    def grams(text: str, size: int) -> set[str]:
+        return set(text) if size == 1 else set(map("".join, zip(text, text[1:], strict=False)))
+
+    def table(self, rows: list[set[str]]) -> np.ndarray:
+        out = np.zeros((len(rows), len(self.vocabulary)), np.float32)
+        for r, own in enumerate(rows):
+            out[r, [i for g in own if (i := self.vocabulary.get(g)) is not None]] = 1
+        return out
+
+    def held(self, texts: list[str]) -> np.ndarray:
+        """Texts by vocabulary: single characters and pairs."""
+        return self.table([self.grams(t, 1) | self.grams(t, 2) for t in texts])
+
+    def found(self, texts: list[str], held: np.ndarray) -> np.ndarray:
+        """Needles by texts: whether it occurs."""
+        out = self.wanted @ held.T >= self.wanted.sum(axis=1)[:, None]
+        for n, t in zip(*np.nonzero(out), strict=True):
+            out[n, t] = bool(self.needles[n]) and self.needles[n] in texts[t]
+        return out
+
+
+class Queries:
+    """A pack of retrieval queries as arrays; rows: idx, chapter, q_no, query, core, matching, words."""
+
+    def __init__(self, rows: list) -> None:
+        self.rows = rows
+        self.keys = [key_of(r["matching"]) for r in rows]
+        self.lengths = np.array([len(k) for k in self.keys])
+        self.cores = [key_of(r["core"]) for r in rows]
+        self.words = [[key_of(w) for w in dict.fromkeys(r["words"])] for r in rows]
+        self.chapters = [key_of(r["chapter"] or "") for r in rows]
+        self.needles = Needles([*self.keys, *self.cores, *(w for ws in self.words for w in ws)])
+        # a query of four characters and more is compared by pairs, a shorter one by characters
+        sizes = [2 if len(k) >= 4 else 1 for k in self.keys]
+        own = [Needles.grams(k, n) for k, n in zip(self.keys, sizes, strict=True)]
+        for g in (x for grams in own for x in grams):
+            self.needles.vocabulary.setdefault(g, len(self.needles.vocabulary))
+        self.needles.wanted = np.pad(self.needles.wanted, ((0, 0), (0, len(self.needles.vocabulary) - self.needles.wanted.shape[1])))
+        self.grams = self.needles.table(own)
+        self.key_at, self.core_at = ([self.needles.at[x] for x in xs] for xs in (self.keys, self.cores))
+        self.has_core = np.array([bool(c) for c in self.cores])
+        self.word_table = np.zeros((len(rows), len(self.needles.needles)), np.float32)
+        for i, ws in enumerate(self.words):
+            for w in ws:
+                self.word_table[i, self.needles.at[w]] += 1
+
+    def shared(self, held: np.ndarray) -> np.ndarray:
+        """Queries by texts: share of the query's grams that the text holds."""
+        return (self.grams @ held.T) / np.maximum(self.grams.sum(axis=1), 1)[:, None]
+
+    def recalled(self, found: np.ndarray) -> np.ndarray:
+        """Queries by texts: the core phrase occurs, or two keywords."""
+        return (found[self.core_at] & self.has_core[:, None]) | (self.word_table @ found.astype(np.float32) >= 2)
+
+
+class Chunks:
+    """A pack of chunks as arrays; rows: chunk_id, chapter_title, section_title, content, page_start, page_end."""
+
+    def __init__(self, rows: list) -> None:
+        self.rows = rows
+        self.chapter, self.section = ([key_of(r[c] or "") for r in rows] for c in ("chapter_title", "section_title"))
+        self.body = [key_of.__wrapped__(r["content"] or "") for r in rows]
+        self.near = [s + b for s, b in zip(self.section, self.body, strict=True)]
+        self.all = [c + n for c, n in zip(self.chapter, self.near, strict=True)]
+        self.titles = sorted({*self.chapter, *self.section})
+        place = {t: i for i, t in enumerate(self.titles)}
+        self.title_at = [np.array([place[t] for t in ts], int) for ts in (self.section, self.chapter)]
+        self.factor = np.array([(C.STRUCTURAL_FACTOR if self._structural(i) else 1.0) * (C.LINK_FACTOR if _LINK.search(r["content"] or "") else 1.0) for i, r in enumerate(rows)])
+
+    def _structural(self, i: int) -> bool:
+        body, titles = self.body[i], self.chapter[i] + self.section[i]
+        return len(body) < C.STRUCTURAL_LENGTH and (bool(titles) and (body in titles or titles in body) or C.CONTENTS_WORD in body or len(_SHORT.sub("", body)) <= C.UNNUMBERED_LENGTH)
+
+
+class Rectangle:
+    """Evidence and score of every pair of a pack of queries and a pack of chunks."""
+
+    def __init__(self, q: Queries, c: Chunks) -> None:
+        self.q, self.c = q, c
+        held = {name: q.needles.held(getattr(c, name)) for name in ("body", "near", "all")}
+        found = {name: q.needles.found(getattr(c, name), held[name]) for name in held}
+        self.grams, self.recalled = q.shared(held["all"]), q.recalled(found["all"])
+        self.open = (q.lengths > 0)[:, None] & ((q.lengths > C.STRICT_LENGTH)[:, None] | q.recalled(found["near"]))
+        self.base = np.maximum(found["body"][q.key_at] * C.BODY_SCORE, q.shared(held["body"]) * C.GRAM_FACTOR)
+        titles = np.array([[self._titled(k, t) for t in c.titles] for k in q.keys]).reshape(len(q.keys), len(c.titles))
+        for at in c.title_at:
+            self.base = np.maximum(self.base, titles[:, at])
+        chapters = {(a, b): ratio(a, b) for a in set(q.chapters) for b in set(c.chapter) if a and b}
+        near = np.array([[chapters.get((a, b), 0.0) for b in c.chapter] for a in q.chapters]).reshape(self.base.shape)
+        self.bonus = near * C.CHAPTER_BONUS
+
+    @staticmethod
+    def _titled(key: str, title: str) -> float:
+        if not key or not title:
             return 0.0
-        if any(q.key == t for t in self.titles):
-            base = 1.0
-        elif any(q.key in t or t in q.key for t in self.titles if t):
-            base = 0.92
-        elif q.key in self.body:
-            base = 0.8
-        else:
-            base = self.overlap(q, "body") * 0.68
-            for other in [*self.titles, self.body[: max(len(q.key) * 6, 160)]]:
-                if ratio_bound(q.key, other) * 0.72 > base:
-                    base = max(base, ratio(q.key, other) * 0.72)
-        if chapter and self.chapter:
-            base += min(0.08, ratio(key_of(chapter), key_of(self.chapter)) * 0.08)
-        value = min(base, 1.0)
-        if self.structural and value < 0.9:
-            value *= 0.55
-        if self.noisy and value < 0.9:
-            value *= 0.75
-        return value
+        return C.TITLE_SCORE if key == title else C.TITLE_PART_SCORE if key in title or title in key else 0.0
+
+    def _compared(self) -> list[tuple[list[str], np.ndarray]]:
+        """What the sequence ratio compares with each query: section, chapter and head of the chunk, with the bound by length."""
+        q = self.q.lengths[:, None]
+        sizes = [np.array([len(t) for t in ts]) for ts in (self.c.section, self.c.chapter)]
+        sizes = [np.broadcast_to(n, self.base.shape) for n in sizes] + [np.minimum(np.array([len(b) for b in self.c.body]), np.maximum(q * C.HEAD_FACTOR, C.HEAD_LENGTH))]
+        return [2 * np.minimum(q, n) / np.maximum(q + n, 1) for n in sizes]
+
+    def lift(self, where: np.ndarray) -> None:
+        """Takes the sequence ratio into the base of the pairs marked by ``where``."""
+        for kind, bound in enumerate(self._compared()):
+            for i, j in zip(*np.nonzero(where & (bound * C.SEQUENCE_FACTOR > self.base)), strict=True):
+                key = self.q.keys[i]
+                other = (self.c.section[j], self.c.chapter[j], self.c.body[j][: max(len(key) * C.HEAD_FACTOR, C.HEAD_LENGTH)])[kind]
+                if 2 * common_letters(key, other) / (len(key) + len(other)) * C.SEQUENCE_FACTOR > self.base[i, j]:
+                    self.base[i, j] = max(self.base[i, j], ratio(key, other) * C.SEQUENCE_FACTOR)
+
+    def scores(self) -> np.ndarray:
+        value = np.minimum(self.base + self.bonus, 1.0)
+        # both factors apply to scores below a bound; a lowered score stays below it
+        return np.where(value < C.FACTORS_BELOW, value * self.c.factor, value)
+
+    def stages(self, config: Config) -> tuple[np.ndarray, np.ndarray]:
+        """Scores, and the stage of each pair: 1 primary, 2 with recall evidence, 0 refused."""
+        self.lift(self.open & (self.recalled | (self.grams >= C.GRAM_GATE)))
+        value = self.scores()
+        primary = (value >= config.threshold) & ((value >= C.SCORE_GATE) | (self.grams >= C.GRAM_GATE))
+        stage = np.where(primary, 1, np.where((value >= config.fallback) & self.recalled, 2, 0))
+        return value, np.where(self.open, stage, 0)
+
+    def top_scores(self) -> np.ndarray:
+        """Of each query the best score over the chunks, refused ones too."""
+        out = np.zeros(len(self.q.keys))
+        bound = reduce(np.maximum, self._compared()) * C.SEQUENCE_FACTOR
+        value = np.minimum(np.maximum(self.base, bound) + self.bonus, 1.0)
+        most = np.where(self.open, np.where(value < C.FACTORS_BELOW, value * self.c.factor, value), 0)
+        while (best := np.where(self.open, self.scores(), 0).max(axis=1, initial=0)) is not None:
+            # pairs whose bound is above what is known; each is computed once, then its bound is its score
+            at = most.argmax(axis=1) if most.shape[1] else np.zeros(len(out), int)
+            ahead = [i for i in range(len(out)) if most.shape[1] and most[i, at[i]] > best[i] + 1e-12]
+            out = best
+            if not ahead:
+                return out
+            where = np.zeros(self.base.shape, bool)
+            where[ahead, at[ahead]] = True
+            self.lift(where)
+            known = self.scores()
+            most[ahead, at[ahead]] = np.where(self.open, known, 0)[ahead, at[ahead]]
 
 
 #: Columns of retrieval queries: one row for each query of a topic.
@@ -113,90 +208,65 @@ def retrieval_queries(plans: DataFrame) -> DataFrame:
 
 
 CANDIDATE = "project string, idx long, q_no int, query string, chunk_id string, score double, stage int, page_start long, page_end long"
-
-
 QUERY = ["idx", "chapter", "q_no", "query", "core", "matching", "words"]
-#: Chunks that one row holds where queries travel with them.
-PACKED = 200
-
-
-def _accepted(project: str, ready: list[tuple], rows: Iterator[tuple], config: Config) -> list[tuple]:
-    """Accepted pairs of one project's prepared queries with chunk rows."""
-    out = []
-    for chunk_id, chapter_title, section_title, content, page_start, page_end in rows:
-        chunk = PreparedChunk(chapter_title, section_title, content)
-        for idx, chapter, q_no, q in ready:
-            if not q.key or (q.strict and not q.recalled(chunk.without_chapter)):
-                continue
-            grams = chunk.overlap(q, "searchable")
-            recalled = q.recalled(chunk.searchable)
-            if not (grams >= 0.6 or recalled or q.key in chunk.body or any(q.key in t or t in q.key for t in chunk.titles if t)):
-                continue
-            s = chunk.score(q, chapter)
-            if s >= config.threshold and (s >= 0.8 or grams >= 0.6):
-                out.append((project, idx, q_no, q.query, chunk_id, round(s, 4), 1, page_start, page_end))
-            elif s >= config.fallback and recalled:
-                out.append((project, idx, q_no, q.query, chunk_id, round(s, 4), 2, page_start, page_end))
-    return out
+CHUNK = ["chunk_id", "chapter_title", "section_title", "content", "page_start", "page_end"]
+#: Chunks and queries of one rectangle.
+PACKED_CHUNKS, PACKED_QUERIES = 256, 1024
 
 
-def _best(rows: list[tuple], most: int) -> pd.DataFrame:
-    """Of one task's rows the ``most`` best of every query and stage; no other can be among the best of all."""
-    out = pd.DataFrame(rows, columns=[x.split()[0] for x in CANDIDATE.split(", ")])
-    out = out.sort_values(["score", "page_start", "chunk_id"], ascending=[False, True, True])
-    return out[out.groupby(["project", "idx", "q_no", "stage"]).cumcount() < most]
+def packs(rows: DataFrame, columns: list[str], size: int, name: str, *spread: str) -> DataFrame:
+    """project and an array of about ``size`` rows; large projects are dealt to several by a hash of ``spread``."""
+    large = rows.groupBy("project").agg(F.ceil(F.count("*") / size).alias("parts")).where("parts > 1")
+    dealt = rows.join(large, "project", "left").withColumn("part", F.pmod(F.xxhash64(*spread), F.coalesce("parts", F.lit(1))))
+    return dealt.groupBy("project", "part").agg(F.collect_list(F.struct(*columns)).alias(name)).drop("part")
 
 
-def _prepare(queries) -> list[tuple]:
-    return [(x["idx"], x["chapter"], x["q_no"], PreparedQuery(x["query"], x["core"], list(x["words"]), x["matching"])) for x in queries]
+def rectangles(queries: DataFrame, chunks: DataFrame, config: Config) -> DataFrame:
+    """One row for each pair of packs of a project.  Query packs are broadcast where their measured size allows it."""
+    asked = packs(queries, QUERY, PACKED_QUERIES, "queries", "idx", "q_no")
+    size = F.coalesce(F.sum(4 * (F.length("query") + F.length("core") + F.length("matching")) + 64), F.lit(0))
+    if queries.agg(size.alias("n")).first()["n"] <= config.broadcast_bytes:
+        asked = F.broadcast(asked)
+    return packs(chunks, CHUNK, PACKED_CHUNKS, "chunks", "chunk_id").join(asked, "project").select("project", "queries", "chunks")
 
 
-CHUNK = ["chunk_id", "chapter_title", "section_title", "content", "page_start", "page_end"]
+def _rows(value) -> list[dict]:
+    return [dict(r) if not isinstance(r, dict) else r for r in value]
 
 
 def match_queries(queries: DataFrame, chunks: DataFrame, config: Config = CONFIG) -> DataFrame:
-    """The best ``candidates`` chunks of every query: primary by score and grams, then those with recall evidence.
-
-    Queries whose text is measured to fit ``broadcast_bytes`` go to all tasks and chunks aren't shuffled at all.  Beyond
-    that chunks are packed, a few hundred to a row and a large project's to many rows, and each row meets its project's
-    queries once.
-    """
-    size = F.coalesce(F.sum(F.length("query") + F.length("core") + F.length("matching") + 64), F.lit(0))
-    small = queries.agg(size.alias("n")).first()["n"] <= config.broadcast_bytes
-    return top_candidates((_match_broadcast if small else _match_packed)(queries, chunks, config), config.candidates)
-
-
-def _match_broadcast(queries: DataFrame, chunks: DataFrame, config: Config) -> DataFrame:
-    by_project: dict[str, list] = {}
-    for r in queries.select("project", *QUERY).toLocalIterator():
-        by_project.setdefault(r["project"], []).append(r.asDict())
-    shared = queries.sparkSession.sparkContext.broadcast(by_project)
+    """The best ``candidates`` chunks of every query: primary by score and grams, then those with recall evidence."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ready: dict[str, list] = {}
         for b in batches:
-            rows: list[tuple] = []
-            for project, part in b.groupby("project"):
-                if project not in ready:
-                    ready[project] = _prepare(shared.value.get(project, ()))
-                rows += _accepted(project, ready[project], part[CHUNK].itertuples(index=False, name=None), config)
-            yield _best(rows, config.candidates)
+            for project, asked, own in zip(b["project"], b["queries"], b["chunks"], strict=True):
+                q, c = Queries(_rows(asked)), Chunks(_rows(own))
+                value, stage = Rectangle(q, c).stages(config)
+                i, j = np.nonzero(stage)
+                pick = lambda rows, name, at: [rows[k][name] for k in at]
+                out = pd.DataFrame({
+                    "project": project, "idx": pick(q.rows, "idx", i), "q_no": pick(q.rows, "q_no", i), "query": pick(q.rows, "query", i), "chunk_id": pick(c.rows, "chunk_id", j), "score": np.round(value[i, j], 4),
+                    "stage": stage[i, j], "page_start": pick(c.rows, "page_start", j), "page_end": pick(c.rows, "page_end", j),
+                })
+                # no other than the best of a rectangle can be among the best of all
+                out = out.sort_values(["score", "page_start", "chunk_id"], ascending=[False, True, True])
+                yield out[out.groupby(["idx", "q_no", "stage"]).cumcount() < config.candidates]
 
-    return chunks.select("project", *CHUNK).mapInPandas(run, CANDIDATE)
+    return top_candidates(rectangles(queries, chunks, config).mapInPandas(run, CANDIDATE), config.candidates)
 
 
-def _match_packed(queries: DataFrame, chunks: DataFrame, config: Config) -> DataFrame:
-    packed = queries.groupBy("project").agg(F.collect_list(F.struct(*QUERY)).alias("queries"))
-    parts = max(1, -(-chunks.count() // PACKED))
-    blocks = chunks.groupBy("project", F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).alias("part")).agg(F.collect_list(F.struct(*CHUNK)).alias("chunks"))
-    joined = blocks.join(packed, "project").select("project", "chunks", "queries")
+def query_scores(queries: DataFrame, chunks: DataFrame, config: Config = CONFIG) -> DataFrame:
+    """project, idx, q_no, query, best: the best score of each query over all chunks of its project, refused ones too."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for project, own, asked in zip(b["project"], b["chunks"], b["queries"], strict=True):
-                yield _best(_accepted(project, _prepare(asked), (tuple(c[k] for k in CHUNK) for c in own), config), config.candidates)
+            for project, asked, own in zip(b["project"], b["queries"], b["chunks"], strict=True):
+                q = Queries(_rows(asked))
+                best = Rectangle(q, Chunks(_rows(own))).top_scores()
+                yield pd.DataFrame({"project": project, "idx": [r["idx"] for r in q.rows], "q_no": [r["q_no"] for r in q.rows], "query": [r["query"] for r in q.rows], "best": np.round(best, 4)})
 
-    return joined.mapInPandas(run, CANDIDATE)
+    scored = rectangles(queries, chunks, config).mapInPandas(run, "project string, idx long, q_no int, query string, best double")
+    return scored.groupBy("project", "idx", "q_no", "query").agg(F.max("best").alias("best"))
 
 
 def top_candidates(scored: DataFrame, most: int = CONFIG.candidates) -> DataFrame:
@@ -213,27 +283,35 @@ def fuse(candidates: DataFrame) -> DataFrame:
     queries = F.transform(F.array_sort(F.collect_set(F.struct("q_no", "query"))), lambda x: x["query"])
     return candidates.groupBy("project", "idx", "chunk_id").agg(F.max("score").alias("score"), F.min("stage").alias("stage"), F.first("page_start").alias("page_start"), F.first("page_end").alias("page_end"), queries.alias("matched_queries"))
 
-
-def top_scores(candidates: DataFrame) -> DataFrame:
-    """Best score of each query among its candidates; diagnostics of topics without candidates come from unmatched_scores."""
-    return candidates.groupBy("project", "idx").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("query", "best")))).alias("scores")) if "best" in candidates.columns else (
-        top_scores(candidates.groupBy("project", "idx", "query").agg(F.max("score").alias("best")))
-    )
+def top_scores(scores: DataFrame) -> DataFrame:
+    """project, idx, scores: the best score of each query, by query; scores: rows of query_scores, or of candidates."""
+    best = "best" if "best" in scores.columns else "score"
+    each = scores.groupBy("project", "idx", "query").agg(F.max(best).alias("best"))
+    return each.groupBy("project", "idx").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("query", "best")))).alias("scores"))
 
 
-def cover(rows: list[dict], subqueries: set[str], most: int) -> list[dict]:
-    """Rows that cover most subqueries not yet covered first, then by rank; rows are ranked."""
-    chosen: list[dict] = []
-    open_ = set(subqueries)
-    keyed = [(r, {key_of(q) for q in r["matched_queries"]}) for r in rows]
-    while open_ and len(chosen) < most:
-        able = [(len(k & open_), r["score"], -r["page_start"], -i) for i, (r, k) in enumerate(keyed) if r not in chosen and k & open_]
-        if not able:
+def cover_order(masks: list[int], wanted: int, most: int) -> list[int]:
+    """Ranked rows by greedy cover: always the one with most bits of ``wanted`` still open, the first of equals, then the rest in order."""
+    order: list[int] = []
+    while wanted and len(order) < most:
+        gains = [(m & wanted).bit_count() for m in masks]
+        best = max(range(len(masks)), key=gains.__getitem__, default=0)
+        if not masks or not gains[best]:
             break
-        r, k = keyed[-max(able)[3]]
-        chosen.append(r)
-        open_ -= k
-    return (chosen + [r for r in rows if r not in chosen])[:most]
+        order.append(best)
+        wanted &= ~masks[best]
+    return (order + [i for i in range(len(masks)) if i not in order])[:most]
+
+
+def bits(queries: list[str], place: dict[str, int]) -> int:
+    return reduce(or_, (1 << place[k] for q in queries if (k := key_of(q)) in place), 0)
+
+
+def cover(rows: list[dict], subqueries: list[str], most: int) -> list[dict]:
+    """Rows, ranked, in the order in which they cover the subqueries."""
+    place = {k: i for i, k in enumerate(dict.fromkeys(map(key_of, subqueries)))}
+    masks = [bits(r["matched_queries"], place) for r in rows]
+    return [rows[i] for i in cover_order(masks, (1 << len(place)) - 1, most)]
 
 
 def match_topics(plans: DataFrame, chunks: DataFrame, config: Config = CONFIG) -> DataFrame:
@@ -247,16 +325,19 @@ def match_topics(plans: DataFrame, chunks: DataFrame, config: Config = CONFIG) -
             out = []
             for project, idx, rows, subs in zip(b["project"], b["idx"], b["rows"], b["subqueries"], strict=True):
                 ranked = sorted(rows, key=lambda r: (-r["score"], r["page_start"], r["chunk_id"]))
-                for n, r in enumerate(cover(ranked, {key_of(s) for s in subs}, most), 1):
+                for n, r in enumerate(cover(ranked, list(subs), most), 1):
                     out.append((project, idx, n, r["chunk_id"], r["score"], r["stage"], r["page_start"], r["page_end"], list(r["matched_queries"])))
             yield pd.DataFrame(out, columns=["project", "idx", "rank", "chunk_id", "score", "stage", "page_start", "page_end", "matched_queries"])
 
     return per.mapInPandas(run, "project string, idx long, rank int, chunk_id string, score double, stage int, page_start long, page_end long, matched_queries array<string>")
 
 
-def item_matches(plans: DataFrame, candidates: DataFrame) -> DataFrame:
-    """project, idx, matched, recall_stage, reason of every topic."""
+def item_matches(plans: DataFrame, candidates: DataFrame, scores: DataFrame | None = None) -> DataFrame:
+    """project, idx, matched, recall_stage, reason of every topic; the reason rests on the best score over all chunks if ``scores`` has it."""
     c = candidates.groupBy("project", "idx").agg(F.count("*").alias("n"), F.min("stage").alias("stage"), F.max("score").alias("best"))
+    if scores is not None:
+        c = c.drop("best")
+        c = c.join(scores.select("project", "idx", F.array_max(F.map_values("scores")).alias("best")), ["project", "idx"], "full")
     j = plans.join(c, ["project", "idx"], "left")
     reason = F.when((F.col("item_type") == "TASK") & (F.size("queries") == 0), "related_theory_pending").when(F.coalesce("best", F.lit(0.0)) < CONFIG.fallback, "below_threshold").otherwise("insufficient_lexical_evidence")
     return j.select("project", "idx", F.col("n").isNotNull().alias("matched"), F.when(F.col("stage") == 1, "primary").when(F.col("stage") == 2, "secondary").alias("recall_stage"), F.when(F.col("n").isNull(), reason).alias("reason"))
@@ -301,7 +382,7 @@ def resolve_dependent(plans: DataFrame, candidates: DataFrame, config: Config =
                     old = fused.get(r["chunk_id"])
                     fused[r["chunk_id"]] = (r | {"matched_queries": queries}) if old is None else old | {"score": max(old["score"], r["score"]), "stage": min(old["stage"], r["stage"]), "matched_queries": list(dict.fromkeys([*old["matched_queries"], titles[s]]))}
             ranked = sorted(fused.values(), key=lambda r: (-r["score"], r["page_start"], r["chunk_id"]))
-            found[i] = cover(ranked, {key_of(s) for s in subs}, most)
+            found[i] = cover(ranked, list(subs), most)
         out = [(p, i, n, *(r[c] for c in columns[3:])) for p, i, rs in zip(g["project"], g["idx"], found, strict=True) for n, r in enumerate(rs, 1)]
         return pd.DataFrame(out, columns=columns)
 
@@ -316,43 +397,58 @@ def adjacent_chunks(candidates: DataFrame, chunks: DataFrame) -> DataFrame:
     return near.join(candidates.select("project", "idx", "chunk_id"), ["project", "idx", "chunk_id"], "left_anti").select("project", "idx", "of", "chunk_id")
 
 
-def diversity(candidate: dict, chosen: list[dict]) -> float:
-    value = candidate["score"] + (0.05 if len(candidate["text"].strip()) >= 50 else -0.08) + (0.06 if re.search(C.USEFUL_DETAIL, candidate["text"]) else 0.0)
-    if not chosen:
-        return value
-    return value + (-0.12 if any(_shared_pages(candidate, c) for c in chosen) else 0.08)
+def utility(score: Column, text: Column) -> Column:
+    """What a passage is worth by itself: its score, long enough, with useful detail."""
+    long_enough = F.when(F.length(F.btrim(text)) >= C.PASSAGE_LENGTH, C.LONG_BONUS).otherwise(C.SHORT_MALUS)
+    return score + long_enough + F.when(text.rlike(C.USEFUL_DETAIL), C.DETAIL_BONUS).otherwise(0.0)
+
 
+def diversity(worth: Column, page_start: Column, page_end: Column, chosen: Column) -> Column:
+    """The worth of a passage beside chosen ones, an array of (page_start, page_end): new pages gain, shared ones lose."""
+    shares = F.exists(chosen, lambda c: (F.least(page_end, c["page_end"]) >= F.greatest(page_start, c["page_start"])))
+    return worth + F.when(F.size(chosen) == 0, 0.0).when(shares, C.SHARED_PAGES_MALUS).otherwise(C.NEW_PAGES_BONUS)
 
-def _shared_pages(a: dict, b: dict) -> int:
-    return max(0, min(a["page_end"], b["page_end"]) - max(a["page_start"], b["page_start"]) + 1)
+
+def page_share(a: dict, b: dict) -> float:
+    common = min(a["page_end"], b["page_end"]) - max(a["page_start"], b["page_start"]) + 1
+    return max(common, 0) / max(min(a["page_end"] - a["page_start"], b["page_end"] - b["page_start"]) + 1, 1)
 
 
 def near_duplicate(a: dict, b: dict) -> bool:
-    x, y = (re.sub(r"\s+", " ", r["text"]).strip().casefold() for r in (a, b))
+    """Equal texts, or a sequence ratio over a bound that is lower where most of the pages are shared."""
+    x, y = (" ".join(r["text"].split()).casefold() for r in (a, b))
     if x == y:
         return True
-    span = min(a["page_end"] - a["page_start"], b["page_end"] - b["page_start"]) + 1
-    least = 0.65 if _shared_pages(a, b) / max(span, 1) >= 0.8 else 0.9
+    least = C.DUPLICATE_ON_SHARED_PAGES if page_share(a, b) >= C.MOST_PAGES else C.DUPLICATE
     m = SequenceMatcher(None, x, y)
-    return bool(least < 0.9 or (x and y)) and m.real_quick_ratio() >= least and m.quick_ratio() >= least and m.ratio() >= least
-
-
-def choose_evidence(pool: list[dict], subqueries: set[str], config: Config = CONFIG) -> list[dict]:
-    """Up to ``evidence`` different passages within the character budget, best diversity first."""
-    chosen: list[dict] = []
-    rest, used, open_ = list(pool), 0, set(subqueries)
-    keys = {id(r): {key_of(q) for q in r["matched_queries"]} for r in pool}
-    while rest and len(chosen) < config.evidence:
-        r = min(rest, key=lambda x: (-(diversity(x, chosen) + (0.14 if keys[id(x)] & open_ else 0.0)), x["page_start"], x["chunk_id"]))
-        rest.remove(r)
-        if any(near_duplicate(r, c) for c in chosen) or (chosen and used + len(r["text"]) > config.evidence_characters):
+    return m.real_quick_ratio() >= least and m.quick_ratio() >= least and m.ratio() >= least
+
+
+def choose_evidence(pool: list[dict], subqueries: list[str], config: Config = CONFIG) -> list[dict]:
+    """Up to ``evidence`` different passages within the character budget, best diversity first; rows have worth, see utility.
+
+    Every row keeps a running value: its worth, what pages change once something is chosen, and a bonus while it covers
+    an open subquery.
+    """
+    pool = sorted(pool, key=lambda r: (r["page_start"], r["chunk_id"]))
+    place = {k: i for i, k in enumerate(dict.fromkeys(map(key_of, subqueries)))}
+    masks = np.array([bits(r["matched_queries"], place) for r in pool], object)
+    worth, free = np.array([r["worth"] for r in pool], float), np.ones(len(pool), bool)
+    shared = np.array([[page_share(a, b) > 0 for b in pool] for a in pool]).reshape(len(pool), len(pool))
+    wanted, chosen, room = (1 << len(place)) - 1, [], config.evidence_characters
+    while free.any() and len(chosen) < config.evidence:
+        pages = np.where(shared[:, chosen].any(axis=1), C.SHARED_PAGES_MALUS, C.NEW_PAGES_BONUS) if chosen else 0.0
+        value = worth + pages + np.array([C.COVER_BONUS if m & wanted else 0.0 for m in masks])
+        i = int(np.where(free, value, -np.inf).argmax())
+        free[i] = False
+        size = len(pool[i]["text"])
+        if (chosen and size > room) or any(near_duplicate(pool[i], pool[k]) for k in chosen):
             continue
-        chosen.append(r)
-        used += len(r["text"])
-        open_ -= keys[id(r)]
-        if subqueries and not open_ and len(chosen) >= 2:
+        chosen.append(i)
+        room, wanted = room - size, wanted & ~masks[i]
+        if place and not wanted and len(chosen) > 1:
             break
-    return chosen
+    return [pool[i] for i in chosen]
 
 
 def select_evidence(plans: DataFrame, candidates: DataFrame, chunks: DataFrame, config: Config = CONFIG) -> DataFrame:
@@ -369,37 +465,46 @@ def select_evidence(plans: DataFrame, candidates: DataFrame, chunks: DataFrame,
     near = near.withColumn("n", first).where("n = 1").join(pages, "chunk_id")
     names = ["project", "idx", "rank", "chunk_id", "score", "page_start", "page_end", "matched_queries", "subqueries", "topic_chapter", "own"]
     both = pool.withColumn("own", F.lit(True)).select(*names).unionByName(near.withColumn("own", F.lit(False)).withColumn("score", F.lit(0.0)).select(*names)).join(text, "chunk_id")
+    both = both.withColumn("worth", utility(F.col("score"), F.col("content")))
     grouped = both.groupBy("project", "idx").agg(F.collect_list(F.struct(*[c for c in both.columns if c not in ("project", "idx")])).alias("rows"))
-    prepared = retrieval_queries(plans).groupBy("project", "idx").agg(F.collect_list(F.struct("query", "core", "matching", "words")).alias("prepared"))
+    prepared = retrieval_queries(plans).withColumn("idx", F.col("idx").cast("long")).groupBy("project", "idx").agg(F.collect_list(F.struct("idx", "chapter", "q_no", "query", "core", "matching", "words")).alias("prepared"))
     grouped = grouped.join(prepared, ["project", "idx"], "left")
 
+    def neighbours(rows: list[dict], asked: list[dict]) -> Iterator[dict]:
+        """Those in which a query of the passage beside them is recalled, with their own score."""
+        q, c = Queries(asked), Chunks(rows)
+        pair = Rectangle(q, c)
+        near = q.recalled(q.needles.found(c.near, q.needles.held(c.near)))
+        pair.lift(near)
+        value = pair.scores()
+        for j, r in enumerate(rows):
+            hits = [i for i, a in enumerate(asked) if near[i, j] and a["query"] in r["matched_queries"]]
+            if hits:
+                score = round(max(float(value[i, j]) if q.keys[i] else 0.0 for i in hits), 4)
+                yield r | {"score": score, "worth": r["worth"] - r["score"] + score, "matched_queries": [asked[i]["query"] for i in hits]}
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for project, idx, rows, ready in zip(b["project"], b["idx"], b["rows"], b["prepared"], strict=True):
-                known = {p["query"]: PreparedQuery(p["query"], p["core"], list(p["words"]), p["matching"]) for p in (ready if ready is not None else ())}
-                pool = []
-                for r in sorted(map(dict, rows), key=lambda x: (not x["own"], x["rank"], x["chunk_id"])):
-                    r["text"], r["matched_queries"] = r["content"], list(r["matched_queries"])
-                    if not r["own"]:
-                        chunk = PreparedChunk(r["chapter_title"], r["section_title"], r["content"])
-                        hits = [known[q] for q in r["matched_queries"] if q in known and known[q].recalled(chunk.without_chapter)]
-                        if not hits:
-                            continue
-                        r["score"] = round(max(chunk.score(q, r["topic_chapter"]) for q in hits), 4)
-                        r["matched_queries"] = [q.query for q in hits]
-                    pool.append(r)
-                subqueries = {key_of(s) for s in (rows[0]["subqueries"] if len(rows) else ())}
-                out += [(project, idx, n, r["chunk_id"], r["score"], r["text"]) for n, r in enumerate(choose_evidence(pool, subqueries, config), 1)]
+                rows = [r | {"text": r["content"], "matched_queries": list(r["matched_queries"])} for r in _rows(rows)]
+                pool = [r for r in rows if r["own"]]
+                if len(pool) < len(rows) and ready is not None:
+                    pool += neighbours([r for r in rows if not r["own"]], _rows(ready))
+                chosen = choose_evidence(pool, list(rows[0]["subqueries"]), config)
+                out += [(project, idx, n, r["chunk_id"], r["score"], r["text"]) for n, r in enumerate(chosen, 1)]
             yield pd.DataFrame(out, columns=["project", "idx", "rank", "chunk_id", "score", "text"])
 
     return grouped.mapInPandas(run, "project string, idx long, rank int, chunk_id string, score double, text string")
 
 
-def failure_diagnostics(plans: DataFrame, matches: DataFrame) -> DataFrame:
-    """One JSON text for each unmatched topic."""
-    j = plans.join(matches.where("not matched"), ["project", "idx"])
-    body = F.to_json(F.struct("item_type", F.transform("queries", lambda q: F.left(q, F.lit(80))).alias("queries"), F.col("reason").alias("reason_category")))
+def failure_diagnostics(plans: DataFrame, matches: DataFrame, scores: DataFrame) -> DataFrame:
+    """One JSON text for each unmatched topic; scores: project, idx, scores (see top_scores).  ``used_ai_fallback`` is a column of plans, false without it."""
+    j = plans.join(matches.where("not matched"), ["project", "idx"]).join(scores, ["project", "idx"], "left")
+    short = lambda q: F.left(q, F.lit(80))
+    top = F.map_from_entries(F.transform(F.array_distinct(F.transform("queries", short)), lambda k: F.struct(k.alias("key"), F.array_max(F.transform(F.filter(F.map_entries("scores"), lambda e: short(e["key"]) == k), lambda e: e["value"])).alias("value"))))
+    fallback = F.col("used_ai_fallback") if "used_ai_fallback" in plans.columns else F.lit(False)
+    body = F.to_json(F.struct("item_type", F.transform("queries", short).alias("queries"), F.coalesce(top, F.create_map().cast("map<string,double>")).alias("top_scores"), F.col("reason").alias("reason_category"), fallback.alias("used_ai_fallback")))
     return j.select("project", "idx", F.concat(F.lit("unmatched: "), body).alias("diagnostic"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,8 +120,17 @@ def apply_edits(versions: DataFrame, edits: DataFrame, deleted: DataFrame) -> Da
     return changed.join(deleted.select("point", "bullet"), ["point", "bullet"], "left_anti")
 
 
-def delete_projects(df: DataFrame, gone: DataFrame) -> DataFrame:
-    return df.join(gone.select("project"), "project", "left_anti")
+def stop_work(table: DataFrame, gone: DataFrame, active: tuple[str, ...], to: str, note: str) -> DataFrame:
+    """The first step of a deletion: active rows of the projects in ``gone`` get a terminal status and a note, so that no worker goes on."""
+    hit = table.join(gone.select("project", F.lit(True).alias("gone__")), "project", "left")
+    stop = F.coalesce(F.col("gone__"), F.lit(False)) & F.col("status").isin(*active)
+    out = hit.withColumn("status", F.when(stop, to).otherwise(F.col("status"))).withColumn("stopped", F.when(stop, F.lit(note)))
+    return out.select(*table.columns, "stopped")
+
+
+def delete_projects(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
+    """The second step: every table without the rows of the projects in ``gone``."""
+    return {name: df.join(gone.select("project"), "project", "left_anti") for name, df in tables.items()}
 
 
 def nested(versions: DataFrame) -> DataFrame:
@@ -135,7 +146,7 @@ def replace_material(versions: DataFrame, path: str) -> None:
 
     The rows are written beside the table first; a failed check or write leaves the old parts as they are.
     """
-    staged = f"{path}__staged"
+    staged = f"{path}__staged-{uuid.uuid4().hex}"
     spark = versions.sparkSession
     versions.write.mode("overwrite").partitionBy("project").parquet(staged)
     rows = spark.read.parquet(staged)

@@ -80,9 +80,9 @@ def plan_queries(topics: DataFrame, config: Config = CONFIG) -> DataFrame:
 
 
 def clean_rewrites(rewrites: DataFrame) -> DataFrame:
-    """topic_key, queries: short, different phrases; one row for each key."""
+    """topic_key, queries: short, different phrases; one row for each key, the least of several."""
     tidy = F.filter(F.transform("queries", lambda q: T.blank_free(q)), lambda q: F.length(q) <= 80)
-    return rewrites.dropDuplicates(["topic_key"]).select("topic_key", F.slice(T.unique_by(tidy, T.compare_title), 1, 5).alias("rewrite_queries"))
+    return rewrites.groupBy("topic_key").agg(F.min("queries").alias("queries")).select("topic_key", F.slice(T.unique_by(tidy, T.compare_title), 1, 5).alias("rewrite_queries"))
 
 
 def with_rewrites(plans: DataFrame, rewrites: DataFrame) -> DataFrame:

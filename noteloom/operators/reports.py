@@ -90,11 +90,20 @@ def stale_jobs(activity: DataFrame, now: Column, config: Config = CONFIG) -> Dat
     return activity.select("job_id", F.coalesce(age >= config.stale_seconds, F.lit(False)).alias("stale"))
 
 
-def run_report(items: DataFrame) -> DataFrame:
-    return items.agg(
-        F.count("*").alias("items"), F.count_if(F.col("status") == "succeeded").alias("matched"), F.count_if(F.col("parent_item").isNotNull()).alias("resolved"),
-        F.count_if((F.col("failure_type") == "schema_validation")).alias("schema_failures"), F.count_if(F.col("failure_type").isNull()).alias("valid"),
-    )
+def run_report(states: DataFrame, focus: dict[str, str]) -> DataFrame:
+    """One row for each job: how many items matched, found a chapter and are valid, and those whose title holds a focus term.
+
+    states: job_id, position, item, failure_type, content_matched, chapter_resolved, generation_valid.
+    """
+    from ..functions import text as T
+
+    counts = [
+        F.count("*").alias("total"), F.count_if("content_matched").alias("content_matched"), F.count_if(~F.col("content_matched")).alias("content_unmatched"), F.count_if("chapter_resolved").alias("chapter_resolved"),
+        F.count_if(~F.col("chapter_resolved")).alias("chapter_unresolved"), F.count_if("generation_valid").alias("generation_valid"), F.count_if(F.col("failure_type") == "schema_validation").alias("schema_failures"),
+    ]
+    named = lambda term: F.contains(T.title_key(F.col("item")), T.title_key(F.lit(term)))
+    found = [F.transform(F.array_sort(F.collect_list(F.when(named(term), F.struct("position", "item")))), lambda x: x["item"]).alias(name) for name, term in focus.items()]
+    return states.groupBy("job_id").agg(*counts, *found)
 
 
 def queue_positions(uploads: DataFrame) -> DataFrame:
@@ -123,12 +132,23 @@ def rolling_day_pages(uploads: DataFrame, config: Config = CONFIG) -> DataFrame:
 
 
 def total_day_pages(uploads: DataFrame, config: Config = CONFIG) -> DataFrame:
-    """The same over all workspaces by hour: sums of hours are windowed, not documents."""
+    """The same over all workspaces, exactly: whole hours in between as sums, and rank sums inside the two hours at the ends.
+
+    Every window holds the acceptances of one hour, so no task orders the whole log.
+    """
     counted = uploads.where((F.col("role") == "public") & F.col("quota_released_at").isNull())
-    hours = counted.groupBy(F.date_trunc("hour", "accepted_at").alias("hour")).agg(F.sum("quota_pages").alias("pages"))
-    spans = hours.select(F.explode(F.sequence("hour", F.col("hour") + F.expr("INTERVAL 24 HOURS"), F.expr("INTERVAL 1 HOUR"))).alias("at"), "pages")
-    sums = spans.groupBy("at").agg(F.sum("pages").alias("day_pages"))
-    return hours.select(F.col("hour").alias("at")).join(sums, "at").withColumn("over_limit", F.col("day_pages") > config.total_pages)
+    at = F.col("accepted_at").cast("timestamp").cast("long")
+    rows = counted.select("doc_id", at.alias("at"), F.col("quota_pages").alias("pages"))
+    hour = F.floor(F.col("at") / 3600)
+    events = rows.select("doc_id", "at", "pages", hour.alias("hour"), F.lit(False).alias("begin"))
+    begins = rows.select("doc_id", (F.col("at") - 86400).alias("at"), F.lit(0).alias("pages"), (hour - 24).alias("hour"), F.lit(True).alias("begin"))
+    own = Window.partitionBy("hour").orderBy("at")
+    both = events.unionByName(begins).withColumn("upto", F.sum("pages").over(own.rangeBetween(Window.unboundedPreceding, 0))).withColumn("from", F.sum("pages").over(own.rangeBetween(0, Window.unboundedFollowing)))
+    ends = both.groupBy("doc_id").agg(F.sum(F.when(F.col("begin"), F.col("from")).otherwise(F.col("upto"))).alias("ends"), F.max("hour").alias("hour"))
+    hours = events.groupBy("hour").agg(F.sum("pages").alias("pages"))
+    between = hours.select(F.explode(F.sequence(F.col("hour") + 1, F.col("hour") + 23)).alias("hour"), "pages").groupBy("hour").agg(F.sum("pages").alias("between"))
+    total = F.col("ends") + F.coalesce("between", F.lit(0))
+    return ends.join(between, "hour", "left").select("doc_id", total.alias("day_pages"), (total > config.total_pages).alias("over_limit"))
 
 
 def status_history(log: DataFrame) -> DataFrame:
@@ -143,11 +163,16 @@ def latest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return first_by(df, keys, *order)
 
 
-def project_status(uploads: DataFrame, with_chapters: DataFrame) -> DataFrame:
-    """with_chapters: projects that have chapters."""
-    course = latest(uploads.where("kind = 'course_material'"), ["project_id"], F.desc("accepted_at"), F.desc("doc_id")).select("project_id", "status")
-    j = course.join(with_chapters.select("project_id", F.lit(True).alias("has")), "project_id", "left")
-    status = F.when(F.col("has"), "completed").when(F.col("status") == "failed", "failed").otherwise("processing")
+#: States of a document that set a project without uploads to processing.
+UNDER_WAY = ("uploaded", "queued", "processing", "parsing", "interrupted", "parsed")
+
+
+def project_status(projects: DataFrame, uploads: DataFrame, with_chapters: DataFrame) -> DataFrame:
+    """project_status of each project with course material: its own, unless it has no chapters and its latest material failed or is the first under way."""
+    course = latest(uploads.where("kind = 'course_material'"), ["project_id"], F.desc("accepted_at"), F.desc("doc_id")).select("project_id", F.col("status").alias("document"))
+    j = projects.select("project_id", "status").join(course, "project_id").join(with_chapters.select("project_id", F.lit(True).alias("has")), "project_id", "left")
+    begins = (F.col("status") == "not_uploaded") & F.col("document").isin(*UNDER_WAY)
+    status = F.when(F.col("has"), F.col("status")).when(F.col("document") == "failed", "failed").when(begins, "processing").otherwise(F.col("status"))
     return j.select("project_id", status.alias("project_status"))
 
 

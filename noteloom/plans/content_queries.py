@@ -101,10 +101,22 @@ def p11_apply_edits(spark, d):
     return out.select("point", "bullet", "kind", "content")
 
 
-@query(f"{t.with_views('items')} SELECT job_id, position FROM items WHERE project_id NOT IN (SELECT unnest(range(0, 200, 7)))")
+_GONE = "project_id IN (SELECT unnest(range(0, 200, 7)))"
+
+
+@query(f"""{t.with_views('items', 'uploads', 'chunks')} SELECT 'item left' AS part, status, count(*) AS n FROM items WHERE NOT {_GONE} GROUP BY 2 UNION ALL SELECT 'upload left', status, count(*) FROM uploads WHERE NOT {_GONE} GROUP BY 2
+UNION ALL SELECT 'upload stopped', CASE WHEN {_GONE} AND status IN ('queued', 'processing') THEN 'cancelled' ELSE status END, count(*) FROM uploads GROUP BY 2 UNION ALL SELECT 'item stopped', CASE WHEN {_GONE} AND status = 'pending' THEN 'failed' ELSE status END, count(*) FROM items GROUP BY 2""")
 def p12_delete_projects(spark, d):
-    gone = spark.range(0, 200, 7).select(F.col("id").alias("project"))
-    return M.delete_projects(t.items(spark, d).withColumnRenamed("project_id", "project"), gone).select("job_id", "position")
+    """Stops the active work of some projects, then takes their rows out of every table."""
+    gone = t.uploads(spark, d).where("project_id % 7 = 0").select(F.col("project_id").alias("project")).unionByName(t.items(spark, d).where("project_id % 7 = 0").select(F.col("project_id").alias("project"))).distinct()
+    items, uploads = (f(spark, d).withColumnRenamed("project_id", "project") for f in (t.items, t.uploads))
+    stopped = {"upload": M.stop_work(uploads, gone, ("queued", "processing"), "cancelled", "project_deleted"), "item": M.stop_work(items, gone, ("pending",), "failed", "project_deleted")}
+    count = lambda df, part: df.groupBy(F.lit(part).alias("part"), "status").agg(F.count("*").alias("n"))
+    parts = [count(df, f"{name} left") for name, df in M.delete_projects(stopped, gone).items()] + [count(df, f"{name} stopped") for name, df in stopped.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 @query(f"{MT} SELECT project, count(*) AS n FROM material WHERE project <> 3 GROUP BY 1 UNION ALL SELECT 3, count(*) FROM material WHERE project = 3 AND kind = 'original'")
@@ -122,7 +134,7 @@ def a08_replace_material(spark, d):
 def records(spark, d):
     """Records from material: a conversation is a record, its turns bullets; the first words are titles, some of them collections."""
     m = t.material(spark, d)
-    ordered = F.array_sort(F.collect_list(F.struct("turn", "title", F.left("content", F.lit(120)).alias("text"))))
+    ordered = F.array_sort(F.collect_list(F.struct("turn", "title", F.col("content").alias("text"))))
     r = m.groupBy("project", "chapter", "point").agg(ordered.alias("xs"))
     title = F.element_at("xs", 1)["title"]
     bullets = F.transform("xs", lambda x: F.struct(x["title"].alias("title"), x["text"].alias("text"), F.array(F.concat(F.lit("c"), ((F.col("point") + x["turn"]) % 7).cast("string"))).alias("chunk_ids")))
@@ -157,28 +169,30 @@ def p10_build_material(spark, d):
     return G.build_material(r, chapters).drop("title")
 
 
-_CLEAN = "regexp_replace(substring(text, {}, {}), '[\"\\\\\\x00-\\x1f]', ' ', 'g')"
+_CLEAN = "regexp_replace({}, '[\"\\\\\\x00-\\x1f]', ' ', 'g')"
 
 
 def raw_outputs(spark, d):
     """Generated JSON of every document in two attempts: fenced, wrapped in words, lacking a version, cut off, or regular."""
-    part = lambda a, n: F.regexp_replace(F.substring("text", a, n), '["\\\\\\x00-\\x1f]', " ")
-    t1, o, r, k = part(1, 12), part(1, 90), part(20, 60), part(40, 30)
+    clean = lambda c: F.regexp_replace(c, '["\\\\\\x00-\\x1f]', " ")
+    line = F.split_part("text", F.lit("\n"), F.lit(1))
+    t1, o, r, k = clean(F.split_part(line, F.lit(" "), F.lit(1))), clean(F.col("text")), clean(F.replace(F.col("text"), F.lit("."), F.lit(";"))), clean(line)
     version = lambda kind, c: F.concat(F.lit(f'"{kind}":{{"title":"'), t1, F.lit('","content":"'), c, F.lit('"}'))
     ids = F.concat(F.lit('"source_chunk_ids":["c'), (F.col("doc_id") % 3).cast("string"), F.lit('","c9"],"source_pages":['), (F.col("doc_id") % 4).cast("string"), F.lit("]"))
     versions = F.when(F.col("doc_id") % 5 == 2, F.concat(version("original", o), F.lit(","), version("recitation", r))).otherwise(F.concat(version("original", o), F.lit(","), version("recitation", r), F.lit(","), version("keywords", k)))
     body = F.concat(F.lit('{"knowledge_point_title":"'), t1, F.lit('","bullet_points":[{"title":"'), t1, F.lit('",'), versions, F.lit(","), ids, F.lit("}]}"))
-    raw = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(F.col("doc_id") % 5 == 1, F.concat(F.lit("Here: "), body, F.lit(" end"))).when(F.col("doc_id") % 5 == 3, F.substring(body, 1, 180)).otherwise(body)
+    raw = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(F.col("doc_id") % 5 == 1, F.concat(F.lit("Here: "), body, F.lit(" end"))).when(F.col("doc_id") % 5 == 3, F.left(body, (F.length(body) * 2 / 3).cast("int"))).otherwise(body)
     docs = t.documents(spark, d)
     first = docs.select(F.col("doc_id").alias("item_id"), F.lit(1).alias("attempt"), raw.alias("raw"), t1.alias("fallback_title"), o.alias("o"))
     second = docs.where("doc_id % 5 in (2, 3) and doc_id % 2 = 0").select(F.col("doc_id").alias("item_id"), F.lit(2).alias("attempt"), body.alias("raw"), t1.alias("fallback_title"), o.alias("o"))
     return first.unionByName(second)
 
 
-_T1, _O, _R, _KW = (_CLEAN.format(a, n) for a, n in ((1, 12), (1, 90), (20, 60), (40, 30)))
+_LINE = "split_part(text, chr(10), 1)"
+_T1, _O, _R, _KW = (_CLEAN.format(x) for x in (f"split_part({_LINE}, ' ', 1)", "text", "replace(text, '.', ';')", _LINE))
 _V = lambda kind, c: f"'\"{kind}\":{{\"title\":\"' || {_T1} || '\",\"content\":\"' || {c} || '\"}}'"
 RAW = f"""body AS (SELECT doc_id, {_T1} AS t1, '{{"knowledge_point_title":"' || {_T1} || '","bullet_points":[{{"title":"' || {_T1} || '",' || {_V('original', _O)} || ',' || {_V('recitation', _R)} || CASE WHEN doc_id % 5 = 2 THEN '' ELSE ',' || {_V('keywords', _KW)} END || ',"source_chunk_ids":["c' || (doc_id % 3) || '","c9"],"source_pages":[' || (doc_id % 4) || ']}}]}}' AS body FROM documents),
-raw AS (SELECT doc_id AS item_id, 1 AS attempt, CASE doc_id % 5 WHEN 0 THEN '```json' || chr(10) || body || chr(10) || '```' WHEN 1 THEN 'Here: ' || body || ' end' WHEN 3 THEN substring(body, 1, 180) ELSE body END AS raw FROM body UNION ALL SELECT doc_id, 2, body FROM body WHERE doc_id % 5 IN (2, 3) AND doc_id % 2 = 0),
+raw AS (SELECT doc_id AS item_id, 1 AS attempt, CASE doc_id % 5 WHEN 0 THEN '```json' || chr(10) || body || chr(10) || '```' WHEN 1 THEN 'Here: ' || body || ' end' WHEN 3 THEN left(body, floor(length(body) * 2 / 3)::BIGINT) ELSE body END AS raw FROM body UNION ALL SELECT doc_id, 2, body FROM body WHERE doc_id % 5 IN (2, 3) AND doc_id % 2 = 0),
 js AS (SELECT *, nullif(regexp_extract(raw, '(?s)(\\{{.*\\}})', 1), '') AS body FROM raw)"""
 
 
@@ -197,7 +211,7 @@ def j02_normalize_payload(spark, d):
 _NOISE = lambda x: f"coalesce({S.noise(x)}, true)"
 _B = "body->'$.bullet_points[0]'"
 VALID = f"""vv AS (SELECT item_id, attempt, json_valid(body) AS ok, CASE WHEN json_valid(body) THEN body->>'$.knowledge_point_title' END AS pt, CASE WHEN json_valid(body) THEN coalesce({_B}->>'$.original.content', '') END AS o, CASE WHEN json_valid(body) THEN coalesce({_B}->>'$.recitation.content', '') END AS r, CASE WHEN json_valid(body) THEN coalesce({_B}->>'$.keywords.content', '') END AS k, item_id % 4 AS page FROM js),
-va AS (SELECT item_id, attempt, coalesce(ok, false) AND NOT {_NOISE('trim(pt)')} AND NOT (len(regexp_extract_all(trim(pt), {S.lit(C.HEADING_NUMBERS)})) > 1) AND NOT {_NOISE('o')} AND NOT {_NOISE('r')} AND NOT {_NOISE('k')} AND page >= 1 AS valid FROM vv)"""
+va AS (SELECT item_id, attempt, coalesce(ok, false) AND NOT {_NOISE('trim(pt)')} AND NOT (len(regexp_extract_all(trim(pt), {S.lit(C.HEADING_NUMBERS)})) > 1) AND NOT {_NOISE('o')} AND NOT {_NOISE('r')} AND NOT {_NOISE('k')} AND page >= 1 AND length(trim(pt)) <= 200 AND length(trim(o)) <= 8000 AND length(trim(r)) <= 5000 AND length(trim(k)) <= 2000 AND len({S.parts('k', C.KEYWORD_SPLIT)}) <= 50 AS valid FROM vv)"""
 
 
 @query(f"WITH {RAW}, {VALID} SELECT item_id, attempt, valid FROM va")

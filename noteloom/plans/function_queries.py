@@ -68,15 +68,16 @@ over("h25_chapter_label", "chunks", label=(lambda: T.chapter_label(F.col("positi
 
 over("b01_route_page", "chunks", route=(lambda: P.page_route(F.col("position") % 2 == 0, body), "CASE WHEN position % 2 = 0 AND length(content) < 32 THEN 'ocr' ELSE 'text' END"), short_route=(lambda: P.page_route(F.col("position") % 2 == 0, F.left(body, (F.col("position") % 64).cast("int"))), "CASE WHEN position % 2 = 0 AND length(left(content, position % 64)) < 32 THEN 'ocr' ELSE 'text' END"))
 over("b02_upload_rules", "uploads", violations=(lambda: P.upload_violations(F.col("name"), F.when(F.col("doc_id") % 9 == 0, "text/plain").otherwise("application/pdf"), F.col("processed_pages") * 20000000, F.col("total_pages"), most_pages=350), "list_filter([CASE WHEN NOT ends_with(lower(name), '.pdf') THEN 'suffix' END, CASE WHEN doc_id % 9 = 0 THEN 'mime' END, CASE WHEN processed_pages * 20000000 <= 0 THEN 'empty' END, CASE WHEN processed_pages * 20000000 > 157286400 THEN 'size' END, CASE WHEN total_pages > 350 THEN 'pages' END], lambda x: x IS NOT NULL)"))
-over("b03_displayable_chapter", "lines", shown=(lambda: P.is_displayable_chapter(F.left(line, F.lit(12))), S.displayable("left(line, 12)")), numbered=(lambda: P.is_displayable_chapter(F.concat(F.left(line, F.lit(8)), F.lit(" / "), "line_no")), S.displayable("left(line, 8) || ' / ' || line_no")))
+over("b03_displayable_chapter", "lines", whole=(lambda: P.is_displayable_chapter(line), S.displayable("line")), shown=(lambda: P.is_displayable_chapter(F.left(line, F.lit(12))), S.displayable("left(line, 12)")), numbered=(lambda: P.is_displayable_chapter(F.concat(F.left(line, F.lit(8)), F.lit(" / "), "line_no")), S.displayable("left(line, 8) || ' / ' || line_no")))
 _first3 = f"({S.lines('content')})[1:3]"
 _chapter = "coalesce(chapter_title, '')"
 over("b04_heading_confirmed", "chunks", confirmed=(lambda: P.heading_confirmed(F.coalesce(chapter, F.lit("")), body, F.col("page_start"), F.col("page_end")), f"page_end - page_start <= 2 AND len(list_filter({_first3}, lambda a_: {S.tkey('a_')} = {S.tkey(_chapter)})) > 0 AND {S.readable('coalesce(array_to_string(list_concat(list_filter(' + _first3 + ', lambda a_: ' + S.tkey('a_') + ' <> ' + S.tkey(_chapter) + '), (' + S.lines('content') + ')[4:]), chr(32)), ' + chr(39) * 2 + ')')} >= 20"))
 over("b05_looks_like_toc", "chunks", toc=(lambda: P.looks_like_toc(F.concat_ws("\n", chapter, F.when(F.col("position") % 3 == 0, F.concat(F.lit("第9章 "), F.col("doc"))), body)), f"len(list_distinct(list_transform(list_filter({S.lines('concat_ws(chr(10), chapter_title, CASE WHEN position % 3 = 0 THEN ' + S.lit('第9章 ') + ' || doc END, content)')}, lambda t_: {S.has('t_', C.TOC_LINE)}), lambda t_: {S.tkey('t_')}))) >= 2"))
+_b0 = S.qkey("content")
 _b, _t = S.qkey("left(content, (position * 7 % 60)::INT)"), S.qkey("concat_ws(' ', chapter_title, section_title)")
-over("b06_structural_short", "chunks", short=(lambda: P.is_structural_short(F.left(body, (F.col("position") * 7 % 60).cast("int")), F.coalesce(chapter, F.lit("")), section), f"length({_b}) < 50 AND (({_t} <> '' AND (contains({_t}, {_b}) OR contains({_b}, {_t}))) OR contains({_b}, '目录') OR length({S.sub(_b, C.SHORT_NUMBERING)}) <= 16)"))
-over("b07_noise", "lines", noise=(lambda: P.is_noise(F.left(line, (F.col("line_no") % 5).cast("int"))), S.noise("left(line, (line_no % 5)::INT)")), link=(lambda: P.has_link_noise(line), S.has("line", C.LINK_NOISE)))
-over("b08_recall_evidence", "chunks", found=(lambda: P.recall_evidence(T.query_key(F.left(F.coalesce(chapter, F.lit("")), F.lit(6))), F.array(F.lit("the"), F.lit("tion"), F.lit("qqq")), T.query_key(body)), f"({S.qkey('left(' + _chapter + ', 6)')} <> '' AND contains({S.qkey('content')}, {S.qkey('left(' + _chapter + ', 6)')})) OR (contains({S.qkey('content')}, 'the')::INT + contains({S.qkey('content')}, 'tion')::INT + contains({S.qkey('content')}, 'qqq')::INT) >= 2"))
+over("b06_structural_short", "chunks", whole=(lambda: P.is_structural_short(body, F.coalesce(chapter, F.lit("")), section), f"length({_b0}) < 50 AND (({_t} <> '' AND (contains({_t}, {_b0}) OR contains({_b0}, {_t}))) OR contains({_b0}, '目录') OR length({S.sub(_b0, C.SHORT_NUMBERING)}) <= 16)"), short=(lambda: P.is_structural_short(F.left(body, (F.col("position") * 7 % 60).cast("int")), F.coalesce(chapter, F.lit("")), section), f"length({_b}) < 50 AND (({_t} <> '' AND (contains({_t}, {_b}) OR contains({_b}, {_t}))) OR contains({_b}, '目录') OR length({S.sub(_b, C.SHORT_NUMBERING)}) <= 16)"))
+over("b07_noise", "lines", whole=(lambda: P.is_noise(line), S.noise("line")), noise=(lambda: P.is_noise(F.left(line, (F.col("line_no") % 5).cast("int"))), S.noise("left(line, (line_no % 5)::INT)")), link=(lambda: P.has_link_noise(line), S.has("line", C.LINK_NOISE)))
+over("b08_recall_evidence", "chunks", found=(lambda: P.recall_evidence(T.query_key(F.coalesce(chapter, F.lit(""))), F.array(F.lit("the"), F.lit("tion"), F.lit("qqq")), T.query_key(body)), f"({S.qkey(_chapter)} <> '' AND contains({S.qkey('content')}, {S.qkey(_chapter)})) OR (contains({S.qkey('content')}, 'the')::INT + contains({S.qkey('content')}, 'tion')::INT + contains({S.qkey('content')}, 'qqq')::INT) >= 2"))
 over("b09_strict_short", "topics", strict=(lambda: P.needs_strict_evidence(T.query_key(T.matching_query(title))), f"length({S.qkey(S.matching('title'))}) <= 4"))
 over("b10_primary_gate", "uploads", passes=(lambda: P.passes_primary(F.col("processed_pages") / 13, F.col("total_pages") / 400), "processed_pages / 13 >= 0.35 AND (processed_pages / 13 >= 0.8 OR total_pages / 400 >= 0.6)"))
 over("b12_heading_kind", "lines", kind=(lambda: P.heading_kind(F.concat(F.when(F.col("line_no") % 3 == 0, "第2章 ").when(F.col("line_no") % 3 == 1, "1.2 ").otherwise(""), line)), f"CASE WHEN {S.has('(CASE line_no % 3 WHEN 0 THEN ' + S.lit('第2章 ') + ' WHEN 1 THEN ' + S.lit('1.2 ') + ' ELSE ' + chr(39) * 2 + ' END) || line', C.CHAPTER_LINE)} THEN 'chapter' WHEN {S.has('(CASE line_no % 3 WHEN 0 THEN ' + S.lit('第2章 ') + ' WHEN 1 THEN ' + S.lit('1.2 ') + ' ELSE ' + chr(39) * 2 + ' END) || line', C.SECTION_LINE)} THEN 'section' END"))

@@ -16,11 +16,19 @@ from .registry import query
 K = t.with_views("chunks")
 
 
+def first_sentence(text):
+    return F.split_part(F.split_part(text, F.lit("\n"), F.lit(1)), F.lit("."), F.lit(1))
+
+
 def passage_plans(spark, d):
-    """Each benchmark passage and each short first line of a document as a topic of every tenth project."""
-    lines = t.numbered(spark, d).where("idx < 12").select("project", "idx", F.left(F.split_part("text", F.lit("\n"), F.lit(1)), F.lit(60)).alias("title"))
-    bench = t.table(spark, d, "benchmark").select(F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("project"), (F.col("item_id") + 100).alias("idx"), F.col("text").alias("title"))
-    both = lines.unionByName(bench).select("project", "idx", F.lit(None).cast("string").alias("chapter"), "title", F.lit(None).cast("string").alias("parent_title"))
+    """A topic for each document, its first sentence (where a text has none of up to 200 characters, its first words), and for each benchmark passage in each project."""
+    given = t.numbered(spark, d).select("project", "idx", first_sentence(F.col("text")).alias("sentence"))
+    lines = t.topics(spark, d).join(given, ["project", "idx"]).select("project", "idx", F.when(F.length(F.btrim("sentence")).between(1, 200), F.col("sentence")).otherwise(F.col("title")).alias("title"))
+    projects = t.numbered(spark, d).groupBy("project").agg(F.count("*").alias("n"))
+    # a stated set of passages against all projects: a row for each project and passage, the passages broadcast
+    bench = t.table(spark, d, "benchmark").agg(F.collect_list(F.struct("item_id", "text")).alias("passages"))
+    each = projects.crossJoin(F.broadcast(bench)).select("project", "n", F.explode("passages").alias("p")).select("project", (F.col("p.item_id") + F.col("n")).alias("idx"), F.col("p.text").alias("title"))
+    both = lines.unionByName(each).select("project", "idx", F.lit(None).cast("string").alias("chapter"), "title", F.lit(None).cast("string").alias("parent_title"))
     return Q.plan_queries(both)
 
 
@@ -81,14 +89,9 @@ def c07_adjacent_evidence(spark, d):
     return M.adjacent_chunks(own, t.chunks(spark, d))
 
 
-def plans_for(spark, d):
-    """A plan of each fifth of a project's chunks, with two subqueries."""
-    tp = t.topics(spark, d).where("idx % 5 = 0").withColumn("idx", F.floor(F.col("idx") / 5))
-    kind = F.when(F.col("idx") % 3 == 0, "COLLECTION").when(F.col("idx") % 3 == 1, "TASK").otherwise("KNOWLEDGE")
-    titles = F.collect_list("title").over(Window.partitionBy("project").orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    near = F.filter(F.slice(F.col("all"), 1, 4), lambda x: x != F.col("title"))
-    p = tp.withColumn("all", titles)
-    return p.select("project", "idx", "chapter", "title", kind.alias("item_type"), F.when(kind == "COLLECTION", near).otherwise(Q.strings()).alias("children"), F.when(kind == "TASK", near).otherwise(Q.strings()).alias("related"), Q.strings(["query 0", "query 2"]).alias("subqueries"), Q.strings(["query 0", "query 1", "query 2"]).alias("queries"))
+def topic_plans(spark, d):
+    """A plan of every topic, with its own children and related topics."""
+    return Q.plan_queries(t.topics(spark, d))
 
 
 def fused_ranked(spark, d):
@@ -98,8 +101,8 @@ def fused_ranked(spark, d):
 
 @query()
 def c08_resolve_dependent(spark, d):
-    c = fused_ranked(spark, d).where("idx % 3 = 2 or idx % 2 = 0")
-    return M.resolve_dependent(plans_for(spark, d), c.where("idx % 3 != 1")).drop("matched_queries")
+    plans = topic_plans(spark, d)
+    return M.resolve_dependent(plans, M.match_topics(plans, t.chunks(spark, d))).drop("matched_queries")
 
 
 @query()
@@ -110,19 +113,25 @@ def f02_cover_subqueries(spark, d):
 
 @query()
 def f03_f07_select_evidence(spark, d):
-    return M.select_evidence(plans_for(spark, d), fused_ranked(spark, d).where("rank <= 6"), t.chunks(spark, d)).select("project", "idx", "rank", "chunk_id", "score")
+    plans, chunks = topic_plans(spark, d), t.chunks(spark, d)
+    return M.select_evidence(plans, M.match_topics(plans, chunks), chunks).select("project", "idx", "rank", "chunk_id", "score")
 
 
-@query(f"""{K}, {CAND}, {FUSED}, m AS (SELECT project, idx, count(*) AS n, min(stage) AS stage FROM fused WHERE stage = 1 AND idx % 4 <> 0 GROUP BY 1, 2), p AS (SELECT DISTINCT project, position // 5 AS idx FROM chunks)
-SELECT project, idx, n IS NOT NULL AS matched, CASE stage WHEN 1 THEN 'primary' WHEN 2 THEN 'secondary' END AS recall_stage, CASE WHEN n IS NULL THEN 'below_threshold' END AS reason FROM p LEFT JOIN m USING (project, idx)""")
+@query(f"""{t.with_views('chunks', 'topics')}, {CAND}, {FUSED}, m AS (SELECT project, idx, count(*) AS n, min(stage) AS stage FROM fused WHERE stage = 1 GROUP BY 1, 2)
+SELECT project, idx, n IS NOT NULL AS matched, CASE stage WHEN 1 THEN 'primary' WHEN 2 THEN 'secondary' END AS recall_stage, CASE WHEN n IS NULL THEN 'below_threshold' END AS reason FROM topics LEFT JOIN m USING (project, idx)""")
 def c06_item_matches(spark, d):
-    return M.item_matches(plans_for(spark, d), M.fuse(candidates(spark, d)).where("stage = 1 and idx % 4 != 0"))
+    plans = t.topics(spark, d).select("project", "idx", F.lit("KNOWLEDGE").alias("item_type"), F.array("title").alias("queries"))
+    return M.item_matches(plans, M.fuse(candidates(spark, d)).where("stage = 1"))
 
 
 @query()
 def j08_failure_diagnostic(spark, d):
-    p = plans_for(spark, d)
-    return M.failure_diagnostics(p, M.item_matches(p, M.fuse(candidates(spark, d)).where("idx % 4 != 0")))
+    """Of every topic without candidates, with the best score of each of its queries over all chunks."""
+    plans, chunks = topic_plans(spark, d), t.chunks(spark, d)
+    found_ = M.match_topics(plans, chunks).select("project", "idx", "stage", "score")
+    missed = plans.join(found_.select("project", "idx").distinct(), ["project", "idx"], "left_anti")
+    scores = M.top_scores(M.query_scores(M.retrieval_queries(missed), chunks))
+    return M.failure_diagnostics(missed, M.item_matches(missed, found_, scores), scores)
 
 
 def evidence(spark, d):
@@ -144,14 +153,14 @@ def j10_extractive_item(spark, d):
 
 
 def cited(spark, d):
-    """A bullet of each topic and stage: it cites the topic's candidates and two chunks and pages beside them."""
+    """Two bullets of each topic, by odd and even pages: each cites its candidates and a chunk and pages beside them."""
     c = M.fuse(candidates(spark, d))
     ids, pages = F.array_sort(F.collect_set("chunk_id")), F.array_sort(F.collect_set("page_start"))
     extra = F.when(F.col("idx") % 3 == 0, F.array(F.lit("none"))).otherwise(Q.strings())
-    return c.groupBy("project", "idx", F.col("stage").alias("bullet")).agg(ids.alias("ids"), pages.alias("ps")).select("project", "idx", "bullet", F.concat("ids", extra).alias("chunk_ids"), F.concat("ps", F.array(F.element_at("ps", -1) + 1, F.lit(900000).cast("long"))).alias("pages"))
+    return c.groupBy("project", "idx", (F.col("page_start") % 2 + 1).alias("bullet")).agg(ids.alias("ids"), pages.alias("ps")).select("project", "idx", "bullet", F.concat("ids", extra).alias("chunk_ids"), F.concat("ps", F.array(F.element_at("ps", -1) + 1, F.lit(900000).cast("long"))).alias("pages"))
 
 
-CITED = "cited AS (SELECT project, idx, stage AS bullet, list_concat(list(DISTINCT chunk_id ORDER BY chunk_id), CASE WHEN idx % 3 = 0 THEN ['none'] ELSE [] END) AS ids, list_concat(list(DISTINCT page_start ORDER BY page_start), [max(page_start) + 1, 900000]) AS ps FROM fused GROUP BY project, idx, stage)"
+CITED = "cited AS (SELECT project, idx, page_start % 2 + 1 AS bullet, list_concat(list(DISTINCT chunk_id ORDER BY chunk_id), CASE WHEN idx % 3 = 0 THEN ['none'] ELSE [] END) AS ids, list_concat(list(DISTINCT page_start ORDER BY page_start), [max(page_start) + 1, 900000]) AS ps FROM fused GROUP BY 1, 2, 3)"
 
 
 @query(f"""{K}, {CAND}, {FUSED}, {CITED}, bc AS (SELECT project, idx, bullet, count(*) AS n FROM (SELECT project, idx, bullet, unnest(ids) AS chunk_id FROM cited) ANTI JOIN fused USING (project, idx, chunk_id) GROUP BY 1, 2, 3),
@@ -193,20 +202,22 @@ def h11_sequence_ratio(spark, d):
 
 @query()
 def h12_h13_score(spark, d):
-    """The score of every fifth project topic's own chunks, with the diversity order of its first four."""
-    return M.match_topics(plans_with_titles(spark, d), t.chunks(spark, d)).select("project", "idx", "rank", "chunk_id", "score")
-
-
-def plans_with_titles(spark, d):
-    return Q.plan_queries(t.topics(spark, d))
+    """Scores of every topic's candidates, and the diversity of each beside those ranked before it."""
+    plans, chunks = topic_plans(spark, d), t.chunks(spark, d)
+    j = M.match_topics(plans, chunks).join(chunks.select("chunk_id", "content"), "chunk_id")
+    before = Window.partitionBy("project", "idx").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    chosen = F.collect_list(F.struct("page_start", "page_end")).over(before)
+    worth = M.utility(F.col("score"), F.col("content"))
+    return j.withColumn("chosen", chosen).select("project", "idx", "rank", "chunk_id", "score", F.round(M.diversity(worth, F.col("page_start"), F.col("page_end"), F.col("chosen")), 6).alias("diversity"))
 
 
 @query()
 def p06_rematch_with_rewrites(spark, d):
-    plans = plans_with_titles(spark, d)
-    first = M.match_topics(plans, t.chunks(spark, d)).where("idx % 2 = 0")
-    rewrites = t.chunks(spark, d).join(plans.select("project", F.col("idx").alias("position"), "title"), ["project", "position"]).select(T.query_key(F.col("title")).alias("topic_key"), F.array(F.substring("content", 1, 30)).alias("queries"))
-    return M.rematch_with_rewrites(plans, first, rewrites, t.chunks(spark, d)).select("project", "idx", "rank", "chunk_id", "score")
+    """Topics without candidates are matched again by the first sentence of the document in their place."""
+    plans, chunks = topic_plans(spark, d), t.chunks(spark, d)
+    rewrites = plans.select("project", "idx", "title").join(t.numbered(spark, d).select("project", "idx", first_sentence(F.col("text")).alias("sentence")), ["project", "idx"])
+    rewrites = rewrites.select(T.query_key(F.col("title")).alias("topic_key"), F.array("sentence").alias("queries"))
+    return M.rematch_with_rewrites(plans, M.match_topics(plans, chunks), rewrites, chunks).select("project", "idx", "rank", "chunk_id", "score")
 
 
 @query()

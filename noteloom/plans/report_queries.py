@@ -68,9 +68,16 @@ def d09_parse_summary(spark, d):
     return R.parse_summary(t.page_events(spark, d))
 
 
-@query(f"{I} SELECT count(*) AS items, count(*) FILTER (status = 'succeeded') AS matched, count(*) FILTER (parent_item IS NOT NULL) AS resolved, count(*) FILTER (failure_type = 'schema_validation') AS schema_failures, count(*) FILTER (failure_type IS NULL) AS valid FROM items")
+REPORT = f"""n AS (SELECT *, coalesce(status = 'succeeded' OR failure_type = 'format_warning', false) AS content, chapter <> 'chapter 0' AS resolved, coalesce(failure_type NOT IN ('schema_validation', 'generation_error', 'unmatched'), true) AND status = 'succeeded' AS ok FROM items)"""
+
+
+@query(f"{t.with_views('items')}, {REPORT} SELECT job_id, count(*) AS total, count(*) FILTER (content) AS content_matched, count(*) FILTER (NOT content) AS content_unmatched, count(*) FILTER (resolved) AS chapter_resolved, count(*) FILTER (NOT resolved) AS chapter_unresolved, count(*) FILTER (ok) AS generation_valid, count(*) FILTER (failure_type = 'schema_validation') AS schema_failures, coalesce(list(item ORDER BY position) FILTER (contains(item, 'topic 1')), []) AS focus_topic_1, coalesce(list(item ORDER BY position) FILTER (contains(item, '99')), []) AS focus_99 FROM n GROUP BY 1")
 def d16_run_report(spark, d):
-    return R.run_report(t.items(spark, d))
+    """Of every job: what matched, resolved and is valid, and the items of two topics in focus."""
+    i = t.items(spark, d)
+    states = i.select("job_id", "position", "item", "failure_type", ((F.col("status") == "succeeded") | F.coalesce(F.col("failure_type") == "format_warning", F.lit(False))).alias("content_matched"), (F.col("chapter") != "chapter 0").alias("chapter_resolved"),
+        ((F.col("status") == "succeeded") & F.coalesce(~F.col("failure_type").isin("schema_validation", "generation_error", "unmatched"), F.lit(True))).alias("generation_valid"))
+    return R.run_report(states, {"focus_topic_1": "topic 1", "focus_99": "99"})
 
 
 ACTIVITY = f"{t.with_views('uploads', 'items')}, {JOBS_SQL}, a AS (SELECT j.job_id, greatest(started_at, item_at) AS active_at FROM jobs j LEFT JOIN (SELECT job_id, max(updated_at) AS item_at FROM items GROUP BY 1) USING (job_id))"
@@ -96,9 +103,11 @@ def e04_rolling_day_pages(spark, d):
     return R.rolling_day_pages(t.uploads(spark, d))
 
 
-@query(f"{U}, h AS (SELECT date_trunc('hour', accepted_at) AS at, sum(quota_pages) AS p FROM uploads WHERE role = 'public' AND quota_released_at IS NULL GROUP BY 1) SELECT a.at, sum(b.p)::BIGINT AS day_pages, sum(b.p) > 3000 AS over_limit FROM h a JOIN h b ON b.at BETWEEN a.at - INTERVAL 24 HOUR AND a.at GROUP BY 1")
+@query(f"{U}, k AS (SELECT doc_id, accepted_at + to_minutes((doc_id * 37) % 1440) AS accepted_at, quota_pages FROM uploads WHERE role = 'public' AND quota_released_at IS NULL) SELECT doc_id, sum(quota_pages) OVER w::BIGINT AS day_pages, sum(quota_pages) OVER w > 3000 AS over_limit FROM k WINDOW w AS (ORDER BY accepted_at RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND CURRENT ROW)")
 def e04_total_day_pages(spark, d):
-    return R.total_day_pages(t.uploads(spark, d))
+    """Acceptances are dates here, so each gets a minute of its own."""
+    u = t.uploads(spark, d)
+    return R.total_day_pages(u.withColumn("accepted_at", F.col("accepted_at") + F.make_dt_interval(mins=((F.col("doc_id") * 37) % 1440).cast("int"))))
 
 
 @query(f"{L}, c AS (SELECT *, lag(status) OVER (PARTITION BY doc_id ORDER BY ts, event_id) AS before FROM page_events) SELECT doc_id, list(status ORDER BY ts, event_id) AS history FROM c WHERE before IS NULL OR before <> status GROUP BY doc_id")
@@ -140,10 +149,11 @@ def f06_list_projects(spark, d):
 STATUS = "s AS (SELECT project_id, status FROM uploads WHERE kind = 'course_material' QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY accepted_at DESC, doc_id DESC) = 1)"
 
 
-@query(f"{t.with_views('uploads', 'items')}, {STATUS}, c AS (SELECT DISTINCT project_id FROM items WHERE status = 'succeeded' AND project_id % 3 = 0) SELECT project_id, CASE WHEN c.project_id IS NOT NULL THEN 'completed' WHEN status = 'failed' THEN 'failed' ELSE 'processing' END AS project_status FROM s LEFT JOIN c USING (project_id)")
+@query(f"{t.with_views('uploads', 'items')}, {STATUS}, c AS (SELECT DISTINCT project_id FROM items WHERE status = 'succeeded' AND job_id % 5 = 0), z AS (SELECT project_id, CASE WHEN c.project_id IS NOT NULL THEN project_id % 4 WHEN status = 'failed' THEN 5 WHEN project_id % 4 = 0 AND status IN ('uploaded', 'queued', 'processing', 'parsing', 'interrupted', 'parsed') THEN 6 ELSE project_id % 4 END AS code FROM s LEFT JOIN c USING (project_id)) SELECT project_id, ['not_uploaded', 'processing', 'completed', 'failed', NULL, 'failed', 'processing'][code + 1] AS project_status FROM z")
 def b20_project_status(spark, d):
-    done = t.items(spark, d).where("status = 'succeeded' and project_id % 3 = 0").select("project_id").distinct()
-    return R.project_status(t.uploads(spark, d), done)
+    done = t.items(spark, d).where("status = 'succeeded' and job_id % 5 = 0").select("project_id").distinct()
+    own = t.uploads(spark, d).select("project_id").distinct().withColumn("status", F.element_at(F.array(*[F.lit(x) for x in ("not_uploaded", "processing", "completed", "failed")]), (F.col("project_id") % 4 + 1).cast("int")))
+    return R.project_status(own, t.uploads(spark, d), done)
 
 
 @query(f"{U}, b AS (SELECT workspace_id, count(*) AS active FROM uploads WHERE status IN ('queued', 'processing') AND workspace_id % 2 = 0 GROUP BY 1), p AS (SELECT workspace_id, coalesce(sum(quota_pages) FILTER (role = 'public' AND accepted_at >= {NOW_SQL} - INTERVAL 24 HOUR AND quota_released_at IS NULL), 0) AS pages FROM uploads WHERE workspace_id % 2 = 0 OR status NOT IN ('queued', 'processing') GROUP BY 1) SELECT doc_id, CASE WHEN object_key IS NULL THEN 'no_object' WHEN coalesce(active, 0) > 0 THEN 'busy' WHEN NOT (role = 'owner' OR quota_released_at IS NULL OR coalesce(pages, 0) + quota_pages <= 1200) THEN 'quota' ELSE 'ok' END AS reason FROM uploads u LEFT JOIN b USING (workspace_id) LEFT JOIN p USING (workspace_id) WHERE status IN ('failed', 'interrupted')")
@@ -184,10 +194,10 @@ def a01_scan_pages(spark, d):
     return t.page_events(spark, d).where("status = 'completed'").select("doc_id", "page_number", "text")
 
 
-@query(f"{t.with_views('chunks', 'uploads')} SELECT c.project, chunk_id, page_start, position FROM chunks c JOIN (SELECT DISTINCT 'src' || (project_id % 20) AS project FROM uploads WHERE kind = 'course_material' AND project_id % 3 <> 0) USING (project)")
+@query(f"{t.with_views('chunks', 'uploads')} SELECT c.project, chunk_id, page_start, position FROM chunks c WHERE split_part(c.project, ':', 1) IN (SELECT 'src' || (project_id % 20) FROM uploads WHERE kind = 'course_material')")
 def a02_scan_chunks(spark, d):
-    course = t.uploads(spark, d).where("kind = 'course_material' and project_id % 3 != 0").select(F.concat(F.lit("src"), (F.col("project_id") % 20).cast("string")).alias("project")).distinct()
-    return t.chunks(spark, d).join(course, "project", "left_semi").select("project", "chunk_id", "page_start", "position")
+    course = t.uploads(spark, d).where("kind = 'course_material'").select(F.concat(F.lit("src"), (F.col("project_id") % 20).cast("string")).alias("course")).distinct()
+    return t.chunks(spark, d).withColumn("course", F.split_part("project", F.lit(":"), F.lit(1))).join(course, "course", "left_semi").select("project", "chunk_id", "page_start", "position")
 
 
 FAILS = "SELECT project_id, position, left(item, 160) AS title, left(regexp_replace(coalesce(reason, '未提供失败原因'), '(?i)(?:sk-[A-Za-z0-9_-]{8,}|(?:password|secret|token|api[_ -]?key)\\s*[:=]\\s*\\S+)', '[敏感信息已隐藏]', 'g'), 500) AS reason"

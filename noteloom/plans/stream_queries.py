@@ -68,10 +68,10 @@ def s07_resume_point(spark, d):
 
 @query()
 def s08_stream_match(spark, d):
-    """Documents arrive as a stream of chunks and meet the plans of the benchmark passages."""
+    """Documents arrive as a stream of chunks and meet the plans of topics and benchmark passages."""
     path = f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
     stream = W.parquet_stream(spark, f"{d}/documents.parquet")
     no = F.lit(None).cast("string")
-    chunks = stream.select(F.col("source").alias("project"), F.col("doc_id").cast("string").alias("chunk_id"), no.alias("chapter_title"), no.alias("section_title"), F.col("text").alias("content"), F.col("doc_id").alias("page_start"), F.col("doc_id").alias("page_end"))
+    chunks = stream.select(F.concat("source", F.lit(":"), F.floor(F.col("doc_id") / t.PROJECT_IDS).cast("string")).alias("project"), F.col("doc_id").cast("string").alias("chunk_id"), no.alias("chapter_title"), no.alias("section_title"), F.col("text").alias("content"), F.col("doc_id").alias("page_start"), F.col("doc_id").alias("page_end"))
     scored = W.drain(chunks, batches=W.match_batches(passage_plans(spark, d), path), path=path)
     return M.top_candidates(scored.drop("batch")).select("project", "idx", "q_no", "chunk_id", "score", "stage")

@@ -51,10 +51,10 @@ def p02_split_chunks(spark, d):
 
 def outline_entries(spark, d):
     first = F.split_part("text", F.lit("."), F.lit(1))
-    return t.numbered(spark, d).where("idx % 4 = 1").select(F.col("project").alias("doc_id"), (F.col("idx") % 3).alias("level"), first.alias("title"), (F.floor(F.col("idx") / 2) + 1).cast("long").alias("page_number"), F.col("idx").alias("ord"))
+    return t.numbered(spark, d).select(F.col("project").alias("doc_id"), (F.col("idx") % 3).alias("level"), first.alias("title"), (F.floor(F.col("idx") / 2) + 1).cast("long").alias("page_number"), F.col("idx").alias("ord"))
 
 
-@query(f"""{N}, o AS (SELECT project AS doc_id, idx % 3 AS level, split_part(text, '.', 1) AS title, idx // 2 + 1 AS page_number, idx AS ord FROM numbered WHERE idx % 4 = 1)
+@query(f"""{N}, o AS (SELECT project AS doc_id, idx % 3 AS level, split_part(text, '.', 1) AS title, idx // 2 + 1 AS page_number, idx AS ord FROM numbered)
 SELECT doc_id, page_number, max_by(title, ord) AS outline_title FROM (SELECT *, min(level) OVER (PARTITION BY doc_id) AS least FROM o) WHERE level = least GROUP BY 1, 2""")
 def c10_outline_join(spark, d):
     return B.outline_titles(outline_entries(spark, d))
@@ -192,9 +192,9 @@ def p04_plan_queries(spark, d):
     return Q.plan_queries(worded(spark, d))
 
 
-@query(f"{T_}, r AS (SELECT {S.qkey('title')} AS topic_key, [title || '  one', title || ' one', chapter] AS qs FROM topics WHERE idx % 2 = 0 QUALIFY row_number() OVER (PARTITION BY {S.qkey('title')} ORDER BY project, idx) = 1), z AS (SELECT topic_key, list_filter(list_transform(qs, lambda b_: {S.blank_free('b_')}), lambda b_: length(b_) <= 80) AS qs FROM r) SELECT topic_key, len({S.unique('qs', S.ckey)}) AS n FROM z")
+@query(f"{T_}, r AS (SELECT {S.qkey('title')} AS topic_key, [title || '  one', title || ' one', chapter] AS qs FROM topics), r1 AS (SELECT topic_key, min(qs) AS qs FROM r GROUP BY 1), z AS (SELECT topic_key, list_filter(list_transform(qs, lambda b_: {S.blank_free('b_')}), lambda b_: length(b_) <= 80) AS qs FROM r1) SELECT topic_key, len({S.unique('qs', S.ckey)}) AS n FROM z")
 def a07_rewrites(spark, d):
-    r = t.topics(spark, d).where("idx % 2 = 0").select(T.query_key(F.col("title")).alias("topic_key"), F.array(F.concat("title", F.lit("  one")), F.concat("title", F.lit(" one")), "chapter").alias("queries"))
+    r = t.topics(spark, d).select(T.query_key(F.col("title")).alias("topic_key"), F.array(F.concat("title", F.lit("  one")), F.concat("title", F.lit(" one")), "chapter").alias("queries"))
     return Q.clean_rewrites(r).select("topic_key", F.size("rewrite_queries").cast("long").alias("n"))
 
 
@@ -203,11 +203,12 @@ def a05_raw_text(spark, d):
     return M.raw_text(doc_pages(spark, d)).select("doc_id", F.md5("text").alias("digest"))
 
 
-@query(f"{N}, g AS (SELECT project, max(CASE WHEN idx = 0 THEN CASE WHEN project IN ('src1', 'src2') THEN '  ' ELSE left(text, 30) END END) AS text, max(CASE WHEN idx = 1 THEN left(text, 30) END) AS raw_text FROM numbered GROUP BY 1) SELECT project, coalesce(nullif(trim(text), ''), raw_text) AS text FROM g")
+@query("SELECT doc_id AS project, md5(coalesce(nullif(CASE WHEN doc_id % 3 = 0 THEN '' ELSE trim(text) END, ''), 'parsed ' || text)) AS digest FROM documents")
 def a04_outline_source(spark, d):
-    n = t.numbered(spark, d)
-    given = n.where("idx = 0").select("project", F.when(F.col("project").isin("src1", "src2"), "  ").otherwise(F.left("text", F.lit(30))).alias("text"))
-    return M.outline_text(given, n.where("idx = 1").select("project", F.left("text", F.lit(30)).alias("raw_text")))
+    """Every document as the outline of a project of its own; each third is given blank, so that its parsed text counts."""
+    docs = t.documents(spark, d)
+    given = docs.select(F.col("doc_id").alias("project"), F.when(F.col("doc_id") % 3 == 0, "  ").otherwise(F.col("text")).alias("text"))
+    return M.outline_text(given, docs.select(F.col("doc_id").alias("project"), F.concat(F.lit("parsed "), "text").alias("raw_text"))).select("project", F.md5("text").alias("digest"))
 
 
 @query(f"""{t.with_views('lines')}, k AS (SELECT doc_id, line_no, CASE line_no % 3 WHEN 0 THEN '1. ' WHEN 1 THEN '- ' ELSE '' END || trim(line) AS line FROM (SELECT doc_id, line_no // 2 AS half, line_no, line FROM lines)),

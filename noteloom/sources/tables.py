@@ -1,6 +1,7 @@
 """Inputs of the operators, read from the driver's tables; each has its SQL twin in VIEWS for the oracles.
 
-documents serve as pages, chunks and topics of projects (their source), orders as uploaded documents of workspaces,
+documents serve as pages, chunks and topics of projects (a range of ids in a source, so that a project stays as small as
+a course however large a source is), orders as uploaded documents of workspaces,
 lineitem as job items, events as page and status logs, conversations as material.
 """
 
@@ -22,10 +23,15 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("long"))
 
 
+#: Ids of a source that make one project.
+PROJECT_IDS = 4000
+
+
 def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents with idx, their place in the project from 0."""
-    idx = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    return documents(spark, sf_dir).select("doc_id", F.col("source").alias("project"), "lang", "text", idx.cast("long").alias("idx"))
+    """documents with their project and idx, their place in it from 0."""
+    project = F.concat("source", F.lit(":"), F.floor(F.col("doc_id") / PROJECT_IDS).cast("string"))
+    docs = documents(spark, sf_dir).select("doc_id", project.alias("project"), "lang", "text")
+    return docs.withColumn("idx", (F.row_number().over(Window.partitionBy("project").orderBy("doc_id")) - 1).cast("long"))
 
 
 def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,11 +114,11 @@ _W = [f"coalesce({_WORD}[{i}], 'x')" for i in range(1, 5)]
 #: SQL twins, to stand in a WITH clause.
 VIEWS = {
     "lines": "lines AS (SELECT doc_id, source, i - 1 AS line_no, ls[i] AS line FROM (SELECT doc_id, source, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, source, string_split(text, chr(10)) AS ls FROM documents)))",
-    "numbered": "numbered AS (SELECT doc_id, source AS project, lang, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS idx FROM documents)",
+    "numbered": f"numbered AS (SELECT doc_id, source || ':' || (doc_id // {PROJECT_IDS}) AS project, lang, text, row_number() OVER (PARTITION BY source, doc_id // {PROJECT_IDS} ORDER BY doc_id) - 1 AS idx FROM documents)",
     "topics": f"""topics AS (SELECT project, idx, chapter, title, CASE WHEN idx % 5 IN (1, 2) THEN first_value(title) OVER (PARTITION BY project, idx // 5 ORDER BY idx) END AS parent_title FROM (
- SELECT source AS project, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS idx, '第' || ((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 10 + 1) || '章 ' || source AS chapter,
+ SELECT project, idx, '第' || (idx // 10 + 1) || '章 ' || project AS chapter,
  CASE doc_id % 6 WHEN 0 THEN {_W[0]} || '性、' || {_W[1]} || '性' || {_W[2]} || {_W[3]} WHEN 1 THEN {_W[0]} || '与' || {_W[1]} || '的区别' WHEN 2 THEN '主要' || {_W[0]} || '方法'
- WHEN 3 THEN {_W[0]} || ' 理论：' || {_W[1]} || '，' || {_W[2]} || '；需掌握' || {_W[3]} WHEN 4 THEN {_W[0]} || '案例分析' ELSE '1.' || (doc_id % 9) || ' ' || {_W[0]} || ' ' || {_W[1]} || ' Ａ－Ｂ' END AS title FROM documents))""",
+ WHEN 3 THEN {_W[0]} || ' 理论：' || {_W[1]} || '，' || {_W[2]} || '；需掌握' || {_W[3]} WHEN 4 THEN {_W[0]} || '案例分析' ELSE '1.' || (doc_id % 9) || ' ' || {_W[0]} || ' ' || {_W[1]} || ' Ａ－Ｂ' END AS title FROM numbered))""",
     "chunks": f"""chunks AS (SELECT project, project AS doc, doc_id::VARCHAR AS chunk_id, idx AS position, idx + 1 AS page_start, idx + 1 + CASE WHEN doc_id % 4 = 3 THEN 1 ELSE 0 END AS page_end,
  CASE WHEN doc_id % 7 <> 6 THEN head END AS chapter_title, CASE WHEN doc_id % 3 = 0 THEN lang END AS section_title, CASE WHEN idx % 5 = 0 THEN head || chr(10) || text ELSE text END AS content
  FROM (SELECT *, '第' || ((idx // 5) % 12 + 1) || '章 ' || {_WORD}[1] AS head FROM numbered))""",
@@ -130,7 +136,7 @@ VIEWS = {
     "material": """material AS (SELECT conv_id % 10 AS project, (conv_id // 10) % 4 AS chapter, conv_id AS point, turn // 3 AS bullet, ['original', 'recitation', 'keywords'][turn % 3 + 1] AS kind,
  string_split(string_split(text, chr(10))[1], ' ')[1] AS title, text AS content, turn, role FROM conversations)""",
 }
-_NEEDS = {"chunks": ["numbered"]}
+_NEEDS = {"chunks": ["numbered"], "topics": ["numbered"]}
 
 
 def with_views(*names: str) -> str:

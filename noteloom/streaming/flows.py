@@ -104,6 +104,7 @@ def drain(stream: DataFrame, mode: str = "append", batches: Callable[[DataFrame,
     elif mode == "append":
         write = write.format("parquet").option("path", path)
     else:
-        write = write.outputMode(mode).foreachBatch(lambda b, i: b.write.mode("overwrite" if mode == "complete" else "append").parquet(path))
+        write = write.outputMode(mode).foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/batch={i}"))
     write.start().awaitTermination()
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    return out.drop("batch") if mode == "update" else out

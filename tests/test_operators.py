@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import random
+import re
 from difflib import SequenceMatcher
 
 from noteloom.config import CONFIG, Config
+from noteloom.functions.keys import key_of
 from noteloom.operators import matching as M
 from noteloom.operators import material, organize, outline, payloads, planning, reports
 from noteloom.operators import structure as B
@@ -44,60 +46,102 @@ def test_outline_parents(spark):
     assert got == [("第一章 基础", parent, None), ("第一章 基础", "能动性", parent), ("第一章 基础", "时效性", parent), ("第一章 基础", "概念", None), ("第二章 方法", "招聘方法", None)]
 
 
-def brute(plans, chunks):
-    """Every query with every chunk, by the definitions."""
-    out = {}
-    for p in plans:
-        q = M.PreparedQuery(*p[1:])
-        found = []
+def plain_score(key: str, chapter: str, chunk: dict) -> float:
+    """The score by the definitions, over plain strings."""
+    own = [key_of(x) for x in (chunk["chapter_title"], chunk["section_title"]) if x]
+    body = key_of(chunk["content"])
+    grams = {key[i : i + 2] for i in range(len(key) - 1)} if len(key) >= 4 else set(key)
+    near = max(SequenceMatcher(None, key, t).ratio() for t in [*own, body[: max(6 * len(key), 160)]])
+    options = [0.72 * near, 0.68 * sum(g in body for g in grams) / len(grams)]
+    options += [0.8] * (key in body) + [0.92] * any(t and (key in t or t in key) for t in own) + [1.0] * (key in own)
+    value = max(options)
+    if chapter and chunk["chapter_title"]:
+        value += 0.08 * SequenceMatcher(None, key_of(chapter), key_of(chunk["chapter_title"])).ratio()
+    value = min(1.0, value)
+    titles = "".join(own)
+    structural = len(body) < 50 and ((titles and (body in titles or titles in body)) or "目录" in body or len(re.sub("^(?:第?[一二三四五六七八九十百0-9]+[章节篇部、.]?)+", "", body)) <= 16)
+    if value < 0.9:
+        value *= (0.55 if structural else 1) * (0.75 if re.search("https?://", chunk["content"]) else 1)
+    return value
+
+
+def recalled(core: str, words: list[str], texts) -> bool:
+    hay = key_of(" ".join(t for t in texts if t))
+    return (core != "" and key_of(core) in hay) or sum(key_of(w) in hay for w in set(words)) > 1
+
+
+def brute(queries, chunks):
+    """Best candidates and the best score of all, every query with every chunk."""
+    out, top = {}, {}
+    for n, chapter, core, words, matching in queries:
+        key, found = key_of(matching), []
+        grams = {key[i : i + 2] for i in range(len(key) - 1)} if len(key) >= 4 else set(key)
+        top[n] = 0.0
         for c in chunks:
-            k = M.PreparedChunk(c["chapter_title"], c["section_title"], c["content"])
-            if q.strict and not q.recalled(k.without_chapter):
+            if not key or (len(key) <= 4 and not recalled(core, words, (c["section_title"], c["content"]))):
                 continue
-            titles = k.titles
-            if q.key in titles:
-                base = 1.0
-            elif any(q.key in t or t in q.key for t in titles if t):
-                base = 0.92
-            elif q.key in k.body:
-                base = 0.8
-            else:
-                near = max(SequenceMatcher(None, q.key, t).ratio() for t in [*titles, k.body[: max(6 * len(q.key), 160)]])
-                base = max(0.72 * near, 0.68 * sum(g in k.body for g in q.grams) / len(q.grams))
-            score = base * (0.55 if k.structural and base < 0.9 else 1)
-            over = sum(g in k.searchable for g in q.grams) / len(q.grams)
-            if score >= 0.35 and (score >= 0.8 or over >= 0.6):
-                found.append((round(score, 4), 1, c["chunk_id"]))
-            elif score >= 0.28 and q.recalled(k.searchable):
-                found.append((round(score, 4), 2, c["chunk_id"]))
+            s = plain_score(key, chapter, c)
+            top[n] = max(top[n], round(s, 4))
+            hay = key_of(" ".join(c[k] for k in ("chapter_title", "section_title", "content") if c[k]))
+            if s >= 0.35 and (s >= 0.8 or sum(g in hay for g in grams) / len(grams) >= 0.6):
+                found.append((round(s, 4), 1, c["chunk_id"]))
+            elif s >= 0.28 and recalled(core, words, (c["chapter_title"], c["section_title"], c["content"])):
+                found.append((round(s, 4), 2, c["chunk_id"]))
         first = [x for x in found if x[1] == 1]
-        pool = found if len(first) < CONFIG.candidates else first
-        out[p[0]] = sorted((-s, i) for s, _, i in pool)[: CONFIG.candidates]
-    return out
+        out[n] = sorted((-s, i) for s, _, i in (found if len(first) < CONFIG.candidates else first))[: CONFIG.candidates]
+    return out, top
 
 
-def test_match_equals_brute_force(spark):
+def test_match_equals_brute_force(spark, monkeypatch):
     random.seed(11)
     words = "招聘 甄选 绩效 薪酬 培训 人力 资源 规划 理论 the of and tion ing".split()
     say = lambda n: "".join(random.choice(words) for _ in range(n))
-    chunks = [{"project": "p", "chunk_id": f"{i:03}", "chapter_title": say(2) if i % 3 else None, "section_title": say(1) if i % 2 else None, "content": say(random.randint(3, 60)), "page_start": 1, "page_end": 1} for i in range(80)]
-    queries = [(i, q := say(random.randint(1, 6)), q, [], q) for i in range(40)]
-    ready = spark.createDataFrame([("p", i, None, 0, q, c, w, m) for i, q, c, w, m in queries], "project string, idx long, chapter string, q_no int, query string, core string, words array<string>, matching string")
+    chunks = [{"project": "p", "chunk_id": f"{i:03}", "chapter_title": say(2) if i % 3 else None, "section_title": say(1) if i % 2 else None, "content": say(random.randint(0, 60)) + (" https://x" if i % 7 == 0 else ""), "page_start": 1, "page_end": 1} for i in range(90)]
+    queries = [(i, say(2) if i % 4 == 0 else None, q[: random.randint(1, 9)], random.sample(words, i % 4), q) for i in range(60) for q in [say(random.randint(1, 6))]] + [(60, None, "", [], " 、"), (61, None, "xyzzy", [], "xyzzyq")]
+    ready = spark.createDataFrame([("p", i, ch, 0, m, c, w, m) for i, ch, c, w, m in queries], "project string, idx long, chapter string, q_no int, query string, core string, words array<string>, matching string")
     table = spark.createDataFrame(chunks, "project string, chunk_id string, chapter_title string, section_title string, content string, page_start long, page_end long")
-    expected = {i: x for i, x in brute(queries, chunks).items() if x}
-    for config in (CONFIG, Config(broadcast_bytes=0)):
+    expected, top = brute(queries, chunks)
+    for config, size in ((CONFIG, 256), (Config(broadcast_bytes=0), 16)):
+        monkeypatch.setattr(M, "PACKED_CHUNKS", size)
+        monkeypatch.setattr(M, "PACKED_QUERIES", size)
         got: dict = {}
         for r in M.match_queries(ready, table, config).collect():
             got.setdefault(r.idx, []).append((-r.score, r.chunk_id))
-        assert {i: sorted(x) for i, x in got.items()} == expected
-
-
-def test_cover_and_evidence():
-    rows = [{"chunk_id": str(i), "score": 0.9 - i / 10, "page_start": i, "page_end": i, "text": f"定义 passage {i} " + "xyz"[i % 3] * 60, "matched_queries": q} for i, q in enumerate((["a"], ["a"], ["b"], ["c"]))]
-    assert [r["chunk_id"] for r in M.cover(rows, {"a", "b"}, 3)] == ["0", "2", "1"]
-    chosen = M.choose_evidence([*rows, rows[0] | {"chunk_id": "9"}], set())
-    assert len(chosen) == 3 or len({r["chunk_id"] for r in chosen} & {"0", "9"}) == 1
-    assert len(M.choose_evidence([r | {"text": "q" * 7000 + r["chunk_id"] * 40} for r in rows], set())) == 1
+        assert {i: sorted(x) for i, x in got.items()} == {i: x for i, x in expected.items() if x}
+        assert {r.idx: r.best for r in M.query_scores(ready, table, config).collect()} == top
+
+
+def test_cover():
+    rnd = random.Random(3)
+    for _ in range(200):
+        n = rnd.randint(0, 6)
+        rows = [{"matched_queries": rnd.sample("abcdef", rnd.randint(0, 3)), "rank": i} for i in range(n)]
+        wanted, most = set(rnd.sample("abcdef", rnd.randint(0, 4))), rnd.randint(1, 6)
+        order, open_ = [], set(wanted)
+        while open_ and len(order) < most:
+            left = [r["rank"] for r in rows if r["rank"] not in order and open_ & set(rows[r["rank"]]["matched_queries"])]
+            if not left:
+                break
+            order.append(max(left, key=lambda i: (len(open_ & set(rows[i]["matched_queries"])), -i)))
+            open_ -= set(rows[order[-1]]["matched_queries"])
+        order = (order + [i for i in range(n) if i not in order])[:most]
+        assert [r["rank"] for r in M.cover(rows, sorted(wanted), most)] == order
+
+
+def test_evidence():
+    rows = [{"chunk_id": str(i), "worth": 0.9 - i / 10, "page_start": i, "page_end": i, "text": f"定义 passage {i} " + "xyz"[i % 3] * 60, "matched_queries": q} for i, q in enumerate((["a"], ["a"], ["b"], ["c"]))]
+    assert [r["chunk_id"] for r in M.choose_evidence([*rows, rows[0] | {"chunk_id": "9"}], [])] == ["0", "1", "2"]
+    # an open subquery outweighs a small lead, a shared page costs more than it
+    assert [r["chunk_id"] for r in M.choose_evidence(rows, ["b"])][:2] == ["2", "0"] or M.choose_evidence(rows, ["b"])[0]["chunk_id"] == "0"
+    assert [r["chunk_id"] for r in M.choose_evidence([rows[0], rows[1] | {"page_start": 0}, rows[2]], [])] == ["0", "2", "1"]
+    assert len(M.choose_evidence([r | {"text": "q" * 7000 + r["chunk_id"] * 40} for r in rows], [])) == 1
+
+
+def test_diversity_and_utility(spark):
+    rows = [("a", 0.5, "定义" + "x" * 50, 3, 4, [(5, 6)]), ("b", 0.5, "short", 3, 4, [(4, 9)]), ("c", 0.5, "x" * 50, 3, 4, [])]
+    df = spark.createDataFrame(rows, "id string, score double, text string, page_start long, page_end long, chosen array<struct<page_start:long,page_end:long>>")
+    got = {r.id: round(r.v, 6) for r in df.select("id", M.diversity(M.utility(df["score"], df["text"]), df["page_start"], df["page_end"], df["chosen"]).alias("v")).collect()}
+    assert got == {"a": 0.69, "b": 0.3, "c": 0.55}
 
 
 def test_fold_and_collisions(spark):
