@@ -1,13 +1,22 @@
 """SentencePiece encoding and decoding by a weighted finite-state transducer.
 
-Compiled from the model file: a normaliser (dummy prefix, spaces to the word mark), a piece acceptor (a trie whose
-final states carry id and weight), byte fallback for characters without a piece and, for models of merges, a pair
-acceptor.  The pair acceptor gives infinite weight to two neighbouring pieces between which merging would not have
-stopped, so that the tropical shortest path through the composition with an input is the merges' own result; for
-unigram models pieces weigh their negative score and pairs nothing.  No piece has the word mark after another
-character, so the composition splits into stretches between such places; the shortest path of each stretch is kept
-in a bounded table and paths are joined.  Null text encodes to no pieces and decodes to empty text; a word mark in a text
-decodes to a space.  Models whose normaliser has a character map are refused.
+Four machines are compiled from the model file:
+
+* the normaliser: a transducer over bytes (the model's character map, longest match first, characters without one copied)
+  followed by one over blanks with the states start, word and blank (dummy prefix, runs of blanks, word marks);
+* the lexicon: a transducer whose states form a trie of the pieces; a path from the root spells a piece backwards, and
+  its end has an arc back to the root that puts out the piece's id with its weight;
+* byte fallback: for a character without a piece an arc that puts out the ids of its bytes (or the unknown piece);
+* for models of merges the pair acceptor: one state for each piece, an arc of weight zero between two pieces where merging
+  would have stopped and none elsewhere.  Pieces of such models weigh nothing, those of unigram models their negative score.
+
+The normalised input, a chain of characters, is composed with lexicon, fallback and pair acceptor into a lattice of arcs
+(begin, end, ids, weight), and the tropical shortest path through the lattice gives the ids.  No piece has the word mark
+after another character, so the lattice falls apart at these places; the shortest path of each stretch is kept in a
+bounded table and paths are joined.
+
+Null text encodes to no pieces and decodes to empty text; a word mark in a text decodes to a space.  Repeated rows are
+coded each, equally; an empty table gives no rows; other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -58,13 +67,53 @@ def wire(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += size
 
 
+class CharacterMap:
+    """The normaliser's byte transducer: a double array of states, each arc labelled with a byte, final states with a replacement."""
+
+    def __init__(self, blob: bytes) -> None:
+        size = int.from_bytes(blob[:4], "little")
+        self.units = np.frombuffer(blob[4 : 4 + size], "<u4").tolist()
+        self.replacements = blob[4 + size :]
+
+    def _offset(self, unit: int) -> int:
+        return (unit >> 10) << ((unit & 1 << 9) >> 6)
+
+    def longest(self, data: bytes, at: int) -> tuple[int, bytes] | None:
+        """Bytes read and replacement of the longest path from ``at`` that ends in a final state."""
+        units, found = self.units, None
+        node = self._offset(units[0])
+        for i in range(at, len(data)):
+            node ^= data[i]
+            if node >= len(units) or units[node] & 0x800000FF != data[i]:
+                break
+            unit = units[node]
+            node ^= self._offset(unit)
+            if unit >> 8 & 1:
+                found = i + 1 - at, units[node] & 0x7FFFFFFF
+        if found is None:
+            return None
+        size, begin = found
+        return size, self.replacements[begin : self.replacements.index(b"\0", begin)]
+
+    def apply(self, text: str) -> str:
+        data, out, at = text.encode(), [], 0
+        while at < len(data):
+            hit = self.longest(data, at)
+            if hit is None:
+                lead = data[at]
+                size = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
+                hit = size, data[at : at + size]
+            at += hit[0]
+            out.append(hit[1])
+        return b"".join(out).decode(errors="replace")
+
+
 class PieceTransducer:
     def __init__(self, model: bytes) -> None:
         fields = list(wire(model))
         trainer = dict(next((wire(v) for k, v in fields if k == TRAINER), ()))
         spec = dict(next((wire(v) for k, v in fields if k == NORMALIZER), ()))
-        if spec.get(2):
-            raise ValueError("normalisers with a character map are not supported")
+        self.map = CharacterMap(spec[2]) if spec.get(2) else None
         self.merges = trainer.get(3, UNIGRAM) == MERGES
         self.dummy_prefix, self.trim = bool(spec.get(3, 1)), bool(spec.get(4, 1))
         self.text: list[str] = []
@@ -81,17 +130,27 @@ class PieceTransducer:
         self.id = {t: i for i, t in enumerate(self.text) if self.kind[i] in (NORMAL, USER)}
         self.trees: dict[int, tuple[list, list]] = {}
         self.allowed: dict[int, bool] = {}
-        self.root: dict = {}
-        self.penalty = 0.0 if self.merges else max(self.weight[i] for i in self.id.values()) + 10
+        self.penalty = 0.0 if self.merges else max((self.weight[i] for i in self.id.values()), default=0.0) + 10
+        self._compile_lexicon()
+        self.known: dict[str, bytes] = {}
+        self.piece_bytes = [bytes([self.byte_of[i]]) if i in self.byte_of else t.encode() if self.kind[i] in (NORMAL, USER) else b"" for i, t in enumerate(self.text)]
+
+    def _compile_lexicon(self) -> None:
+        """next: for each state its arcs (character to state); final: the piece whose spelling ends there, or -1."""
+        self.next: list[dict[str, int]] = [{}]
+        self.final = [-1]
         for t, i in self.id.items():
             if self.merges and len(t) > 1 and self._spines(i) is None:
                 continue
-            node = self.root
+            state = 0
             for c in reversed(t):
-                node = node.setdefault(c, {})
-            node[""] = i
-        self.known: dict[str, bytes] = {}
-        self.piece_bytes = [bytes([self.byte_of[i]]) if i in self.byte_of else t.encode() if self.kind[i] in (NORMAL, USER) else b"" for i, t in enumerate(self.text)]
+                to = self.next[state].get(c)
+                if to is None:
+                    to = self.next[state][c] = len(self.next)
+                    self.next.append({})
+                    self.final.append(-1)
+                state = to
+            self.final[state] = i
 
     # -- pair acceptor ---------------------------------------------------------------------------------------------
 
@@ -142,68 +201,67 @@ class PieceTransducer:
     # -- composition and shortest path -------------------------------------------------------------------------------
 
     def normalise(self, text: str) -> str:
+        if self.map:
+            text = self.map.apply(text)
         if self.trim:
             text = re.sub(" +", " ", text.strip(" "))
         if not text:
             return ""
         return (" " + text if self.dummy_prefix else text).replace(" ", WORD)
 
-    def _fallback(self, char: str) -> tuple[int, ...]:
+    def fallback(self, char: str) -> tuple[int, ...]:
         return tuple(self.bytes[b] for b in char.encode()) if self.bytes else (self.unknown,)
 
+    def compose(self, stretch: str) -> list[list[tuple[int, int]]]:
+        """The lattice: for each end its arcs as (begin, piece), shortest first; piece -1 is the fallback."""
+        arcs, final, out = self.next, self.final, []
+        for end in range(1, len(stretch) + 1):
+            state, at, own = 0, end, []
+            while at and (to := arcs[state].get(stretch[at - 1])) is not None:
+                state, at = to, at - 1
+                if final[state] >= 0:
+                    own.append((at, final[state]))
+            if stretch[end - 1] not in self.id:
+                own.append((end - 1, -1))
+            out.append(own)
+        return out
+
     def shortest_path(self, stretch: str) -> tuple[int, ...]:
-        """Piece ids of the least weight.
+        """Ids along the path of least weight.
 
-        Steps before an end don't bear on those after it, so every end keeps its least weight, last piece (-1: none or
-        fallback) and where that began.  Where neighbours are restricted only one path to each end has finite weight.
+        Every end keeps its least weight, last piece and where that began.  With a pair acceptor a state would be an end
+        and its last piece, but merging a prefix of the stretch has one result, so only one path to each end has finite
+        weight, and one of the whole stretch always has.
         """
-        n = len(stretch)
+        n, merges, known, allowed, pieces = len(stretch), self.merges, self.allowed, self.pair, self.weight
         weight, last, begin = [0.0] + [inf] * n, [-1] * (n + 1), [0] * (n + 1)
-        root, known, allowed, merges = self.root, self.allowed, self.pair, self.merges
-        for end in range(1, n + 1):
-            node, at = root, end
-            while at:
-                node = node.get(stretch[at - 1])
-                if node is None:
-                    break
-                at -= 1
-                piece = node.get("")
-                if piece is None:
+        for end, own in enumerate(self.compose(stretch), 1):
+            for at, piece in own:
+                if weight[at] == inf:
                     continue
-                if merges:
+                if piece < 0:
+                    w = weight[at] + self.penalty
+                elif not merges:
+                    w = weight[at] + pieces[piece]
+                else:
                     before = last[at]
-                    if before < 0:
-                        free = weight[at] < inf
-                    elif (free := known.get(before << 20 | piece)) is None:
+                    free = before < 0 or known.get(before << 20 | piece)
+                    if free is None:
                         free = allowed(before, piece)
-                    if free:
-                        weight[end], last[end], begin[end] = weight[at], piece, at
-                        break
-                elif (w := weight[at] + self.weight[piece]) < weight[end]:
+                    w = weight[at] if free else inf
+                if w < weight[end]:
                     weight[end], last[end], begin[end] = w, piece, at
-            if weight[end] == inf and weight[end - 1] < inf and stretch[end - 1] not in self.id:
-                weight[end], begin[end] = weight[end - 1] + self.penalty, end - 1
-        if weight[n] == inf:
-            return self._merge(stretch)
         out: list[tuple[int, ...]] = []
         end = n
         while end:
             at = begin[end]
-            out.append((last[end],) if last[end] >= 0 else self._fallback(stretch[at]))
+            ids = (last[end],) if last[end] >= 0 else self.fallback(stretch[at])
+            # unknown characters in a row are one unknown piece
+            if not (out and ids == (self.unknown,) == out[-1]):
+                out.append(ids)
             end = at
         return tuple(i for part in reversed(out) for i in part)
 
-    def _merge(self, stretch: str) -> tuple[int, ...]:
-        """Plain merging, for stretches that the pair acceptor leaves without a path."""
-        symbols = list(stretch)
-        while True:
-            options = [(self.weight[i], k) for k in range(len(symbols) - 1) if (i := self.id.get(symbols[k] + symbols[k + 1])) is not None]
-            if not options:
-                break
-            _, k = min(options)
-            symbols[k : k + 2] = [symbols[k] + symbols[k + 1]]
-        return tuple(j for s in symbols for j in ((self.id[s],) if s in self.id else self._fallback(s)))
-
     def encode_bytes(self, text: str | None) -> bytes:
         """Piece ids as little-endian numbers of four bytes."""
         out: list[bytes] = []

@@ -281,6 +281,34 @@ def test_pieces_of_random_texts():
         assert list(t.encode(s)) == sp.encode(s) and t.decode(t.encode(s)) == sp.decode(sp.encode(s))
 
 
+def proto(*fields) -> bytes:
+    """A message of the public model format from (number, value)."""
+    number = lambda n: b"" if n is None else bytes([n & 127 | (n > 127) << 7]) + (number(n >> 7) if n > 127 else b"")
+    out = b""
+    for k, v in fields:
+        out += number(k << 3 | 0) + number(v) if isinstance(v, int) else number(k << 3 | 5) + np.float32(v).tobytes() if isinstance(v, float) else number(k << 3 | 2) + number(len(v)) + v
+    return out
+
+
+@pytest.mark.parametrize("rule", ["identity", "nmt_nfkc", "nmt_nfkc_cf"])
+@pytest.mark.parametrize("bytes_", [True, False])
+def test_unigram_models_with_character_maps(rule, bytes_):
+    import sentencepiece
+
+    rnd = random.Random(5)
+    names = ["▁", *"abcdehikлéß12.", "▁a", "ab", "abc", "bc", "▁the", "he", "th", "é2", "fi", "▁カ", "ガ"]
+    pieces = [proto((1, b"<unk>"), (2, 0.0), (3, 2)), proto((1, b"<s>"), (2, 0.0), (3, 3)), proto((1, b"</s>"), (2, 0.0), (3, 3))]
+    pieces += [proto((1, n.encode()), (2, -float(rnd.randint(1, 400)) / 16 - i / 4096)) for i, n in enumerate(names)]
+    pieces += [proto((1, f"<0x{b:02X}>".encode()), (2, 0.0), (3, 6)) for b in range(256 * bytes_)]
+    given = dict(wfst.wire(sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto()))[wfst.NORMALIZER]
+    model = proto(*((1, p) for p in pieces), (2, proto((3, 1), (35, int(bytes_)))), (3, given))
+    sp, t = sentencepiece.SentencePieceProcessor(model_proto=model), wfst.PieceTransducer(model)
+    assert (t.map is None) == (rule == "identity")
+    for _ in range(2000):
+        s = "".join(rnd.choice(["the", "ab", " ", "  ", "ABC", "ﬁ", "①", "カ", "\u3099", "\u3000", "é", "e\u0301", "½", "漢", "😀", "\t", "ß", "х", "a", "2"]) for _ in range(rnd.randint(0, 9)))
+        assert t.encode(s) == sp.encode(s), (s, t.normalise(s))
+
+
 # 5 ------------------------------------------------------------------------------------------------------------------
 
 
