@@ -236,9 +236,9 @@ def anchors(keyed: DataFrame) -> DataFrame:
                 for found in occurrences([np.frombuffer(r, np.uint8) for r in raws], byte_codes, WINDOW, ANCHOR):
                     yield frame(BYTES, rows, *joined_repeats(*found))
                 for found in occurrences(word_hashes(raws), word_codes, PASSAGE, PASSAGE_ANCHOR):
-                    # the second of equal contexts in a text is one of its own, so that each context stands in a text once
-                    *found, c2, n = found
-                    yield frame(WORDS, rows, *found, c2 + np.minimum(n, 0), np.ones(len(n), np.int64))
+                    # one of equal contexts in a text stands for all; the anchor's 64 bits and as many of the context tell them apart
+                    *own, c2, n = (x[found[-1] > 0] for x in found)
+                    yield frame(WORDS, rows, *own, np.zeros_like(c2), np.ones_like(n))
 
     return keyed.select("row", "text").mapInPandas(run, "unit int, row binary, p long, lo long, hi long, h long, c1 long, c2 long, n long")
 
@@ -535,9 +535,10 @@ def passage_windows(contexts: DataFrame) -> DataFrame:
 
 def shared_passages(rest: DataFrame, kinds: DataFrame, contexts: DataFrame) -> DataFrame:
     """row, lo, hi: runs of starts of word windows that another document holds: those of a shared context, and single ones of the others."""
+    # the windows are made twice from the contexts, which takes less than writing them
     own = ["h", "c1", "c2"]
     shared = stage(kinds.where("times > 1").select(*own), "shared")
-    windows = stage(passage_windows(contexts), "passages")
+    windows = passage_windows(contexts)
     held = windows.groupBy("k1", "k2").agg(F.min("row").alias("a"), F.max("row").alias("b"), F.bool_and("alone").alias("alone")).where("a != b or not alone")
     found = windows.where("alone").join(stage(held.select("k1", "k2"), "held"), ["k1", "k2"], "left_semi")
     return rest.join(shared, own, "left_semi").select("row", "lo", "hi").unionByName(found.select("row", "lo", F.col("lo").alias("hi")))
@@ -563,6 +564,20 @@ def repeated_windows(keyed: DataFrame) -> DataFrame:
     return out.withColumn("unit", F.lit(BYTES)).unionByName(passages.withColumn("unit", F.lit(WORDS)))
 
 
+def same_windows(text: str, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Starts of all word windows of a text that equal one that starts in a run lo to hi."""
+    words = word_hashes([text.encode()])[0]
+    n = len(words) - PASSAGE + 1
+    change = np.zeros(n + 1, np.int64)
+    np.add.at(change, lo, 1)
+    np.add.at(change, hi + 1, -1)
+    marked = np.cumsum(change[:-1]) > 0
+    if not marked.all():
+        each = Digests(word_codes(words)).each(PASSAGE)
+        marked |= np.isin(each, each[marked])
+    return np.flatnonzero(marked)
+
+
 def covered(lo: np.ndarray, hi: np.ndarray, window: int, n: int) -> np.ndarray:
     change = np.zeros(n + 1, np.int64)
     np.add.at(change, lo, 1)
@@ -584,7 +599,10 @@ def strip_repeats(docs: DataFrame) -> DataFrame:
         unit, lo, hi = np.asarray(unit), np.asarray(lo), np.asarray(hi)
         b, w = unit == BYTES, unit == WORDS
         gone = covered(lo[b], hi[b], WINDOW, len(raw))
-        words = int(covered(lo[w], hi[w], PASSAGE, int(hi[w].max()) + PASSAGE).sum()) if w.any() else 0
+        words = 0
+        if w.any():
+            at = same_windows(text, lo[w], hi[w])
+            words = int(covered(at, at, PASSAGE, int(at[-1]) + PASSAGE).sum())
         return np.frombuffer(raw, np.uint8)[~gone].tobytes(), len(raw), int(gone.sum()), len(runs(gone)), words
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
