@@ -1,4 +1,11 @@
-"""A training-data pipeline over the documents table, in five stages."""
+"""A training-data pipeline over the documents table, in five stages.
+
+Every stage takes any table with doc_id, text, lang and source (the masking stage sets n_chars if there is one) and
+treats the cases alike: null texts count as empty and fail the quality rules; null languages and sources are kinds of
+their own; null ids stay apart from others; repeated rows are one document for near-dedup, of which one stays, and are
+kept as they are elsewhere; of a group of near-equal documents the smallest id stays, ties by row key; an empty table
+gives an empty table; other columns pass through, whatever their names, but for the last stage's.
+"""
 
 from __future__ import annotations
 
