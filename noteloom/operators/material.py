@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..config import CONFIG
 from ..functions import predicates as P
 from ..functions import text as T
 from .reports import first_by
@@ -76,7 +77,11 @@ def collisions(versions: DataFrame) -> DataFrame:
 
 
 def search(versions: DataFrame, queries: DataFrame) -> DataFrame:
-    """Hits of every query in titles and texts of its version, with context; queries: query_id, query, kind."""
+    """Hits of every query in titles and texts of its version, with context; queries: query_id, query, kind.
+
+    Queries of measured size up to ``broadcast_bytes`` go to every task, so that texts stay where they are; more are dealt in
+    blocks, each of which meets every text once.
+    """
     v = versions.select("project", "point", "bullet", "kind", "title", "content")
     first = F.min_by("title", F.col("bullet")).over(Window.partitionBy("point", "kind"))
     named = v.withColumn("point_title", first)
@@ -87,7 +92,15 @@ def search(versions: DataFrame, queries: DataFrame) -> DataFrame:
     hay = titles.unionByName(inner).unionByName(bodies)
     q = queries.select("query_id", F.btrim("query").alias("query"), F.col("kind").alias("q_kind")).where("query != ''")
     hit = (hay["kind"] == q["q_kind"]) & F.contains(F.lower(hay["hay"]), F.lower(q["query"]))
-    return hay.join(q, hit).select("query_id", "project", "point", "bullet", "part", "block", T.excerpt(F.col("hay"), F.col("query")).alias("context"))
+    size = queries.agg(F.coalesce(F.sum(4 * F.length("query") + 32), F.lit(0)).alias("n")).first()["n"]
+    if size <= CONFIG.broadcast_bytes:
+        q = F.broadcast(q)
+        return hay.join(q, hit).select("query_id", "project", "point", "bullet", "part", "block", T.excerpt(F.col("hay"), F.col("query")).alias("context"))
+    blocks = q.groupBy("q_kind", F.pmod(F.xxhash64("query_id"), F.lit(-(-size // CONFIG.broadcast_bytes) * 64)).alias("block_no")).agg(F.collect_list(F.struct("query_id", "query")).alias("asked"))
+    met = hay.join(blocks, hay["kind"] == blocks["q_kind"])
+    each = met.select("project", "point", "bullet", "part", "block", "hay", F.explode(F.filter("asked", lambda x: F.contains(F.lower("hay"), F.lower(x["query"])))).alias("x"))
+    each = each.select("*", "x.query_id", "x.query")
+    return each.select("query_id", "project", "point", "bullet", "part", "block", T.excerpt(F.col("hay"), F.col("query")).alias("context"))
 
 
 def content_blocks(lines: DataFrame) -> DataFrame:
@@ -124,8 +137,8 @@ def stop_work(table: DataFrame, gone: DataFrame, active: tuple[str, ...], to: st
     """The first step of a deletion: active rows of the projects in ``gone`` get a terminal status and a note, so that no worker goes on."""
     hit = table.join(gone.select("project", F.lit(True).alias("gone__")), "project", "left")
     stop = F.coalesce(F.col("gone__"), F.lit(False)) & F.col("status").isin(*active)
-    out = hit.withColumn("status", F.when(stop, to).otherwise(F.col("status"))).withColumn("stopped", F.when(stop, F.lit(note)))
-    return out.select(*table.columns, "stopped")
+    status = F.when(stop, to).otherwise(F.col("status")).alias("status")
+    return hit.select(*[status if c == "status" else c for c in table.columns], F.when(stop, note).alias("stopped"))
 
 
 def delete_projects(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:

@@ -125,3 +125,16 @@ def build_material(records: DataFrame, chapters: DataFrame, unresolved: str = "_
     placed = seen.withColumn("chapter_position", F.row_number().over(Window.partitionBy("project").orderBy("first")) - 1)
     point = F.row_number().over(Window.partitionBy("project", "resolved").orderBy("record")) - 1
     return j.withColumn("point_position", point).join(placed.drop("first"), ["project", "resolved"]).select("project", "chapter_position", F.col("resolved").alias("chapter"), "point_position", "record", "title")
+
+
+def compose_material(records: DataFrame, candidates: DataFrame, chunk_chapters: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Material with the chapter that each record's citations vote for, and its source links.
+
+    candidates: project, idx (the record), chunk_id, score, page_start, page_end; chunk_chapters: chunk_id, chapter.  Only
+    chunks that are candidates of the record count and are linked.
+    """
+    from .matching import source_links, vote_chapter
+
+    cited = records.select("project", F.col("record").alias("idx"), F.posexplode("bullets").alias("bullet", "b")).select("project", "idx", "bullet", F.col("b.chunk_ids").alias("chunk_ids"), F.array().cast("array<bigint>").alias("pages"))
+    voted = vote_chapter(cited, candidates, chunk_chapters).select("project", F.col("idx").alias("record"), F.col("chapter").alias("resolved"))
+    return build_material(records, voted), source_links(cited, candidates)

@@ -102,6 +102,16 @@ def cut_oversized(text: str, target: int, maximum: int) -> list[str]:
     return out
 
 
+class _SplitText:
+    def eval(self, text: str | None, target: int, maximum: int) -> Iterator[tuple[int, str]]:
+        yield from enumerate(cut_oversized(text, target, maximum) if text else ())
+
+
+def split_text():
+    """Table function split_text(text, target, maximum): position, part; null and empty texts give no rows.  For lateral joins and spark.udtf.register."""
+    return F.udtf(_SplitText, returnType="position int, part string")
+
+
 def pack(run: list[tuple[str, int, str]], target: int, maximum: int) -> list[tuple[int, int, str]]:
     """Chunks (first page, last page, text) of one heading run of (kind, page, text); sizes don't count separators."""
     out: list[list[tuple[int, str]]] = []

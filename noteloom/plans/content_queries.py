@@ -161,12 +161,32 @@ def p07_organize_records(spark, d):
     return G.organize_records(records(spark, d)).select("project", "chapter", "record", "title", F.size("bullets").alias("bullets"))
 
 
-@query(f"""{MT}, r AS (SELECT project::VARCHAR AS project, point AS record, min(turn) AS t FROM material GROUP BY project, point), j AS (SELECT *, CASE WHEN record % 3 <> 0 THEN 'chapter ' || (record * 7 % 5) ELSE '__unresolved_chapter__' END AS chapter FROM r),
+CITES = f"""{MT}, r AS (SELECT DISTINCT project::VARCHAR AS project, point AS record FROM material), bul AS (SELECT project::VARCHAR AS project, point AS record, turn, 'c' || ((point + turn) % 7) AS chunk_id FROM material),
+cnd AS (SELECT project, record, 'c' || ((record + i) % 7) AS chunk_id, round(1.0 / (1 + i), 4) AS score, (record + i) % 7 * 3 AS page_start, (record + i) % 7 * 3 + i AS page_end FROM r, (SELECT unnest(range(0, 4)) AS i)),
+chp AS (SELECT 'c' || k AS chunk_id, 'chapter ' || (k % 2) AS chapter FROM (SELECT unnest([1, 2, 4, 5]) AS k))"""
+
+
+def cited_chunks(spark, d):
+    """Four candidates of each record, best first, and the chapters of four of seven chunks."""
+    r = records(spark, d).select("project", F.col("record").alias("idx"), F.posexplode("candidates").alias("i", "chunk_id"))
+    page = (F.col("idx") + F.col("i")) % 7 * 3
+    candidates = r.select("project", "idx", "chunk_id", F.round(1 / (1 + F.col("i")), 4).alias("score"), page.alias("page_start"), (page + F.col("i")).alias("page_end"))
+    chapters = spark.createDataFrame([(f"c{k}", f"chapter {k % 2}") for k in (1, 2, 4, 5)], "chunk_id string, chapter string")
+    return candidates, chapters
+
+
+@query(f"""{CITES}, v AS (SELECT b.project, b.record, b.chunk_id, count(*) AS cites FROM bul b JOIN cnd c USING (project, record, chunk_id) GROUP BY 1, 2, 3),
+w AS (SELECT project, record, chapter, sum(cites) AS votes, max(score) AS best, min(page_start) AS page FROM v JOIN cnd USING (project, record, chunk_id) JOIN chp USING (chunk_id) GROUP BY 1, 2, 3),
+j AS (SELECT r.project, r.record, coalesce(chapter, '__unresolved_chapter__') AS chapter FROM r LEFT JOIN (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY project, record ORDER BY votes DESC, best DESC, page, chapter) = 1) USING (project, record)),
 s AS (SELECT project, chapter, row_number() OVER (PARTITION BY project ORDER BY min(record)) - 1 AS chapter_position FROM j GROUP BY 1, 2) SELECT j.project, chapter_position, j.chapter, row_number() OVER (PARTITION BY j.project, j.chapter ORDER BY record) - 1 AS point_position, record FROM j JOIN s USING (project, chapter)""")
 def p10_build_material(spark, d):
-    r = records(spark, d)
-    chapters = r.where("record % 3 != 0").select("project", "record", F.concat(F.lit("chapter "), (F.col("record") * 7 % 5).cast("string")).alias("resolved"))
-    return G.build_material(r, chapters).drop("title")
+    """Records by the chapter that their citations vote for."""
+    return G.compose_material(records(spark, d), *cited_chunks(spark, d))[0].drop("title")
+
+
+@query(f"{CITES} SELECT project, record AS idx, row_number() OVER (PARTITION BY project, record ORDER BY turn) - 1 AS bullet, chunk_id, page_start AS page_from, page_end AS page_to FROM bul LEFT JOIN cnd USING (project, record, chunk_id) QUALIFY score IS NOT NULL")
+def p10_source_links(spark, d):
+    return G.compose_material(records(spark, d), *cited_chunks(spark, d))[1].withColumn("bullet", F.col("bullet").cast("long"))
 
 
 _CLEAN = "regexp_replace({}, '[\"\\\\\\x00-\\x1f]', ' ', 'g')"
