@@ -16,7 +16,8 @@ from ..functions.keys import key_of
 
 
 def strings(values=()) -> Column:
-    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+    quoted = ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values)
+    return F.expr(f"cast(array({quoted}) as array<string>)")  # one call, as vocabularies have hundreds of words
 
 
 def children_of(topics: DataFrame) -> DataFrame:
@@ -47,7 +48,10 @@ def alias_queries(x: Column, config: Config = CONFIG) -> Column:
             names = [key_of(a) for a in group]
             hit = key.rlike("|".join(re.escape(n) for n in names)) | F.exists(strings(names), lambda n: F.contains(n, key))
             parts.append(F.when((key != "") & hit, strings(group)).otherwise(strings()))
-        return F.concat(*parts)
+        # few phrases hold a name or lie in one, so one pattern and one search decide first
+        names = [key_of(a) for group in config.alias_groups for a in group]
+        near = (key != "") & (key.rlike("|".join(re.escape(n) for n in names)) | F.contains(F.lit("\n".join(names)), key))
+        return F.when(near, F.concat(*parts)).otherwise(strings())
 
     return T.let(T.let(T.query_key(x), named), lambda q: F.when(F.size(q) > 0, T.unique_queries(q)).otherwise(q))
 
@@ -57,7 +61,8 @@ def topic_expansions(x: Column, config: Config = CONFIG) -> Column:
 
     def expanded(key: Column) -> Column:
         hits = [F.forall(strings([key_of(t) for t in required]), lambda t: F.contains(key, t)) for required, _ in config.expansions]
-        return F.concat(*[F.when(h, strings(queries)).otherwise(strings()) for h, (_, queries) in zip(hits, config.expansions, strict=True)])
+        every = F.concat(*[F.when(h, strings(queries)).otherwise(strings()) for h, (_, queries) in zip(hits, config.expansions, strict=True)])
+        return F.when(key.rlike("|".join(re.escape(key_of(required[0])) for required, _ in config.expansions)), every).otherwise(strings())
 
     return T.let(T.let(T.query_key(x), expanded), lambda q: F.when(F.size(q) > 0, T.unique_queries(q)).otherwise(q))
 
