@@ -24,6 +24,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ ORDER = 5
 BOUNDARY = "﷐"
 MARK = ord(BOUNDARY)
 #: Size of a slice of the models in bytes; twelve bytes an entry.
-SLICE_BYTES = 48 << 20
+SLICE_BYTES = 24 << 20
 ENTRY_BYTES = 12
 #: Languages up to which their discounts, three numbers each, are broadcast.
 LANGUAGES = 10_000
@@ -242,8 +243,8 @@ class SortedArrays:
     """Log values by 64-bit hash: sorted hashes, a table of where each leading bit pattern begins, and values."""
 
     def __init__(self, hashes: np.ndarray, values: np.ndarray) -> None:
-        self.hashes, keep = np.unique(hashes, return_index=True)
-        self.values = values[keep]
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.values = hashes[order], values[order]
         self.bits = max(1, int(np.log2(len(self.hashes) + 2)) - 1)
         edges = np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)
         self.begin = np.searchsorted(self.hashes, edges).astype(np.int32)
@@ -323,8 +324,13 @@ def model_arrays(model: DataFrame, slices: Slices) -> DataFrame:
 def load_slice(arrays: DataFrame, which: int, slices: Slices) -> SortedArrays:
     lowest = next((first for first, k in slices.own.values() if first <= which < first + k), which)
     rows = arrays.where(F.col("slice").isin(which, -1 - lowest)).select("hashes", "values").toArrow()
-    join = lambda name, kind: np.concatenate([np.frombuffer(x.as_py(), kind) for x in rows[name]] or [np.empty(0, kind)])
-    return SortedArrays(join("hashes", np.uint64), join("values", np.float32))
+    parts = [np.frombuffer(x.as_py(), np.uint64) for x in rows["hashes"]]
+    hashes = np.concatenate(parts or [np.empty(0, np.uint64)])
+    del parts
+    values = np.concatenate([np.frombuffer(x.as_py(), np.float32) for x in rows["values"]] or [np.empty(0, np.float32)])
+    del rows
+    pa.default_memory_pool().release_unused()
+    return SortedArrays(hashes, values)
 
 
 def log_probabilities(arrays: SortedArrays, lang: str, c: np.ndarray, at: np.ndarray) -> np.ndarray:

@@ -91,7 +91,8 @@ def links(distinct: DataFrame, segments: int) -> DataFrame:
     probes = distinct.select(F.col("fp").alias("a"), F.explode(steps).alias("step")).select("a", "step", (cell(F.col("a"), segments) + F.col("step")).alias("cell"))
     grid = distinct.select(F.col("fp").alias("b"), cell(F.col("fp"), segments).alias("cell"))
     near = (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS) & ((F.col("step") != 0) | (F.col("a") < F.col("b")))
-    return probes.join(grid, (probes["cell"] == grid["cell"]) & near).select("a", "b")
+    # the planner's size of the probes leaves out that each fingerprint has many, so it must not choose a broadcast
+    return probes.hint("merge").join(grid.hint("merge"), (probes["cell"] == grid["cell"]) & near).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
