@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from ..operators import matching as M
 from ..operators import planning as Q
 from ..operators import structure as B
 from ..sources import tables as t
+from ..sources.sinks import scratch
 from . import sql as S
 from .registry import query
 
@@ -24,12 +27,15 @@ def passage_plans(spark, d):
     """A topic for each document, its first sentence (where a text has none of up to 200 characters, its first words), and for each benchmark passage in each project."""
     given = t.numbered(spark, d).select("project", "idx", first_sentence(F.col("text")).alias("sentence"))
     lines = t.topics(spark, d).join(given, ["project", "idx"]).select("project", "idx", F.when(F.length(F.btrim("sentence")).between(1, 200), F.col("sentence")).otherwise(F.col("title")).alias("title"))
+    bench = t.table(spark, d, "benchmark").select(F.lit("*").alias("project"), F.col("item_id").cast("long").alias("idx"), F.col("text").alias("title"))
+    none = F.lit(None).cast("string")
+    path = f"{scratch(spark)}/plans-{uuid.uuid4().hex}"
+    Q.plan_queries(lines.unionByName(bench).select("project", "idx", none.alias("chapter"), "title", none.alias("parent_title"))).write.parquet(path)
+    plans = spark.read.parquet(path)
+    # a stated set of passages against all projects: planned once, a row for each project and passage
     projects = t.numbered(spark, d).groupBy("project").agg(F.count("*").alias("n"))
-    # a stated set of passages against all projects: a row for each project and passage, the passages broadcast
-    bench = t.table(spark, d, "benchmark").agg(F.collect_list(F.struct("item_id", "text")).alias("passages"))
-    each = projects.crossJoin(F.broadcast(bench)).select("project", "n", F.explode("passages").alias("p")).select("project", (F.col("p.item_id") + F.col("n")).alias("idx"), F.col("p.text").alias("title"))
-    both = lines.unionByName(each).select("project", "idx", F.lit(None).cast("string").alias("chapter"), "title", F.lit(None).cast("string").alias("parent_title"))
-    return Q.plan_queries(both)
+    every = plans.where("project = '*'").drop("project").crossJoin(projects).withColumn("idx", F.col("idx") + F.col("n")).select(*plans.columns)
+    return plans.where("project != '*'").unionByName(every)
 
 
 def found(spark, d):
