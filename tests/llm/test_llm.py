@@ -670,7 +670,7 @@ CLASHES = ("row", "key", "document", "model", "half", "fp", "root", "h", "spans"
 
 
 def test_columns_of_any_name_play_no_part(spark):
-    some = corpus(3, 14)
+    some = corpus(3, 16)
     plain = spark.createDataFrame(some, DOCS).repartition(2).persist()
     clash = plain.withColumns({c: F.lit("clash") for c in CLASHES}).persist()
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(14)], "doc_id long, quality int, toxic int")
