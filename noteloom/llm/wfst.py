@@ -10,9 +10,9 @@ Four machines are compiled from the model file:
 * for models of merges the pair acceptor: one state for each piece, an arc of weight zero between two pieces where merging
   would have stopped and none elsewhere.  Pieces of such models weigh nothing, those of unigram models their negative score.
 
-The normalised input, a chain of characters, is composed with lexicon, fallback and pair acceptor into a lattice of arcs
-(begin, end, ids, weight), and the tropical shortest path through the lattice gives the ids.  No piece has the word mark
-after another character, so the lattice falls apart at these places; the shortest path of each stretch is kept in a
+The normalised input, a chain of characters, is composed on the fly with lexicon, fallback and pair acceptor into a lattice
+of arcs (begin, end, ids, weight), and the tropical shortest path through the lattice gives the ids.  No piece has the word
+mark after another character, so the lattice falls apart at these places; the shortest path of each stretch is kept in a
 bounded table and paths are joined.
 
 Null text encodes to no pieces and decodes to empty text; a word mark in a text decodes to a space.  Repeated rows are
@@ -212,45 +212,38 @@ class PieceTransducer:
     def fallback(self, char: str) -> tuple[int, ...]:
         return tuple(self.bytes[b] for b in char.encode()) if self.bytes else (self.unknown,)
 
-    def compose(self, stretch: str) -> list[list[tuple[int, int]]]:
-        """The lattice: for each end its arcs as (begin, piece), shortest first; piece -1 is the fallback."""
-        arcs, final, out = self.next, self.final, []
-        for end in range(1, len(stretch) + 1):
-            state, at, own = 0, end, []
-            while at and (to := arcs[state].get(stretch[at - 1])) is not None:
-                state, at = to, at - 1
-                if final[state] >= 0:
-                    own.append((at, final[state]))
-            if stretch[end - 1] not in self.id:
-                own.append((end - 1, -1))
-            out.append(own)
-        return out
-
     def shortest_path(self, stretch: str) -> tuple[int, ...]:
-        """Ids along the path of least weight.
+        """Ids along the path of least weight through the composition, whose arcs are made as the search comes to their end.
 
-        Every end keeps its least weight, last piece and where that began.  With a pair acceptor a state would be an end
-        and its last piece, but merging a prefix of the stretch has one result, so only one path to each end has finite
-        weight, and one of the whole stretch always has.
+        Every end keeps its least weight, last piece (-1: none or fallback) and where that began.  With a pair acceptor a
+        state would be an end and its last piece, but merging a prefix of the stretch has one result, so only one path to
+        each end has finite weight and the first arc that gives it is the only one; one of the whole stretch always has.
         """
         n, merges, known, allowed, pieces = len(stretch), self.merges, self.allowed, self.pair, self.weight
+        arcs, final, ids = self.next, self.final, self.id
         weight, last, begin = [0.0] + [inf] * n, [-1] * (n + 1), [0] * (n + 1)
-        for end, own in enumerate(self.compose(stretch), 1):
-            for at, piece in own:
-                if weight[at] == inf:
+        for end in range(1, n + 1):
+            state, at = 0, end
+            while at:
+                state = arcs[state].get(stretch[at - 1])
+                if state is None:
+                    break
+                at -= 1
+                piece = final[state]
+                if piece < 0 or weight[at] == inf:
                     continue
-                if piece < 0:
-                    w = weight[at] + self.penalty
-                elif not merges:
-                    w = weight[at] + pieces[piece]
-                else:
+                if merges:
                     before = last[at]
-                    free = before < 0 or known.get(before << 20 | piece)
+                    free = True if before < 0 else known.get(before << 20 | piece)
                     if free is None:
                         free = allowed(before, piece)
-                    w = weight[at] if free else inf
-                if w < weight[end]:
+                    if free:
+                        weight[end], last[end], begin[end] = weight[at], piece, at
+                        break
+                elif (w := weight[at] + pieces[piece]) < weight[end]:
                     weight[end], last[end], begin[end] = w, piece, at
+            if stretch[end - 1] not in ids and (w := weight[end - 1] + self.penalty) < weight[end]:
+                weight[end], last[end], begin[end] = w, -1, end - 1
         out: list[tuple[int, ...]] = []
         end = n
         while end:
