@@ -51,3 +51,18 @@ def row_key(*columns: Column) -> Column:
     own = [x for c in columns for x in (c.isNull(), c)]
     part = lambda *lead: F.lpad(F.hex(F.xxhash64(*lead, *own)), 16, "0")
     return F.unhex(F.concat(part(), part(F.lit("row"))))
+
+
+def quoted(name: str) -> str:
+    """A column's name as a reference to it, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def whole_row(docs: DataFrame) -> Column:
+    """All columns as one struct."""
+    return F.struct(*[F.col(quoted(c)).alias(c) for c in docs.columns])
+
+
+def field(struct: str, name: str) -> Column:
+    """A field of a struct column, whatever its name."""
+    return F.col(struct).getField(name)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import edits, mixing, ogg, perplexity, quality, reshard, secrets, simhash, suffix, wfst
+from . import edits, fim, idfiles, mixing, negatives, ogg, perplexity, quality, reshard, secrets, simhash, suffix, wfst
 from .common import documents
 
 
@@ -56,11 +56,26 @@ def op10_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reshard.reshard_documents(documents(spark, sf_dir))
 
 
+def op11_fim_skip_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.transformation_digest(documents(spark, sf_dir))
+
+
+def op12_zstd_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return idfiles.output_digest(documents(spark, sf_dir))
+
+
+def op13_four_russians_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_discriminant, op2_ogg_media, op3_perplexity_rules, op4_sentencepiece_wfst, op5_secret_ownership,
         op6_edit_token_counts, op7_simhash_neardup, op8_suffix_dedup, op9_temperature_mixing, op10_flow_reshard,
+        op11_fim_skip_list, op12_zstd_id_files, op13_four_russians_negatives,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op5_secret_ownership": secrets.oracle("source || '/' || lang", "source")}
+ORACLE_SQL: dict[str, str] = {
+    "op5_secret_ownership": secrets.oracle("source || '/' || lang", "source"), "op11_fim_skip_list": fim.ORACLE, "op13_four_russians_negatives": negatives.ORACLE,
+}
