@@ -15,3 +15,8 @@ _DASH = re.compile(DASHES)
 @lru_cache(maxsize=1 << 16)
 def key_of(value: str) -> str:
     return _NON_WORD.sub("", _DASH.sub("-", unicodedata.normalize("NFKC", value))).casefold()
+
+
+def folded(value: str) -> str:
+    """text.casefold of a single string."""
+    return value.lower().replace("ß", "ss")

@@ -27,6 +27,7 @@ from .. import config as C
 from ..config import CONFIG, Config
 from ..functions import text as T
 from ..functions.keys import key_of
+from ..sources.sinks import written
 
 _LINK = re.compile(C.LINK_NOISE)
 _SHORT = re.compile(C.SHORT_NUMBERING)
@@ -243,6 +244,8 @@ def match_queries(queries: DataFrame, chunks: DataFrame, config: Config = CONFIG
                 q, c = Queries(_rows(asked)), Chunks(_rows(own))
                 value, stage = Rectangle(q, c).stages(config)
                 i, j = np.nonzero(stage)
+                if not len(i):  # columns of no rows would have no types
+                    continue
                 pick = lambda rows, name, at: [rows[k][name] for k in at]
                 out = pd.DataFrame({
                     "project": project, "idx": pick(q.rows, "idx", i), "q_no": pick(q.rows, "q_no", i), "query": pick(q.rows, "query", i), "chunk_id": pick(c.rows, "chunk_id", j), "score": np.round(value[i, j], 4),
@@ -344,9 +347,10 @@ def item_matches(plans: DataFrame, candidates: DataFrame, scores: DataFrame | No
 
 
 def rematch_with_rewrites(plans: DataFrame, candidates: DataFrame, rewrites: DataFrame, chunks: DataFrame, config: Config = CONFIG) -> DataFrame:
-    """Candidates with those of unmatched knowledge topics found by looked-up queries."""
+    """Candidates with those of unmatched knowledge topics found by looked-up queries.  ``candidates`` are written once, as they are read twice."""
     from .planning import with_rewrites
 
+    candidates = written(candidates, "candidates")
     open_ = plans.where("item_type = 'KNOWLEDGE'").join(candidates.select("project", "idx").distinct(), ["project", "idx"], "left_anti")
     return candidates.unionByName(match_topics(with_rewrites(open_, rewrites), chunks, config))
 

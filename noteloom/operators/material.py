@@ -61,11 +61,15 @@ def bullets_of(versions: DataFrame) -> DataFrame:
 def collisions(versions: DataFrame) -> DataFrame:
     """Bullets whose title is another point's in the same chapter: the most complete target, and whether the bullet is richer.
 
-    A point's title is that of its first bullet.
+    A point's title is ``point_title`` where versions have that column, else the title of its first bullet.
     """
     points = completeness(versions)
     bullets = bullets_of(versions)
-    names = bullets.where("bullet = 0").select("project", "chapter", "point", T.title_key(F.col("title")).alias("key"))
+    if "point_title" in versions.columns:
+        named = versions.groupBy("project", "chapter", "point").agg(F.min("point_title").alias("title"))
+    else:
+        named = bullets.where("bullet = 0")
+    names = named.select("project", "chapter", "point", T.title_key(F.col("title")).alias("key"))
     targets = names.join(points, ["project", "chapter", "point"]).where("key != ''").select("project", "chapter", "key", F.col("point").alias("target"), F.struct("bullets", "titles", "texts", "characters").alias("size"))
     owners = bullets.select("project", "chapter", "point", "bullet", T.title_key(F.col("title")).alias("key"), F.struct(F.lit(1).cast("long"), F.when(F.btrim("title") != "", 1).otherwise(0).cast("long"), F.col("texts"), F.col("characters")).alias("own"))
     # the best two targets of a title are enough for every owner, so no pair of a title's points and bullets is made

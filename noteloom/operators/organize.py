@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import text as T
-from .material import collisions
+from ..functions.keys import folded
+from ..sources.sinks import written
+from .material import KINDS, collisions
 
-RECORD = "project string, chapter string, record long, title string, item string, parent_item string, bullets array<struct<title:string,text:string,chunk_ids:array<string>>>, candidates array<string>"
+BULLET = "struct<title:string,original:string,recitation:string,keywords:string,chunk_ids:array<string>,pages:array<bigint>>"
+RECORD = f"project string, chapter string, record long, title string, item string, parent_item string, bullets array<{BULLET}>, candidates array<string>"
+COLUMNS = ["project", "chapter", "record", "title", "item", "parent_item", "bullets", "candidates"]
+_TERM, _BLANKS = re.compile(C.TERM), re.compile("\\s+")
+_KEYWORDS, _PARAGRAPHS = re.compile(C.KEYWORD_SPLIT), re.compile(C.PARAGRAPHS)
 
 
 def title_keys(records: DataFrame) -> DataFrame:
@@ -35,9 +43,11 @@ def deduplicate_records(records: DataFrame) -> DataFrame:
 
     def united(x):
         same = F.filter(F.col("keyed"), lambda y: y["k"] == x["k"])
-        return F.struct(x["b"]["title"].alias("title"), x["b"]["text"].alias("text"), F.array_distinct(F.flatten(F.transform(same, lambda y: y["b"]["chunk_ids"]))).alias("chunk_ids"))
+        texts = [x["b"][c].alias(c) for c in ("title", *KINDS)]
+        ids, pages = F.transform(same, lambda y: y["b"]["chunk_ids"]), F.transform(same, lambda y: y["b"]["pages"])
+        return F.struct(*texts, F.array_distinct(F.flatten(ids)).alias("chunk_ids"), F.array_sort(F.array_distinct(F.flatten(pages))).alias("pages"))
 
-    return merged.withColumn("keyed", keyed).withColumn("bullets", F.transform(first, united)).select("project", "chapter", "record", "title", "item", "parent_item", "bullets", "candidates")
+    return merged.withColumn("keyed", keyed).withColumn("bullets", F.transform(first, united)).select(*COLUMNS)
 
 
 def fold_children(records: DataFrame) -> DataFrame:
@@ -62,7 +72,7 @@ def fold_children(records: DataFrame) -> DataFrame:
                 take_child(parent, child, at)
                 gone.add(j)
         out = pd.DataFrame([r for k, r in enumerate(rows) if k not in gone], columns=group.columns)
-        return out[[c.split()[0] for c in RECORD.split(", ")]]
+        return out[COLUMNS]
 
     return title_keys(records).groupBy("project", "chapter").applyInPandas(fold, RECORD)
 
@@ -77,13 +87,12 @@ def take_child(parent: dict, child: dict, at: int | None) -> None:
             title, key = joined, f"{child['title_key']}·{key}"
         else:
             title = b["title"]
-        new = {"title": title, "text": b["text"], "chunk_ids": list(b["chunk_ids"])}
+        new = b | {"title": title}
         spot = at if n == 0 else None
         if at is None and key in parent["bullet_keys"]:
-            old = parent["bullets"][parent["bullet_keys"].index(key)]
-            old["chunk_ids"] = list(dict.fromkeys([*old["chunk_ids"], *new["chunk_ids"]]))
+            unite_sources(parent["bullets"][parent["bullet_keys"].index(key)], new)
         elif spot is not None:
-            new["chunk_ids"] = list(dict.fromkeys([*new["chunk_ids"], *parent["bullets"][spot]["chunk_ids"]]))
+            unite_sources(new, parent["bullets"][spot])
             parent["bullets"][spot] = new
         else:
             parent["bullets"].append(new)
@@ -91,23 +100,128 @@ def take_child(parent: dict, child: dict, at: int | None) -> None:
     parent["candidates"] = list(dict.fromkeys([*parent["candidates"], *child["candidates"]]))
 
 
+def unite_sources(bullet: dict, other: dict) -> None:
+    bullet["chunk_ids"] = list(dict.fromkeys([*bullet["chunk_ids"], *other["chunk_ids"]]))
+    bullet["pages"] = sorted({*bullet["pages"], *other["pages"]})
+
+
+def record_versions(records: DataFrame) -> DataFrame:
+    """Records in the form of material: point is the record, bullet its place."""
+    b = records.select("project", "chapter", F.col("record").alias("point"), F.col("title").alias("point_title"), F.posexplode("bullets").alias("bullet", "b"))
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.coalesce(F.col("b").getField(k), F.lit("")).alias("content")) for k in KINDS]))
+    return b.select("project", "chapter", "point", "point_title", F.col("bullet").cast("long").alias("bullet"), F.coalesce("b.title", F.lit("")).alias("title"), kinds.alias("v")).select("*", "v.kind", "v.content").drop("v")
+
+
 def organize_records(records: DataFrame) -> DataFrame:
-    """Duplicates merged, children folded, then bullets that repeat another record's title in the chapter dropped; empty records go."""
-    folded = fold_children(deduplicate_records(records))
-    keyed = title_keys(folded)
-    names = keyed.select("project", "chapter", F.col("title_key").alias("k"), F.col("record").alias("of")).where("k != ''")
-    taken = names.groupBy("project", "chapter", "k").agg(F.min("of").alias("low"), F.max("of").alias("high"))
-    bullets = keyed.select("project", "chapter", "record", F.posexplode(F.arrays_zip(F.col("bullet_keys").alias("k"), F.col("bullets").alias("b"))).alias("n", "x")).select("project", "chapter", "record", "n", F.col("x.k").alias("k"), F.col("x.b").alias("b"))
-    j = bullets.join(taken, ["project", "chapter", "k"], "left")
-    kept = j.where("low is null or (low = record and high = record)")
-    left = kept.groupBy("project", "chapter", "record").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "b"))), lambda x: x["b"]).alias("bullets"))
-    return folded.drop("bullets").join(left, ["project", "chapter", "record"]).select(*[c.split()[0] for c in RECORD.split(", ")])
+    """Duplicates merged, children folded, then bullets that repeat another record's title in the chapter go, richer ones
+    after they were merged into that record; records left without bullets vanish."""
+    folded_ = written(fold_children(deduplicate_records(records)), "folded")
+    plan = written(collisions(record_versions(folded_)).select("project", "chapter", F.col("point").alias("record"), "bullet", "target", "merge"), "collisions")
+    key = ["project", "chapter", "record"]
+    gone = plan.groupBy(*key).agg(F.collect_set("bullet").alias("gone"))
+    merged = merge_records(folded_, plan.where("merge")).join(gone, key, "left")
+    left = F.filter("bullets", lambda b, i: ~F.coalesce(F.array_contains("gone", i.cast("long")), F.lit(False)))
+    return merged.withColumn("bullets", left).where("size(bullets) > 0").select(*COLUMNS)
+
+
+def merge_records(records: DataFrame, merges: DataFrame) -> DataFrame:
+    """records with the bullets in ``merges`` (project, chapter, record, bullet, target) merged into their targets, as merge_versions does it."""
+    scope = ["project", "chapter"]
+    involved = merges.select(*scope, F.col("target").alias("record")).unionByName(merges.select(*scope, "record")).distinct()
+    still = records.join(involved, [*scope, "record"], "left_anti")
+    actions = merges.groupBy(*scope).agg(F.array_sort(F.collect_list(F.struct("record", "bullet", "target"))).alias("actions"))
+    moving = records.join(involved, [*scope, "record"]).join(actions, scope).select(*COLUMNS, "actions")
+
+    def fold(group: pd.DataFrame) -> pd.DataFrame:
+        rows = {r["record"]: r | {"bullets": [dict(b) for b in r["bullets"]]} for r in group.to_dict("records")}
+        for a in group["actions"].iloc[0]:
+            owner, target = rows[a["record"]], rows[a["target"]]
+            move_record_bullet(target["bullets"], owner["bullets"][a["bullet"]])
+            target["candidates"] = list(dict.fromkeys([*target["candidates"], *owner["candidates"]]))
+        return pd.DataFrame(list(rows.values()), columns=group.columns)[COLUMNS]
+
+    return still.unionByName(moving.groupBy(*scope).applyInPandas(fold, RECORD))
+
+
+def move_record_bullet(bullets: list[dict], incoming: dict) -> None:
+    """Merges texts by kind and sources into the bullet whose original shares most terms, the first of equals."""
+    wanted = term_set(incoming["original"] or "")
+    shared = [len(term_set(b["original"] or "") & wanted) for b in bullets]
+    best = bullets[shared.index(max(shared))]
+    for kind in KINDS:
+        best[kind] = merged_content(kind, best[kind] or "", incoming[kind] or "")
+    unite_sources(best, incoming)
 
 
 def canonical_material(versions: DataFrame) -> DataFrame:
-    """versions without bullets that collide with another point's title; points without bullets vanish with them."""
-    hit = collisions(versions).select("project", "chapter", "point", "bullet")
-    return versions.join(hit, ["project", "chapter", "point", "bullet"], "left_anti")
+    """versions without bullets that collide with another point's title; points without bullets vanish with them.
+
+    What a bullet has beyond its target is not lost: if it is richer, it is merged into the target's bullet that shares most
+    terms with it, before it goes.  ``sources``, an array of chunk ids, is united where versions have that column.
+    """
+    plan = collisions(versions)
+    merged = merge_versions(versions, plan.where("merge"))
+    return merged.join(plan.select("project", "chapter", "point", "bullet"), ["project", "chapter", "point", "bullet"], "left_anti")
+
+
+def merge_versions(versions: DataFrame, merges: DataFrame) -> DataFrame:
+    """versions with the bullets in ``merges`` (project, chapter, point, bullet, target) merged into their targets.
+
+    One merge may change what the next one moves or meets, so those of a chapter are done in order in one group; only points
+    that give or take bullets, of a chapter with any, reach it.  The others stay as they are.
+    """
+    scope = ["project", "chapter"]
+    takes = merges.select(*scope, F.col("target").alias("point"))
+    involved = takes.unionByName(merges.select(*scope, "point")).distinct()
+    still = versions.join(involved, [*scope, "point"], "left_anti")
+    actions = merges.groupBy(*scope).agg(F.array_sort(F.collect_list(F.struct("point", "bullet", "target"))).alias("actions__"))
+    moving = versions.join(involved, [*scope, "point"]).join(actions, scope).select(*versions.columns, "actions__")
+
+    def fold(group: pd.DataFrame) -> pd.DataFrame:
+        points: dict = {}
+        for r in group.drop(columns="actions__").to_dict("records"):
+            points.setdefault(r["point"], {}).setdefault(r["bullet"], {})[r["kind"]] = r
+        for a in group["actions__"].iloc[0]:
+            move_bullet(points[a["target"]], points[a["point"]][a["bullet"]])
+        rows = [v for bullets in points.values() for own in bullets.values() for v in own.values()]
+        return pd.DataFrame(rows, columns=[c for c in group.columns if c != "actions__"])
+
+    return still.unionByName(moving.groupBy(*scope).applyInPandas(fold, versions.schema))
+
+
+def term_set(text: str) -> set[str]:
+    return set(_TERM.findall(folded(text)))
+
+
+def merged_content(kind: str, a: str, b: str) -> str:
+    """text.merge_content of single strings."""
+    keywords = kind == "keywords"
+    joiner = "、" if keywords else "\n\n"
+    pieces = (_BLANKS.sub(" ", p).strip(" ") for p in (_KEYWORDS if keywords else _PARAGRAPHS).split(f"{a}{joiner}{b}"))
+    first: dict[str, str] = {}
+    for p in pieces:
+        if p:
+            first.setdefault(folded(p), p)
+    return joiner.join(first.values())
+
+
+def move_bullet(target: dict, bullet: dict) -> None:
+    """Merges versions by kind into the target's bullet that shares most terms, the first of equals."""
+    text = lambda own: term_set(" ".join(v["content"] or "" for _, v in sorted(own.items(), key=lambda x: KINDS.index(x[0]) if x[0] in KINDS else 9)))
+    wanted = text(bullet)
+    at = max(sorted(target), key=lambda b: len(text(target[b]) & wanted))
+    own, new = target[at], list(bullet.items())
+    for kind, v in new:
+        old = own.get(kind)
+        if old is None:
+            there = next(iter(own.values()))
+            own[kind] = v | {k: there[k] for k in ("point", "point_title", "bullet") if k in there}
+        else:
+            own[kind] = old | {"content": merged_content(kind, old["content"] or "", v["content"] or "")}
+    if any("sources" in v for v in own.values()):
+        united = list(dict.fromkeys(c for v in [*own.values(), *bullet.values()] for c in (v.get("sources") if v.get("sources") is not None else ())))
+        for v in own.values():
+            v["sources"] = united
 
 
 def diagnostic_collisions(versions: DataFrame) -> DataFrame:

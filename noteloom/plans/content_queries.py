@@ -38,9 +38,25 @@ def c18_diagnostic_collisions(spark, d):
     return G.diagnostic_collisions(t.material(spark, d))
 
 
-@query(f"{MT}, {COLL} SELECT project, chapter, point, bullet, kind, md5(content) AS digest FROM material ANTI JOIN coll USING (project, chapter, point, bullet)")
+def _united(a: str, b: str) -> str:
+    """SQL of two contents of a kind as one."""
+    piece = lambda joined, pattern: "list_transform(string_split_regex(" + joined + ", " + S.lit(pattern) + "), lambda y_: " + S.blank_free("y_") + ")"
+    words, parts = piece(f"concat_ws('、', {a}, {b})", C.KEYWORD_SPLIT), piece(f"concat_ws(chr(10) || chr(10), {a}, {b})", C.PARAGRAPHS)
+    return f"CASE WHEN kind = 'keywords' THEN array_to_string({S.unique(words, S.casefold)}, '、') ELSE array_to_string({S.unique(parts, S.casefold)}, chr(10) || chr(10)) END"
+
+
+#: For targets that take one bullet, of a point that takes none.
+MERGED = f"""term AS (SELECT project, chapter, point, bullet, {S.terms("string_agg(content, ' ')")} AS terms FROM material GROUP BY 1, 2, 3, 4),
+goes AS (SELECT c.project, c.chapter, c.point, c.bullet, target, t.bullet AS into_bullet FROM coll c JOIN term o USING (project, chapter, point, bullet) JOIN term t ON t.project = c.project AND t.chapter = c.chapter AND t.point = c.target
+ WHERE merge QUALIFY row_number() OVER (PARTITION BY c.project, c.chapter, c.point, c.bullet ORDER BY len(list_intersect(o.terms, t.terms)) DESC, t.bullet) = 1),
+taken AS (SELECT g.project, g.chapter, g.target AS point, g.into_bullet AS bullet, m.kind, m.title AS new_title, m.content AS more FROM goes g JOIN material m USING (project, chapter, point, bullet)),
+merged AS (SELECT m.project, m.chapter, m.point, m.bullet, m.kind, m.title, CASE WHEN more IS NULL THEN content ELSE {_united('content', 'more')} END AS content FROM material m LEFT JOIN taken USING (project, chapter, point, bullet, kind)
+ UNION ALL SELECT project, chapter, point, bullet, kind, new_title, more FROM taken ANTI JOIN material USING (project, chapter, point, bullet, kind))"""
+
+
+@query(f"{MT}, {COLL}, {MERGED} SELECT project, chapter, point, bullet, kind, title, md5(content) AS digest FROM merged ANTI JOIN coll USING (project, chapter, point, bullet)")
 def p09_canonical_material(spark, d):
-    return G.canonical_material(t.material(spark, d)).select("project", "chapter", "point", "bullet", "kind", F.md5("content").alias("digest"))
+    return G.canonical_material(t.material(spark, d)).select("project", "chapter", "point", "bullet", "kind", "title", F.md5("content").alias("digest"))
 
 
 @query(f"{MT} SELECT project, point, bullet, list_sort(list(DISTINCT kind)) = ['keywords', 'original', 'recitation'] AND count(*) = 3 AS complete FROM material GROUP BY 1, 2, 3")
@@ -119,7 +135,7 @@ def p12_delete_projects(spark, d):
     return out
 
 
-@query(f"{MT} SELECT project, count(*) AS n FROM material WHERE project <> 3 GROUP BY 1 UNION ALL SELECT 3, count(*) FROM material WHERE project = 3 AND kind = 'original'")
+@query(f"{MT} SELECT project, count(*) AS n FROM material WHERE project <> 0 GROUP BY 1 UNION ALL SELECT 0, count(*) FROM material WHERE project = 0 AND kind = 'original'")
 def a08_replace_material(spark, d):
     """Writes all projects, replaces one and reads the table back."""
     from ..sources.sinks import scratch
@@ -127,7 +143,7 @@ def a08_replace_material(spark, d):
     path = f"{scratch(spark)}/material-{uuid.uuid4().hex}"
     m = t.material(spark, d)
     M.replace_material(m, path)
-    M.replace_material(m.where("project = 3 and kind = 'original'"), path)
+    M.replace_material(m.where("project = 0 and kind = 'original'"), path)
     return spark.read.parquet(path).groupBy(F.col("project").cast("long").alias("project")).agg(F.count("*").alias("n"))
 
 
@@ -137,7 +153,10 @@ def records(spark, d):
     ordered = F.array_sort(F.collect_list(F.struct("turn", "title", F.col("content").alias("text"))))
     r = m.groupBy("project", "chapter", "point").agg(ordered.alias("xs"))
     title = F.element_at("xs", 1)["title"]
-    bullets = F.transform("xs", lambda x: F.struct(x["title"].alias("title"), x["text"].alias("text"), F.array(F.concat(F.lit("c"), ((F.col("point") + x["turn"]) % 7).cast("string"))).alias("chunk_ids")))
+    line = lambda x: F.split_part(x["text"], F.lit("\n"), F.lit(1))
+    number = lambda x: (F.col("point") + x["turn"]) % 7
+    versions = lambda x: (x["text"].alias("original"), line(x).alias("recitation"), F.array_join(F.slice(F.split(line(x), " "), 1, 5), "、").alias("keywords"))
+    bullets = F.transform("xs", lambda x: F.struct(x["title"].alias("title"), *versions(x), F.array(F.concat(F.lit("c"), number(x).cast("string"))).alias("chunk_ids"), F.array(number(x) + 1).alias("pages")))
     return r.select(
         F.col("project").cast("string").alias("project"), F.col("chapter").cast("string").alias("chapter"), F.col("point").alias("record"), F.when(F.col("point") % 4 == 0, F.concat(title, F.lit("方法"))).otherwise(title).alias("title"),
         F.concat(F.lit("topic "), (F.col("point") % 12).cast("string")).alias("item"), F.when(F.col("point") % 3 == 1, F.concat(F.lit("topic "), (F.col("point") % 4).cast("string"))).alias("parent_item"), bullets.alias("bullets"),
@@ -158,7 +177,8 @@ def c12_fold_join(spark, d):
 
 @query()
 def p07_organize_records(spark, d):
-    return G.organize_records(records(spark, d)).select("project", "chapter", "record", "title", F.size("bullets").alias("bullets"))
+    texts = F.transform("bullets", lambda b: F.concat_ws("|", b["title"], b["original"], b["recitation"], b["keywords"], F.array_join(b["chunk_ids"], ",")))
+    return G.organize_records(records(spark, d)).select("project", "chapter", "record", "title", F.size("bullets").alias("bullets"), F.md5(F.array_join(texts, "\n")).alias("digest"))
 
 
 CITES = f"""{MT}, r AS (SELECT DISTINCT project::VARCHAR AS project, point AS record FROM material), bul AS (SELECT project::VARCHAR AS project, point AS record, turn, 'c' || ((point + turn) % 7) AS chunk_id FROM material),

@@ -101,12 +101,20 @@ def as_page_events(events: DataFrame) -> DataFrame:
 
 
 def material(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Versions of bullets: project, chapter, point, bullet, kind, title, content; a conversation is a point, a pair of turns a bullet."""
+    """Versions of bullets: project, chapter, point, bullet, kind, title, content; a conversation is a point, three turns a
+    bullet, forty conversations a project and ten a chapter, so that both stay small however many there are.  A title is
+    the first letters of a turn: short enough that bullets and points of a chapter share some."""
     text = F.col("text")
     c = table(spark, sf_dir, "conversations").withColumn("bullet", F.floor(F.col("turn") / 3).cast("long"))
-    title = F.split_part(F.split_part(text, F.lit("\n"), F.lit(1)), F.lit(" "), F.lit(1))
+    title = F.left(F.split_part(F.split_part(text, F.lit("\n"), F.lit(1)), F.lit(" "), F.lit(1)), F.lit(TITLE_LETTERS))
     kind = F.element_at(F.array(F.lit("original"), F.lit("recitation"), F.lit("keywords")), (F.col("turn") % 3 + 1).cast("int"))
-    return c.select((F.col("conv_id") % 10).alias("project"), (F.floor(F.col("conv_id") / 10) % 4).alias("chapter"), F.col("conv_id").alias("point"), "bullet", kind.alias("kind"), title.alias("title"), text.alias("content"), "turn", "role")
+    return c.select(
+        F.floor(F.col("conv_id") / 40).alias("project"), (F.floor(F.col("conv_id") / 10) % 4).alias("chapter"), F.col("conv_id").alias("point"), "bullet",
+        kind.alias("kind"), title.alias("title"), text.alias("content"), "turn", "role",
+    )
+
+
+TITLE_LETTERS = 3
 
 
 _WORD = "string_split(string_split(text, chr(10))[1], ' ')"
@@ -133,8 +141,8 @@ VIEWS = {
  CASE WHEN l_returnflag = 'A' THEN ['unmatched', 'schema_validation', 'generation_error', 'format_warning'][l_partkey % 4 + 1] END AS failure_type, CASE WHEN l_returnflag = 'A' THEN 'reason token=' || l_suppkey || ' tail' END AS reason, l_shipdate AS updated_at FROM lineitem)""",
     "page_events": """page_events AS (SELECT user_id AS doc_id, event_id % 40 + 1 AS page_number, event_id % 3 AS attempt_id, CASE event_type WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'processing' ELSE 'completed' END AS status,
  CASE event_type WHEN 'view' THEN 'ocr' ELSE 'text' END AS method, props AS text, ts, event_id FROM events)""",
-    "material": """material AS (SELECT conv_id % 10 AS project, (conv_id // 10) % 4 AS chapter, conv_id AS point, turn // 3 AS bullet, ['original', 'recitation', 'keywords'][turn % 3 + 1] AS kind,
- string_split(string_split(text, chr(10))[1], ' ')[1] AS title, text AS content, turn, role FROM conversations)""",
+    "material": f"""material AS (SELECT conv_id // 40 AS project, (conv_id // 10) % 4 AS chapter, conv_id AS point, turn // 3 AS bullet, ['original', 'recitation', 'keywords'][turn % 3 + 1] AS kind,
+ left(string_split(string_split(text, chr(10))[1], ' ')[1], {TITLE_LETTERS}) AS title, text AS content, turn, role FROM conversations)""",
 }
 _NEEDS = {"chunks": ["numbered"], "topics": ["numbered"]}
 

@@ -154,10 +154,26 @@ def test_states_of_projects(spark):
 
 
 def test_votes_make_chapters(spark):
-    b = lambda *ids: [(f"t{i}", "x", [c]) for i, c in enumerate(ids)]
+    b = lambda *ids: [(f"t{i}", "x", "y", "z", [c], []) for i, c in enumerate(ids)]
     records = spark.createDataFrame([("p", "c", 0, "t", "t", None, b("a", "b", "b"), []), ("p", "c", 1, "u", "u", None, b("z"), []), ("p", "c", 2, "v", "v", None, b("a"), [])], organize.RECORD)
     candidates = spark.createDataFrame([("p", i, c, 0.5, 1, 2) for i in (0, 1, 2) for c in ("a", "b")], "project string, idx long, chunk_id string, score double, page_start long, page_end long")
     chapters = spark.createDataFrame([("a", "A"), ("b", "B"), ("z", "Z")], "chunk_id string, chapter string")
     built, links = organize.compose_material(records, candidates, chapters)
     assert {(r.record, r.chapter, r.chapter_position) for r in built.collect()} == {(0, "B", 0), (1, "__unresolved_chapter__", 1), (2, "A", 2)}
     assert links.count() == 4 and key_of("Ａ") == "a"
+
+
+def test_rectangle_without_accepted_pairs(spark):
+    """Queries of which no chunk has anything: no rows, and the other projects' rows stay."""
+    plans = spark.createDataFrame([("p", 0, "zq xw", ["zq xw"]), ("q", 0, "绩效考核指标", ["绩效考核指标"])], "project string, idx long, title string, queries array<string>")
+    plans = plans.select("project", "idx", F.lit(None).cast("string").alias("chapter"), "title", "queries", F.array().cast("array<string>").alias("subqueries"), F.lit("KNOWLEDGE").alias("item_type"))
+    row = lambda p, text: (p, "d", f"{p}1", 0, 1, 1, None, None, text)
+    kind = "project string, doc string, chunk_id string, position long, page_start long, page_end long, chapter_title string, section_title string, content string"
+    chunks = spark.createDataFrame([row("p", "绩效"), row("q", "绩效考核指标的内容")], kind)
+    assert [(r.project, r.chunk_id) for r in M.match_topics(plans, chunks).collect()] == [("q", "q1")]
+    none = plans.where("project = 'p'")
+    found = M.match_topics(none, chunks)
+    assert found.collect() == []
+    rewrites = spark.createDataFrame([("zqxw", ["绩效"]), ("other", ["x"])], "topic_key string, queries array<string>")
+    again = M.rematch_with_rewrites(none.withColumn("item_type", F.lit("KNOWLEDGE")), found, rewrites, chunks)
+    assert [(r.project, r.chunk_id) for r in again.collect()] == [("p", "p1")]

@@ -144,7 +144,7 @@ def test_diversity_and_utility(spark):
 
 
 def test_fold_and_collisions(spark):
-    b = lambda *xs: [(t, f"text {t}", [c]) for t, c in xs]
+    b = lambda *xs: [(t, f"text {t}", "x", "y", [c], [1]) for t, c in xs]
     rows = [
         ("p", "c", 0, "人力资源特征", "特征", None, b(("能动性", "1"), ("时效性", "2")), ["1", "2", "3"]),
         ("p", "c", 1, "能动性", "能动性", None, b(("含义", "1")), ["1", "2"]),
