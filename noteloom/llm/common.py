@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +64,7 @@ def whole_row(docs: DataFrame) -> Column:
     return F.struct(*[F.col(quoted(c)).alias(c) for c in docs.columns])
 
 
-def field(struct: str, name: str) -> Column:
-    """A field of a struct column, whatever its name."""
-    return F.col(struct).getField(name)
+def hashable(column: Column, kind: DataType) -> Column:
+    """The column itself, or its JSON where its type has maps or variants in it, which Spark doesn't hash."""
+    text = kind.simpleString()
+    return F.to_json(F.struct(column.alias("v"))) if "map<" in text or "variant" in text else column

@@ -18,7 +18,7 @@ from math import log
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, row_key, stage
+from .common import cut, row_key, stage, whole_row
 
 SEED = 20
 BLOCK_TOKENS = 200_000
@@ -112,6 +112,6 @@ def mix(docs: DataFrame, entropy_share: float = ENTROPY_SHARE, limit: float = RE
 def mix_documents(docs: DataFrame, entropy_share: float = ENTROPY_SHARE, limit: float = REPETITION_LIMIT) -> DataFrame:
     """The rows of ``docs``, each as often as the mixture draws it."""
     counts = stage(copies(docs, entropy_share, limit).groupBy("row").agg(F.min("copies").alias("copies")), "draws")
-    keyed = docs.select(F.struct(*docs.columns).alias("document"), row_key(docs["doc_id"], docs["source"], docs["text"]).alias("row"))
+    keyed = docs.select(whole_row(docs).alias("document"), row_key(docs["doc_id"], docs["source"], docs["text"]).alias("row"))
     drawn = keyed.join(counts, "row")
     return drawn.select("document", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("document.*")

@@ -6,7 +6,8 @@ weight d / (n + d) and then towards its mean variance; the Cholesky factors are
 documents.  The score is the logistic function of the difference in log density plus log prior, divided by the number
 of statistics: this keeps order and the 0.5 threshold and holds scores apart that would all round to 0 or 1, but scores
 aren't posteriors.  Conflicting labels of one id count by their mean, null labels
-and ids don't train, and without both classes every score is 0.5.  Repeated rows and extra columns change nothing.
+and ids don't train, and without both classes every score is 0.5.  Rows that repeat an id with its text train once and
+get equal scores; extra columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import row_key, stage, text_or_empty
 
 RIDGE = 0.02
 CLIP = 8.0
@@ -56,14 +57,14 @@ def statistics(text: str | None) -> np.ndarray:
 
 
 def document_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, x: the statistics of every text."""
+    """doc_id, row (a key of id and text), x: the statistics of every text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "x": [statistics(t) for t in b["text"]]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "row": b["row"], "x": [statistics(t) for t in b["text"]]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, x array<double>")
+    return docs.select("doc_id", row_key(F.col("doc_id"), text_or_empty()).alias("row"), "text").mapInPandas(run, f"doc_id {kind}, row binary, x array<double>")
 
 
 def held_out_column():
@@ -126,7 +127,7 @@ def train(features: DataFrame, labels: DataFrame) -> Discriminant | None:
             yield pd.DataFrame({"quality": k, "i": i, "j": j, "v": m.ravel()})
 
     rows = (
-        features.join(votes, "doc_id").select("quality", "x").mapInPandas(sums, "quality int, i int, j int, v double")
+        features.join(votes, "doc_id").dropDuplicates(["row"]).select("quality", "x").mapInPandas(sums, "quality int, i int, j int, v double")
         .groupBy("quality", "i", "j").agg(F.sum("v").alias("v")).collect()
     )
     d = len(STATISTICS) + 1

@@ -26,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, row_key, shared_dir
+from .common import cut, hashable, row_key, shared_dir, whole_row
 
 OLD_SHARDS, NEW_SHARDS = 32, 40
 OVERHEAD = 16
@@ -130,7 +130,7 @@ def sized(docs: DataFrame, old_shard: Column) -> DataFrame:
     """document (all columns), size, text_crc32, old, class."""
     text = F.coalesce(F.col("text"), F.lit(""))
     size = (F.octet_length(text) + OVERHEAD).cast("long")
-    return docs.select(F.struct(*docs.columns).alias("document"), size.alias("size"), old_shard.cast("int").alias("old"), F.floor(F.log2(size)).cast("int").alias("class"))
+    return docs.select(whole_row(docs).alias("document"), size.alias("size"), old_shard.cast("int").alias("old"), F.floor(F.log2(size)).cast("int").alias("class"))
 
 
 def place(docs: DataFrame, old_shard: Column, new_shards: int = NEW_SHARDS) -> tuple[DataFrame, list[int], list[int]]:
@@ -145,7 +145,7 @@ def place(docs: DataFrame, old_shard: Column, new_shards: int = NEW_SHARDS) -> t
     parts = totals.select("old", "class", F.greatest(F.ceil(F.col("n") / RANKED), F.ceil(F.col("bytes") / RANKED_BYTES), F.lit(1)).alias("parts"))
     # rows of one step are dealt to parts by hash, so no task ranks more than its part
     step = F.floor(F.log2("size") * STEPS).cast("int") - STEPS * F.col("class")
-    keyed = rows.join(F.broadcast(parts), ["old", "class"]).withColumn("key", row_key(*[F.col("document")[c] for c in docs.columns]))
+    keyed = rows.join(F.broadcast(parts), ["old", "class"]).withColumn("key", row_key(*[hashable(F.col("document")[f.name], f.dataType) for f in docs.schema]))
     keyed = keyed.withColumn("part", step * F.col("parts") + F.pmod(F.xxhash64("key"), F.col("parts"))).drop("parts")
     own = ["old", "class", "part"]
     counts = keyed.groupBy(*own).agg(F.count("*").alias("n"))

@@ -1,10 +1,11 @@
 """Secret scans by corpus-wide ownership frequency, in DataFrame functions only.
 
 Every text gives spans of base kinds (assign, access, hex) and of added kinds (mixed: long tokens with digits and both
-letter cases; pem: private key headers).  Candidate values are hashed and counted over all documents by distinct
+letter cases; pem: private keys from header to end line, or as far as their body goes).  Candidate values, of a key its
+body, are hashed and counted over all documents by distinct
 repositories and owners.  A value of one owner is live however many repositories of that owner hold it; one of several
 owners is a copied example if they are many, or if it spread over many repositories; values that look repetitive are
-never live.  Mixed tokens count as spans only if live; base spans and key headers always do.
+never live, nor are headers without a body.  Mixed tokens count as spans only if live; base spans and keys always do.
 Null text counts as empty and gives no spans; a null repository or owner is one of its own; repeated rows each get the
 same verdict and count once; spans are code points, end exclusive, ordered by start, then kind; an empty table gives no
 rows; other columns, whatever their names, play no part.
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, stage
+from .common import row_key, stage, whole_row
 
 # Kinds in the order in which they are listed, and their patterns.
 KINDS = ("assign", "access", "hex", "mixed", "pem")
@@ -27,12 +28,18 @@ ASSIGN = (
 ACCESS = "AKIA[A-Z0-9]{14,}"
 HEX = "[0-9a-f]{16,}"
 MIXED = "[A-Za-z0-9+/_-]{20,}"
-PEM = "-----BEGIN [A-Z ]*PRIVATE KEY-----"
+PEM = (
+    "-----BEGIN [A-Z ]*PRIVATE KEY-----"
+    "(?:[^-]*(?:-[^-]+){0,64}-----END [A-Z ]*PRIVATE KEY-----|(?:[ \\t\\r\\n]+[A-Za-z0-9+/=]{16,}){0,60})"
+)
+PEM_FRAME = "-----(?:BEGIN|END) [A-Z ]*PRIVATE KEY-----|[ \\t\\r\\n]"
 ASSIGN_LEAST = 12
 #: Owners from which on a value is an example; repositories from which on one of several owners is; different characters a live value has.
 EXAMPLE_OWNERS = 3
 EXAMPLE_REPOSITORIES = 5
 LIVE_CHARACTERS = 8
+#: Matches of a text that are put together before they join the others.
+TOGETHER = 256
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 MASK = "[SECRET]"
 
@@ -50,8 +57,15 @@ def found(text: Column, pattern: str, kind: int, value, keep) -> Column:
         out = F.when(keep(value(x["match"])), F.concat(state["out"], F.array(one))).otherwise(state["out"])
         return F.struct(end.alias("at"), out.alias("out"))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-    spans = F.aggregate(F.filter(both, lambda x: x["match"].isNotNull()), start, step, lambda s: s["out"])
+    # an array that grows is copied with every step, so it grows by parts
+    def part(state: Column, k: Column) -> Column:
+        start = F.struct(state["at"].alias("at"), F.array().cast(SPAN).alias("out"))
+        own = lambda o: F.struct(o["at"].alias("at"), F.concat(state["out"], o["out"]).alias("out"))
+        return F.aggregate(F.slice(matched, k * TOGETHER + 1, TOGETHER), start, step, own)
+
+    matched = F.filter(both, lambda x: x["match"].isNotNull())
+    parts = F.sequence(F.lit(0), F.floor(F.size(matches) / TOGETHER).cast("int"))
+    spans = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out")), part, lambda s: s["out"])
     return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(SPAN))
 
 
@@ -65,7 +79,7 @@ def candidates(text: Column) -> Column:
         found(text, ACCESS, 1, same, always),
         found(text, HEX, 2, same, always),
         found(text, MIXED, 3, same, varied),
-        found(text, PEM, 4, same, always),
+        found(text, PEM, 4, lambda m: F.regexp_replace(m, PEM_FRAME, ""), always),
     ]
     return F.array_sort(F.concat(*parts))
 
@@ -127,7 +141,7 @@ def redact(docs: DataFrame, repository: Column, owner: Column) -> DataFrame:
     """The rows of ``docs`` with every live span replaced by a mask; n_chars follows.  Examples that many owners copy stay."""
     live = verdicts(docs, repository, owner).select("row", F.filter("all_spans", lambda s: s["live"]).alias("live")).where(F.size("live") > 0).dropDuplicates(["row"])
     key = row_key(F.col("doc_id"), repository, owner, F.coalesce(F.col("text"), F.lit("")))
-    joined = docs.select(F.struct(*docs.columns).alias("document"), key.alias("row")).join(stage(live, "live"), "row", "left")
+    joined = docs.select(whole_row(docs).alias("document"), key.alias("row")).join(stage(live, "live"), "row", "left")
     text = F.col("document.text")
 
     def step(state: Column, x: Column) -> Column:
@@ -156,7 +170,7 @@ def oracle(repository: str, owner: str) -> str:
 
     assign = f"regexp_extract(u.m, {quoted(ASSIGN)}, 1)"
     mixed = "regexp_matches(u.m, '[0-9]') AND regexp_matches(u.m, '[A-Z]') AND regexp_matches(u.m, '[a-z]')"
-    parts = [part(0, ASSIGN, assign, f"length({assign}) >= {ASSIGN_LEAST}"), part(1, ACCESS, "u.m", "true"), part(2, HEX, "u.m", "true"), part(3, MIXED, "u.m", mixed), part(4, PEM, "u.m", "true")]
+    parts = [part(0, ASSIGN, assign, f"length({assign}) >= {ASSIGN_LEAST}"), part(1, ACCESS, "u.m", "true"), part(2, HEX, "u.m", "true"), part(3, MIXED, "u.m", mixed), part(4, PEM, f"regexp_replace(u.m, {quoted(PEM_FRAME)}, '', 'g')", "true")]
     names = "CASE kind " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(KINDS)) + " END"
     line = f"{names} || ':' || start || ':' || (start + length(match))"
     return f"""WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, coalesce({repository}, '') AS repository, coalesce({owner}, '') AS owner FROM documents),

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, row_key, stage
+from .common import cut, row_key, stage, whole_row
 
 SEED = 42
 SHINGLE = 3
@@ -139,7 +139,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     groups = rows.groupBy("root").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("keep")).where("n > 1")
     groups = cut(groups.select("root", F.col("keep.row").alias("keep")))
     gone = stage(rows.join(groups, "root").where("row != keep").select(F.col("row").alias("gone")).distinct(), "duplicates")
-    keyed = docs.select(F.struct(*docs.columns).alias("document"), row_key(docs["doc_id"], docs["text"]).alias("key"))
+    keyed = docs.select(whole_row(docs).alias("document"), row_key(docs["doc_id"], docs["text"]).alias("key"))
     stay = keyed.join(gone, keyed["key"] == gone["gone"], "left_anti")
     if not rows.groupBy("row").count().where("count > 1").isEmpty():
         stay = stay.dropDuplicates(["key"])

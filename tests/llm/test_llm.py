@@ -666,7 +666,7 @@ def test_empty_tables(spark):
     assert [j.count() for j in jobs] == [0] * len(jobs)
 
 
-CLASHES = ("row", "key", "document", "model", "half", "fp", "root", "h", "spans", "unit", "size", "rank", "old", "class", "part", "ids", "tokens", "copies", "edits", "x", "gone", "live", "draw__", "row_key__", "media", "kept")
+CLASHES = ("row", "key", "document", "model", "half", "fp", "root", "h", "spans", "unit", "size", "rank", "old", "class", "part", "ids", "tokens", "copies", "edits", "x", "gone", "live", "draw__", "row_key__", "media", "kept", "a.b", "c`d")
 
 
 def test_columns_of_any_name_play_no_part(spark):
