@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import config as C
-from .text import blank_free, casefold, compare_title, query_key, readable_characters, text_lines, title_key
+from .text import blank_free, casefold, compare_title, let, query_key, readable_characters, text_lines, title_key
 
 
 def page_route(has_raster: Column, text: Column, least: int = 32) -> Column:
@@ -19,10 +21,12 @@ def upload_violations(name: Column, mime: Column, size: Column, pages: Column, m
 
 
 def is_displayable_chapter(title: Column) -> Column:
-    v = blank_free(F.coalesce(title, F.lit("")))
-    hidden = casefold(v).isin(*C.HIDDEN_TITLES) | v.startswith("__")
-    reference = v.rlike(C.PAGE_RANGE) | v.rlike(C.FILE_PAGES) | v.rlike(C.TOC_TAIL)
-    return (v != "") & ~hidden & ~reference & ~v.rlike(C.BARE_CHAPTER) & ~v.rlike(C.ONLY_NUMBERING) & v.rlike("[A-Za-z\u4e00-\u9fff]")
+    def of(v: Column) -> Column:
+        hidden = v.startswith("__") | casefold(v).isin(*C.HIDDEN_TITLES)
+        reference = v.rlike(C.PAGE_RANGE) | v.rlike(C.FILE_PAGES) | v.rlike(C.TOC_TAIL)
+        return (v != "") & ~hidden & ~reference & ~v.rlike(C.BARE_CHAPTER) & ~v.rlike(C.ONLY_NUMBERING) & v.rlike("[A-Za-z\u4e00-\u9fff]")
+
+    return let(blank_free(F.coalesce(title, F.lit(""))), of)
 
 
 def heading_confirmed(title: Column, text: Column, page_start: Column, page_end: Column) -> Column:
@@ -45,10 +49,9 @@ def is_structural_short(content: Column, chapter: Column, section: Column) -> Co
 
 
 def is_noise(x: Column) -> Column:
-    marked = F.lit(False)
-    for m in C.NOISE_MARKERS:
-        marked = marked | casefold(x).contains(m)
-    return marked | (readable_characters(x) < 2)
+    """A marker of copied material, or fewer than two readable characters; both found at the first place that tells."""
+    marked = casefold(x).rlike("|".join(re.escape(m) for m in C.NOISE_MARKERS))
+    return marked | ~x.rlike(f"(?s){C.READABLE}.*?{C.READABLE}")
 
 
 def has_link_noise(x: Column) -> Column:

@@ -17,6 +17,11 @@ def blank_free(x: Column) -> Column:
     return F.btrim(F.regexp_replace(x, C.BLANKS, " "))
 
 
+def stripped(x: Column) -> Column:
+    """Without blanks of any kind at both ends."""
+    return F.regexp_replace(x, f"\\A{C.BLANKS}|{C.BLANKS}\\z", "")
+
+
 def canonical_query(x: Column) -> Column:
     """Full-width forms to half-width, dash family to one hyphen, blanks collapsed."""
     half = F.translate(x, C.FULL_WIDTH, C.HALF_WIDTH)

@@ -2,22 +2,18 @@
 
 from __future__ import annotations
 
-import json
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import predicates as P
 from ..functions import text as T
+from ..sources.sinks import written
+from .recovery import KINDS, keyword_text, plain_text, recovered_texts, scan
 
 VERSION = "struct<title:string,content:string>"
 BULLET = f"struct<title:string,original:{VERSION},recitation:{VERSION},keywords:{VERSION},source_chunk_ids:array<string>,source_pages:array<int>>"
 PAYLOAD = f"struct<knowledge_point_title:string,bullet_points:array<{BULLET}>>"
-KINDS = ("original", "recitation", "keywords")
 
 
 def json_body(raw: Column) -> Column:
@@ -26,64 +22,83 @@ def json_body(raw: Column) -> Column:
     return F.nullif(body, F.lit(""))
 
 
-def parsed(raw: Column) -> Column:
-    return F.from_json(json_body(raw), PAYLOAD, {"mode": "PERMISSIVE"})
-
-
-def _text(value: object, keywords: bool = False) -> str:
-    if isinstance(value, dict):
-        value = value.get("content")
-    if isinstance(value, list):
-        parts = [str(x).strip() for x in value if isinstance(x, str | int | float) and str(x).strip()]
-        return ("、" if keywords else "\n\n").join(parts)
-    if value is None or not isinstance(value, str):
-        return ""
-    if keywords:
-        return "、".join(x for x in map(str.strip, re.split(C.KEYWORD_ITEMS, value)) if x)
-    return re.sub(r"[ \t]+", " ", value.strip())
-
-
-def _different(values: object, number: bool = False) -> list:
-    values = values if isinstance(values, list) else [] if values is None else [values]
-    if number:
-        values = [int(v) for v in values if isinstance(v, int) or (isinstance(v, str) and v.strip().isdigit())]
-    else:
-        values = [v if isinstance(v, str) else json.dumps(v, ensure_ascii=False) for v in values]
-    return list(dict.fromkeys(values))
-
-
-def repaired(body: str | None, fallback: str | None) -> str | None:
-    """JSON of the regular shape: lone bullets and objects as lists, contents joined, titles unified, pages as numbers."""
-    try:
-        p = json.loads(body or "")
-    except ValueError:
-        return None
-    if not isinstance(p, dict):
-        return None
-    lone = "bullet_points" not in p and any(k in p for k in (*KINDS, "source_chunk_ids", "source_pages"))
-    title = p.get("knowledge_point_title")
-    title = (title if isinstance(title, str) and title.strip() else fallback or "").strip()
-    bullets = [p] if lone else p.get("bullet_points")
-    bullets = [bullets] if isinstance(bullets, dict) else bullets if isinstance(bullets, list) else []
-    out = []
-    for b in (x for x in bullets if isinstance(x, dict)):
-        inner = [v["title"] for v in map(b.get, KINDS) if isinstance(v, dict) and isinstance(v.get("title"), str) and v["title"].strip()]
-        own = b.get("title") if isinstance(b.get("title"), str) and not lone else None
-        t = (own or (inner[0] if inner else None) or fallback or "").strip()
-        versions = {k: {"title": t, "content": _text(b.get(k), k == "keywords")} for k in KINDS}
-        out.append({"title": t, **versions, "source_chunk_ids": _different(b.get("source_chunk_ids")), "source_pages": _different(b.get("source_pages"), True)})
-    return json.dumps({"knowledge_point_title": title, "bullet_points": out}, ensure_ascii=False)
+def _as(v: Column, kind: str) -> Column:
+    """A variant as ``kind``, null if it isn't one."""
+    return F.try_variant_get(v, "$", kind)
 
 
-def normalize_payloads(raw: DataFrame) -> DataFrame:
-    """item_id, attempt, payload (null if there is no JSON object); raw: item_id, attempt, raw, fallback_title."""
+def _fields(v: Column) -> Column:
+    """The fields of an object, null for anything else."""
+    return _as(v, "map<string,variant>")
+
+
+def _string(v: Column) -> Column:
+    """Null for what isn't a string."""
+    return F.when(F.schema_of_variant(v) == "STRING", _as(v, "string"))
+
+
+def _present(v: Column) -> Column:
+    return v.isNotNull() & ~F.coalesce(F.is_variant_null(v), F.lit(True))
+
+
+def _list(v: Column) -> Column:
+    """Values of an array; another value is a list of one, null and nothing of none."""
+    return F.coalesce(_as(v, "array<variant>"), F.when(_present(v), F.array(v)), F.array().cast("array<variant>"))
+
+
+def _text(v: Column, keywords: bool) -> Column:
+    """A version's text: of a string, of a list its parts, of an object its content."""
+
+    def of(x: Column) -> Column:
+        part = lambda e: F.when(F.schema_of_variant(e).rlike("^(STRING|BIGINT|DECIMAL|DOUBLE|FLOAT|BOOLEAN)"), T.stripped(_as(e, "string")))
+        parts = F.filter(F.transform(_as(x, "array<variant>"), part), lambda e: F.coalesce(e != "", F.lit(False)))
+        own = keyword_text(_string(x)) if keywords else plain_text(_string(x))
+        return F.coalesce(F.array_join(parts, "、" if keywords else "\n\n"), own, F.lit(""))
+
+    return T.let(F.when(_fields(v).isNotNull(), F.try_element_at(_fields(v), F.lit("content"))).otherwise(v), of)
+
+
+def _bullet(v: Column, lone: Column, fallback: Column) -> Column:
+    """A bullet of the regular shape: one title for all versions, contents as text, ids and pages different, pages as numbers."""
+
+    def of(f: Column) -> Column:
+        at = lambda k: F.try_element_at(f, F.lit(k))
+        inner = F.filter(F.array(*[_string(F.try_element_at(_fields(at(k)), F.lit("title"))) for k in KINDS]), lambda t: F.coalesce(T.stripped(t) != "", F.lit(False)))
+        own = F.when(~lone, F.nullif(_string(at("title")), F.lit("")))
+        title = T.stripped(F.coalesce(own, F.get(inner, F.lit(0)), fallback, F.lit("")))
+        ids = F.transform(_list(at("source_chunk_ids")), lambda x: F.coalesce(_string(x), F.to_json(x)))
+        number = lambda x: F.when(F.schema_of_variant(x) == "BIGINT", _as(x, "int")).when(T.stripped(_string(x)).rlike("^[0-9]+$"), T.stripped(_string(x)).try_cast("int"))
+        pages = F.array_compact(F.transform(_list(at("source_pages")), number))
+
+        def named(t: Column) -> Column:
+            versions = [F.struct(t.alias("title"), _text(at(k), k == "keywords").alias("content")).alias(k) for k in KINDS]
+            return F.struct(t.alias("title"), *versions, F.array_distinct(ids).alias("source_chunk_ids"), F.array_distinct(pages).alias("source_pages"))
+
+        return T.let(title, named)
 
-    @F.pandas_udf("string")
-    def shape(body: pd.Series, fallback: pd.Series) -> pd.Series:
-        return pd.Series([repaired(b, f) for b, f in zip(body, fallback, strict=True)], dtype="object")
+    return T.let(_fields(v), of)
 
-    shaped = raw.select("item_id", "attempt", "raw", shape(json_body(F.col("raw")), F.col("fallback_title")).alias("body"))
-    return shaped.select("item_id", "attempt", "raw", F.from_json("body", PAYLOAD).alias("payload"))
+
+def regular(body: Column, fallback: Column) -> Column:
+    """The payload in its regular shape, null if ``body`` isn't a JSON object: lone bullets and objects as lists, contents joined."""
+
+    def of(v: Column) -> Column:
+        f = _fields(v)
+        at = lambda k: F.try_element_at(f, F.lit(k))
+        has = lambda k: F.array_contains(F.map_keys(f), k)
+        lone = ~has("bullet_points") & (has("original") | has("recitation") | has("keywords") | has("source_chunk_ids") | has("source_pages"))
+        given = _string(at("knowledge_point_title"))
+        title = T.stripped(F.coalesce(F.when(T.stripped(given) != "", given), fallback, F.lit("")))
+        several = F.coalesce(_as(at("bullet_points"), "array<variant>"), F.when(_fields(at("bullet_points")).isNotNull(), F.array(at("bullet_points"))), F.array().cast("array<variant>"))
+        bullets = F.filter(F.when(lone, F.array(v)).otherwise(several), lambda b: _fields(b).isNotNull())
+        return F.when(f.isNotNull(), F.struct(title.alias("knowledge_point_title"), F.transform(bullets, lambda b: _bullet(b, lone, fallback)).alias("bullet_points")))
+
+    return T.let(F.try_parse_json(body), of)
+
+
+def normalize_payloads(raw: DataFrame) -> DataFrame:
+    """item_id, attempt, raw, fallback_title, payload (null if there is no JSON object); raw has all but the last."""
+    return raw.select("item_id", "attempt", "raw", "fallback_title", regular(json_body(F.col("raw")), F.col("fallback_title")).cast(PAYLOAD).alias("payload"))
 
 
 def title_faults(title: Column) -> list[tuple[str, Column]]:
@@ -131,60 +146,78 @@ def format_warnings(p: Column) -> Column:
     return F.coalesce(F.array_distinct(F.flatten(F.transform(p["bullet_points"], of))), F.array().cast("array<string>"))
 
 
-def salvage(payloads: DataFrame, evidence: DataFrame) -> DataFrame:
-    """item_id, payload, warnings: the best attempt's readable bullets with all three versions and only valid citations.
+LIMITS = {"original": 8000, "recitation": 5000, "keywords": 2000}
+MOST_KEYWORDS = 50
+
 
-    Later attempts (repairs) go first.  A missing version is filled from the next one that is readable; texts are cut to
-    their limits; bullets without readable text are dropped.  evidence: item_id, chunk_ids, pages.
+def with_recovered(payloads: DataFrame) -> DataFrame:
+    """payloads with ``recovered`` (whether the payload was made of what broken JSON still says); only broken rows are scanned.
+
+    Bullets have the fallback title if there is one, else numbers; they cite nothing.
     """
-    j = payloads.join(evidence, "item_id", "left")
-
-    def bullet(b: Column) -> Column:
-        ok = {k: F.when(~F.coalesce(P.is_noise(b[k]["content"]), F.lit(True)), b[k]["content"]) for k in KINDS}
-        text = {"original": F.coalesce(ok["original"], ok["recitation"], ok["keywords"]), "recitation": F.coalesce(ok["recitation"], ok["original"], ok["keywords"]), "keywords": F.coalesce(ok["keywords"], ok["recitation"], ok["original"])}
-        t = F.left(F.coalesce(F.when(~P.is_noise(b["title"]), b["title"]), F.col("payload.knowledge_point_title")), F.lit(200))
-        limits = {"original": 8000, "recitation": 5000, "keywords": 2000}
-        filled = F.exists(F.array(*[ok[k].isNull() for k in KINDS]), lambda x: x)
-        ids, pages = F.array_intersect(b["source_chunk_ids"], F.col("chunk_ids")), F.array_intersect(b["source_pages"], F.col("pages"))
-        versions = [F.struct(t.alias("title"), F.left(text[k], F.lit(limits[k])).alias("content")).alias(k) for k in KINDS]
-        return F.struct(t.alias("title"), *versions, F.coalesce(ids, F.array().cast("array<string>")).alias("source_chunk_ids"), F.coalesce(pages, F.array().cast("array<int>")).alias("source_pages"), filled.alias("filled"))
-
-    made = j.withColumn("made", F.filter(F.transform("payload.bullet_points", bullet), lambda b: b["original"]["content"].isNotNull()))
-    usable = made.where("size(made) > 0")
-    best = usable.withColumn("n", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("attempt")))).where("n = 1")
-    warn = F.array_compact(F.array(
-        F.when(F.exists("made", lambda b: b["filled"]), F.lit("version_filled")), F.when(F.size("made") < F.size("payload.bullet_points"), F.lit("bullet_dropped")),
-        F.when(F.exists(F.arrays_zip("made", "payload.bullet_points"), lambda z: F.size(z["made"]["source_chunk_ids"]) < F.size(z["bullet_points"]["source_chunk_ids"])), F.lit("citation_dropped")),
-    ))
-    return best.select("item_id", "attempt", F.col("payload.knowledge_point_title").alias("title"), F.col("made").alias("bullets"), warn.alias("warnings"))
+    whole = payloads.where("payload is not null").withColumn("recovered", F.lit(False))
+    texts = payloads.where("payload is null").withColumn("found", scan(F.col("raw"))).withColumn("texts", recovered_texts(F.col("found"))).where("texts is not null")
+    fallback = F.coalesce("fallback_title", F.lit(""))
 
+    def bullet(x: Column, i: Column) -> Column:
+        title = F.when(F.size("texts") == 1, fallback).otherwise(F.concat(F.lit("要点 "), (i + 1).cast("string")))
+        versions = [F.struct(title.alias("title"), x[k].alias("content")).alias(k) for k in KINDS]
+        return F.struct(title.alias("title"), *versions, F.array().cast("array<string>").alias("source_chunk_ids"), F.array().cast("array<int>").alias("source_pages"))
 
-_FIELD = re.compile(r'"(original|recitation|keywords)"\s*:\s*(?:\{[^{}]*?"content"\s*:\s*)?"((?:[^"\\]|\\.)*)"?', re.S)
+    made = F.struct(fallback.alias("knowledge_point_title"), F.transform("texts", bullet).alias("bullet_points")).cast(PAYLOAD)
+    return whole.unionByName(texts.withColumn("payload", made).withColumn("recovered", F.lit(True)).drop("found", "texts"))
 
 
-def recovered(raw: str | None) -> list[tuple[str, str, str]]:
-    """Texts of the three versions found in malformed JSON, paired by their order."""
-    found: dict[str, list[str]] = {k: [] for k in KINDS}
-    for kind, value in _FIELD.findall(raw or ""):
-        try:
-            found[kind].append(json.loads(f'"{value}"', strict=False).strip())
-        except ValueError:
-            found[kind].append(value.strip())
-    n = max(map(len, found.values()))
-    return [tuple(found[k][i] if i < len(found[k]) else "" for k in KINDS) for i in range(n)]
+def salvage(payloads: DataFrame, evidence: DataFrame) -> DataFrame:
+    """item_id, attempt, title, bullets, warnings: the best attempt's readable bullets with all three versions and only valid citations.
 
+    Later attempts (repairs) go first, broken JSON counts as far as its texts can be recovered.  A missing original or
+    recitation is filled from another version, missing keywords with the title; texts are cut to their limits; bullets
+    without readable text are dropped; titles that can't be read become numbers.  evidence: item_id, chunk_ids, pages.
+    """
+    j = with_recovered(payloads).join(evidence, "item_id", "left")
+    readable = lambda x: F.when(~F.coalesce(P.is_noise(x), F.lit(True)), T.stripped(x))
+    title = F.left(F.coalesce(readable(F.col("payload.knowledge_point_title")), readable(F.col("fallback_title"))), F.lit(200))
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+
+    def bullet(b: Column, i: Column) -> Column:
+        ok = {k: readable(b[k]["content"]) for k in KINDS}
+        own = F.left(readable(b["title"]), F.lit(200))
+        fair = F.when(F.regexp_count(own, F.lit(C.HEADING_NUMBERS)) <= 1, own)
+        t = F.coalesce(fair, F.concat(F.lit("要点 "), (i + 1).cast("string")))
+        original = F.coalesce(*[ok[k] for k in KINDS])
+        whole = {"original": original, "recitation": F.coalesce(ok["recitation"], original), "keywords": F.coalesce(ok["keywords"], F.when(original.isNotNull(), t))}
+        items = T.trimmed_parts(F.left(whole["keywords"], F.lit(LIMITS["keywords"])), C.KEYWORD_ITEMS)
+        text = {k: F.left(whole[k], F.lit(n)) for k, n in LIMITS.items()}
+        text["keywords"] = F.when(F.size(items) > MOST_KEYWORDS, F.array_join(F.slice(items, 1, MOST_KEYWORDS), "、")).otherwise(text["keywords"])
+        ids = F.coalesce(F.array_intersect(b["source_chunk_ids"], F.col("chunk_ids")), none("string"))
+        pages = F.coalesce(F.array_intersect(b["source_pages"], F.col("pages")), none("int"))
+        notes = [
+            ("version_filled", F.exists(F.array(*[ok[k].isNull() for k in KINDS]), lambda x: x)), ("title_filled", fair.isNull()),
+            ("text_cut", F.exists(F.array(*[F.length(whole[k]) > n for k, n in LIMITS.items()]), lambda x: x)), ("keywords_cut", F.size(items) > MOST_KEYWORDS),
+            ("citation_dropped", (F.size(ids) < F.size(b["source_chunk_ids"])) | (F.size(pages) < F.size(b["source_pages"]))),
+            ("sources_unverified", (F.size(ids) == 0) | (F.size(pages) == 0)),
+        ]
+        versions = [F.struct(t.alias("title"), text[k].alias("content")).alias(k) for k in KINDS]
+        return F.struct(t.alias("title"), *versions, ids.alias("source_chunk_ids"), pages.alias("source_pages"), F.array_compact(F.array(*[F.when(c, F.lit(code)) for code, c in notes])).alias("notes"))
 
-def recover_broken(raw: DataFrame) -> DataFrame:
-    """item_id, attempt, bullets without citations of outputs that aren't JSON."""
-    schema = "item_id long, attempt int, n int, original string, recitation string, keywords string"
+    bullets = F.filter(F.transform("payload.bullet_points", bullet), lambda b: b["original"]["content"].isNotNull())
+    # written, as the planner would work it out again for every use
+    made = written(j.select("item_id", "attempt", "recovered", F.size("payload.bullet_points").alias("given"), title.alias("title"), bullets.alias("made")), "salvaged")
+    usable = made.where("size(made) > 0 and title is not null")
+    best = usable.withColumn("n", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("attempt")))).where("n = 1")
+    warn = F.array_union(
+        F.array_compact(F.array(F.when(F.col("recovered"), F.lit("recovered")), F.when(F.size("made") < F.col("given"), F.lit("bullet_dropped")))),
+        F.flatten(F.transform("made", lambda b: b["notes"])),
+    )
+    return best.select("item_id", "attempt", "title", F.transform("made", lambda b: b.dropFields("notes")).alias("bullets"), F.array_distinct(warn).alias("warnings"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(i, a, n, *v) for i, a, r in zip(b["item_id"], b["attempt"], b["raw"], strict=True) for n, v in enumerate(recovered(r))]
-            yield pd.DataFrame(rows, columns=["item_id", "attempt", "n", *KINDS])
 
+def recover_broken(raw: DataFrame) -> DataFrame:
+    """item_id, attempt, n, original, recitation, keywords: bullets, without citations, of outputs that aren't JSON."""
     broken = raw.where(F.try_parse_json(json_body(F.col("raw"))).isNull())
-    return broken.select("item_id", F.col("attempt").cast("int").alias("attempt"), "raw").mapInPandas(run, schema)
+    texts = broken.withColumn("found", scan(F.col("raw"))).select("item_id", F.col("attempt").cast("int").alias("attempt"), F.posexplode(recovered_texts(F.col("found"))).alias("n", "x"))
+    return texts.select("item_id", "attempt", "n", "x.*")
 
 
 def attempt_outcomes(validated: DataFrame, salvaged: DataFrame) -> DataFrame:

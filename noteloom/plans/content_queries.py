@@ -12,6 +12,7 @@ from ..operators import material as M
 from ..operators import organize as G
 from ..operators import payloads as J
 from ..sources import tables as t
+from ..sources.sinks import written
 from . import sql as S
 from .registry import query
 
@@ -243,6 +244,11 @@ def j01_extract_json(spark, d):
     return r.select("item_id", "attempt", F.md5(body).alias("digest"), F.when(F.try_parse_json(body).isNotNull(), F.get_json_object(body, "$.knowledge_point_title")).alias("title"))
 
 
+def regular_payloads(spark, d):
+    """Written once, as whatever follows reads fields of it many times."""
+    return written(J.normalize_payloads(raw_outputs(spark, d)), "payloads")
+
+
 @query()
 def j02_normalize_payload(spark, d):
     return J.normalize_payloads(raw_outputs(spark, d)).select("item_id", "attempt", F.md5(F.to_json("payload")).alias("digest"))
@@ -256,18 +262,18 @@ va AS (SELECT item_id, attempt, coalesce(ok, false) AND NOT {_NOISE('trim(pt)')}
 
 @query(f"WITH {RAW}, {VALID} SELECT item_id, attempt, valid FROM va")
 def j03_validate_payload(spark, d):
-    return J.validate_payloads(J.normalize_payloads(raw_outputs(spark, d))).select("item_id", "attempt", "valid")
+    return J.validate_payloads(regular_payloads(spark, d)).select("item_id", "attempt", "valid")
 
 
 @query()
 def j03_payload_faults(spark, d):
-    v = J.validate_payloads(J.normalize_payloads(raw_outputs(spark, d)))
+    v = J.validate_payloads(regular_payloads(spark, d))
     return v.select(F.explode_outer("faults").alias("fault")).groupBy("fault").agg(F.count("*").alias("n"))
 
 
 @query()
 def j04_format_warnings(spark, d):
-    n = J.normalize_payloads(raw_outputs(spark, d))
+    n = regular_payloads(spark, d)
     return n.select("item_id", "attempt", J.format_warnings(F.col("payload")).alias("warnings"))
 
 
@@ -277,7 +283,7 @@ def given_evidence(spark, d):
 
 @query()
 def j05_salvage(spark, d):
-    s = J.salvage(J.normalize_payloads(raw_outputs(spark, d)), given_evidence(spark, d))
+    s = J.salvage(regular_payloads(spark, d), given_evidence(spark, d))
     return s.select("item_id", "attempt", "title", F.size("bullets").alias("bullets"), "warnings")
 
 
@@ -286,8 +292,13 @@ def j06_recover_broken(spark, d):
     return J.recover_broken(raw_outputs(spark, d))
 
 
-@query(f"""WITH {RAW}, {VALID}, f AS (SELECT item_id, min(attempt) FILTER (valid) AS ok FROM va GROUP BY 1), s AS (SELECT DISTINCT item_id FROM vv WHERE ok AND NOT ({_NOISE('o')} AND {_NOISE('r')} AND {_NOISE('k')}))
+#: Of broken outputs, texts that stand behind a content key: there is one bullet, and its versions are in order.
+_CUT = lambda kind: "regexp_extract(raw, '\"" + kind + "\":\\{\"title\":\"[^\"]*\",\"content\":\"([^\"]*)', 1)"
+
+
+@query(f"""WITH {RAW}, {VALID}, f AS (SELECT item_id, min(attempt) FILTER (valid) AS ok FROM va GROUP BY 1), cut AS (SELECT item_id, {', '.join(f"{_CUT(k)} AS {k[0]}" for k in J.KINDS)} FROM js WHERE NOT coalesce(json_valid(body), false)),
+t1 AS (SELECT doc_id AS item_id, t1 FROM body), s AS (SELECT DISTINCT item_id FROM (SELECT item_id, o, r, k FROM vv WHERE ok UNION ALL SELECT item_id, o, r, k FROM cut) JOIN t1 USING (item_id) WHERE NOT {_NOISE('t1')} AND NOT ({_NOISE('o')} AND {_NOISE('r')} AND {_NOISE('k')}))
 SELECT item_id, CASE WHEN ok = 1 THEN 'valid' WHEN ok IS NOT NULL THEN 'repaired' WHEN s.item_id IS NOT NULL THEN 'salvaged' ELSE 'failed' END AS outcome FROM f LEFT JOIN s USING (item_id)""")
 def j07_attempt_outcome(spark, d):
-    n = J.normalize_payloads(raw_outputs(spark, d))
+    n = regular_payloads(spark, d)
     return J.attempt_outcomes(J.validate_payloads(n), J.salvage(n, given_evidence(spark, d)))

@@ -168,7 +168,8 @@ def test_payloads(spark):
     ev = spark.createDataFrame([(i, ["c1"], [1, 2]) for i in range(1, 6)], "item_id long, chunk_ids array<string>, pages array<int>")
     s = {r.item_id: r for r in payloads.salvage(n, ev).collect()}
     assert s[5].bullets[0].recitation.content == "内容一二" and s[5].bullets[0].source_chunk_ids == ["c1"] and set(s[5].warnings) == {"version_filled", "citation_dropped"}
-    assert [(r.item_id, r.original, r.recitation) for r in payloads.recover_broken(raw).collect()] == [(3, "内容一二", "背诵内容")]
+    assert [(r.item_id, r.original, r.recitation) for r in payloads.recover_broken(raw).collect()] == [(3, "内容一二", "")]  # what isn't behind a content key doesn't count
+    assert 3 not in s and 4 not in s  # one letter isn't a readable title
 
 
 def test_reports(spark):
