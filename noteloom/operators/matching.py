@@ -237,6 +237,11 @@ def _rows(value) -> list[dict]:
 
 def match_queries(queries: DataFrame, chunks: DataFrame, config: Config = CONFIG) -> DataFrame:
     """The best ``candidates`` chunks of every query: primary by score and grams, then those with recall evidence."""
+    return top_candidates(scored_pairs(queries, chunks, config), config.candidates)
+
+
+def scored_pairs(queries: DataFrame, chunks: DataFrame, config: Config = CONFIG) -> DataFrame:
+    """Accepted pairs: of each query, stage and rectangle the best ``candidates``, among which the best of all are."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -255,7 +260,7 @@ def match_queries(queries: DataFrame, chunks: DataFrame, config: Config = CONFIG
                 out = out.sort_values(["score", "page_start", "chunk_id"], ascending=[False, True, True])
                 yield out[out.groupby(["idx", "q_no", "stage"]).cumcount() < config.candidates]
 
-    return top_candidates(rectangles(queries, chunks, config).mapInPandas(run, CANDIDATE), config.candidates)
+    return rectangles(queries, chunks, config).mapInPandas(run, CANDIDATE)
 
 
 def query_scores(queries: DataFrame, chunks: DataFrame, config: Config = CONFIG) -> DataFrame:
@@ -355,42 +360,86 @@ def rematch_with_rewrites(plans: DataFrame, candidates: DataFrame, rewrites: Dat
     return candidates.unionByName(match_topics(with_rewrites(open_, rewrites), chunks, config))
 
 
+ROWS = "array<struct<rank:int,chunk_id:string,score:double,stage:int,page_start:bigint,page_end:bigint,matched_queries:array<string>>>"
+
+
+def asking_topics(plans: DataFrame, found: DataFrame) -> DataFrame:
+    """project, idx, title, item_type, subqueries, wanted: collections with children, and tasks not in ``found``, with the titles whose candidates they take."""
+    known = plans.withColumn("idx", F.col("idx").cast("long")).join(found.select("project", F.col("idx").cast("long").alias("idx"), F.lit(True).alias("found")).distinct(), ["project", "idx"], "left")
+    wanted = F.when((F.col("item_type") == "COLLECTION") & (F.size("children") > 0), F.col("children")).when((F.col("item_type") == "TASK") & F.col("found").isNull(), F.col("related"))
+    return known.select("project", "idx", "title", "item_type", "subqueries", wanted.alias("wanted")).where("wanted is not null")
+
+
+def source_edges(plans: DataFrame, asking: DataFrame) -> DataFrame:
+    """project, idx, source, nth, source_title, chained: from which topics each asking one takes, and whether that one asks and comes before it.
+
+    A title stands for the last topic that has it; collections take their own candidates first.
+    """
+    key = T.query_key(F.col("title"))
+    place = plans.select("project", key.alias("key"), F.col("idx").cast("long").alias("source"), "title").groupBy("project", "key").agg(F.max("source").alias("source"), F.max_by("title", "source").alias("source_title"))
+    listed = asking.select("project", "idx", F.posexplode("wanted").alias("nth", "name")).withColumn("key", T.query_key(F.col("name"))).join(place, ["project", "key"]).select("project", "idx", "nth", "source", "source_title")
+    own = asking.where("item_type = 'COLLECTION'").select("project", "idx", F.lit(-1).alias("nth"), F.col("idx").alias("source"), F.col("title").alias("source_title"))
+    edges = listed.unionByName(own).groupBy("project", "idx", "source").agg(F.min("nth").alias("nth"), F.first("source_title").alias("source_title"))
+    asked = asking.select("project", F.col("idx").alias("source"), F.lit(True).alias("asks"))
+    return edges.join(asked, ["project", "source"], "left").withColumn("chained", F.coalesce("asks", F.lit(False)) & (F.col("source") < F.col("idx"))).drop("asks")
+
+
+def taken_over(sources: list[dict], subqueries: list[str], most: int) -> list[dict]:
+    """Candidates of several topics as those of one: sources (source_title, rows) in order; chunks once, with their best score."""
+    fused: dict[str, dict] = {}
+    for s in sources:
+        for r in sorted(map(dict, s["rows"]), key=lambda x: x["rank"]):
+            old = fused.get(r["chunk_id"])
+            if old is None:
+                fused[r["chunk_id"]] = r | {"matched_queries": list(dict.fromkeys([*r["matched_queries"], s["source_title"]]))}
+            else:
+                old |= {"score": max(old["score"], r["score"]), "stage": min(old["stage"], r["stage"]), "matched_queries": list(dict.fromkeys([*old["matched_queries"], s["source_title"]]))}
+    ranked = sorted(fused.values(), key=lambda r: (-r["score"], r["page_start"], r["chunk_id"]))
+    return [r | {"rank": n} for n, r in enumerate(cover(ranked, subqueries, most), 1)]
+
+
 def resolve_dependent(plans: DataFrame, candidates: DataFrame, config: Config = CONFIG) -> DataFrame:
     """Collections take their children's candidates after their own, unmatched tasks those of related topics.
 
-    Topics are read in order and may use topics resolved before them, so a project's plans meet in one group, with at
-    most ``candidates`` rows for each topic.
+    A topic that takes from one before it takes what that one has taken, from one behind it only its own.  So topics are
+    resolved by levels: those that wait for none, then those that wait for these only, until none is left; every level is
+    a join, and there are as many as the longest chain of topics is long.
     """
-    rows = candidates.groupBy("project", "idx").agg(F.collect_list(F.struct("rank", "chunk_id", "score", "stage", "page_start", "page_end", "matched_queries")).alias("rows"))
-    j = plans.select("project", "idx", "title", "item_type", "children", "related", "subqueries").join(rows, ["project", "idx"], "left")
+    own = written(candidates.groupBy("project", F.col("idx").cast("long").alias("idx")).agg(F.collect_list(F.struct("rank", "chunk_id", "score", "stage", "page_start", "page_end", "matched_queries")).cast(ROWS).alias("rows")), "own")
+    asking = written(asking_topics(plans, own), "asking")
+    edges = written(source_edges(plans, asking), "edges")
+    pending, resolved = asking, None
     most = config.candidates
-    columns = ["project", "idx", "rank", "chunk_id", "score", "stage", "page_start", "page_end", "matched_queries"]
-
-    def resolve(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.sort_values("idx")
-        at = {key_of(t): i for i, t in enumerate(g["title"])}
-        found = [sorted(map(dict, r), key=lambda x: x["rank"]) if r is not None else [] for r in g["rows"]]
-        titles = g["title"].tolist()
-        for i, (kind, kids, near, subs) in enumerate(zip(g["item_type"], g["children"], g["related"], g["subqueries"], strict=True)):
-            if kind == "COLLECTION" and len(kids):
-                sources = [s for t in kids if (s := at.get(key_of(t))) is not None and found[s]]
-                sources = ([i] if found[i] else []) + sources
-            elif kind == "TASK" and not found[i]:
-                sources = [s for t in near if (s := at.get(key_of(t))) is not None and found[s]]
-            else:
-                continue
-            fused: dict[str, dict] = {}
-            for s in sources:
-                for r in found[s]:
-                    queries = list(dict.fromkeys([*r["matched_queries"], titles[s]]))
-                    old = fused.get(r["chunk_id"])
-                    fused[r["chunk_id"]] = (r | {"matched_queries": queries}) if old is None else old | {"score": max(old["score"], r["score"]), "stage": min(old["stage"], r["stage"]), "matched_queries": list(dict.fromkeys([*old["matched_queries"], titles[s]]))}
-            ranked = sorted(fused.values(), key=lambda r: (-r["score"], r["page_start"], r["chunk_id"]))
-            found[i] = cover(ranked, list(subs), most)
-        out = [(p, i, n, *(r[c] for c in columns[3:])) for p, i, rs in zip(g["project"], g["idx"], found, strict=True) for n, r in enumerate(rs, 1)]
-        return pd.DataFrame(out, columns=columns)
-
-    return j.groupBy("project").applyInPandas(resolve, "project string, idx long, rank int, chunk_id string, score double, stage int, page_start long, page_end long, matched_queries array<string>")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [taken_over(list(s), list(q), most) for s, q in zip(b["sources"], b["subqueries"], strict=True)]
+            yield pd.DataFrame({"project": b["project"], "idx": b["idx"], "rows": rows})
+
+    while not pending.isEmpty():
+        waits = edges.where("chained").join(pending.select("project", F.col("idx").alias("source")), ["project", "source"], "left_semi").select("project", "idx").distinct()
+        ready = pending.join(waits, ["project", "idx"], "left_anti")
+        given = edges.where("not chained").join(own.withColumnRenamed("idx", "source"), ["project", "source"])
+        if resolved is not None:
+            given = given.unionByName(edges.where("chained").join(resolved.withColumnRenamed("idx", "source"), ["project", "source"]))
+        gathered = given.groupBy("project", "idx").agg(F.array_sort(F.collect_list(F.struct("nth", "source_title", "rows"))).alias("sources"))
+        level = written(ready.select("project", "idx", "subqueries").join(gathered, ["project", "idx"]).mapInPandas(run, f"project string, idx long, rows {ROWS}"), "level")
+        resolved = level if resolved is None else resolved.unionByName(level)
+        pending = written(pending.join(ready.select("project", "idx"), ["project", "idx"], "left_anti"), "pending")
+    kept = own.join(asking.select("project", "idx"), ["project", "idx"], "left_anti")
+    every = kept if resolved is None else kept.unionByName(resolved)
+    return every.select("project", "idx", F.explode("rows").alias("r")).select("project", "idx", "r.*")
+
+
+def dependent_matches(plans: DataFrame, candidates: DataFrame, resolved: DataFrame, scores: DataFrame | None = None) -> DataFrame:
+    """item_matches after resolve_dependent; topics that asked others in vain say of whom."""
+    before = item_matches(plans, candidates, scores).withColumn("idx", F.col("idx").cast("long"))
+    asked = asking_topics(plans, candidates).select("project", "idx", F.when(F.col("item_type") == "COLLECTION", "no_child_evidence").otherwise("no_related_theory_evidence").alias("vain"))
+    now = resolved.groupBy("project", "idx").agg(F.min("stage").alias("least"))
+    j = before.join(asked, ["project", "idx"], "left").join(now, ["project", "idx"], "left")
+    matched = F.col("least").isNotNull()
+    stage = F.when(F.col("vain").isNull(), F.col("recall_stage")).when(matched, "primary")
+    return j.select("project", "idx", matched.alias("matched"), stage.alias("recall_stage"), F.when(~matched, F.coalesce("vain", "reason")).alias("reason"))
 
 
 def adjacent_chunks(candidates: DataFrame, chunks: DataFrame) -> DataFrame:

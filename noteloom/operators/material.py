@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
 from ..config import CONFIG
 from ..functions import predicates as P
 from ..functions import text as T
+from ..sources.versions import VersionedTable
 from .reports import first_by
 
 KINDS = ("original", "recitation", "keywords")
@@ -158,18 +157,21 @@ def nested(versions: DataFrame) -> DataFrame:
     return c.groupBy("project").agg(F.array_sort(F.collect_list(F.struct("chapter", "points"))).alias("chapters"))
 
 
-def replace_material(versions: DataFrame, path: str) -> None:
-    """Overwrites the parts of the projects in ``versions`` and of no other.
+def material_table(spark: SparkSession, path: str) -> VersionedTable:
+    return VersionedTable(spark, path, "project")
+
+
+def replace_material(versions: DataFrame, path: str, gone: DataFrame | None = None) -> int:
+    """Replaces the projects in ``versions`` (and drops those in ``gone``) and no other, all at once; returns the new version.
 
-    The rows are written beside the table first; a failed check or write leaves the old parts as they are.
+    A failed check or write, or another writer's version in between, leaves the old version as it is.
     """
-    staged = f"{path}__staged-{uuid.uuid4().hex}"
-    spark = versions.sparkSession
-    versions.write.mode("overwrite").partitionBy("project").parquet(staged)
-    rows = spark.read.parquet(staged)
-    if not rows.where(F.col("title").isNull() | F.col("content").isNull() | ~F.col("kind").isin(*KINDS)).isEmpty():
-        raise ValueError("material has rows without title, content or known kind")
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project").parquet(path)
+
+    def check(rows: DataFrame) -> None:
+        if not rows.where(F.col("title").isNull() | F.col("content").isNull() | ~F.col("kind").isin(*KINDS)).isEmpty():
+            raise ValueError("material has rows without title, content or known kind")
+
+    return material_table(versions.sparkSession, path).replace(versions, gone, check=check)
 
 
 def merge_duplicate_points(bullets: DataFrame) -> DataFrame:

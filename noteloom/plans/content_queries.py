@@ -145,7 +145,7 @@ def a08_replace_material(spark, d):
     m = t.material(spark, d)
     M.replace_material(m, path)
     M.replace_material(m.where("project = 0 and kind = 'original'"), path)
-    return spark.read.parquet(path).groupBy(F.col("project").cast("long").alias("project")).agg(F.count("*").alias("n"))
+    return M.material_table(spark, path).read().groupBy(F.col("project").cast("long").alias("project")).agg(F.count("*").alias("n"))
 
 
 def records(spark, d):

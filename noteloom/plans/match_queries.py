@@ -12,7 +12,7 @@ from ..operators import matching as M
 from ..operators import planning as Q
 from ..operators import structure as B
 from ..sources import tables as t
-from ..sources.sinks import scratch
+from ..sources.sinks import scratch, written
 from . import sql as S
 from .registry import query
 
@@ -111,6 +111,14 @@ def c08_resolve_dependent(spark, d):
     return M.resolve_dependent(plans, M.match_topics(plans, t.chunks(spark, d))).drop("matched_queries")
 
 
+@query()
+def c08_dependent_matches(spark, d):
+    """Every topic with whether it has candidates after taking those of others, and if not, why."""
+    plans = topic_plans(spark, d)
+    found_ = written(M.match_topics(plans, t.chunks(spark, d)), "matched")
+    return M.dependent_matches(plans, found_, M.resolve_dependent(plans, found_))
+
+
 @query()
 def f02_cover_subqueries(spark, d):
     """Greedy cover over the fused candidates of passages."""

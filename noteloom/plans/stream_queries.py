@@ -26,6 +26,15 @@ def s01_stream_page_results(spark, d):
     return W.drain(W.page_results(log(spark, d), late="60 days")).select("doc_id", "page_number")
 
 
+@query(f"{L} SELECT doc_id, page_number, arg_min(event_id, (status <> 'completed', ts, event_id)) AS event_id, bool_or(status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS retry_count FROM page_events GROUP BY 1, 2")
+def a09_s01_stream_upsert_pages(spark, d):
+    """Batches of the log are merged by page into a table, of which the first completed row wins however late it comes."""
+    path = f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
+    table, batches = W.page_batches(spark, path)
+    W.drain(log(spark, d), batches=batches, path=path)
+    return table.read().select("doc_id", "page_number", "event_id", (F.col("status") == "completed").alias("completed"), "retry_count")
+
+
 @query(f"{L} SELECT doc_id, count(*) FILTER (status = 'completed') AS processed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'completed' AND method = 'ocr') AS ocr FROM page_events GROUP BY 1")
 def s02_stream_progress(spark, d):
     return W.drain(W.progress(log(spark, d)), "complete")
@@ -73,5 +82,6 @@ def s08_stream_match(spark, d):
     stream = W.parquet_stream(spark, f"{d}/documents.parquet")
     no = F.lit(None).cast("string")
     chunks = stream.select(F.concat("source", F.lit(":"), F.floor(F.col("doc_id") / t.PROJECT_IDS).cast("string")).alias("project"), F.col("doc_id").cast("string").alias("chunk_id"), no.alias("chapter_title"), no.alias("section_title"), F.col("text").alias("content"), F.col("doc_id").alias("page_start"), F.col("doc_id").alias("page_end"))
-    scored = W.drain(chunks, batches=W.match_batches(passage_plans(spark, d), path), path=path)
-    return M.top_candidates(scored.drop("batch")).select("project", "idx", "q_no", "chunk_id", "score", "stage")
+    table, batches = W.match_batches(passage_plans(spark, d), path)
+    W.drain(chunks, batches=batches, path=path)
+    return M.top_candidates(table.read()).select("project", "idx", "q_no", "chunk_id", "score", "stage")

@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -18,6 +18,7 @@ from ..config import CONFIG, Config
 from ..operators import matching
 from ..sources import tables
 from ..sources.sinks import scratch
+from ..sources.versions import VersionedTable
 
 LATE = "1 hour"
 
@@ -84,18 +85,73 @@ def status_changes(log: DataFrame, lease: str = LATE) -> DataFrame:
     return grouped.applyInPandasWithState(changes, "doc_id long, status string, ts timestamp", "status string", "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def match_batches(plans: DataFrame, path: str, config: Config = CONFIG) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: the best candidates of every query among a batch of new chunks, in a part of its own that a replay overwrites."""
-    queries = matching.retrieval_queries(plans)
+BUCKETS = 16
+
+
+def merge_batches(table: VersionedTable, merge: Callable[[DataFrame | None, DataFrame], DataFrame], keys: list[str], buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: ``merge`` of the rows that the table has in the buckets of the batch's keys, and the batch, replaces them.
 
-    def run(chunks: DataFrame, batch: int) -> None:
-        matching.match_queries(queries, chunks, config).drop("primary", "rank").write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    The table's part is ``bucket``.  The batch's number is in the ledger of the version that it makes, so a batch that comes
+    again after a failure changes nothing, and a failure before the version stands leaves the table as it was.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        version = table.version()
+        if table.ledger(version).get("batch", -1) >= number:
+            return
+        new = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).persist()
+        try:
+            old = table.read(version, new.select("bucket"))
+            table.replace(merge(old, new), ledger={"batch": number}, expected=version)
+        finally:
+            new.unpersist()
 
     return run
 
 
-def drain(stream: DataFrame, mode: str = "append", batches: Callable[[DataFrame, int], None] | None = None, path: str | None = None) -> DataFrame:
-    """Runs the stream over what there is and returns the sink's rows; the checkpoint lies beside it."""
+def page_batches(spark: SparkSession, path: str, buckets: int = BUCKETS) -> tuple[VersionedTable, Callable[[DataFrame, int], None]]:
+    """A table with one row for each page, the first completed one whenever it came, without a bound in time; and what keeps it by batches.
+
+    Rows are those of upsert_pages over the whole log so far; retry_count adds up.
+    """
+    table = VersionedTable(spark, path, "bucket")
+
+    def merge(old: DataFrame | None, new: DataFrame) -> DataFrame:
+        rows = new.withColumn("tries", (F.col("status") == "failed").cast("long"))
+        if old is not None:
+            rows = old.withColumnRenamed("retry_count", "tries").unionByName(rows)
+        page = Window.partitionBy("doc_id", "page_number")
+        order = page.orderBy(F.desc(F.col("status") == "completed"), "ts", "event_id")
+        return rows.withColumns({"retry_count": F.sum("tries").over(page), "n": F.row_number().over(order)}).where("n = 1").drop("n", "tries")
+
+    return table, merge_batches(table, merge, ["doc_id"], buckets)
+
+
+def match_batches(plans: DataFrame, path: str, config: Config = CONFIG, buckets: int = BUCKETS) -> tuple[VersionedTable, Callable[[DataFrame, int], None]]:
+    """A table of running candidates, and what keeps it by batches of new chunks.
+
+    Of each query and stage it holds the best ``candidates`` so far, which is what any later choice among all of them can
+    need: top_candidates of it is the batch form over the chunks so far.
+    """
+    queries = matching.retrieval_queries(plans)
+    table = VersionedTable(plans.sparkSession, path, "bucket")
+    columns = [c.split()[0] for c in matching.CANDIDATE.split(", ")]
+
+    def merge(old: DataFrame | None, new: DataFrame) -> DataFrame:
+        rows = new if old is None else old.unionByName(new)
+        n = F.row_number().over(Window.partitionBy("project", "idx", "q_no", "stage").orderBy(F.desc("score"), "page_start", "chunk_id"))
+        return rows.withColumn("n", n).where(F.col("n") <= config.candidates).drop("n")
+
+    keep = merge_batches(table, merge, ["project", "idx", "q_no"], buckets)
+
+    def run(chunks: DataFrame, number: int) -> None:
+        keep(matching.scored_pairs(queries, chunks, config).select(*columns), number)
+
+    return table, run
+
+
+def drain(stream: DataFrame, mode: str = "append", batches: Callable[[DataFrame, int], None] | None = None, path: str | None = None) -> DataFrame | None:
+    """Runs the stream over what there is and returns the sink's rows; the checkpoint lies beside it.  ``batches`` keep tables of their own."""
     spark = stream.sparkSession
     path = path or f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
     write = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{path}-state")
@@ -106,5 +162,7 @@ def drain(stream: DataFrame, mode: str = "append", batches: Callable[[DataFrame,
     else:
         write = write.outputMode(mode).foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/batch={i}"))
     write.start().awaitTermination()
+    if batches:
+        return None
     out = spark.read.parquet(path)
     return out.drop("batch") if mode == "update" else out

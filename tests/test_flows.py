@@ -121,7 +121,9 @@ def test_stream_match_equals_batch(spark, tmp_path):
     chunks.repartition(3).write.parquet(source)
     plans = spark.createDataFrame([plan(i, w) for i, w in enumerate(("绩效考核", "薪酬招聘", "the of"))], PLAN)
     stream = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(source)
-    scored = W.drain(stream, batches=W.match_batches(plans, sink), path=sink).drop("batch")
+    table, batches = W.match_batches(plans, sink)
+    W.drain(stream, batches=batches, path=sink)
+    scored = table.read()
     key = lambda df: sorted((r.idx, r.q_no, r.chunk_id, r.score, r.stage) for r in df.collect())
     assert key(M.top_candidates(scored)) == key(M.match_queries(M.retrieval_queries(plans), chunks)) != []
 

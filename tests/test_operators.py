@@ -192,9 +192,9 @@ def test_replace_keeps_old_on_failure(spark, tmp_path):
         raise AssertionError("must fail")
     except ValueError:
         pass
-    assert sorted(r.content for r in spark.read.parquet(path).collect()) == ["x", "y"]
+    assert sorted(r.content for r in material.material_table(spark, path).read().collect()) == ["x", "y"]
     material.replace_material(spark.createDataFrame([("p1", "c", 1, 0, "original", "t", "new")], ddl), path)
-    assert sorted(r.content for r in spark.read.parquet(path).collect()) == ["new", "y"]
+    assert sorted(r.content for r in material.material_table(spark, path).read().collect()) == ["new", "y"]
 
 
 def test_plan_types(spark):
