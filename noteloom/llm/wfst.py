@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 WORD = "▁"
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 18
 #: Rows passed on at a time.
 ROWS = 512
 # Numbers of fields and kinds in the public model format.
@@ -132,7 +132,9 @@ class PieceTransducer:
         self.allowed: dict[int, bool] = {}
         self.penalty = 0.0 if self.merges else max((self.weight[i] for i in self.id.values()), default=0.0) + 10
         self._compile_lexicon()
+        # stretches of this and the last generation: what is asked for again stays known
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.piece_bytes = [bytes([self.byte_of[i]]) if i in self.byte_of else t.encode() if self.kind[i] in (NORMAL, USER) else b"" for i, t in enumerate(self.text)]
 
     def _compile_lexicon(self) -> None:
@@ -262,10 +264,13 @@ class PieceTransducer:
         for stretch in re.findall(f"{WORD}*[^{WORD}]+|{WORD}+", self.normalise(text or "")):
             ids = known.get(stretch)
             if ids is None:
-                ids = np.array(self.shortest_path(stretch), "<i4").tobytes()
+                ids = self.older.get(stretch)
+                if ids is None:
+                    ids = np.array(self.shortest_path(stretch), "<i4").tobytes()
                 if len(stretch) <= 64:
                     if len(known) >= REMEMBERED:
-                        known.clear()
+                        self.older, self.known = known, {}
+                        known = self.known
                     known[stretch] = ids
             out.append(ids)
         return b"".join(out)
