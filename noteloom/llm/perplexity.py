@@ -40,6 +40,8 @@ ENTRY_BYTES = 12
 LANGUAGES = 10_000
 #: n-grams gathered in a task before they are passed on.
 HELD = 1 << 19
+#: n-grams passed on at a time.
+PASSED = 1 << 17
 #: Text characters counted or scored at a time.
 CHUNK = 1 << 19
 BIN = 0.002
@@ -153,7 +155,8 @@ def count_grams(docs: DataFrame) -> DataFrame:
         def out() -> Iterator[pd.DataFrame]:
             for model, parts in held.items():
                 grams, n = merged(parts)
-                yield pd.DataFrame({"lang": model, "gram": as_strings(grams), "n": n})
+                for at in range(0, len(n), PASSED):
+                    yield pd.DataFrame({"lang": model, "gram": as_strings(grams[at : at + PASSED]), "n": n[at : at + PASSED]})
             held.clear()
 
         for b in batches:
