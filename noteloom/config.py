@@ -9,7 +9,16 @@ FULL_WIDTH = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "\u3000"
 HALF_WIDTH = "".join(chr(c) for c in range(0x21, 0x7F)) + " "
 DASHES = "[‐‑‒–—―−﹣－]+"
 BLANKS = "[\\s\\p{Z}]+"
-NON_WORD = "[^\\p{L}\\p{N}_]+"
+# Letters and numbers of Unicode 14 to 15.1, which patterns on the JVM may not know yet.
+NEWER_WORDS = (
+    "870-887 889-88e 8b5 8c8-8c9 c5d cdd 170d 171f 1b4c 2c2f 2c5f 9ffd-9fff a7c0-a7c1 a7d0-a7d1 a7d3 a7d5-a7d9 a7f2-a7f4 "
+    "10570-1057a 1057c-1058a 1058c-10592 10594-10595 10597-105a1 105a3-105b1 105b3-105b9 105bb-105bc 10780-10785 10787-107b0 "
+    "107b2-107ba 10f70-10f81 11071-11072 11075 1123f-11240 11740-11746 11ab0-11abf 11f02 11f04-11f10 11f12-11f33 11f50-11f59 "
+    "12f90-12ff0 1342f 13441-13446 16a70-16abe 16ac0-16ac9 1aff0-1aff3 1aff5-1affb 1affd-1affe 1b11f-1b122 1b132 1b155 "
+    "1d2c0-1d2d3 1df00-1df1e 1df25-1df2a 1e030-1e06d 1e290-1e2ad 1e4d0-1e4eb 1e4f0-1e4f9 1e7e0-1e7e6 1e7e8-1e7eb 1e7ed-1e7ee "
+    "1e7f0-1e7fe 2a6de-2a6df 2b735-2b739 2ebf0-2ee5d 31350-323af "
+)
+NON_WORD = "[^\\p{L}\\p{N}_" + "".join("-".join(f"\\x{{{c}}}" for c in r.split("-")) for r in NEWER_WORDS.split()) + "]+"
 PUNCTUATION_FROM = "，。：；！？（）【】｛｝“”‘’、．－—–／＼｜"
 PUNCTUATION_TO = ",.:;!?()[]{}\"\"'',.---/\\|"
 TITLE_NUMBER = "^\\s*(?:\\(?\\d+\\)?\\s*[.、,:：;；)）-]|第\\s*\\d+\\s*[章节篇]\\s*)\\s*"

@@ -1,4 +1,4 @@
-"""The query key of a single string, as text.query_key gives it for columns (and for any compatibility form)."""
+"""The query key of a single string, as text.query_key gives it for columns."""
 
 from __future__ import annotations
 

@@ -22,18 +22,40 @@ def stripped(x: Column) -> Column:
     return F.regexp_replace(x, f"\\A{C.BLANKS}|{C.BLANKS}\\z", "")
 
 
-def canonical_query(x: Column) -> Column:
-    """Full-width forms to half-width, dash family to one hyphen, blanks collapsed."""
-    half = F.translate(x, C.FULL_WIDTH, C.HALF_WIDTH)
-    return blank_free(F.regexp_replace(half, C.DASHES, "-"))
+_ASCII = "\\A[\\x00-\\x7F]*\\z"
+
+
+def _by_class(x: Column, owner: str, method: str, plain) -> Column:
+    """A static method of a class that Spark brings, with a true flag; ASCII texts take the plain way.
+
+    Spark takes such calls as not deterministic, so they stand in projections, not inside aggregates.
+    """
+    return let(x, lambda v: F.when(v.rlike(_ASCII), plain(v)).when(v.isNotNull(), F.reflect(F.lit(owner), F.lit(method), F.coalesce(v, F.lit("")), F.lit(True))))
+
+
+def nfkc(x: Column) -> Column:
+    """Compatibility composition."""
+    return _by_class(x, "com.ibm.icu.text.Normalizer", "compose", lambda v: v)
+
+
+def fully_folded(x: Column) -> Column:
+    """Full case folding."""
+    return _by_class(x, "com.ibm.icu.lang.UCharacter", "foldCase", F.lower)
 
 
 def casefold(x: Column) -> Column:
+    """Lower case, and ß as ss: what titles and terms need."""
     return F.replace(F.lower(x), F.lit("ß"), F.lit("ss"))
 
 
+def canonical_query(x: Column) -> Column:
+    """Compatibility forms unified, dash family to one hyphen, blanks collapsed."""
+    return blank_free(F.regexp_replace(nfkc(x), C.DASHES, "-"))
+
+
 def query_key(x: Column) -> Column:
-    return casefold(F.regexp_replace(canonical_query(x), C.NON_WORD, ""))
+    """Identity of queries; keys.key_of is the same for single strings."""
+    return fully_folded(F.regexp_replace(canonical_query(x), C.NON_WORD, ""))
 
 
 def title_key(x: Column) -> Column:

@@ -22,7 +22,7 @@ def strings(values=()) -> Column:
 
 def children_of(topics: DataFrame) -> DataFrame:
     """project, parent_key, children: child titles in order."""
-    kids = topics.where("parent_title is not null and parent_title != ''").groupBy("project", T.query_key(F.col("parent_title")).alias("parent_key"))
+    kids = topics.where("parent_title is not null and parent_title != ''").withColumn("parent_key", T.query_key(F.col("parent_title"))).groupBy("project", "parent_key")
     return kids.agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "title"))), lambda x: x["title"]).alias("children"))
 
 

@@ -96,8 +96,8 @@ def c07_adjacent_evidence(spark, d):
 
 
 def topic_plans(spark, d):
-    """A plan of every topic, with its own children and related topics."""
-    return Q.plan_queries(t.topics(spark, d))
+    """A plan of every topic, with its own children and related topics; written, as most queries read it several times."""
+    return written(Q.plan_queries(t.topics(spark, d)), "plans")
 
 
 def fused_ranked(spark, d):

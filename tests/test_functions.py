@@ -68,3 +68,22 @@ def test_vocabulary(spark):
     kinds = [("案例分析", [], [], "TASK"), ("主要方法", [], [], "COLLECTION"), ("a", ["b"], [], "COLLECTION"), ("a", [], ["b", "c"], "COMPOSITE"), ("a", [], ["b"], "KNOWLEDGE")]
     for title, kids, subs, kind in kinds:
         assert value(spark, P.item_type(F.col("x"), Q.strings(kids), Q.strings(subs)), x=title) == kind
+
+
+def test_query_key_is_one_rule(spark):
+    """Columns and single strings agree on every assigned code point, alone and beside others, and on random strings."""
+    import random
+    import unicodedata
+
+    from noteloom.functions.keys import folded
+
+    rnd = random.Random(3)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) != "Cn"]
+    rare = [c for c in points if unicodedata.normalize("NFKC", c) != c or c.casefold() != c or unicodedata.combining(c)]
+    lists = [points[i : i + 40] for i in range(0, len(points), 40)] + [[rnd.choice(rnd.choice((rare, points))) for _ in range(rnd.randint(1, 12))] for _ in range(4000)]
+    texts = ["-".join(x) for x in lists[:-4000]] + ["".join(x) for x in lists[-4000:]] + ["", "ＡＢ－Ｃ", "ﬁÅ①㎏", "Straße ΣΑΣ İ"]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "x string").repartition(4)
+    got = {r.x: r.k for r in df.select("x", T.query_key(F.col("x")).alias("k")).collect()}
+    assert got.pop(None) is None
+    assert [t for t in set(texts) if got[t] != key_of(t)] == []
+    assert [t for t in ("Straße", "ÄÖ Ü", "x") if value(spark, T.casefold(F.lit(t))) != folded(t)] == []
