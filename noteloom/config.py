@@ -127,6 +127,8 @@ class Config:
     ocr_least: int = 32
     #: Bytes up to which a vocabulary or plan table is sent to all executors.
     broadcast_bytes: int = 32 << 20
+    #: Share of all pairs up to which the similarity join goes by rare grams.
+    few_pairs: float = 0.1
 
 
 CONFIG = Config()

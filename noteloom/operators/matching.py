@@ -28,6 +28,7 @@ from ..config import CONFIG, Config
 from ..functions import text as T
 from ..functions.keys import key_of
 from ..sources.sinks import written
+from . import prefix
 
 _LINK = re.compile(C.LINK_NOISE)
 _SHORT = re.compile(C.SHORT_NUMBERING)
@@ -235,13 +236,17 @@ def _rows(value) -> list[dict]:
     return [dict(r) if not isinstance(r, dict) else r for r in value]
 
 
-def match_queries(queries: DataFrame, chunks: DataFrame, config: Config = CONFIG) -> DataFrame:
+def match_queries(queries: DataFrame, chunks: DataFrame, config: Config = CONFIG, form: str | None = None) -> DataFrame:
     """The best ``candidates`` chunks of every query: primary by score and grams, then those with recall evidence."""
-    return top_candidates(scored_pairs(queries, chunks, config), config.candidates)
+    return top_candidates(scored_pairs(queries, chunks, config, form), config.candidates)
 
 
-def scored_pairs(queries: DataFrame, chunks: DataFrame, config: Config = CONFIG) -> DataFrame:
-    """Accepted pairs: of each query, stage and rectangle the best ``candidates``, among which the best of all are."""
+def scored_pairs(queries: DataFrame, chunks: DataFrame, config: Config = CONFIG, form: str | None = None) -> DataFrame:
+    """Accepted pairs: of each query, stage and rectangle the best ``candidates``, among which the best of all are.
+
+    ``form`` is grams, where pairs come out of joins of rare grams (see prefix), or matrix, where all pairs of a project meet
+    in rectangles; if it isn't given, grams are taken where they would make few of all pairs.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -260,6 +265,9 @@ def scored_pairs(queries: DataFrame, chunks: DataFrame, config: Config = CONFIG)
                 out = out.sort_values(["score", "page_start", "chunk_id"], ascending=[False, True, True])
                 yield out[out.groupby(["idx", "q_no", "stage"]).cumcount() < config.candidates]
 
+    queries = written(queries, "queries")
+    if (form or ("grams" if prefix.expected_share(queries, chunks) <= config.few_pairs else "matrix")) == "grams":
+        return prefix.scored_by_grams(queries, chunks, run, QUERY, CHUNK, CANDIDATE, PACKED_QUERIES)
     return rectangles(queries, chunks, config).mapInPandas(run, CANDIDATE)
 
 

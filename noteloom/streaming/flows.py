@@ -127,7 +127,7 @@ def page_batches(spark: SparkSession, path: str, buckets: int = BUCKETS) -> tupl
     return table, merge_batches(table, merge, ["doc_id"], buckets)
 
 
-def match_batches(plans: DataFrame, path: str, config: Config = CONFIG, buckets: int = BUCKETS) -> tuple[VersionedTable, Callable[[DataFrame, int], None]]:
+def match_batches(plans: DataFrame, path: str, config: Config = CONFIG, buckets: int = BUCKETS, form: str = "matrix") -> tuple[VersionedTable, Callable[[DataFrame, int], None]]:
     """A table of running candidates, and what keeps it by batches of new chunks.
 
     Of each query and stage it holds the best ``candidates`` so far, which is what any later choice among all of them can
@@ -145,7 +145,7 @@ def match_batches(plans: DataFrame, path: str, config: Config = CONFIG, buckets:
     keep = merge_batches(table, merge, ["project", "idx", "q_no"], buckets)
 
     def run(chunks: DataFrame, number: int) -> None:
-        keep(matching.scored_pairs(queries, chunks, config).select(*columns), number)
+        keep(matching.scored_pairs(queries, chunks, config, form).select(*columns), number)
 
     return table, run
 

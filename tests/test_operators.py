@@ -6,10 +6,12 @@ import random
 import re
 from difflib import SequenceMatcher
 
+from pyspark.sql import functions as F
+
 from noteloom.config import CONFIG, Config
 from noteloom.functions.keys import key_of
 from noteloom.operators import matching as M
-from noteloom.operators import material, organize, outline, payloads, planning, reports
+from noteloom.operators import material, organize, outline, payloads, planning, prefix, reports
 from noteloom.operators import structure as B
 
 
@@ -104,13 +106,33 @@ def test_match_equals_brute_force(spark, monkeypatch):
     for config, size in ((CONFIG, 256), (Config(broadcast_bytes=0), 16)):
         monkeypatch.setattr(M, "PACKED_CHUNKS", size)
         monkeypatch.setattr(M, "PACKED_QUERIES", size)
-        got: dict = {}
-        for r in M.match_queries(ready, table, config).collect():
-            got.setdefault(r.idx, []).append((-r.score, r.chunk_id))
-        assert {i: sorted(x) for i, x in got.items()} == {i: x for i, x in expected.items() if x}
+        for form in ("matrix", "grams"):
+            got: dict = {}
+            for r in M.match_queries(ready, table, config, form).collect():
+                got.setdefault(r.idx, []).append((-r.score, r.chunk_id))
+            assert {i: sorted(x) for i, x in got.items()} == {i: x for i, x in expected.items() if x}, form
         assert {r.idx: r.best for r in M.query_scores(ready, table, config).collect()} == top
 
 
+def test_rare_grams_leave_few_pairs(spark, monkeypatch):
+    """In a text of many characters few pairs share rare grams, and all pairs that match are among them; the form is chosen by that."""
+    rnd = random.Random(5)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 900)]
+    say = lambda n: "".join(rnd.choice(letters) for _ in range(n))
+    texts = [say(rnd.randint(20, 200)) for _ in range(120)]
+    asked = [(f"{say(2)}{t[5:13]}", say(3)) if i % 2 else (say(9), t[2:6]) for i, t in enumerate(texts[:40])]
+    ready = spark.createDataFrame([("p", i, None, 0, m, c, [], m) for i, (m, c) in enumerate(asked)], "project string, idx long, chapter string, q_no int, query string, core string, words array<string>, matching string")
+    table = spark.createDataFrame([("p", f"{i:03}", say(4), asked[i][0][:2] if i % 9 == 0 and i < 40 else None, t, 1, 1) for i, t in enumerate(texts)], "project string, chunk_id string, chapter_title string, section_title string, content string, page_start long, page_end long")
+    key = lambda form: sorted((r.idx, r.chunk_id, r.score, r.stage) for r in M.match_queries(ready, table, form=form).collect())
+    assert key("grams") == key("matrix") and len(key("grams")) >= 20
+    pairs = {(r.idx, r.chunk_id) for r in prefix.candidate_pairs(ready, table).collect()}
+    assert {(i, c) for i, c, _, _ in key("matrix")} <= pairs and len(pairs) < 40 * 120 / 10
+    monkeypatch.setattr(prefix, "LOOKED_AT", 1)
+    assert prefix.expected_share(ready, table) <= CONFIG.few_pairs
+    same = ready.withColumns({"matching": F.lit("the the the"), "core": F.lit("the")})
+    assert prefix.expected_share(same, table.withColumn("content", F.lit("then there the"))) > 0.5
+
+
 def test_cover():
     rnd = random.Random(3)
     for _ in range(200):
