@@ -2,8 +2,8 @@
 
 Four machines are compiled from the model file:
 
-* the normaliser: a transducer over bytes (the model's character map, longest match first, characters without one copied)
-  followed by one over blanks with the states start, word and blank (dummy prefix, runs of blanks, word marks);
+* the normaliser: a transducer over bytes (the model's character map, longest match first, characters without one copied);
+  blanks are then trimmed, joined and turned into word marks by string functions, not by a machine;
 * the lexicon: a transducer whose states form a trie of the pieces; a path from the root spells a piece backwards, and
   its end has an arc back to the root that puts out the piece's id with its weight;
 * byte fallback: for a character without a piece an arc that puts out the ids of its bytes (or the unknown piece);
