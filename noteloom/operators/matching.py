@@ -266,7 +266,9 @@ def scored_pairs(queries: DataFrame, chunks: DataFrame, config: Config = CONFIG,
                 yield out[out.groupby(["idx", "q_no", "stage"]).cumcount() < config.candidates]
 
     queries = written(queries, "queries")
-    if (form or ("grams" if prefix.expected_share(queries, chunks) <= config.few_pairs else "matrix")) == "grams":
+    if form is None:
+        form = "grams" if prefix.worth_looking(queries) and prefix.expected_share(queries, chunks) <= config.few_pairs else "matrix"
+    if form == "grams":
         return prefix.scored_by_grams(queries, chunks, run, QUERY, CHUNK, CANDIDATE, PACKED_QUERIES)
     return rectangles(queries, chunks, config).mapInPandas(run, CANDIDATE)
 

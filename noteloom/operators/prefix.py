@@ -23,6 +23,8 @@ from ..sources.sinks import written
 QUERY = ["project", "idx", "q_no"]
 #: One in so many queries and chunks is looked at to choose between the forms; no result rests on it.
 LOOKED_AT = 16
+#: Different characters of queries from which on grams can be rare enough to ask for that share.
+LETTERS = 256
 
 
 def pieces(key: Column, size: Column) -> Column:
@@ -86,6 +88,12 @@ def candidate_pairs(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     return met.unionByName(title_pairs(queries, chunks)).distinct()
 
 
+def worth_looking(queries: DataFrame) -> bool:
+    """Whether the queries are written in a script of many characters: in others every gram is in most chunks."""
+    letters = queries.select(F.explode(F.array_distinct(F.split("matching", ""))).alias("letter")).agg(F.count_distinct("letter").alias("n"))
+    return letters.first()["n"] >= LETTERS
+
+
 def expected_share(queries: DataFrame, chunks: DataFrame) -> float:
     """About which share of all pairs the joins of grams would make (over one if most pairs come out many times), by one in LOOKED_AT of queries and chunks."""
     picked = lambda *c: F.pmod(F.xxhash64(*c), F.lit(LOOKED_AT)) == 0

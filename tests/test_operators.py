@@ -128,9 +128,10 @@ def test_rare_grams_leave_few_pairs(spark, monkeypatch):
     pairs = {(r.idx, r.chunk_id) for r in prefix.candidate_pairs(ready, table).collect()}
     assert {(i, c) for i, c, _, _ in key("matrix")} <= pairs and len(pairs) < 40 * 120 / 10
     monkeypatch.setattr(prefix, "LOOKED_AT", 1)
-    assert prefix.expected_share(ready, table) <= CONFIG.few_pairs
+    assert prefix.worth_looking(ready) and prefix.expected_share(ready, table) <= CONFIG.few_pairs
+    assert sorted((r.idx, r.chunk_id, r.score, r.stage) for r in M.match_queries(ready, table).collect()) == key("grams")
     same = ready.withColumns({"matching": F.lit("the the the"), "core": F.lit("the")})
-    assert prefix.expected_share(same, table.withColumn("content", F.lit("then there the"))) > 0.5
+    assert not prefix.worth_looking(same) and prefix.expected_share(same, table.withColumn("content", F.lit("then there the"))) > 0.5
 
 
 def test_cover():
