@@ -164,6 +164,32 @@ def canonical_material(versions: DataFrame) -> DataFrame:
     return merged.join(plan.select("project", "chapter", "point", "bullet"), ["project", "chapter", "point", "bullet"], "left_anti")
 
 
+def merged_one_by_one(versions: DataFrame) -> DataFrame:
+    """canonical_material where every richer bullet is merged by itself: texts are united with those that the target's bullet
+    was given, and a bullet that takes several has its versions once for each of them.
+
+    So the order of merges plays no part, and a chapter's merges need not meet in one group.
+    """
+    scope = ["project", "chapter"]
+    key = [*scope, "point", "bullet"]
+    plan = written(collisions(versions), "collisions")
+    merges = plan.where("merge").select(*key, "target")
+    involved = merges.select(*scope, "point").unionByName(merges.select(*scope, F.col("target").alias("point"))).distinct()
+    own = versions.join(involved, [*scope, "point"], "left_semi").groupBy(*key).agg(T.terms(F.array_join(F.collect_list("content"), " ")).alias("terms"))
+    into = own.select(*scope, F.col("point").alias("target"), F.col("bullet").alias("into"), F.col("terms").alias("there"))
+    pairs = merges.join(own, key).join(into, [*scope, "target"]).withColumn("shared", F.size(F.array_intersect("terms", "there")))
+    best = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("shared"), "into"))
+    goes = pairs.withColumn("n", best).where("n = 1").select(*key, "target", "into")
+    moved = versions.join(goes, key)
+    place = {"point": "target", "bullet": "into"}
+    taken = written(moved.select(*[F.col(place.get(c, c)).alias(c) for c in versions.columns]), "taken")
+    more = taken.select(*key, "kind", F.col("content").alias("more"))
+    united = F.when(F.col("more").isNull(), F.col("content")).otherwise(T.merge_content(F.col("kind"), F.col("content"), F.col("more")))
+    merged = versions.join(more, [*key, "kind"], "left").withColumn("content", united).select(*versions.columns)
+    added = taken.join(versions.select(*key, "kind"), [*key, "kind"], "left_anti")
+    return merged.unionByName(added).join(plan.select(*key), key, "left_anti")
+
+
 def merge_versions(versions: DataFrame, merges: DataFrame) -> DataFrame:
     """versions with the bullets in ``merges`` (project, chapter, point, bullet, target) merged into their targets.
 

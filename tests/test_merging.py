@@ -124,3 +124,12 @@ def test_merged_content_is_that_of_columns(spark, kind):
     df = spark.createDataFrame(pairs, "a string, b string")
     got = [r.m for r in df.select(T.merge_content(F.lit(kind), F.col("a"), F.col("b")).alias("m")).collect()]
     assert got == [organize.merged_content(kind, *p) for p in pairs]
+
+
+def test_a_bullet_that_takes_several_has_its_versions_once_for_each(spark):
+    other = bullet("目标知识点", "共享正文\n\n另一处补充的内容更加完整一些。", "另一份背诵内容也更加完整一些", "甲、丁、戊己", ["c3"])
+    df = spark.createDataFrame(material([("宽泛", [RICH, bullet("其他内容")]), ("又一", [other, bullet("别的")]), ("目标知识点", [POOR])]), VERSIONS)
+    own = [r for r in organize.merged_one_by_one(df).collect() if r.point == 2]
+    texts = sorted(r.content for r in own if r.kind == "original")
+    assert len(own) == 6 and texts == sorted(organize.merged_content("original", POOR[1], b[1]) for b in (RICH, other))
+    assert len([r for r in organize.canonical_material(df).collect() if r.point == 2]) == 3
