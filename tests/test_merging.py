@@ -133,3 +133,12 @@ def test_a_bullet_that_takes_several_has_its_versions_once_for_each(spark):
     texts = sorted(r.content for r in own if r.kind == "original")
     assert len(own) == 6 and texts == sorted(organize.merged_content("original", POOR[1], b[1]) for b in (RICH, other))
     assert len([r for r in organize.canonical_material(df).collect() if r.point == 2]) == 3
+
+
+def test_collisions_are_sought_under_whole_titles_in_growing_projects(spark, tmp_path):
+    from noteloom.plans import content_queries
+
+    turns = [(0, 0, "alpha one"), (40, 0, "beta two"), (40, 3, "alpha three"), (80, 0, "alphabet four")]
+    spark.createDataFrame(turns, "conv_id long, turn long, text string").selectExpr("conv_id", "turn", "'user' AS role", "text").write.parquet(f"{tmp_path}/conversations.parquet")
+    (row,) = content_queries.c11_collisions(spark, str(tmp_path)).collect()
+    assert (row.project, row.point, row.bullet, row.target) == (0, 40, 1, 0)
