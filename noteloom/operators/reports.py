@@ -186,10 +186,17 @@ def resumable(uploads: DataFrame, now: Column, config: Config = CONFIG) -> DataF
 
 
 def missing_pages(uploads: DataFrame, log: DataFrame) -> DataFrame:
-    """Pages of each document without a completed row, and the first of them."""
-    wanted = uploads.select("doc_id", F.explode(F.sequence(F.lit(1).cast("long"), "total_pages")).alias("page_number"))
-    missing = wanted.join(log.where("status = 'completed'").select("doc_id", "page_number").distinct(), ["doc_id", "page_number"], "left_anti")
-    return missing.groupBy("doc_id").agg(F.count("*").alias("missing"), F.min("page_number").alias("resume_at"))
+    """Pages of each document without a completed row, and the first of them.
+
+    Only the different completed pages of a document meet its number of pages; the missing ones are counted, not made.
+    """
+    done = log.where("status = 'completed' and page_number >= 1").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.col("page_number").cast("long"))).alias("done"))
+    own = F.filter(F.coalesce("done", F.array().cast("array<long>")), lambda p: p <= F.col("total_pages"))
+    each = uploads.select("doc_id", "total_pages").join(done, "doc_id", "left").select("doc_id", "total_pages", own.alias("own"))
+    # in a sorted array of different pages, those before the first missing one stand at their own place
+    gap = F.size(F.filter("own", lambda p, i: p == i + 1)).cast("long") + 1
+    missing = each.select("doc_id", (F.col("total_pages") - F.size("own")).cast("long").alias("missing"), gap.alias("resume_at")).where("missing > 0")
+    return missing.groupBy("doc_id").agg(F.sum("missing").alias("missing"), F.min("resume_at").alias("resume_at"))
 
 
 def current_attempts(results: DataFrame, owners: DataFrame) -> DataFrame:

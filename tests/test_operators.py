@@ -225,3 +225,10 @@ def test_plan_types(spark):
     got = {r.idx: r for r in planning.plan_queries(topics).collect()}
     assert [got[i].item_type for i in range(4)] == ["KNOWLEDGE", "TASK", "COLLECTION", "KNOWLEDGE"]
     assert got[1].queries == [] and got[1].related[0] == "激励理论" and got[2].subqueries == ["问卷法"] and "问卷调查法" in got[3].queries
+
+
+def test_missing_pages_are_counted_not_made(spark):
+    up = spark.createDataFrame([("d", 3_000_000_000), ("e", 2), ("f", 3), ("g", 0)], "doc_id string, total_pages long")
+    done = spark.createDataFrame([("d", 1, "completed"), ("d", 1, "completed"), ("d", 3, "completed"), ("e", 1, "completed"), ("e", 2, "completed"), ("f", 3, "completed"), ("f", 9, "completed"), ("f", 1, "failed")], "doc_id string, page_number long, status string")
+    got = {r.doc_id: (r.missing, r.resume_at) for r in reports.missing_pages(up, done).collect()}
+    assert got == {"d": (2_999_999_998, 2), "f": (2, 1)}
