@@ -232,3 +232,26 @@ def test_missing_pages_are_counted_not_made(spark):
     done = spark.createDataFrame([("d", 1, "completed"), ("d", 1, "completed"), ("d", 3, "completed"), ("e", 1, "completed"), ("e", 2, "completed"), ("f", 3, "completed"), ("f", 9, "completed"), ("f", 1, "failed")], "doc_id string, page_number long, status string")
     got = {r.doc_id: (r.missing, r.resume_at) for r in reports.missing_pages(up, done).collect()}
     assert got == {"d": (2_999_999_998, 2), "f": (2, 1)}
+
+
+def test_rectangles_are_dealt_by_the_size_of_the_chunks(spark, monkeypatch):
+    monkeypatch.setattr(M, "TASK_CHARACTERS", 100)
+    chunks = spark.createDataFrame([(f"p{i % 5}", f"c{i}", None, None, "word " * 20, i, i) for i in range(40)], "project string, chunk_id string, chapter_title string, section_title string, content string, page_start long, page_end long")
+    plans = spark.createDataFrame([(f"p{i}", i, None, ["word"]) for i in range(5)], "project string, idx long, chapter string, queries array<string>")
+    for config in (CONFIG, Config(broadcast_bytes=0)):
+        dealt = M.rectangles(M.retrieval_queries(plans), chunks, config)
+        assert dealt.rdd.getNumPartitions() == 40 and sorted((r.project, len(r.queries), len(r.chunks)) for r in dealt.collect()) == [(f"p{i}", 1, 8) for i in range(5)]
+
+
+def test_texts_behind_their_titles_hold_what_whole_texts_hold():
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("ab甲乙") for _ in range(rng.randint(0, n)))
+    for _ in range(50):
+        n = M.Needles([word(5) for _ in range(12)])
+        heads, texts = [word(4) for _ in range(9)], [word(12) for _ in range(9)]
+        held = n.held(texts)
+        whole = [h + t for h, t in zip(heads, texts, strict=True)]
+        both = n.held_with(heads, texts, held)
+        assert (both == n.held(whole)).all()
+        found = n.found_with(heads, texts, both, n.found(texts, held))
+        assert found.tolist() == [[bool(x) and x in t for t in whole] for x in n.needles]
