@@ -17,7 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..config import CONFIG, Config
 from ..operators import matching
 from ..sources import tables
-from ..sources.sinks import scratch
+from ..sources.sinks import scratch, written
 from ..sources.versions import VersionedTable
 
 LATE = "1 hour"
@@ -133,7 +133,7 @@ def match_batches(plans: DataFrame, path: str, config: Config = CONFIG, buckets:
     Of each query and stage it holds the best ``candidates`` so far, which is what any later choice among all of them can
     need: top_candidates of it is the batch form over the chunks so far.
     """
-    queries = matching.retrieval_queries(plans)
+    queries = written(matching.retrieval_queries(plans), "queries")
     table = VersionedTable(plans.sparkSession, path, "bucket")
     columns = [c.split()[0] for c in matching.CANDIDATE.split(", ")]
 
