@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from noteloom.config import CONFIG
+from noteloom.functions import predicates as P
+from noteloom.functions import text as T
 from noteloom.operators import matching as M
 from noteloom.operators.slices import map_slices
 from noteloom.plans import match_queries as Q
@@ -79,3 +81,21 @@ def test_passages_are_prepared_once(spark, monkeypatch):
     assert "prepared" in plans.columns
     key = lambda df: sorted((r.project, r.idx, r.q_no, r.query, r.core, r.matching, tuple(r.words)) for r in df.collect())
     assert key(M.retrieval_queries(plans)) == key(M.retrieval_queries(plans.drop("prepared")))
+
+
+def test_texts_are_worked_out_once(spark):
+    """Predicates name a long text's expression once, so that no row works it out again for each use."""
+    df = spark.createDataFrame([("绪论", "第一章 绪论\n正文", "一", ["正", "文"])], "c string, t string, s string, k array<string>")
+    long_text = F.initcap("t")
+    made = {
+        "recall": (P.recall_evidence(F.initcap("c"), F.col("k"), F.upper(long_text)), 1), "short": (P.is_structural_short(long_text, F.col("c"), F.col("s")), 1),
+        "heading": (P.heading_confirmed(F.col("c"), long_text, F.lit(1), F.lit(1)), 1), "characters": (T.body_characters(F.initcap("c"), F.col("t")), 1),
+    }
+    for name, (column, most) in made.items():
+        plan = df.select(column.alias("x"))._jdf.queryExecution().analyzed().toString()
+        assert plan.count("initcap(t") <= most, name
+        assert plan.count("initcap(c") <= 1, name
+    got = df.select(P.recall_evidence(F.col("c"), F.col("k"), F.col("t")).alias("found"), P.recall_evidence(F.col("s"), F.array(F.lit("正")), F.col("t")).alias("other")).first()
+    assert got.found and got.other
+    empty = df.select(P.recall_evidence(F.lit(""), F.array(F.lit("q"), F.lit("文")), F.col("t")).alias("found")).first()
+    assert empty.found is False
