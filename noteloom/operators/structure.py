@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..config import CONFIG, Config
 from ..functions import predicates as P
 from ..functions import text as T
+from .slices import map_slices
 
 
 def page_lines(pages: DataFrame) -> DataFrame:
@@ -127,6 +128,10 @@ def pack(run: list[tuple[str, int, str]], target: int, maximum: int) -> list[tup
     return [x for x in packed if x[2]]
 
 
+#: Heading runs, with all their blocks, that a Python worker holds at once.
+RUNS_AT_ONCE = 16
+
+
 def split_chunks(blocks: DataFrame, config: Config = CONFIG) -> DataFrame:
     """doc_id, position, page_start, page_end, chapter_title, section_title, content.
 
@@ -147,7 +152,7 @@ def split_chunks(blocks: DataFrame, config: Config = CONFIG) -> DataFrame:
             ]
             yield pd.DataFrame(rows, columns=["doc_id", "run", "k", "page_start", "page_end", "content", "chapter_title", "section_title"])
 
-    packed = runs.mapInPandas(run, f"doc_id {doc}, run long, k int, page_start long, page_end long, content string, chapter_title string, section_title string")
+    packed = map_slices(runs, run, f"doc_id {doc}, run long, k int, page_start long, page_end long, content string, chapter_title string, section_title string", RUNS_AT_ONCE)
     position = F.row_number().over(Window.partitionBy("doc_id").orderBy("run", "k")) - 1
     return packed.select("doc_id", position.alias("position"), "page_start", "page_end", "chapter_title", "section_title", "content")
 
