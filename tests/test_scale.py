@@ -99,3 +99,12 @@ def test_texts_are_worked_out_once(spark):
     assert got.found and got.other
     empty = df.select(P.recall_evidence(F.lit(""), F.array(F.lit("q"), F.lit("文")), F.col("t")).alias("found")).first()
     assert empty.found is False
+
+
+def test_a_task_of_rectangles_holds_a_few_million_characters(spark):
+    """Twenty million characters of small projects are dealt to more tasks than run at once, as one task's rows come to Python together."""
+    chunks = spark.range(40).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("project"), F.col("id").cast("string").alias("chunk_id"), F.lit(None).cast("string").alias("chapter_title"), F.lit(None).cast("string").alias("section_title"), F.repeat(F.lit("x"), 500_000).alias("content"), F.col("id").alias("page_start"), F.col("id").alias("page_end"))
+    queries = chunks.select("project", F.lit(0).cast("long").alias("idx"), F.lit("c").alias("chapter"), F.lit(0).alias("q_no"), F.lit("q").alias("query"), F.lit("q").alias("core"), F.lit("q").alias("matching"), F.array(F.lit("q")).alias("words"))
+    dealt = M.rectangles(queries, chunks, CONFIG)
+    assert dealt.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+    assert dealt.count() == 40
