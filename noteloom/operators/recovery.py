@@ -58,17 +58,18 @@ def scanned(raw: str | None) -> Iterator[tuple[str, str]]:
 
 
 def scan(raw: Column) -> Column:
-    """What ``scanned`` finds, as a column."""
+    """What ``scanned`` finds, as a column.  Taken as not deterministic, so that a filter on what is made of it doesn't scan again."""
 
     @F.pandas_udf("array<struct<kind:string,value:string>>")
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series([[{"kind": k, "value": v} for k, v in scanned(t)] for t in texts], dtype=object)
 
-    return of(raw)
+    return of.asNondeterministic()(raw)
 
 
 def plain_text(x: Column) -> Column:
-    return F.regexp_replace(T.stripped(x), "[ \t]+", " ")
+    """Without blanks at both ends, runs of blanks and tabs as one blank; most texts have none of these."""
+    return T.let(T.stripped(x), lambda v: F.when(v.contains("  ") | v.contains("\t"), F.regexp_replace(v, "[ \t]+", " ")).otherwise(v))
 
 
 def keyword_text(x: Column) -> Column:
@@ -78,8 +79,9 @@ def keyword_text(x: Column) -> Column:
 def recovered_texts(found: Column) -> Column:
     """Array of (original, recitation, keywords), empty texts where one is missing, of what ``scan`` found; null without readable ones."""
     text = F.transform(found, lambda f: F.struct(f["kind"].alias("kind"), F.when(f["kind"] == "keywords", keyword_text(f["value"])).otherwise(plain_text(f["value"])).alias("value")))
-    readable = F.filter(text, lambda f: ~P.is_noise(f["value"]))
-    each = {k: F.transform(F.filter(readable, lambda f: f["kind"] == k), lambda f: f["value"]) for k in KINDS}  # noqa: B023
-    zipped = F.arrays_zip(*[each[k].alias(k) for k in KINDS])
-    filled = F.transform(zipped, lambda z: F.struct(*[F.coalesce(z[k], F.lit("")).alias(k) for k in KINDS]))
-    return F.when(F.size(filled) > 0, filled)
+
+    def paired(readable: Column) -> Column:
+        each = [F.transform(F.filter(readable, lambda f: f["kind"] == k), lambda f: f["value"]).alias(k) for k in KINDS]  # noqa: B023
+        return F.transform(F.arrays_zip(*each), lambda z: F.struct(*[F.coalesce(z[k], F.lit("")).alias(k) for k in KINDS]))
+
+    return T.let(T.let(F.filter(text, lambda f: ~P.is_noise(f["value"])), paired), lambda filled: F.when(F.size(filled) > 0, filled))

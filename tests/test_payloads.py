@@ -202,3 +202,8 @@ def test_salvage_works_a_text_out_once(spark, monkeypatch):
     J.salvage(n, spark.createDataFrame([], "item_id long, chunk_ids array<string>, pages array<int>"))
     # two titles of the item, title and three texts of a bullet, texts of broken output and a filter on them
     assert plan_of(made[0]).count("mininunversity") <= 8
+
+
+def test_recovery_works_a_text_out_once(spark):
+    plan = plan_of(J.recover_broken(spark.createDataFrame([], RAW)))
+    assert plan.count("mininunversity") <= 1 and "Filter isnull" not in plan and plan.count("scan") <= 1
