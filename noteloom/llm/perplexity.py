@@ -44,11 +44,21 @@ HELD = 1 << 19
 PASSED = 1 << 17
 #: Text characters counted or scored at a time.
 CHUNK = 1 << 19
+#: Rows taken from a batch at a time.
+ROWS = 1 << 11
+#: Characters told apart in packed n-grams, the unused number zero included; chunks of more are counted and scored unpacked.
+LETTER_BITS = 12
+LETTERS = 1 << LETTER_BITS
 BIN = 0.002
 #: Band: this many quartile distances below and above the median score of the language; three are about four deviations of a normal law.
 WIDTH_BELOW, WIDTH_ABOVE = 3.0, 3.0
 FLOOR = -20.0
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = b"#*$%&|<>"
+SLOT_BITS = 19
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
+#: Powers of SPREAD and of its inverse, and a value for each byte but the blank: word hashes of texts up to this length.
+POWERS, INVERSES = (np.cumprod(np.append(np.uint64(1), np.full((1 << 16) - 1, x, np.uint64))) for x in (int(SPREAD), pow(int(SPREAD), -1, 1 << 64)))
+BYTE_VALUES = np.where(np.arange(256) == 32, 0, (np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)).astype(np.uint64)
 
 
 def language() -> Column:
@@ -79,48 +89,70 @@ def normal(text: str | None) -> str:
     return b" ".join((text or "").encode().split()).decode()
 
 
-def packed_grams(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams of highest order as rows of code points, and how often each occurs; none that predicts a mark."""
-    alphabet, ids = np.unique(c, return_inverse=True)
-    size, n = len(alphabet), len(c) - ORDER + 1
-    ids = ids.astype(np.uint64)
-    key, width = ids[:n].copy(), size
-    for k in range(1, ORDER):
-        if width * size >= 1 << 63:
-            seen, key = np.unique(key, return_inverse=True)
-            key, width = key.astype(np.uint64), len(seen)
-        key = key * np.uint64(size) + ids[k : k + n]
-        width *= size
-    valid = np.flatnonzero(c[ORDER - 1 :] != MARK)
-    if size**ORDER < 1 << 63:
-        found, counts = np.unique(key[valid], return_counts=True)
-        rows = np.empty((len(found), ORDER), np.uint32)
-        for k in range(ORDER - 1, -1, -1):
-            found, digit = np.divmod(found, np.uint64(size))
-            rows[:, k] = alphabet[digit.astype(np.int64)]
-        return rows, counts
-    _, first, counts = np.unique(key[valid], return_index=True, return_counts=True)
-    at = valid[first]
-    return np.column_stack([c[at + k] for k in range(ORDER)]), counts
-
-
-def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of equal n-grams; code points have 21 bits, so three and two of them make sort keys."""
-    grams, n = np.concatenate([g for g, _ in parts]), np.concatenate([n for _, n in parts])
-    if len(parts) == 1:
-        return grams, n
-    keys = [np.zeros(len(n), np.uint64) for _ in range(-(-ORDER // 3))]
+class Alphabet:
+    """Numbers of up to LETTERS - 1 characters as they come, so that n-grams of highest order are whole numbers of 60 bits."""
+
+    def __init__(self) -> None:
+        self.number = np.zeros(0x110000, np.uint16)
+        self.chars = np.zeros(1, np.uint32)
+
+    def keys(self, c: np.ndarray) -> np.ndarray | None:
+        """Of the n-grams that begin at each place; None if their characters find no room."""
+        ids = self.number[c]
+        if not ids.all():
+            new = np.unique(c[ids == 0])
+            size = len(self.chars)
+            if size + len(new) > LETTERS:
+                return None
+            self.number[new] = np.arange(size, size + len(new))
+            self.chars = np.concatenate([self.chars, new])
+            ids = self.number[c]
+        n = len(c) - ORDER + 1
+        key = ids[:n].astype(np.uint64)
+        for k in range(1, ORDER):
+            key <<= np.uint64(LETTER_BITS)
+            key |= ids[k : k + n]
+        return key
+
+    def columns(self, keys: np.ndarray) -> list[np.ndarray]:
+        """Code points, first characters first."""
+        return [self.chars[keys >> np.uint64(LETTER_BITS * k) & np.uint64(LETTERS - 1)] for k in range(ORDER - 1, -1, -1)]
+
+
+def wide_grams(c: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct n-grams of highest order as columns of code points, and how often each occurs; none that predicts a mark.
+
+    Code points have 21 bits, so three and two of them make sort keys.
+    """
+    at = np.flatnonzero(c[ORDER - 1 :] != MARK)
+    columns = [c[at + k] for k in range(ORDER)]
+    keys = [np.zeros(len(at), np.uint64) for _ in range(-(-ORDER // 3))]
     for k in range(ORDER):
-        keys[k // 3] = keys[k // 3] << np.uint64(21) | grams[:, k].astype(np.uint64)
+        keys[k // 3] = keys[k // 3] << np.uint64(21) | columns[k].astype(np.uint64)
     order = np.lexsort(keys)
-    differs = np.ones(len(n), bool)
+    differs = np.ones(len(at), bool)
     differs[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
     first = np.flatnonzero(differs)
-    return grams[order[first]], np.add.reduceat(n[order], first)
+    return [x[order[first]] for x in columns], np.diff(np.append(first, len(at)))
+
+
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of equal n-grams."""
+    if len(parts) == 1:
+        return parts[0]
+    keys, n = np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts])
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[first], np.add.reduceat(n[order], first)
 
 
-def as_strings(rows: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(rows, dtype=np.uint32).view(f"U{rows.shape[1]}").ravel().astype(object)
+def as_strings(columns: list[np.ndarray]) -> pa.Array:
+    flat = np.column_stack(columns).astype(np.uint32, copy=False)
+    sizes = 1 + (flat >= 0x80).astype(np.int32) + (flat >= 0x800) + (flat >= 0x10000)
+    ends = np.append(0, np.cumsum(sizes.sum(axis=1))).astype(np.int32)
+    data = flat.astype("<u4", copy=False).tobytes().decode("utf-32-le").encode()
+    return pa.StringArray.from_buffers(len(flat), pa.py_buffer(ends), pa.py_buffer(data))
 
 
 def _chunks(texts: list[str]) -> Iterator[list[int]]:
@@ -148,33 +180,67 @@ def count_grams(docs: DataFrame) -> DataFrame:
     A row gives its text's share, one by its copies, and the sums are rounded to the whole numbers they stand for.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alphabet = Alphabet()
+        waiting: dict[tuple[str, int], list[str]] = {}
+        chars: dict[tuple[str, int], int] = {}
         held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
         size = 0
 
-        def out() -> Iterator[pd.DataFrame]:
+        def passed(model: str, columns: list[np.ndarray], n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(model, pa.string()), len(n)), as_strings(columns), pa.array(n, pa.float64())], ["lang", "gram", "n"])
+
+        def out() -> Iterator[pa.RecordBatch]:
+            nonlocal size
             for model, parts in held.items():
-                grams, n = merged(parts)
+                keys, n = merged(parts)
                 for at in range(0, len(n), PASSED):
-                    yield pd.DataFrame({"lang": model, "gram": as_strings(grams[at : at + PASSED]), "n": n[at : at + PASSED]})
+                    yield passed(model, alphabet.columns(keys[at : at + PASSED]), n[at : at + PASSED])
             held.clear()
+            size = 0
+
+        def count(key: tuple[str, int]) -> Iterator[pa.RecordBatch]:
+            nonlocal alphabet, held, size
+            model, copies = key
+            del chars[key]
+            c = codes(waiting.pop(key))
+            keys = alphabet.keys(c)
+            if keys is None:
+                yield from out()
+                alphabet = Alphabet()
+                keys = alphabet.keys(c)
+            if keys is None:
+                columns, n = wide_grams(c)
+                for at in range(0, len(n), PASSED):
+                    yield passed(model, [x[at : at + PASSED] for x in columns], n[at : at + PASSED] / copies)
+                return
+            keys, n = np.unique(keys[c[ORDER - 1 :] != MARK], return_counts=True)
+            held.setdefault(model, []).append((keys, n / copies))
+            size += len(n)
+            if size > 2 * HELD:
+                held = {k: [merged(v)] for k, v in held.items()}
+                size = sum(len(v[0][1]) for v in held.values())
+                if size > HELD:
+                    yield from out()
 
         for b in batches:
-            for (model, copies), texts in b.groupby(["model", "copies"])["text"]:
-                clean = [t for t in map(normal, texts) if t]
-                for part in _chunks(clean):
-                    grams, n = packed_grams(codes([clean[i] for i in part]))
-                    held.setdefault(model, []).append((grams, n / copies))
-                    size += len(n)
-                    if size > 2 * HELD:
-                        held = {k: [merged(v)] for k, v in held.items()}
-                        size = sum(len(v[0][1]) for v in held.values())
-                        if size > HELD:
-                            yield from out()
-                            size = 0
+            for at in range(0, b.num_rows, ROWS):
+                part = b.slice(at, ROWS)
+                for *key, text in zip(*(part[x].to_pylist() for x in ("model", "copies", "text")), strict=True):
+                    if text := normal(text):
+                        key = tuple(key)
+                        waiting.setdefault(key, []).append(text)
+                        chars[key] = chars.get(key, 0) + len(text) + ORDER
+                        if chars[key] >= CHUNK:
+                            yield from count(key)
+                if sum(chars.values()) >= 4 * CHUNK:
+                    for key in list(waiting):
+                        yield from count(key)
+        for key in list(waiting):
+            yield from count(key)
         yield from out()
 
-    counted = with_copies(docs).mapInPandas(run, "lang string, gram string, n double")
+    counted = with_copies(docs).mapInArrow(run, "lang string, gram string, n double")
     return counted.groupBy("lang", "gram").agg(F.round(F.sum("n")).cast("long").alias("n"))
 
 
@@ -336,13 +402,12 @@ def load_slice(arrays: DataFrame, which: int, slices: Slices) -> SortedArrays:
     return SortedArrays(hashes, values)
 
 
-def log_probabilities(arrays: SortedArrays, lang: str, c: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Of the characters at ``at``, backing off to shorter contexts where an n-gram wasn't seen."""
-    out = np.zeros(len(at))
-    rest, weight = np.arange(len(at)), np.zeros(len(at))
+def log_probabilities(arrays: SortedArrays, lang: str, columns: list[np.ndarray]) -> np.ndarray:
+    """Of the last characters of n-grams, backing off to shorter contexts where an n-gram wasn't seen."""
+    out = np.zeros(len(columns[0]))
+    rest, weight = np.arange(len(out)), np.zeros(len(out))
     for k in range(ORDER, 0, -1):
-        here = at[rest]
-        columns = [c[here - j] for j in range(k - 1, -1, -1)]
+        columns = columns[-k:]
         found = arrays.find(gram_hash(lang, k, columns)).astype(np.float64)
         hit = ~np.isnan(found)
         out[rest[hit]] = weight[rest[hit]] + found[hit]
@@ -350,34 +415,87 @@ def log_probabilities(arrays: SortedArrays, lang: str, c: np.ndarray, at: np.nda
         rest = rest[miss]
         if not len(rest):
             return out
+        columns = [x[miss] for x in columns]
         if k > 1:
-            back = arrays.find(gram_hash(lang, 64 + k, [x[miss] for x in columns[:-1]]))
+            back = arrays.find(gram_hash(lang, 64 + k, columns[:-1]))
             weight[rest] += np.nan_to_num(back, nan=0.0)
     out[rest] = weight[rest] + FLOOR
     return out
 
 
-def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
-    text = text or ""
-    words = text.encode().split()
-    joined = b"".join(words)
-    chars = len(joined.decode())
-    symbols = sum(joined.count(x.encode()) for x in SYMBOLS)
-    lines = [x for x in text.encode().split(b"\n") if x.strip()]
+def shared_places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places whose keys stand for all, and which of them each place has; some equal keys stay apart where slots collide."""
+    slots = (keys * SPREAD >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+    last = np.zeros(1 << SLOT_BITS, np.int32)
+    last[slots] = np.arange(len(keys), dtype=np.int32)
+    place = last[slots]
+    other = np.flatnonzero(keys[place] != keys)
+    place[other] = other
+    chosen = np.zeros(len(keys), bool)
+    chosen[place] = True
+    return np.flatnonzero(chosen), (np.cumsum(chosen, dtype=np.int32) - 1)[place]
+
+
+def distinct_grams(alphabet: Alphabet, c: np.ndarray, at: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Columns of the n-grams that end at ``at``, mostly once each if the alphabet has room, and which of them each place has."""
+    keys = alphabet.keys(c)
+    if keys is None:
+        alphabet.__init__()
+        keys = alphabet.keys(c)
+    if keys is None:
+        return [c[at - k] for k in range(ORDER - 1, -1, -1)], np.arange(len(at))
+    keys = keys[at - ORDER + 1]
+    chosen, which = shared_places(keys)
+    return alphabet.columns(keys[chosen]), which
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """Of words parted by single blanks: equal words have equal ones."""
+    n = len(data)
+    if n > len(POWERS):
+        return np.fromiter(map(hash, data.split(b" ")), np.int64).astype(np.uint64)
+    c = np.frombuffer(data, np.uint8)
+    starts = np.append(0, np.flatnonzero(c == 32) + 1)
+    return np.add.reduceat(POWERS[:n] * BYTE_VALUES[c], starts) * INVERSES[starts]
+
+
+def found_twice(values: np.ndarray) -> np.ndarray:
+    """Places of the values that occur twice or more."""
+    order = np.sort(values)
+    again = order[1:][order[1:] == order[:-1]]
+    if not len(again):
+        return np.empty(0, np.int64)
+    return np.flatnonzero(again[np.minimum(np.searchsorted(again, values), len(again) - 1)] == values)
+
+
+def n_repeated(data: bytes) -> int:
+    """Words, parted by single blanks, in windows of three that occur twice or more: sought by hashes, then settled by the words."""
+    h = word_hashes(data) if data else np.empty(0, np.uint64)
+    if len(h) < 4:
+        return 0
+    at = found_twice((h[:-2] * SPREAD + h[1:-1]) * SPREAD + h[2:])
+    if not len(at):
+        return 0
+    words = data.split(b" ")
     known: dict[bytes, int] = {}
     ids = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
-    repeated = 0
-    if len(ids) > 3:
-        size = len(known)
-        _, pair = np.unique(ids[:-2] * size + ids[1:-1], return_inverse=True)
-        _, which, counts = np.unique(pair * size + ids[2:], return_inverse=True, return_counts=True)
-        covered = np.zeros(len(ids), bool)
-        again = np.flatnonzero(counts[which] > 1)
-        for k in range(3):
-            covered[again + k] = True
-        repeated = int(covered.sum())
-    return len(words), chars, symbols, len(lines) - len(set(lines)), repeated
+    pair = ids[at] * len(known) + ids[at + 1]
+    if len(known) >= 1 << 21:
+        pair = np.unique(pair, return_inverse=True)[1]
+    at = at[found_twice(pair * len(known) + ids[at + 2])]
+    covered = np.zeros(len(words), bool)
+    for k in range(3):
+        covered[at + k] = True
+    return int(covered.sum())
+
+
+def base_counts(text: str | None, clean: str) -> tuple[int, int, int, int, int]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a text and its words joined by single blanks."""
+    data, joined = (text or "").encode(), clean.encode()
+    blanks = joined.count(b" ")
+    symbols = len(data) - len(data.translate(None, SYMBOLS))
+    lines = [x for x in data.split(b"\n") if x and not x.isspace()]
+    return blanks + bool(joined), len(clean) - blanks, symbols, len(lines) - len(set(lines)), n_repeated(joined)
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -387,32 +505,43 @@ def score_slice(docs: DataFrame, arrays: SortedArrays, which: int, slices: Slice
     """row, doc_id, lang, logp (this slice's share), characters scored; the first slice of a model also gives the base counts.  Written before the arrays are dropped."""
     shared = docs.sparkSession.sparkContext.broadcast(arrays)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            b = b.reset_index(drop=True)
-            total, scored, lead = np.zeros(len(b)), np.zeros(len(b), np.int64), np.zeros(len(b), bool)
-            for model, rows in b.groupby("model").groups.items():
-                rows = rows.to_numpy()
-                first, k = slices.of(model)
-                lead[rows] = first == which
-                texts = [normal(t) for t in b["text"].iloc[rows]]
-                for part in _chunks(texts):
-                    c = codes([texts[i] for i in part])
-                    at = np.flatnonzero(c != MARK)
-                    owner = np.repeat(np.arange(len(part)), [len(texts[i]) + ORDER - 1 for i in part])[at]
-                    if k > 1:
-                        own = route(c[at - 2], c[at - 1], k) == which - first
-                        at, owner = at[own], owner[own]
-                    if len(at):
-                        total[rows[part]] += np.bincount(owner, log_probabilities(shared.value, model, c, at), len(part))
-                        scored[rows[part]] += np.bincount(owner, minlength=len(part))
-            out = pd.DataFrame({"row": b["row"], "doc_id": b["doc_id"], "lang": b["lang"], "logp": total, "scored": scored})
-            counts = [base_counts(t) if x else (0,) * 5 for t, x in zip(b["text"], lead, strict=True)]
-            yield pd.concat([out, pd.DataFrame(counts, columns=list(COUNTS), dtype="int64")], axis=1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alphabet = Alphabet()
+        for batch in batches:
+            for begin in range(0, batch.num_rows, ROWS):
+                b = batch.slice(begin, ROWS)
+                originals, of_model = b["text"].to_pylist(), {}
+                for i, model in enumerate(b["model"].to_pylist()):
+                    of_model.setdefault(model, []).append(i)
+                counts = np.zeros((len(COUNTS), len(originals)), np.int64)
+                total, scored = np.zeros(len(originals)), np.zeros(len(originals), np.int64)
+                for model, rows in of_model.items():
+                    rows = np.array(rows)
+                    first, k = slices.of(model)
+                    texts = [normal(originals[i]) for i in rows]
+                    if first == which:
+                        counts[:, rows] = np.array([base_counts(originals[i], t) for i, t in zip(rows, texts, strict=True)]).T
+                    for part in _chunks(texts):
+                        c = codes([texts[i] for i in part])
+                        at = np.flatnonzero(c != MARK)
+                        owner = np.repeat(np.arange(len(part)), [len(texts[i]) + ORDER - 1 for i in part])[at]
+                        if not len(at):
+                            continue
+                        columns, gram = distinct_grams(alphabet, c, at)
+                        if k > 1:
+                            own = route(columns[-3], columns[-2], k) == which - first
+                            logp = np.zeros(len(own))
+                            logp[own] = log_probabilities(shared.value, model, [x[own] for x in columns])
+                            scored[rows[part]] += np.bincount(owner[own[gram]], minlength=len(part))
+                        else:
+                            logp = log_probabilities(shared.value, model, columns)
+                            scored[rows[part]] += np.bincount(owner, minlength=len(part))
+                        total[rows[part]] += np.bincount(owner, logp[gram], len(part))
+                yield pa.RecordBatch.from_arrays([b["row"], b["doc_id"], b["lang"], pa.array(total), pa.array(scored), *map(pa.array, counts)], ["row", "doc_id", "lang", "logp", "scored", *COUNTS])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"row binary, doc_id {kind}, lang string, logp double, scored long, " + ", ".join(f"{x} long" for x in COUNTS)
-    out = stage(docs.where(slices.texts_of(which, F.col("model"))).mapInPandas(run, schema), f"scores-{which}")
+    out = stage(docs.where(slices.texts_of(which, F.col("model"))).mapInArrow(run, schema), f"scores-{which}")
     shared.destroy()
     return out
 

@@ -251,6 +251,44 @@ def test_perplexity_in_slices(spark, docs, rows, small_slices):
     check_perplexity(spark, docs, rows)
 
 
+def brute_grams(texts):
+    n, mark = perplexity.ORDER, perplexity.BOUNDARY
+    padded = [mark * (n - 1) + t for t in texts]
+    return Counter(p[i : i + n] for p in padded for i in range(len(p) - n + 1) if p[i + n - 1] != mark)
+
+
+def test_grams_are_scored_once():
+    texts = ["to be or not to be " * 500, "a\0b é𝄞", "".join(map(chr, range(0x4E00, 0x4E00 + 5000)))]
+    for t, wide in ((texts[0], False), (texts[1], False), (texts[2], True)):
+        c = perplexity.codes([t, t])
+        at = np.flatnonzero(c != perplexity.MARK)
+        columns, which = perplexity.distinct_grams(perplexity.Alphabet(), c, at)
+        assert all((x[which] == c[at - perplexity.ORDER + 1 + k]).all() for k, x in enumerate(columns))
+        assert wide or len(columns[0]) < 2 * len(brute_grams([t]))
+        grams, n = perplexity.wide_grams(c)
+        assert dict(zip(perplexity.as_strings(grams).to_pylist(), n.tolist(), strict=True)) == brute_grams([t, t])
+
+
+def test_grams_of_wide_alphabets(spark):
+    texts = ["".join(chr(0x4E00 + (i * 37 + s * 2500) % 9000) for i in range(3000)) for s in range(4)] + ["".join(map(chr, range(0x4E00, 0x4E00 + 5000))), "a\0b é𝄞 to be or not to be"]
+    docs = spark.createDataFrame([(i, t, "zh", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars int").coalesce(1)
+    got = Counter()
+    for r in perplexity.count_grams(docs).collect():
+        got[r.gram] += r.n
+    assert got == brute_grams(texts)
+
+
+def test_repeated_windows():
+    draw = random.Random(3)
+    texts = ["".join(draw.choice("ab  \n\té\0\x1c#") for _ in range(draw.randrange(60))) for _ in range(500)] + ["", "a b c a b c", "x y z " * 20_000 + "end of it"]
+    for t in texts:
+        words = t.encode().split()
+        windows = list(zip(words, words[1:], words[2:], strict=False))
+        often = Counter(windows)
+        covered = {i + k for i, w in enumerate(windows) if often[w] > 1 for k in range(3)}
+        assert perplexity.base_counts(t, perplexity.normal(t))[::4] == (len(words), len(covered))
+
+
 def test_perplexity_backs_off(spark, docs):
     model = perplexity.estimate(perplexity.count_grams(docs)).persist()
     other = spark.createDataFrame([(1, "zebra the anion quux", "en", "s", 0)], DOCS)
