@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, row_key, stage
+from .common import cut, release, row_key, stage
 
 ORDER = 5
 BOUNDARY = "﷐"
@@ -181,6 +181,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         alphabet = Alphabet()
         waiting: dict[tuple[str, int], list[str]] = {}
         chars: dict[tuple[str, int], int] = {}
@@ -506,6 +507,7 @@ def score_slice(docs: DataFrame, arrays: SortedArrays, which: int, slices: Slice
     shared = docs.sparkSession.sparkContext.broadcast(arrays)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         alphabet = Alphabet()
         for batch in batches:
             for begin in range(0, batch.num_rows, ROWS):

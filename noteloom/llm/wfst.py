@@ -31,6 +31,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .common import held
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 WORD = "▁"
 REMEMBERED = 1 << 18
@@ -283,16 +285,9 @@ class PieceTransducer:
         return text[1:] if self.dummy_prefix and text[:1] == " " else text
 
 
-_loaded: dict[bytes, PieceTransducer] = {}
-
-
 def transducer(model: bytes) -> PieceTransducer:
     """One for each worker process and model."""
-    key = hashlib.sha256(model).digest()
-    if key not in _loaded:
-        _loaded.clear()
-        _loaded[key] = PieceTransducer(model)
-    return _loaded[key]
+    return held(hashlib.sha256(model).digest(), lambda: PieceTransducer(model))
 
 
 def encode_documents(docs: DataFrame, model_path: str = MODEL, keep_ids: bool = True) -> DataFrame:

@@ -15,7 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from noteloom.llm import edits, mixing, ogg, perplexity, quality, queries, reshard, secrets, simhash, suffix, wfst
+from noteloom.llm import common, edits, mixing, ogg, perplexity, quality, queries, reshard, secrets, simhash, suffix, wfst
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 DATA = "/root/testdata/sf0.001"
@@ -289,6 +289,22 @@ def test_repeated_windows():
         assert perplexity.base_counts(t, perplexity.normal(t))[::4] == (len(words), len(covered))
 
 
+def test_workers_release_the_encoder(spark):
+    """Workers that have encoded hold no transducer while they count n-grams."""
+
+    def holding(batches):
+        for b in batches:
+            yield b.assign(n=len(common._held))
+
+    docs = spark.createDataFrame([(1, "to be or not", "en", "s", 12)], DOCS).coalesce(1)
+    wfst.encode_documents(docs).collect()
+    look = lambda: [r.n for r in spark.range(8, numPartitions=8).selectExpr("id n").mapInPandas(holding, "n long").collect()]
+    assert 1 in look()
+    docs = spark.createDataFrame([(i, f"to be or not {i}", "en", "s", 12) for i in range(64)], DOCS).repartition(16)
+    perplexity.count_grams(docs).collect()
+    assert 1 not in look()
+
+
 def test_perplexity_backs_off(spark, docs):
     model = perplexity.estimate(perplexity.count_grams(docs)).persist()
     other = spark.createDataFrame([(1, "zebra the anion quux", "en", "s", 0)], DOCS)
