@@ -217,4 +217,4 @@ n AS (SELECT *, coalesce((lag(kind) OVER (PARTITION BY doc_id ORDER BY line_no)
 SELECT doc_id, run::BIGINT AS run, any_value(kind) AS kind, count(*) AS n FROM r GROUP BY doc_id, run""")
 def b13_classify_blocks(spark, d):
     lead = F.when(F.col("line_no") % 3 == 0, "1. ").when(F.col("line_no") % 3 == 1, "- ").otherwise("")
-    return M.content_blocks(t.lines(spark, d).withColumn("line", F.concat(lead, F.btrim("line")))).select("doc_id", F.col("run").cast("long").alias("run"), "kind", F.size("items").cast("long").alias("n"))
+    return M.content_blocks(t.lines(spark, d).withColumn("line", F.concat(lead, T.unspaced(F.col("line"))))).select("doc_id", F.col("run").cast("long").alias("run"), "kind", F.size("items").cast("long").alias("n"))

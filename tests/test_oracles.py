@@ -54,3 +54,14 @@ def test_entry_lists_queries():
 
     known = __spark_entry__.queries()
     assert set(__spark_entry__.oracle_sql()) <= set(known) and len(known) > 100
+
+
+def test_lines_of_blanks_and_odd_ends_are_judged_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    odd = ["a\n\n\nb\n\n", "", "\n- \n", "　x　\n\xa0\n\xa0y", "1. a\r\n- b\r\n\r\n\r", "- a b\n1.\x85c\nd\x0b", "\x0b- a\n\t\n•\n· \n（一）", None, "x\ny\nz\n \n  \n"]
+    spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(odd)], "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in catalog.QUERIES["b13_classify_blocks"](spark, str(tmp_path)).select("doc_id", "run", "kind", "n").collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert got == sorted(con.execute(f"SELECT doc_id, run, kind, n FROM ({catalog.ORACLE_SQL['b13_classify_blocks']})").fetchall())
