@@ -108,3 +108,49 @@ def test_a_task_of_rectangles_holds_a_few_million_characters(spark):
     dealt = M.rectangles(queries, chunks, CONFIG)
     assert dealt.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
     assert dealt.count() == 40
+
+
+def test_ratio_is_that_of_the_standard_library():
+    from difflib import SequenceMatcher
+
+    rnd = random.Random(2)
+    say = lambda n, of: "".join(rnd.choice(of) for _ in range(n))
+    for letters in ("ab", "abcdef甲乙", "etaoin"):
+        for most in (12, 60, 199, 260):
+            for _ in range(60):
+                a, b = say(rnd.randint(0, 40), letters), say(rnd.randint(0, most), letters)
+                assert M.ratio(a, b) == SequenceMatcher(None, a, b).ratio()
+    assert M.matched("", "") == 0 and M.matched("abxcd", "abcdxab") == SequenceMatcher(None, "abxcd", "abcdxab").ratio() * 6
+
+
+def test_letters_bound_what_is_compared_and_few_pairs_are(monkeypatch):
+    """No ratio is above the bound of its pair, and the best scores are known after few of them."""
+    rnd = random.Random(8)
+    words = "tion ing the of ment al qu x".split()
+    say = lambda n: "".join(rnd.choice(words) for _ in range(n))
+    chunks = M.Chunks(pack(rnd, 60, say))
+    asked = M.Queries([{"idx": i, "chapter": None, "q_no": 0, "query": q, "core": q, "matching": q, "words": []} for i in range(30) for q in [say(1 + i)]])
+    full = M.Rectangle(asked, chunks)
+    for kind, bound in enumerate(full._compared()):
+        for i, k in enumerate(asked.keys):
+            for j in range(60):
+                other = (chunks.section[j], chunks.chapter[j], chunks.body[j][: max(len(k) * 6, 160)])[kind]
+                assert M.ratio(k, other) <= bound[i, j] or not k + other
+                assert kind == 2 or bound[i, j] == 2 * M.common_letters(k, other) / max(len(k) + len(other), 1)
+    calls, real = [], M.ratio
+    monkeypatch.setattr(M, "ratio", lambda a, b: calls.append(1) or real(a, b))
+    looked = M.Rectangle(asked, chunks).top_scores()
+    few = len(calls)
+    calls.clear()
+    full.lift(full.open)
+    assert looked.tolist() == np.where(full.open, full.scores(), 0).max(axis=1).tolist() and few < len(calls)
+
+
+def test_chunks_that_meet_several_packs_of_queries_are_prepared_once(monkeypatch):
+    rnd = random.Random(3)
+    chunks = [pack(rnd, 5, lambda n: "ab" * n) for _ in range(2)]
+    asked = [[{"idx": i, "chapter": None, "q_no": 0, "query": "ab", "core": "ab", "matching": "ab", "words": []}] for i in range(3)]
+    made, real = [], M.Chunks
+    monkeypatch.setattr(M, "Chunks", lambda rows: made.append(1) or real(rows))
+    frames = (pd.DataFrame({"project": ["p"], "queries": [q], "chunks": [c]}) for c in chunks for q in asked)
+    assert [(q.rows[0]["idx"], c.rows == chunks[n // 3]) for n, (_, q, c) in enumerate(M.met(frames))] == [(n % 3, True) for n in range(6)] and len(made) == 2
