@@ -154,3 +154,34 @@ def test_chunks_that_meet_several_packs_of_queries_are_prepared_once(monkeypatch
     monkeypatch.setattr(M, "Chunks", lambda rows: made.append(1) or real(rows))
     frames = (pd.DataFrame({"project": ["p"], "queries": [q], "chunks": [c]}) for c in chunks for q in asked)
     assert [(q.rows[0]["idx"], c.rows == chunks[n // 3]) for n, (_, q, c) in enumerate(M.met(frames))] == [(n % 3, True) for n in range(6)] and len(made) == 2
+
+
+def test_near_copies_are_told_as_by_the_whole_ratio(monkeypatch):
+    from difflib import SequenceMatcher
+
+    rnd = random.Random(6)
+    words = [("".join(rnd.choice("etaoinshrdlucmq") for _ in range(rnd.randint(1, 9)))) for _ in range(300)]
+    calls, real = [], SequenceMatcher.find_longest_match
+    monkeypatch.setattr(SequenceMatcher, "find_longest_match", lambda *x: calls.append(1) or real(*x))
+    few = every = 0
+    for n in (3, 40, 120):
+        for _ in range(25):
+            a = [rnd.choice(words) for _ in range(n)]
+            b = [rnd.choice(words) if rnd.random() < rnd.choice((0.02, 0.3)) else w for w in a] if rnd.random() < 0.6 else [rnd.choice(words) for _ in range(n)]
+            x, y = " ".join(a), " ".join(b)
+            calls.clear()
+            whole = SequenceMatcher(None, x, y).ratio()
+            every += 3 * len(calls)
+            calls.clear()
+            assert [M.reaches(x, y, least) for least in (0.65, whole, 0.9)] == [whole >= least for least in (0.65, whole, 0.9)]
+            few += len(calls)
+    assert few < every
+
+
+def test_texts_of_neighbours_in_which_nothing_is_recalled_stay_behind(spark):
+    """Only the neighbour that holds the query's core phrase comes to the choice of evidence."""
+    texts = ["双因素理论 " + "甲乙" * 20, "其他 " + "丙丁" * 20, "说到双因素 理论的 " + "戊己" * 20]
+    chunks = spark.createDataFrame([("p", "p", str(i), i, i + 1, i + 1, "第1章 理论", None, t) for i, t in enumerate(texts)], "project string, doc string, chunk_id string, position long, page_start long, page_end long, chapter_title string, section_title string, content string")
+    plans = spark.createDataFrame([("p", 0, None, ["双因素理论"], [])], "project string, idx long, chapter string, queries array<string>, subqueries array<string>")
+    near = spark.createDataFrame([("p", 0, c, ["双因素理论"]) for c in ("1", "2")], "project string, idx long, chunk_id string, matched_queries array<string>")
+    assert [r.chunk_id for r in M.recalled_neighbours(near, M.retrieval_queries(plans), chunks).collect()] == ["2"]
