@@ -14,6 +14,7 @@ from noteloom.functions import text as T
 from noteloom.operators import matching as M
 from noteloom.operators.slices import map_slices
 from noteloom.plans import match_queries as Q
+from noteloom.sources.sinks import stored
 
 
 def pack(rnd, count, say):
@@ -185,3 +186,22 @@ def test_texts_of_neighbours_in_which_nothing_is_recalled_stay_behind(spark):
     plans = spark.createDataFrame([("p", 0, None, ["双因素理论"], [])], "project string, idx long, chapter string, queries array<string>, subqueries array<string>")
     near = spark.createDataFrame([("p", 0, c, ["双因素理论"]) for c in ("1", "2")], "project string, idx long, chunk_id string, matched_queries array<string>")
     assert [r.chunk_id for r in M.recalled_neighbours(near, M.retrieval_queries(plans), chunks).collect()] == ["2"]
+
+
+def test_texts_are_matched_and_moved_once(spark):
+    """Nothing that is written is worked out again behind it, and no text goes along with candidates."""
+    nodes = lambda plan: [plan, *(n for i in range(plan.children().size()) for n in nodes(plan.children().apply(i)))]
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan()
+    assert not [n for n in nodes(plan(Q.j08_failure_diagnostic(spark, "/root/testdata/sf0.001"))) if n.nodeName().startswith("MapIn")]
+    joined = next(n for n in nodes(plan(Q.h12_h13_score(spark, "/root/testdata/sf0.001"))) if n.nodeName() == "Join")
+    assert {"content", "text"}.isdisjoint(joined.output().apply(i).name() for i in range(joined.output().size()))
+
+
+def test_a_table_isnt_written_again(spark, tmp_path):
+    made = spark.range(9).withColumn("n", F.col("id") % 2)
+    made.write.parquet(f"{tmp_path}/t")
+    table = spark.read.parquet(f"{tmp_path}/t").where("n = 1").select("id")
+    assert stored(table, "x") is table
+    for df in (made, table.distinct(), table.unionByName(table), table.join(table, "id")):
+        again = stored(df, "x")
+        assert again is not df and sorted(again.collect()) == sorted(df.collect())
